@@ -28,5 +28,6 @@ def load_all() -> None:
     """Import every plan module so that its queries register themselves."""
     from jobsieve.plans import (  # noqa: F401
         salary_plans,
+        search_plans,
         skill_plans,
     )
