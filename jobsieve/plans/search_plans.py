@@ -130,11 +130,11 @@ def _similar_sql(extra_terms: str | None = None) -> str:
     ids = ", ".join(f"'{t}'" for t in _TARGETS)
     parts = [f"CASE WHEN t.{k} IS NOT NULL AND CAST(t.{k} AS VARCHAR) <> '' AND t.{k} = c.{k} THEN {p} ELSE 0 END"
              for k, p in si.POINTS]
-    parts.append("len(list_intersect(list_distinct(list_transform(t.required_skills, x -> lower(x))), "
-                 "list_distinct(list_transform(c.required_skills, x -> lower(x)))))")
+    parts.append("len(list_intersect(list_distinct(list_transform(t.required_skills, lambda x: lower(x))), "
+                 "list_distinct(list_transform(c.required_skills, lambda x: lower(x)))))")
     if extra_terms:
-        parts.append(f"len(list_intersect(list_distinct(list_transform(t.{extra_terms}, x -> lower(x))), "
-                     f"list_distinct(list_transform(c.{extra_terms}, x -> lower(x)))))")
+        parts.append(f"len(list_intersect(list_distinct(list_transform(t.{extra_terms}, lambda x: lower(x))), "
+                     f"list_distinct(list_transform(c.{extra_terms}, lambda x: lower(x)))))")
     return f"""SELECT target_id, rank, id, title, score FROM (
       SELECT target_id, cand_id AS id, title, score,
              row_number() OVER (PARTITION BY target_id ORDER BY score DESC, coalesce(title, ''), cand_id) AS rank
