@@ -24,6 +24,12 @@ def tokens(c, min_len: int = 3) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda t: F.length(t) >= min_len)))
 
 
+def folded_tokens(folded, min_len: int = 3) -> Column:
+    """P11 on text that is already folded."""
+    parts = F.split(col(folded), " ")
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda t: F.length(t) >= min_len)))
+
+
 def split_list(c, sep: str = ";") -> Column:
     """S3: split on ``sep``, trim, drop blanks; null -> empty list."""
     parts = F.split(F.coalesce(col(c).cast("string"), F.lit("")), sep)

@@ -30,4 +30,5 @@ def load_all() -> None:
         salary_plans,
         search_plans,
         skill_plans,
+        taxonomy_plans,
     )
