@@ -58,6 +58,26 @@ def concept_terms(concepts: DataFrame) -> DataFrame:
         "*", fold("term").alias("term_norm"), tokens("term").alias("term_tokens"))
 
 
+_CACHE: dict = {}
+
+
+def concept_set(spark: SparkSession, concept_type: str | None = None) -> "ConceptSet":
+    """The seed taxonomy's :class:`ConceptSet`, built once per session and type."""
+    key = (id(spark), concept_type)
+    if key not in _CACHE:
+        _CACHE[key] = ConceptSet(spark, concept_type)
+    return _CACHE[key]
+
+
+def explode_matches(df: DataFrame, column: str, alias: str = "c") -> DataFrame:
+    """Explode a match array, keeping only matched rows.
+
+    ``explode_outer`` + a filter *above* the generator: a plain ``explode`` makes Catalyst infer
+    ``size(column) > 0`` and push it below the projection that computes the matches, which would
+    evaluate the whole matcher a second time outside codegen."""
+    return df.select("*", F.explode_outer(column).alias(alias)).drop(column).where(F.col(alias).isNotNull())
+
+
 class ConceptSet:
     """A folded concept table embedded in the plan: ``array`` (literal array<struct>, file order)
     plus the per-term data used to build codegen-friendly match predicates."""

@@ -41,9 +41,9 @@ def _text_match_sql(src, idc, textc):
 
 
 def _text_match(df, idc, text):
-    lit = tx.ConceptSet(df.sparkSession)
+    lit = tx.concept_set(df.sparkSession)
     m = tx.match_concepts(df.select(idc, text), F.col(text), lit, "m")
-    return m.select(idc, F.explode("m").alias("c")).select(
+    return tx.explode_matches(m.select(idc, "m"), "m").select(
         idc, F.col("c.ordinal").alias("ordinal"), F.col("c.concept_type").alias("concept_type"),
         F.col("c.preferred_label").alias("preferred_label"))
 
@@ -69,9 +69,10 @@ FROM _dt JOIN _tn ON _tn.concept_type = 'occupation' AND {st.hit('_dt.nt', '_dt.
 GROUP BY doc_id""")
 def j1a_occupation_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    occ = tx.ConceptSet(spark, "occupation")
-    m = tx.match_concepts(d, F.col("text"), occ, "m").where(F.size("m") > 0)
-    return m.select("doc_id", F.col("m")[0]["preferred_label"].alias("occupation"), F.col("m")[0]["ordinal"].alias("ordinal"))
+    occ = tx.concept_set(spark, "occupation")
+    m = tx.match_concepts(d, F.col("text"), occ, "m").select("doc_id", F.slice("m", 1, 1).alias("m"))
+    return tx.explode_matches(m, "m").select("doc_id", F.col("c.preferred_label").alias("occupation"),
+                                             F.col("c.ordinal").alias("ordinal"))
 
 
 def _job_text_sql():
@@ -100,7 +101,7 @@ LEFT JOIN (
   GROUP BY id) s ON s.id = p.id""", st.taxonomy_ctes()))
 def j1c_posting_enrichment(spark, sf_dir):
     p = postings(spark, sf_dir)
-    e = tx.enrich_postings(p, tx.ConceptSet(spark, "occupation"), tx.ConceptSet(spark, "skill"))
+    e = tx.enrich_postings(p, tx.concept_set(spark, "occupation"), tx.concept_set(spark, "skill"))
     return e.select("id", F.col("occupation.preferred_label").alias("occupation"),
                     F.array_join("search_terms", "|").alias("search_terms"))
 
@@ -121,14 +122,14 @@ SELECT item_id, array_to_string(list_sort(list_distinct(list(lower({st.strip('t'
 FROM _all GROUP BY item_id""")
 def q1_query_expansion_benchmark(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    e = tx.expand_query(b, "text", tx.ConceptSet(spark))
+    e = tx.expand_query(b, "text", tx.concept_set(spark))
     return e.select("item_id", F.array_join("expanded_terms", "|").alias("expanded_terms"))
 
 
 @register("q2_normalize_query_conversations", None)
 def q2_normalize_query_conversations(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    n = tx.normalize_query(c, "text", tx.ConceptSet(spark, "occupation"), tx.ConceptSet(spark, "skill"))
+    n = tx.normalize_query(c, "text", tx.concept_set(spark, "occupation"), tx.concept_set(spark, "skill"))
     return n.select("conv_id", "turn", F.array_join("occupations", "|").alias("occupations"),
                     F.array_join("skills", "|").alias("skills"))
 
