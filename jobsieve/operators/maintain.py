@@ -18,3 +18,107 @@ def newly_expired_count(df: DataFrame, as_of: dt.datetime) -> DataFrame:
     """U2 return value: rows the sweep flips (one-row frame)."""
     due = F.col("expires_at").isNotNull() & (F.col("expires_at") < F.lit(as_of)) & ~F.coalesce(F.col("is_expired"), F.lit(False))
     return df.agg(F.count_if(due).alias("expired"))
+
+
+# Fixed values that must equal the reference: fields a re-ingested posting may overwrite.
+WRITABLE_FIELDS = [
+    "title", "company", "location", "country", "city", "federal_state", "salary_min", "salary_max",
+    "salary_period", "salary_is_estimated", "salary_confidence", "job_type", "employment_type", "description",
+    "required_skills", "source", "source_posting_id", "url", "application_url", "company_career_url",
+    "remote_status", "role_type", "occupation_group", "experience_level", "source_legal_basis",
+    "ingestion_batch_id", "posted_date", "posted_at", "expires_at", "last_seen_at", "is_expired",
+]
+
+
+def stamp_batch(df: DataFrame, batch_id: str, as_of: dt.datetime) -> DataFrame:
+    """U4: batch id, ``last_seen_at`` defaulted to ``as_of``, ``is_expired`` = false (re-activates)."""
+    last_seen = F.coalesce(F.col("last_seen_at"), F.lit(as_of)) if "last_seen_at" in df.columns else F.lit(as_of)
+    return df.withColumns({"ingestion_batch_id": F.lit(batch_id), "last_seen_at": last_seen.cast("timestamp_ntz"),
+                           "is_expired": F.lit(False)})
+
+
+def normalize_record(df: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Integer salaries (truncated), country default Germany, posted_date default ``as_of``,
+    is_expired default false."""
+    d = df
+    for c in ("salary_min", "salary_max"):
+        if c in d.columns:
+            d = d.withColumn(c, F.col(c).cast("double").cast("long"))
+    d = d.withColumn("country", F.coalesce(F.nullif(F.col("country"), F.lit("")), F.lit("Germany"))
+                     if "country" in d.columns else F.lit("Germany"))
+    d = d.withColumn("posted_date", F.coalesce(F.col("posted_date"), F.lit(as_of)) if "posted_date" in d.columns else F.lit(as_of))
+    d = d.withColumn("is_expired", F.coalesce(F.col("is_expired"), F.lit(False)) if "is_expired" in d.columns else F.lit(False))
+    return d
+
+
+def dedupe_batch(batch: DataFrame, order: str) -> DataFrame:
+    """Last row (by ``order``) per provider identity (source, source_posting_id), or per id when the
+    identity is incomplete. ``max_by`` is a partial aggregate: a hot key is combined map-side."""
+    has_key = F.col("source").isNotNull() & F.col("source_posting_id").isNotNull()
+    key = F.when(has_key, F.concat_ws("\u0001", F.lit("k"), F.col("source"), F.col("source_posting_id"))) \
+        .otherwise(F.concat_ws("\u0001", F.lit("i"), F.col("id")))
+    cols = batch.columns
+    return (batch.withColumn("_key", key).groupBy("_key")
+            .agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r")).select("_r.*"))
+
+
+def generated_id(batch_id: str) -> Column:
+    """Deterministic id for inserted rows without one (stable under task retries)."""
+    return F.substring(F.sha2(F.concat_ws("|", F.lit(batch_id), F.col("source"), F.col("source_posting_id"),
+                                          F.col("title"), F.col("company")), 256), 1, 32)
+
+
+def upsert(existing: DataFrame, batch: DataFrame, order: str, batch_id: str = "batch") -> DataFrame:
+    """U1 + J7: merge a batch into the posting table.
+
+    Batch rows are deduped (last wins). A batch row matches an existing row on (source,
+    source_posting_id), else on id. Matched rows take the batch's writable fields and keep their
+    id; unmatched rows are inserted (id generated when missing). Returns the new table version —
+    write it beside the old one (``jobsieve.sources.files.write_version``), never over it."""
+    cols = existing.columns
+    b = dedupe_batch(batch, order)
+    if "id" not in b.columns:
+        b = b.withColumn("id", F.lit(None).cast("string"))
+    b = b.withColumn("id", F.coalesce(F.col("id"), generated_id(batch_id)))
+    ek = existing.select(F.col("id").alias("_eid"), F.col("source").alias("_es"), F.col("source_posting_id").alias("_ep"))
+    by_key = b.join(ek, (b["source"] == ek["_es"]) & (b["source_posting_id"] == ek["_ep"]), "left") \
+        .select(*[b[c] for c in b.columns], F.col("_eid").alias("_kid"))
+    eid = existing.select(F.col("id").alias("_iid"))
+    by_id = by_key.join(eid, (F.col("_kid").isNull()) & (by_key["id"] == eid["_iid"]), "left")
+    resolved = by_id.withColumn("_tid", F.coalesce("_kid", "_iid"))
+    matched = resolved.where(F.col("_tid").isNotNull())
+    inserts = resolved.where(F.col("_tid").isNull())
+    writable = [c for c in WRITABLE_FIELDS if c in b.columns and c in cols]
+    e = existing.alias("e")
+    upd = matched.alias("m").join(e, F.col("m._tid") == F.col("e.id")).select(
+        *[(F.col(f"m.{c}") if c in writable else F.col(f"e.{c}")).alias(c) for c in cols])
+    keep = existing.join(matched.select(F.col("_tid").alias("id")), "id", "left_anti").select(*cols)
+    ins = inserts.select(*[(F.col(c) if c in b.columns else F.lit(None).cast(existing.schema[c].dataType)).alias(c) for c in cols])
+    return keep.unionByName(upd).unionByName(ins)
+
+
+def skill_dimension(existing: DataFrame, names: DataFrame, name: str = "skill") -> DataFrame:
+    """Get-or-create skills by name; new ids are a hash of the name (stable)."""
+    new = names.select(F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct() \
+        .join(existing.select("name"), "name", "left_anti")
+    created = new.select(F.substring(F.sha2("name", 256), 1, 32).alias("id"), "name", F.lit(None).cast("string").alias("category"))
+    return existing.select("id", "name", "category").unionByName(created)
+
+
+AUDIT_COLUMNS = "batch_id string, status string, sources string, started_at timestamp_ntz, finished_at timestamp_ntz, " \
+                "fetched long, saved long, expired long, error string"
+
+
+def audit_row(spark, batch_id: str, status: str, sources: list[str], started: dt.datetime,
+              finished: dt.datetime | None = None, fetched: int = 0, saved: int = 0, expired: int = 0,
+              error: str | None = None) -> DataFrame:
+    """One audit row (append it; the latest row per batch is its state; sources kept as JSON text)."""
+    import json
+    return spark.createDataFrame([(batch_id, status, json.dumps(sources), started, finished, fetched, saved, expired, error)],
+                                 AUDIT_COLUMNS)
+
+
+def latest_batches(audit: DataFrame, limit: int = 20) -> DataFrame:
+    """Latest state per batch, newest first."""
+    last = audit.groupBy("batch_id").agg(F.max_by(F.struct(*audit.columns), F.coalesce("finished_at", "started_at")).alias("r")).select("r.*")
+    return last.orderBy(F.col("started_at").desc(), F.col("batch_id")).limit(limit)

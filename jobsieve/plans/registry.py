@@ -27,6 +27,8 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so that its queries register themselves."""
     from jobsieve.plans import (  # noqa: F401
+        governance_plans,
+        ranking_plans,
         salary_plans,
         search_plans,
         skill_plans,
