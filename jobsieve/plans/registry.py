@@ -28,6 +28,7 @@ def load_all() -> None:
     """Import every plan module so that its queries register themselves."""
     from jobsieve.plans import (  # noqa: F401
         governance_plans,
+        maintain_plans,
         ranking_plans,
         salary_plans,
         search_plans,
