@@ -33,5 +33,6 @@ def load_all() -> None:
         salary_plans,
         search_plans,
         skill_plans,
+        stats_plans,
         taxonomy_plans,
     )
