@@ -29,6 +29,7 @@ def load_all() -> None:
     from jobsieve.plans import (  # noqa: F401
         governance_plans,
         maintain_plans,
+        model_plans,
         ranking_plans,
         salary_plans,
         search_plans,
