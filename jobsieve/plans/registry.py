@@ -30,6 +30,7 @@ def load_all() -> None:
         governance_plans,
         maintain_plans,
         model_plans,
+        question_plans,
         ranking_plans,
         salary_plans,
         search_plans,
