@@ -35,6 +35,7 @@ def load_all() -> None:
         salary_plans,
         search_plans,
         skill_plans,
+        source_plans,
         stats_plans,
         taxonomy_plans,
     )
