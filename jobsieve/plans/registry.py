@@ -37,5 +37,6 @@ def load_all() -> None:
         skill_plans,
         source_plans,
         stats_plans,
+        stream_plans,
         taxonomy_plans,
     )
