@@ -78,9 +78,20 @@ def explode_matches(df: DataFrame, column: str, alias: str = "c") -> DataFrame:
     return df.select("*", F.explode_outer(column).alias(alias)).drop(column).where(F.col(alias).isNotNull())
 
 
+def _sql_str(v) -> str:
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_array(items: list[str]) -> str:
+    return f"CAST(array({', '.join(items)}) AS ARRAY<STRING>)" if items else "CAST(array() AS ARRAY<STRING>)"
+
+
 class ConceptSet:
-    """A folded concept table embedded in the plan: ``array`` (literal array<struct>, file order)
-    plus the per-term data used to build codegen-friendly match predicates."""
+    """A folded concept table embedded in the plan: the concept structs (literal array, file order)
+    plus a codegen-friendly match predicate, both generated once as SQL text (one parse in the JVM
+    instead of thousands of expression-building calls)."""
 
     def __init__(self, spark: SparkSession, concept_type: str | None = None, concepts: DataFrame | None = None):
         c = concepts if concepts is not None else load_concepts(spark)
@@ -95,49 +106,52 @@ class ConceptSet:
             d["terms"].append((r["term_norm"], list(r["term_tokens"])))
         self.entries = [(o, by[o]["terms"]) for o in sorted(by)]
         self.vocab = sorted({t for _, ts in self.entries for _, tok in ts for t in tok})
-
-        def s(v):
-            return F.lit(v).cast("string")
-
-        self.array = F.array(*[F.struct(
-            F.lit(o).alias("ordinal"), s(by[o]["r"]["concept_type"]).alias("concept_type"),
-            s(by[o]["r"]["preferred_label"]).alias("preferred_label"), s(by[o]["r"]["concept_uri"]).alias("concept_uri"),
-            s(by[o]["r"]["broader_group"]).alias("broader_group"),
-            F.array(*[s(a) for a in by[o]["r"]["aliases"]]).cast("array<string>").alias("aliases"),
-            F.array(*[s(a) for a in by[o]["r"]["all_terms"]]).cast("array<string>").alias("all_terms"),
-        ) for o, _ in self.entries])
+        structs = []
+        for o, _ in self.entries:
+            r = by[o]["r"]
+            structs.append(
+                "named_struct('ordinal', {o}, 'concept_type', {t}, 'preferred_label', {l}, 'concept_uri', {u}, "
+                "'broader_group', {b}, 'aliases', {a}, 'all_terms', {at})".format(
+                    o=o, t=_sql_str(r["concept_type"]), l=_sql_str(r["preferred_label"]), u=_sql_str(r["concept_uri"]),
+                    b=_sql_str(r["broader_group"]), a=_sql_array([_sql_str(x) for x in r["aliases"]]),
+                    at=_sql_array([_sql_str(x) for x in r["all_terms"]])))
+        self.array_sql = f"array({', '.join(structs)})"
+        self.array = F.expr(self.array_sql)
+        self._vocab_sql = _sql_array([_sql_str(v) for v in self.vocab])
+
+    def present_sql(self, tt: str) -> str:
+        return f"array_intersect({tt}, {self._vocab_sql})"
 
     def present(self, tt: Column) -> Column:
         """``tt ∩ vocabulary``: the few text tokens any term can use. Materialise it as its own
-        column (one hash pass per row) before ``hit_positions`` references it many times."""
-        return F.array_intersect(tt, F.array(*[F.lit(v) for v in self.vocab]).cast("array<string>"))
+        column (one hash pass per row) before the match predicate references it many times."""
+        return F.array_intersect(tt, F.expr(self._vocab_sql))
 
-    def hit_positions(self, nt: Column, present: Column) -> Column:
-        """0-based positions (file order) of the concepts matching folded text ``nt``.
-
-        A term hits when its folded form is a substring of ``nt`` or all its tokens are among the
-        text's tokens (tested on ``present``, see :meth:`present`)."""
+    def positions_sql(self, nt: str, pr: str) -> str:
+        """0-based positions (file order) of the concepts matching folded text ``nt``: a term hits
+        when its folded form is a substring of ``nt`` or all its tokens are in ``pr`` (the text's
+        tokens intersected with the vocabulary)."""
         conds = []
         for i, (_, terms) in enumerate(self.entries):
-            c = None
+            alts = []
             for norm, toks in terms:
                 if not norm:
                     continue
-                e = nt.contains(F.lit(norm))
+                e = f"contains({nt}, {_sql_str(norm)})"
                 if toks:
-                    allin = F.array_contains(present, F.lit(toks[0]))
-                    for t in toks[1:]:
-                        allin = allin & F.array_contains(present, F.lit(t))
-                    e = e | allin
-                c = e if c is None else (c | e)
-            if c is not None:
-                conds.append(F.when(c, F.lit(i)))
-        hits = F.array_compact(F.array(*conds)) if conds else F.array().cast("array<int>")
-        return F.when(nt != "", hits).otherwise(F.array().cast("array<int>"))
+                    e = "(" + e + " OR (" + " AND ".join(f"array_contains({pr}, {_sql_str(t)})" for t in toks) + "))"
+                alts.append(e)
+            if alts:
+                conds.append(f"CASE WHEN {' OR '.join(alts)} THEN {i} END")
+        hits = f"array_compact(array({', '.join(conds)}))" if conds else "CAST(array() AS ARRAY<INT>)"
+        return f"CASE WHEN {nt} <> '' THEN {hits} ELSE CAST(array() AS ARRAY<INT>) END"
+
+    def matches_sql(self, nt: str, pr: str) -> str:
+        return f"transform({self.positions_sql(nt, pr)}, i -> element_at({self.array_sql}, i + 1))"
 
-    def matches(self, nt: Column, present: Column) -> Column:
-        """Matching concept structs, file order."""
-        return F.transform(self.hit_positions(nt, present), lambda i: F.element_at(self.array, i + 1))
+    def matches_named(self, nt: str, pr: str) -> Column:
+        """Matching concept structs (file order) for named columns / lambda fields ``nt``, ``pr``."""
+        return F.expr(self.matches_sql(nt, pr))
 
 
 def match_concepts(df: DataFrame, text: Column, concepts: ConceptSet, out: str = "concepts") -> DataFrame:
@@ -145,7 +159,7 @@ def match_concepts(df: DataFrame, text: Column, concepts: ConceptSet, out: str =
     whose every >=3-char token is among the text's tokens."""
     d = df.withColumn("_nt", fold(text))
     d = d.withColumn("_pr", concepts.present(folded_tokens(F.col("_nt"))))
-    return d.withColumn(out, concepts.matches(F.col("_nt"), F.col("_pr"))).drop("_nt", "_pr")
+    return d.withColumn(out, concepts.matches_named("_nt", "_pr")).drop("_nt", "_pr")
 
 
 def _job_text() -> Column:
@@ -161,7 +175,8 @@ def enrich_postings(df: DataFrame, occupations: ConceptSet, skills_lit: ConceptS
     sk = F.transform(F.coalesce(F.col(skills), F.array().cast("array<string>")),
                      lambda s: F.struct(fold(s).alias("nt"), s.alias("s")))
     d = d.withColumn("_sk", F.transform(sk, lambda x: x.withField("pr", skills_lit.present(folded_tokens(x["nt"])))))
-    d = d.withColumn("skill_concepts", F.array_distinct(F.flatten(F.transform("_sk", lambda x: skills_lit.matches(x["nt"], x["pr"])))))
+    d = d.withColumn("skill_concepts", F.expr(
+        f"array_distinct(flatten(transform(_sk, x -> {skills_lit.matches_sql('x.nt', 'x.pr')})))"))
     occ_terms = F.when(F.col("occupation").isNotNull(),
                        F.concat(F.col("occupation.all_terms"), F.array(F.col("occupation.broader_group"))))
     sk_terms = F.flatten(F.transform("skill_concepts", lambda c: F.concat(c["all_terms"], F.array(c["broader_group"]))))
