@@ -175,3 +175,26 @@ def g5_gate_blocked_sources(spark, sf_dir):
     p = postings(spark, sf_dir)
     req = p.select("source").distinct()
     return gv.evaluate_sources(req, legal_basis=None).where(~F.col("allowed")).select("source")
+
+
+@register("s3_s7_parse_text_fields", with_postings(
+    """SELECT id, len(list_filter(list_transform(string_split(array_to_string(required_skills, ' ; ') || ';  ', ';'),
+                                                lambda x: trim(x)), lambda x: x <> '')) AS n_skills,
+              CAST(posted_date AS VARCHAR) AS posted_ts,
+              (lower(trim(o_status)) IN ('1', 'true', 'yes', 'y')) AS flag,
+              nullif(trim(split_part(location, ',', 1)), '') AS city,
+              CASE WHEN contains(location, ',') AND trim(split_part(location, ',', -1)) <> ''
+                   THEN trim(split_part(location, ',', -1)) ELSE 'Germany' END AS country
+       FROM (SELECT *, CASE remote_status WHEN 'remote' THEN 'Yes' WHEN 'onsite' THEN ' n ' ELSE '1' END AS o_status FROM postings)"""))
+def s3_s7_parse_text_fields(spark, sf_dir):
+    from jobsieve.functions.text import decode_skills, infer_city, infer_country, parse_bool, parse_timestamp
+    p = postings(spark, sf_dir)
+    t = p.select("id", "location",
+                 F.concat(F.array_join("required_skills", " ; "), F.lit(";  ")).alias("skills_text"),
+                 F.concat(F.date_format("posted_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("ts_text"),
+                 F.when(F.col("remote_status") == "remote", "Yes").when(F.col("remote_status") == "onsite", " n ")
+                 .otherwise("1").alias("flag_text"))
+    return t.select("id", F.size(decode_skills("skills_text")).alias("n_skills"),
+                    parse_timestamp(F.col("ts_text")).cast("timestamp_ntz").cast("string").alias("posted_ts"),
+                    parse_bool(F.col("flag_text"), False).alias("flag"),
+                    infer_city("location").alias("city"), infer_country("location").alias("country"))

@@ -58,3 +58,21 @@ def test_stream_bronze_available_now(spark, tmp_path):
     b = spark.read.parquet(str(tmp_path / "b")).collect()
     assert [(r["id"], str(r["posted_date"])) for r in b] == [("1", "2026-05-01")]
     assert spark.read.parquet(str(tmp_path / "q")).count() == 1
+
+
+def test_point_in_time_hot_key_matches_brute_force(spark):
+    import random
+    from jobsieve.operators import features as fe
+    rnd = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    feats = [(u, base + dt.timedelta(hours=rnd.randint(0, 24 * 200)), float(i))
+             for i, u in enumerate([1] * 300 + [2] * 20 + [3] * 5)]  # user 1 is a hot key
+    ents = [(i, u, base + dt.timedelta(hours=rnd.randint(0, 24 * 200))) for i, u in enumerate([1] * 100 + [2] * 10 + [4] * 3)]
+    fdf = spark.createDataFrame(feats, "user_id long, ts timestamp_ntz, value double")
+    edf = spark.createDataFrame(ents, "row_id long, user_id long, ts timestamp_ntz")
+    got = {r["row_id"]: r["value"] for r in fe.point_in_time(edf, fdf, "user_id", "ts", ["value"],
+                                                             ttl=dt.timedelta(days=30), bucket=dt.timedelta(days=3)).collect()}
+    for rid, u, t in ents:
+        cands = [(ft, v) for fu, ft, v in feats if fu == u and ft <= t]
+        best = max(cands)[1] if cands and max(cands)[0] >= t - dt.timedelta(days=30) else None
+        assert got[rid] == best, rid
