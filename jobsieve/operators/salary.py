@@ -8,21 +8,41 @@ from pyspark.sql import functions as F
 from jobsieve.functions import salary as S
 
 
+def running_totals(df: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
+    """Running sum of ``weight`` in ``order`` within each key group, without putting a whole group
+    in one task: rows are range-partitioned by (keys, order); each partition computes local running
+    sums; a tiny (partition, group) table supplies every partition's offset. Adds ``_cum`` (running
+    total, inclusive) and ``_n`` (group total)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(parts, *keys, order).withColumn("_pid", F.spark_partition_id())
+    local = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = r.withColumn("_local", F.sum(weight).over(local))
+    tot = r.groupBy("_pid", *keys).agg(F.sum(weight).alias("_t"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    off = tot.select("_pid", *keys, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
+                     F.sum("_t").over(whole).alias("_n"))
+    return r.join(off, ["_pid", *keys]).withColumn("_cum", F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid")
+
+
 def floor_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Per group ``sorted(values)[int((n-1)*f)]`` (no interpolation), exactly.
 
-    Values are first pre-aggregated to (key, value) -> count with map-side combine, so a hot
-    group contributes its *distinct* values, not its rows, to the ordered window that follows."""
+    Values are first pre-aggregated to (key, value) -> count with map-side combine; the running
+    count over the value order is then a distributed running total (``running_totals``), so
+    neither a hot group nor the global case (no keys) is ordered in a single task."""
     vc = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    part = Window.partitionBy(*keys)
-    run = part.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vc = vc.withColumn("_cum", F.sum("_c").over(run)).withColumn("_n", F.sum("_c").over(part))
+    if not keys:
+        vc = vc.withColumn("_all", F.lit(1))
+    gk = keys or ["_all"]
+    vc = running_totals(vc, gk, value, "_c")
     aggs = []
     for name, f in fractions.items():
         k = F.floor((F.col("_n") - 1) * F.lit(f))
         hit = (F.col("_cum") > k) & (F.col("_cum") - F.col("_c") <= k)
         aggs.append(F.max(F.when(hit, F.col(value))).alias(name))
-    return vc.groupBy(*keys).agg(*aggs)
+    out = vc.groupBy(*gk).agg(*aggs)
+    return out.drop("_all") if not keys else out
 
 
 def group_salary_stats(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -47,8 +67,7 @@ def salary_anomalies(df: DataFrame, id_col: str, role: Column, value: Column,
     keep = keep or []
     base = df.select(F.col(id_col).alias("job_id"), role.alias("role"), value.alias("salary_avg"), *keep) \
              .where(F.col("salary_avg").isNotNull())
-    overall = floor_quantiles(base.select(F.lit(1).alias("_g"), "salary_avg"), ["_g"], "salary_avg",
-                              {"oq1": 0.25, "oq3": 0.75})
+    overall = floor_quantiles(base.select("salary_avg"), [], "salary_avg", {"oq1": 0.25, "oq3": 0.75})
     oq1 = overall.select("oq1").scalar()
     oq3 = overall.select("oq3").scalar()
     oiqr = oq3 - oq1

@@ -135,21 +135,30 @@ def ks_statistic(reference: DataFrame, current: DataFrame, value: str) -> DataFr
     """M14 numeric drift: two-sample Kolmogorov-Smirnov statistic and the Wasserstein-1 distance
     normalised by the reference standard deviation (one row).
 
-    Both samples are reduced to per-value counts first (map-side), then one ordered pass over
-    the distinct values builds the two empirical CDFs."""
+    Both samples are reduced to per-value counts first (map-side); the empirical CDFs are
+    distributed running totals over the distinct values (range-partitioned)."""
     r = reference.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     c = current.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
     vc = r.unionByName(c).where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
     na = reference.where(F.col(value).isNotNull()).select(F.count(F.lit(1))).scalar()
     nb = current.where(F.col(value).isNotNull()).select(F.count(F.lit(1))).scalar()
     sd = reference.select(F.stddev_samp(F.col(value).cast("double"))).scalar()
-    # one ordered pass over the distinct values of both samples
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cdf = vc.select("v", (F.sum("ca").over(w) / na).alias("fa"), (F.sum("cb").over(w) / nb).alias("fb"),
-                    F.lead("v").over(Window.orderBy("v")).alias("nv"))
-    return cdf.agg(F.round(F.max(F.abs(F.col("fa") - F.col("fb"))), 6).alias("ks_statistic"),
-                   F.round(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.coalesce(F.col("nv") - F.col("v"), F.lit(0.0))) / sd, 6)
-                   .alias("wasserstein_normed"))
+    from jobsieve.operators.salary import running_totals
+    # distributed running totals of both samples over the value order (no single-task window)
+    one = vc.withColumn("_all", F.lit(1))
+    ra = running_totals(one, ["_all"], "v", "ca").withColumnRenamed("_cum", "cum_a").drop("_n")
+    rb = running_totals(one.select("_all", "v", "cb"), ["_all"], "v", "cb").select("v", F.col("_cum").alias("cum_b"))
+    cdf = ra.join(rb, "v").select("v", (F.col("cum_a") / na).alias("fa"), (F.col("cum_b") / nb).alias("fb"))
+    # Wasserstein-1: sum over consecutive distinct values of |Fa - Fb| * gap; the next value of each
+    # row is the smallest larger value, found per range partition via the same running-total order
+    nxt = cdf.select(F.col("v").alias("nv"))
+    gaps = running_totals(cdf.withColumn("_all", F.lit(1)).withColumn("_one", F.lit(1)), ["_all"], "v", "_one") \
+        .select("v", "fa", "fb", F.col("_cum").alias("rank"))
+    ranks = gaps.select(F.col("rank").alias("prank"), F.col("v").alias("nv"))
+    cdf2 = gaps.join(ranks, F.col("rank") + 1 == F.col("prank"), "left")
+    return cdf2.agg(F.round(F.max(F.abs(F.col("fa") - F.col("fb"))), 6).alias("ks_statistic"),
+                    F.round(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.coalesce(F.col("nv") - F.col("v"), F.lit(0.0))) / sd, 6)
+                    .alias("wasserstein_normed"))
 
 
 def js_distance(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
