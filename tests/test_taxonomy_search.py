@@ -81,3 +81,17 @@ def test_suggestions_first_category_wins(make_postings):
     values = [r["value"].lower() for r in out]
     assert len(values) == len(set(values))
     assert out[0]["category"] == "title" and out[0]["value"] == "Nurse"
+
+
+def test_automaton_path_equals_jvm_path(spark):
+    import random
+    cs = tx.concept_set(spark)
+    words = ["nurse", "pflege", "care", "worker", "cad", "cadet", "sales", "assistant", "excel", "qa", "engineer",
+             "xyz", "lagerarbeit", "koch", "customer", "support", "iso", "9001", "ä", "ü"]
+    rnd = random.Random(11)
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    fast = {r["id"]: [c["ordinal"] for c in r["m"]] for r in tx.match_concepts(df, F.col("t"), cs, "m", long_text=True).collect()}
+    slow = {r["id"]: [c["ordinal"] for c in r["m"]] for r in tx.match_concepts(df, F.col("t"), cs, "m").collect()}
+    assert fast == slow
+    assert sum(len(v) for v in fast.values()) > 100
