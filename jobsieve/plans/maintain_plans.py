@@ -100,7 +100,7 @@ def u6_skill_dimension(spark, sf_dir):
 @register("p12_p13_record_roundtrip", with_postings(
     """SELECT id, CAST(trunc(salary_min) AS BIGINT) AS salary_min, coalesce(nullif(country, ''), 'Germany') AS country,
               CASE WHEN len(required_skills) > 0 THEN '["' || array_to_string(required_skills, '", "') || '"]' END AS skills_text,
-              len(required_skills) AS n_skills
+              CAST(len(required_skills) AS INTEGER) AS n_skills
        FROM postings"""))
 def p12_p13_record_roundtrip(spark, sf_dir):
     n = mt.normalize_record(postings(spark, sf_dir), AS_OF).withColumn("skills_text", skills_json_text())
@@ -190,7 +190,7 @@ def w3_top_skills_latest_month(spark, sf_dir):
 
 @register("w4_trend_history", with_postings(
     """SELECT skill, CAST(month AS VARCHAR) AS month, occurrences, rank FROM (
-         SELECT *, row_number() OVER (PARTITION BY skill ORDER BY month DESC) AS rank FROM _trend) WHERE rank <= 12""",
+         SELECT *, CAST(row_number() OVER (PARTITION BY skill ORDER BY month DESC) AS INTEGER) AS rank FROM _trend) WHERE rank <= 12""",
     _TREND))
 def w4_trend_history(spark, sf_dir):
     h = md.trend_history(_trends(spark, sf_dir))

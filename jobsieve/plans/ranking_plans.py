@@ -104,13 +104,13 @@ def j3b_similar_jobs_with_taxonomy(spark, sf_dir):
 @register("p1_p2_salary_flags", with_postings(
     """SELECT id, CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN (salary_min + salary_max) / 2 END AS salary_midpoint,
               (salary_min IS NOT NULL AND salary_max IS NOT NULL AND NOT coalesce(salary_is_estimated, FALSE)) AS is_listed,
-              CASE WHEN lower(coalesce(experience_level, '')) IN ('entry', 'junior', 'trainee') THEN 0.9
-                   WHEN lower(coalesce(experience_level, '')) IN ('senior', 'lead', 'manager') THEN 1.12 ELSE 1.0 END AS experience_multiplier,
-              CASE WHEN contains(lower(coalesce(location, '')), 'munich') OR contains(lower(coalesce(location, '')), 'frankfurt')
+              CAST(CASE WHEN lower(coalesce(experience_level, '')) IN ('entry', 'junior', 'trainee') THEN 0.9
+                   WHEN lower(coalesce(experience_level, '')) IN ('senior', 'lead', 'manager') THEN 1.12 ELSE 1.0 END AS DOUBLE) AS experience_multiplier,
+              CAST(CASE WHEN contains(lower(coalesce(location, '')), 'munich') OR contains(lower(coalesce(location, '')), 'frankfurt')
                         OR contains(lower(coalesce(location, '')), 'stuttgart') OR contains(lower(coalesce(location, '')), 'hamburg') THEN 1.05
                    WHEN contains(lower(coalesce(location, '')), 'leipzig') OR contains(lower(coalesce(location, '')), 'dresden')
                         OR contains(lower(coalesce(location, '')), 'bremen') OR contains(lower(coalesce(location, '')), 'hannover') THEN 0.95
-                   ELSE 1.0 END AS location_multiplier
+                   ELSE 1.0 END AS DOUBLE) AS location_multiplier
        FROM postings"""))
 def p1_p2_salary_flags(spark, sf_dir):
     from jobsieve.functions import salary as S

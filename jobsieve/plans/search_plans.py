@@ -137,7 +137,7 @@ def _similar_sql(extra_terms: str | None = None) -> str:
                      f"list_distinct(list_transform(c.{extra_terms}, lambda x: lower(x)))))")
     return f"""SELECT target_id, rank, id, title, score FROM (
       SELECT target_id, cand_id AS id, title, score,
-             row_number() OVER (PARTITION BY target_id ORDER BY score DESC, coalesce(title, ''), cand_id) AS rank
+             CAST(row_number() OVER (PARTITION BY target_id ORDER BY score DESC, coalesce(title, ''), cand_id) AS INTEGER) AS rank
       FROM (SELECT t.id AS target_id, c.id AS cand_id, c.title, CAST({' + '.join(parts)} AS BIGINT) AS score
             FROM (SELECT * FROM _cand WHERE id IN ({ids})) t, _cand c WHERE t.id <> c.id)
       WHERE score > 0) WHERE rank <= 5"""

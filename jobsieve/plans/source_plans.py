@@ -29,7 +29,7 @@ def _csv_roundtrip(spark, sf_dir):
 
 
 _RT_SQL = with_postings(
-    """SELECT id, title, city, country, len(required_skills) AS n_skills, CAST(posted_date AS VARCHAR) AS posted_date,
+    """SELECT id, title, city, country, CAST(len(required_skills) AS INTEGER) AS n_skills, CAST(posted_date AS VARCHAR) AS posted_date,
               salary_min, source, coalesce(role_type, '') AS occupation_group, 'yearly' AS salary_period
        FROM postings""")
 
@@ -43,7 +43,7 @@ def s1_s16_csv_roundtrip(spark, sf_dir):
 
 
 @register("s17_json_roundtrip", with_postings(
-    "SELECT id, title, len(required_skills) AS n_skills, salary_max FROM postings"))
+    "SELECT id, title, CAST(len(required_skills) AS INTEGER) AS n_skills, salary_max FROM postings"))
 def s17_json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "json")
     fl.write_json(postings(spark, sf_dir).select("id", "title", "required_skills", "salary_max"), path)
@@ -178,8 +178,8 @@ def g5_gate_blocked_sources(spark, sf_dir):
 
 
 @register("s3_s7_parse_text_fields", with_postings(
-    """SELECT id, len(list_filter(list_transform(string_split(array_to_string(required_skills, ' ; ') || ';  ', ';'),
-                                                lambda x: trim(x)), lambda x: x <> '')) AS n_skills,
+    """SELECT id, CAST(len(list_filter(list_transform(string_split(array_to_string(required_skills, ' ; ') || ';  ', ';'),
+                                                lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n_skills,
               CAST(posted_date AS VARCHAR) AS posted_ts,
               (lower(trim(o_status)) IN ('1', 'true', 'yes', 'y')) AS flag,
               nullif(trim(split_part(location, ',', 1)), '') AS city,

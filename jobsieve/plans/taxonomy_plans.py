@@ -13,14 +13,14 @@ from jobsieve.sources.tables import postings, table
 
 
 @register("p10_fold_documents",
-          f"SELECT doc_id, md5({st.fold('text')}) AS folded_md5, length({st.fold('text')}) AS folded_len FROM documents")
+          f"SELECT doc_id, md5({st.fold('text')}) AS folded_md5, CAST(length({st.fold('text')}) AS INTEGER) AS folded_len FROM documents")
 def p10_fold_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(fold("text")).alias("folded_md5"), F.length(fold("text")).alias("folded_len"))
 
 
 @register("p11_tokens_documents",
-          f"SELECT doc_id, len({st.folded_tokens(st.fold('text'))}) AS n_tokens, "
+          f"SELECT doc_id, CAST(len({st.folded_tokens(st.fold('text'))}) AS INTEGER) AS n_tokens, "
           f"md5(array_to_string({st.folded_tokens(st.fold('text'))}, ' ')) AS tokens_md5 FROM documents")
 def p11_tokens_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("t"))
