@@ -230,8 +230,8 @@ def _job_text() -> Column:
 
 
 def enrich_postings(df: DataFrame, occupations: ConceptSet, skills_lit: ConceptSet, skills: str = "required_skills") -> DataFrame:
-    """Add ``occupation`` (first matching occupation over title, role, group, description),
-    ``skill_concepts`` (per skill, matching skill concepts, deduped, first-seen order) and
+    """Add ``occupation`` (J1a: first matching occupation over title, role, group,
+    description), ``skill_concepts`` (J1b: per skill, matching skill concepts, deduped, first-seen order) and
     ``search_terms`` (labels, aliases, broader groups; sorted distinct)."""
     d = match_concepts(df, _job_text(), occupations, "_occ").withColumn("occupation", F.get(F.col("_occ"), 0)).drop("_occ")
     sk = F.transform(F.coalesce(F.col(skills), F.array().cast("array<string>")),

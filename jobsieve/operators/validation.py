@@ -46,23 +46,23 @@ def rule_columns(df: DataFrame, as_of: dt.datetime) -> list[tuple[str, Column]]:
     """(rule name, failure predicate) for every rule applicable to ``df``'s columns."""
     types = {f.name: f.dataType for f in df.schema.fields}
     rules: list[tuple[str, Column]] = []
-    for c in REQUIRED_COLUMNS:
+    for c in REQUIRED_COLUMNS:  # V2
         rules.append((f"not_null:{c}", F.col(c).isNull()))
-    for c in DOUBLE_COLUMNS:
+    for c in DOUBLE_COLUMNS:  # V3 (numeric coercion)
         if c in types:
             rules.append((f"coerce_float:{c}", F.col(c).isNotNull() & _as_double(c, types[c]).isNull()))
-    for c in TIMESTAMP_COLUMNS:
+    for c in TIMESTAMP_COLUMNS:  # V3 (datetime coercion)
         if c in types and c != "posted_date":
             rules.append((f"coerce_datetime:{c}", F.col(c).isNotNull() & _as_ts(c, types[c]).isNull()))
-    for c in ("salary_min", "salary_max"):
+    for c in ("salary_min", "salary_max"):  # V4
         v = _as_double(c, types[c])
         rules.append((f"greater_than_0:{c}", v.isNotNull() & ~(v > 0)))
-    if "salary_confidence" in types:
+    if "salary_confidence" in types:  # V5
         v = _as_double("salary_confidence", types["salary_confidence"])
         rules.append(("in_range_0_1:salary_confidence", v.isNotNull() & ((v < 0) | (v > 1))))
-    pd_ = _as_ts("posted_date", types["posted_date"])
+    pd_ = _as_ts("posted_date", types["posted_date"])  # V6 against the as-of parameter
     rules.append(("not_in_future:posted_date", F.col("posted_date").isNotNull() & (pd_.isNull() | (pd_ > F.lit(as_of)))))
-    lo, hi = _as_double("salary_min", types["salary_min"]), _as_double("salary_max", types["salary_max"])
+    lo, hi = _as_double("salary_min", types["salary_min"]), _as_double("salary_max", types["salary_max"])  # V7
     rules.append(("salary_bounds_are_valid", lo.isNotNull() & hi.isNotNull() & (hi < lo)))
     return rules
 
