@@ -218,10 +218,13 @@ def committed_versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def write_version(df: DataFrame, root: str) -> int:
-    """Write ``df`` as the next version of the table at ``root``; returns the version."""
+    """Write ``df`` as the next version of the table at ``root``; returns the version.
+
+    The next version folder can only hold leftovers of a failed attempt (no ``_SUCCESS``), so a
+    retried job overwrites it; committed versions are never touched."""
     versions = committed_versions(df.sparkSession, root)
     v = (versions[-1] + 1) if versions else 1
-    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={v:08d}")
+    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/v={v:08d}")
     return v
 
 
