@@ -11,7 +11,7 @@ from jobsieve.operators import search as se
 from jobsieve.operators import similar as si
 from jobsieve.operators import taxonomy as tx
 from jobsieve.operators.maintain import expire
-from jobsieve.plans.oracle_base import with_postings
+from jobsieve.plans.oracle_base import POSTINGS_CTE, with_postings
 from jobsieve.plans.registry import register
 from jobsieve.sources.tables import AS_OF, postings
 
@@ -22,7 +22,48 @@ def _active(spark, sf_dir):
     return se.active(expire(postings(spark, sf_dir), AS_OF))
 
 
-@register("q3_q4_q5_scored_postings", None)
+def _score_sql(query: str) -> str:
+    from jobsieve.plans import sql_text as st
+    from jobsieve.plans.taxonomy_plans import ENRICH_SELECT
+    q = st.q(query)
+    fields = {k: f"lower(coalesce(CAST({k} AS VARCHAR), 'None'))" for k in ("title", "role_type", "occupation_group", "company", "description")}
+    hits = [f"contains({fields['title']}, t)",
+            f"(contains({fields['role_type']}, t) OR contains({fields['occupation_group']}, t))",
+            "contains(lower(array_to_string(required_skills, ' ')), t)",
+            "contains(lower(array_to_string(coalesce(st_list, []), ' ')), t)",
+            f"contains({fields['company']}, t)", f"contains({fields['description']}, t)"]
+    pts = [8, 5, 4, 3, 2, 1]
+    term_score = " + ".join(f"CASE WHEN {h} THEN {p}.0 ELSE 0.0 END" for h, p in zip(hits, pts))
+    chain = " ".join(f"WHEN {h} AND NOT list_contains(acc, '{r}') THEN list_append(acc, '{r}')"
+                     for h, r in zip(hits, rk.REASONS))
+    nq = query.strip().lower().replace("'", "''")
+    return f"""WITH {st.taxonomy_ctes()}, {POSTINGS_CTE.strip()},
+_enr AS ({ENRICH_SELECT}),
+_q AS (SELECT {q} AS q, {st.fold(q)} AS nt),
+_m AS (SELECT DISTINCT _tn.ordinal FROM _q JOIN _tn ON {st.hit('_q.nt', st.folded_tokens('_q.nt'))}),
+_all AS (
+  SELECT unnest(string_split_regex(lower({st.strip('q')}), '\\s+')) AS t FROM _q
+  UNION ALL SELECT q FROM _q
+  UNION ALL SELECT unnest({st.folded_tokens('nt')}) FROM _q
+  UNION ALL SELECT unnest(c.all_terms) FROM _m JOIN _concepts c USING (ordinal)
+  UNION ALL SELECT c.broader_group FROM _m JOIN _concepts c USING (ordinal)),
+_qterms AS (SELECT list_sort(list_distinct(list(lower({st.strip('t')})) FILTER (WHERE t IS NOT NULL AND lower({st.strip('t')}) <> ''))) AS terms FROM _all),
+_s AS (
+  SELECT p.id, p.title,
+         list_reduce(terms, lambda acc, t: acc + ({term_score}), 0.0) AS score,
+         list_reduce(terms, lambda acc, t: CASE WHEN ({term_score}) > 0 THEN (CASE {chain} ELSE acc END) ELSE acc END,
+                     CAST([] AS VARCHAR[])) AS reasons
+  FROM postings p JOIN _enr e ON p.id = e.id, _qterms)
+SELECT id,
+       round(CAST(CASE WHEN contains(lower(coalesce(title, 'None')), '{nq}') THEN score + 20 ELSE score END AS DOUBLE), 2)
+         AS relevance_score,
+       array_to_string(CASE WHEN contains(lower(coalesce(title, 'None')), '{nq}')
+                            THEN list_prepend('title match', list_filter(reasons, lambda r: r <> 'title match'))
+                            ELSE reasons END, '|') AS match_reasons
+FROM _s"""
+
+
+@register("q3_q4_q5_scored_postings", _score_sql(QUERY))
 def q3_q4_q5_scored_postings(spark, sf_dir):
     p = postings(spark, sf_dir)
     e = tx.enrich_postings(p, tx.concept_set(spark, "occupation"), tx.concept_set(spark, "skill"))

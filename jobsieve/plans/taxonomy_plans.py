@@ -79,10 +79,9 @@ def _job_text_sql():
     return "concat_ws(' ', coalesce(title, ''), coalesce(role_type, ''), coalesce(occupation_group, ''), coalesce(description, ''))"
 
 
-@register("j1c_posting_enrichment", with_postings(f"""
-SELECT p.id, o.occupation, coalesce(array_to_string(list_sort(list_distinct(list_filter(
-         list_concat(coalesce(o.occ_terms, []), coalesce(s.sk_terms, [])), lambda t: t IS NOT NULL AND t <> ''))), '|'), '')
-       AS search_terms
+ENRICH_SELECT = f"""
+SELECT p.id, o.occupation, list_sort(list_distinct(list_filter(
+         list_concat(coalesce(o.occ_terms, []), coalesce(s.sk_terms, [])), lambda t: t IS NOT NULL AND t <> ''))) AS st_list
 FROM postings p
 LEFT JOIN (
   SELECT id, arg_min(preferred_label, ordinal) AS occupation,
@@ -98,7 +97,12 @@ LEFT JOIN (
         FROM (SELECT id, {st.fold('s')} AS nt FROM (SELECT id, unnest(required_skills) AS s FROM postings)) p
         JOIN _tn ON _tn.concept_type = 'skill' AND {st.hit('p.nt', st.folded_tokens('p.nt'))}
         JOIN _concepts c ON c.ordinal = _tn.ordinal)
-  GROUP BY id) s ON s.id = p.id""", st.taxonomy_ctes()))
+  GROUP BY id) s ON s.id = p.id"""
+
+
+@register("j1c_posting_enrichment", with_postings(
+    "SELECT id, occupation, coalesce(array_to_string(st_list, '|'), '') AS search_terms FROM _enr",
+    st.taxonomy_ctes() + ", _enr AS (" + ENRICH_SELECT + ")"))
 def j1c_posting_enrichment(spark, sf_dir):
     p = postings(spark, sf_dir)
     e = tx.enrich_postings(p, tx.concept_set(spark, "occupation"), tx.concept_set(spark, "skill"))
