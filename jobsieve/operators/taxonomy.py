@@ -107,14 +107,26 @@ def concept_terms(concepts: DataFrame) -> DataFrame:
         "*", fold("term").alias("term_norm"), tokens("term").alias("term_tokens"))
 
 
+def collect_terms(concepts: DataFrame) -> list:
+    """The folded (concept, term) rows in file order, size-checked before they reach the driver."""
+    rows = concept_terms(concepts).orderBy("ordinal", "term_pos").limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS:
+        raise ValueError("taxonomy too large to embed; match with a join instead")
+    return rows
+
+
 _CACHE: dict = {}
+_SEED_ROWS: dict = {}
 
 
 def concept_set(spark: SparkSession, concept_type: str | None = None) -> "ConceptSet":
-    """The seed taxonomy's :class:`ConceptSet`, built once per session and type."""
+    """The seed taxonomy's :class:`ConceptSet`, built once per session and type; the seed is
+    folded by one Spark job per session and each type is a subset of those rows."""
     key = (id(spark), concept_type)
     if key not in _CACHE:
-        _CACHE[key] = ConceptSet(spark, concept_type)
+        if id(spark) not in _SEED_ROWS:
+            _SEED_ROWS[id(spark)] = collect_terms(load_concepts(spark))
+        _CACHE[key] = ConceptSet(spark, concept_type, rows=_SEED_ROWS[id(spark)])
     return _CACHE[key]
 
 
@@ -142,13 +154,13 @@ class ConceptSet:
     plus a codegen-friendly match predicate, both generated once as SQL text (one parse in the JVM
     instead of thousands of expression-building calls)."""
 
-    def __init__(self, spark: SparkSession, concept_type: str | None = None, concepts: DataFrame | None = None):
-        c = concepts if concepts is not None else load_concepts(spark)
-        if concept_type:
-            c = c.where(F.col("concept_type") == concept_type)
-        rows = concept_terms(c).orderBy("ordinal", "term_pos").limit(MAX_TERMS + 1).collect()
-        if len(rows) > MAX_TERMS:
-            raise ValueError("taxonomy too large to embed; match with a join instead")
+    def __init__(self, spark: SparkSession, concept_type: str | None = None, concepts: DataFrame | None = None,
+                 rows: list | None = None):
+        if rows is None:
+            c = concepts if concepts is not None else load_concepts(spark)
+            rows = collect_terms(c.where(F.col("concept_type") == concept_type) if concept_type else c)
+        elif concept_type:
+            rows = [r for r in rows if r["concept_type"] == concept_type]
         by: dict[int, dict] = {}
         for r in rows:
             d = by.setdefault(r["ordinal"], {"r": r, "terms": []})
