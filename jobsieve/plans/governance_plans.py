@@ -73,7 +73,17 @@ def g3_governance_report(spark, sf_dir):
                     "can_store_listings", "approved_for_current_stage")
 
 
-@register("g4_registry_blocked", None)
+def _registry_ids() -> str:
+    rows = ", ".join("({}, {}, {}, {})".format(*[("NULL" if v is None else "'" + str(v).replace("'", "''") + "'")
+                                                   for v in (e["source_id"], e.get("approval_status"), e.get("required_action"))],
+                                                 "TRUE" if e["allowed"] else "FALSE")
+                     for e in _json.loads(REGISTRY_JSON))
+    return f"(SELECT * FROM (VALUES {rows}) v(source_id, approval_status, required_action, allowed))"
+
+
+@register("g4_registry_blocked", with_postings(f"""
+SELECT source_id, approval_status, required_action FROM {_registry_ids()} r
+WHERE NOT allowed AND lower(source_id) IN (SELECT lower(source) FROM postings WHERE source IS NOT NULL)"""))
 def g4_registry_blocked(spark, sf_dir):
     # registry entries that are blocked, restricted to the sources the posting table actually uses
     used = postings(spark, sf_dir).select(F.lower("source").alias("key")).distinct()

@@ -71,7 +71,12 @@ def _split(spark, sf_dir):
     return f.where(~holdout), f.where(holdout)
 
 
-@register("m1_feature_frame", None)
+@register("m1_feature_frame", """
+SELECT d.doc_id, 0 AS skill_count, CAST(d.n_chars AS DOUBLE) AS salary_avg,
+       CASE WHEN d.n_chars IS NULL THEN 1 ELSE 0 END AS salary_was_missing,
+       coalesce(d.source, 'unknown') AS source, 'unknown' AS remote_status, coalesce(d.lang, 'unknown') AS location,
+       CAST(length(trim(coalesce(d.text, ''))) AS INTEGER) AS text_len, CAST(l.quality AS VARCHAR) AS role_type
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def m1_feature_frame(spark, sf_dir):
     f = ml.feature_frame(_frame(spark, sf_dir))
     return f.select("doc_id", "skill_count", "salary_avg", "salary_was_missing", "source", "remote_status", "location",

@@ -99,16 +99,29 @@ def q7_suggestions(spark, sf_dir):
     return rk.suggestions(_active(spark, sf_dir), "ring", limit=8)
 
 
-@register("p6_apply_urls", with_postings(
-    """SELECT id, coalesce(CASE WHEN application_url <> '' THEN application_url END, CASE WHEN url <> '' THEN url END,
+_APPLY_URL_SQL = """coalesce(CASE WHEN application_url <> '' THEN application_url END, CASE WHEN url <> '' THEN url END,
          'https://www.arbeitsagentur.de/jobsuche/suche?was=' || replace(url_encode(coalesce(title, '')), '%20', '+')
-         || '&wo=' || replace(url_encode(replace(coalesce(location, 'Germany'), ', Germany', '')), '%20', '+')) AS apply_url
-       FROM postings"""))
+         || '&wo=' || replace(url_encode(replace(coalesce(location, 'Germany'), ', Germany', '')), '%20', '+'))"""
+
+
+@register("p6_apply_urls", with_postings(
+    f"SELECT id, {_APPLY_URL_SQL} AS apply_url FROM postings"))
 def p6_apply_urls(spark, sf_dir):
     return postings(spark, sf_dir).select("id", se.apply_url().alias("apply_url"))
 
 
-@register("p7_apply_handoff", None)
+def _p7_sql() -> str:
+    from jobsieve.plans.governance_plans import _DECISION, _registry_cte
+    return with_postings(f"""
+SELECT id AS job_id, title, company, location, {_APPLY_URL_SQL} AS apply_url,
+       coalesce(CASE WHEN application_url <> '' THEN application_url END, {_APPLY_URL_SQL}) AS application_url,
+       'external_redirect' AS apply_method, source, allowed AS source_allowed, source_legal_basis FROM (
+  SELECT {_DECISION}
+  FROM (SELECT *, lower(trim(coalesce(source, ''))) AS sk, lower(trim(coalesce(source_legal_basis, ''))) AS lb FROM postings) s
+  LEFT JOIN _reg ON s.sk = _reg.rk)""", _registry_cte())
+
+
+@register("p7_apply_handoff", _p7_sql())
 def p7_apply_handoff(spark, sf_dir):
     p = gv.evaluate_sources(postings(spark, sf_dir))
     u = se.apply_url()

@@ -63,7 +63,12 @@ def s8_keyword_fetch(spark, sf_dir):
     return fl.keyword_filter(postings(spark, sf_dir), ["gizmo", "anvil"], location="NATION_4").select("id")
 
 
-@register("s10_per_keyword_fetch", None)
+@register("s10_per_keyword_fetch", with_postings("""
+SELECT id, title FROM (
+  SELECT p.id, p.title, k.pos, row_number() OVER (PARTITION BY k.pos ORDER BY p.id) AS rn
+  FROM postings p JOIN (VALUES (0, 'gizmo'), (1, 'anvil')) k(pos, kw)
+    ON contains(lower(concat_ws(' ', p.title, p.company, p.location, p.description)), k.kw))
+WHERE rn <= 200 ORDER BY pos, id LIMIT 200"""))
 def s10_per_keyword_fetch(spark, sf_dir):
     return fl.per_keyword_fetch(postings(spark, sf_dir), ["gizmo", "anvil"], limit=200).select("id", "title")
 
