@@ -130,7 +130,16 @@ def q1_query_expansion_benchmark(spark, sf_dir):
     return e.select("item_id", F.array_join("expanded_terms", "|").alias("expanded_terms"))
 
 
-@register("q2_normalize_query_conversations", None)
+@register("q2_normalize_query_conversations", f"""
+WITH {st.taxonomy_ctes()},
+_q AS (SELECT conv_id, turn, {st.fold('text')} AS nt FROM conversations WHERE role = 'user'),
+_m AS (SELECT DISTINCT _q.conv_id, _q.turn, _tn.ordinal, _tn.concept_type, _tn.preferred_label
+       FROM _q JOIN _tn ON {st.hit('_q.nt', st.folded_tokens('_q.nt'))})
+SELECT _q.conv_id, _q.turn,
+       coalesce(string_agg(m.preferred_label, '|' ORDER BY m.ordinal) FILTER (WHERE m.concept_type = 'occupation'), '') AS occupations,
+       coalesce(string_agg(m.preferred_label, '|' ORDER BY m.ordinal) FILTER (WHERE m.concept_type = 'skill'), '') AS skills
+FROM _q LEFT JOIN _m m ON m.conv_id = _q.conv_id AND m.turn = _q.turn
+GROUP BY _q.conv_id, _q.turn""")
 def q2_normalize_query_conversations(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     n = tx.normalize_query(c, "text", tx.concept_set(spark, "occupation"), tx.concept_set(spark, "skill"))
