@@ -22,6 +22,11 @@ def _active(spark, sf_dir):
     return se.active(expire(postings(spark, sf_dir), AS_OF))
 
 
+_APPLY_URL_SQL = """coalesce(CASE WHEN application_url <> '' THEN application_url END, CASE WHEN url <> '' THEN url END,
+         'https://www.arbeitsagentur.de/jobsuche/suche?was=' || replace(url_encode(coalesce(title, '')), '%20', '+')
+         || '&wo=' || replace(url_encode(replace(coalesce(location, 'Germany'), ', Germany', '')), '%20', '+'))"""
+
+
 def _score_sql(query: str) -> str:
     from jobsieve.plans import sql_text as st
     from jobsieve.plans.taxonomy_plans import ENRICH_SELECT
@@ -72,7 +77,19 @@ def q3_q4_q5_scored_postings(spark, sf_dir):
     return s.select("id", "relevance_score", F.array_join("match_reasons", "|").alias("match_reasons"))
 
 
-@register("q6_ranked_search_page", None)
+def _q6_sql() -> str:
+    from jobsieve.plans.salary_plans import _estimate_sql
+    from jobsieve.plans.search_plans import _SWEPT
+    return with_postings(f"""
+SELECT a.id, a.title, s.relevance_score, s.match_reasons, e.salary_midpoint, e.salary_label, e.salary_type,
+       {_APPLY_URL_SQL} AS apply_url
+FROM _act a JOIN ({_estimate_sql("_act")}) e ON a.id = e.id JOIN ({_score_sql(QUERY)}) s ON a.id = s.id
+WHERE s.relevance_score <> 0
+ORDER BY s.relevance_score DESC, coalesce(CAST(a.posted_date AS VARCHAR), '') DESC, coalesce(a.title, '') DESC, a.id DESC
+LIMIT 25""", _SWEPT + ", _act AS (SELECT * FROM _swept WHERE NOT is_expired)")
+
+
+@register("q6_ranked_search_page", _q6_sql())
 def q6_ranked_search_page(spark, sf_dir):
     act = _active(spark, sf_dir)
     ranked = rk.ranked_search(act, QUERY, work_mode="any", sort="relevance", reference=act)
@@ -99,9 +116,7 @@ def q7_suggestions(spark, sf_dir):
     return rk.suggestions(_active(spark, sf_dir), "ring", limit=8)
 
 
-_APPLY_URL_SQL = """coalesce(CASE WHEN application_url <> '' THEN application_url END, CASE WHEN url <> '' THEN url END,
-         'https://www.arbeitsagentur.de/jobsuche/suche?was=' || replace(url_encode(coalesce(title, '')), '%20', '+')
-         || '&wo=' || replace(url_encode(replace(coalesce(location, 'Germany'), ', Germany', '')), '%20', '+'))"""
+
 
 
 @register("p6_apply_urls", with_postings(

@@ -99,13 +99,14 @@ def _k(c):
     return f"lower(coalesce({c}, ''))"
 
 
-def _estimate_sql() -> str:
+def _estimate_sql(src: str = "postings") -> str:
+    """J2 over relation ``src`` (its listed rows are the peers)."""
     rungs = []
     for i, (_, _, cols) in enumerate(sal.RUNGS):
         keys = ", ".join(f"{_k(c)} AS k_{c}" for c in cols)
         gb = ", ".join(_k(c) for c in cols)
         rungs.append(
-            f"_r{i} AS (SELECT {keys}, sum(salary_min) AS s_lo, sum(salary_max) AS s_hi, count(*) AS n FROM postings "
+            f"_r{i} AS (SELECT {keys}, sum(salary_min) AS s_lo, sum(salary_max) AS s_hi, count(*) AS n FROM {src} "
             f"WHERE salary_min IS NOT NULL AND salary_max IS NOT NULL AND NOT coalesce(salary_is_estimated, FALSE) "
             f"GROUP BY {gb})")
     joins = "\n".join(
@@ -129,7 +130,7 @@ def _estimate_sql() -> str:
          {hi} * CASE WHEN {basis} IN ('role type', 'occupation group') THEN CAST({expm} AS DOUBLE) * CAST({locm} AS DOUBLE) ELSE 1.0 END AS ehi,
          {basis} AS basis, CAST({conf0} AS DOUBLE) AS conf0,
          (p.salary_min IS NOT NULL AND p.salary_max IS NOT NULL) AS has_mid
-  FROM postings p
+  FROM {src} p
   {joins}
 ), _f AS (
   SELECT *, (NOT has_mid AND en IS NOT NULL) AS estimable FROM _e
