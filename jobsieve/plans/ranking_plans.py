@@ -77,16 +77,24 @@ def q3_q4_q5_scored_postings(spark, sf_dir):
     return s.select("id", "relevance_score", F.array_join("match_reasons", "|").alias("match_reasons"))
 
 
-def _q6_sql() -> str:
+def _ranked_ctes() -> str:
+    """``_ranked``: every active posting matching QUERY with its score, reasons and salary block
+    (peers = the active table), as in ``ranked_search(active, QUERY, reference=active)``."""
     from jobsieve.plans.salary_plans import _estimate_sql
     from jobsieve.plans.search_plans import _SWEPT
+    return _SWEPT + f""", _act AS (SELECT * FROM _swept WHERE NOT is_expired),
+_ranked AS (
+  SELECT a.*, s.relevance_score, s.match_reasons, e.salary_midpoint, e.salary_label, e.salary_type,
+         {_APPLY_URL_SQL} AS apply_url
+  FROM _act a JOIN ({_estimate_sql("_act")}) e ON a.id = e.id JOIN ({_score_sql(QUERY)}) s ON a.id = s.id
+  WHERE s.relevance_score <> 0)"""
+
+
+def _q6_sql() -> str:
     return with_postings(f"""
-SELECT a.id, a.title, s.relevance_score, s.match_reasons, e.salary_midpoint, e.salary_label, e.salary_type,
-       {_APPLY_URL_SQL} AS apply_url
-FROM _act a JOIN ({_estimate_sql("_act")}) e ON a.id = e.id JOIN ({_score_sql(QUERY)}) s ON a.id = s.id
-WHERE s.relevance_score <> 0
-ORDER BY s.relevance_score DESC, coalesce(CAST(a.posted_date AS VARCHAR), '') DESC, coalesce(a.title, '') DESC, a.id DESC
-LIMIT 25""", _SWEPT + ", _act AS (SELECT * FROM _swept WHERE NOT is_expired)")
+SELECT id, title, relevance_score, match_reasons, salary_midpoint, salary_label, salary_type, apply_url FROM _ranked
+ORDER BY relevance_score DESC, coalesce(CAST(posted_date AS VARCHAR), '') DESC, coalesce(title, '') DESC, id DESC
+LIMIT 25""", _ranked_ctes())
 
 
 @register("q6_ranked_search_page", _q6_sql())
@@ -98,14 +106,27 @@ def q6_ranked_search_page(spark, sf_dir):
                        "salary_midpoint", "salary_label", "salary_type", "apply_url")
 
 
-@register("a12_search_summary", None)
+@register("a12_search_summary", with_postings("""
+SELECT round(avg(salary_midpoint), 2) AS average_salary, count(salary_midpoint) AS salary_sample_size,
+       count(*) FILTER (WHERE salary_type = 'listed') AS listed_salary_sample_size,
+       count(*) FILTER (WHERE salary_type = 'estimated') AS estimated_salary_sample_size,
+       count(*) FILTER (WHERE apply_url IS NOT NULL AND apply_url <> '') AS apply_links_available, count(*) AS total
+FROM _ranked""", _ranked_ctes()))
 def a12_search_summary(spark, sf_dir):
     act = _active(spark, sf_dir)
     ranked = rk.ranked_search(act, QUERY, reference=act)
     return se.result_summary(ranked)
 
 
-@register("a12_search_top_facets", None)
+@register("a12_search_top_facets", with_postings("""
+SELECT facet, value, count, rank FROM (
+  SELECT facet, value, count, CAST(row_number() OVER (PARTITION BY facet ORDER BY count DESC, value) AS INTEGER) AS rank FROM (
+    SELECT facet, value, count(*) AS count FROM (
+      SELECT 'top_companies' AS facet, CAST(company AS VARCHAR) AS value FROM _ranked
+      UNION ALL SELECT 'top_locations', CAST(location AS VARCHAR) FROM _ranked
+      UNION ALL SELECT 'role_types', CAST(role_type AS VARCHAR) FROM _ranked)
+    WHERE value IS NOT NULL AND value <> '' GROUP BY facet, value))
+WHERE rank <= 5""", _ranked_ctes()))
 def a12_search_top_facets(spark, sf_dir):
     act = _active(spark, sf_dir)
     return se.result_top_facets(rk.ranked_search(act, QUERY, reference=act))
