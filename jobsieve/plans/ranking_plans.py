@@ -184,7 +184,16 @@ def p9_job_detail(spark, sf_dir):
         "apply_url")
 
 
-@register("j3b_similar_jobs_with_taxonomy", None)
+def _j3b_sql() -> str:
+    from jobsieve.plans import sql_text as st
+    from jobsieve.plans.search_plans import _similar_sql
+    from jobsieve.plans.taxonomy_plans import ENRICH_SELECT
+    return f"""WITH {st.taxonomy_ctes()}, {POSTINGS_CTE.strip()},
+_cand AS (SELECT p.*, coalesce(e.st_list, []) AS st_list FROM postings p JOIN ({ENRICH_SELECT}) e ON p.id = e.id)
+{_similar_sql("st_list")}"""
+
+
+@register("j3b_similar_jobs_with_taxonomy", _j3b_sql())
 def j3b_similar_jobs_with_taxonomy(spark, sf_dir):
     p = postings(spark, sf_dir)
     e = tx.enrich_postings(p, tx.concept_set(spark, "occupation"), tx.concept_set(spark, "skill"))
