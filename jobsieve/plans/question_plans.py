@@ -62,7 +62,34 @@ def n3_answers(spark, sf_dir):
     return a.select("conv_id", "turn", "intent", "answer")
 
 
-@register("j11_n5_salary_explanations", None)
+def _j11_sql() -> str:
+    from jobsieve.plans import salary_plans  # noqa: F401  (registers the J6 and A19 oracle SQL used below)
+    from jobsieve.plans.oracle_base import with_postings
+    from jobsieve.plans.registry import ORACLE
+
+    def money(c):
+        return f"'$' || printf('%,d', CAST(round_even({c}, 0) AS BIGINT))"
+    title, company = "coalesce(p.title, 'this role')", "coalesce(p.company, 'the company')"
+    pct = "c.percent_difference_from_median"
+    comparison = (f"CASE WHEN c.dataset_median_salary IS NOT NULL AND {pct} IS NOT NULL THEN ' Its midpoint salary is ' || "
+                  f"{money('c.target_salary')} || ', which is ' || printf('%.1f', round_even(abs({pct}), 1)) || '% ' || "
+                  f"CASE WHEN {pct} >= 0 THEN 'above' ELSE 'below' END || ' the dataset median of ' || "
+                  f"{money('c.dataset_median_salary')} || '.' ELSE '' END")
+    return with_postings(f"""
+SELECT p.id AS job_id, a.job_id IS NOT NULL AS is_flagged,
+       CASE WHEN c.target_salary IS NULL THEN 'I cannot explain a salary anomaly for ' || {title} || ' at ' || {company}
+                 || ' because the posting does not include both salary bounds.'
+            WHEN a.job_id IS NULL THEN {title} || ' at ' || {company}
+                 || ' was not flagged as a salary anomaly by the current detector.' || {comparison}
+            ELSE 'The salary for ' || {title} || ' at ' || {company} || ' was flagged because it matched the detector reason(s): '
+                 || replace(a.reasons, ',', ', ') || '.' || {comparison}
+                 || ' The expected interquartile range for the relevant comparison group is roughly '
+                 || {money('a.expected_min')} || ' to ' || {money('a.expected_max')} || '.' END AS answer
+FROM postings p LEFT JOIN ({ORACLE["j6_anomalies_postings"]}) a ON p.id = a.job_id
+LEFT JOIN ({ORACLE["a19_salary_context"]}) c ON p.id = c.job_id""")
+
+
+@register("j11_n5_salary_explanations", _j11_sql())
 def j11_n5_salary_explanations(spark, sf_dir):
     p = postings(spark, sf_dir)
     an = sal.salary_anomalies(p, "id", F.coalesce("title", F.lit("Unknown Role")), midpoint())
