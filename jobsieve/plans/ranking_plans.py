@@ -132,7 +132,46 @@ def a12_search_top_facets(spark, sf_dir):
     return se.result_top_facets(rk.ranked_search(act, QUERY, reference=act))
 
 
-@register("q7_suggestions", None)
+def _q7_sql(query: str, limit: int) -> str:
+    from jobsieve.plans import sql_text as st
+    from jobsieve.plans.search_plans import _SWEPT
+    nq = query.strip().lower().replace("'", "''")
+
+    def case(mapping):
+        return "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in mapping.items()) + " END"
+    corder = case({c: i for i, c in enumerate(rk.CATEGORY_ORDER)})
+    prio = case(rk.SUGGESTION_PRIORITY)
+    label = case({k: f"'{v}'" for k, v in rk.SUGGESTION_LABELS.items()})
+    return f"""WITH {st.taxonomy_ctes()}, {POSTINGS_CTE.strip()}, {_SWEPT}, _act AS (SELECT * FROM _swept WHERE NOT is_expired),
+_q AS (SELECT {st.fold(st.q(query))} AS nt),
+_qm AS (SELECT DISTINCT _tn.ordinal FROM _q JOIN _tn ON {st.hit('_q.nt', st.folded_tokens('_q.nt'))}),
+_qc AS (SELECT c.* FROM _qm JOIN _concepts c USING (ordinal)),
+_f AS (
+  SELECT 'title' AS category, CAST(title AS VARCHAR) AS value FROM _act
+  UNION ALL SELECT 'company', CAST(company AS VARCHAR) FROM _act
+  UNION ALL SELECT 'location', CAST(coalesce(CASE WHEN city <> '' THEN city END, location) AS VARCHAR) FROM _act
+  UNION ALL SELECT 'occupation', CAST(occupation_group AS VARCHAR) FROM _act
+  UNION ALL SELECT 'role_type', CAST(role_type AS VARCHAR) FROM _act),
+_c AS (
+  SELECT category, value, count(*) AS count FROM (
+    SELECT * FROM _f WHERE value IS NOT NULL AND value <> '' AND contains(lower(value), '{nq}')
+    UNION ALL SELECT 'skill', s FROM (SELECT unnest(required_skills) AS s FROM _act) WHERE s IS NOT NULL AND contains(lower(s), '{nq}'))
+  GROUP BY category, value),
+_b AS (
+  SELECT 'title' AS category, preferred_label AS value, 3 AS count FROM _qc WHERE concept_type = 'occupation'
+  UNION ALL SELECT 'occupation', a, 1 FROM (SELECT unnest(all_terms[2:]) AS a FROM _qc WHERE concept_type = 'occupation')
+            WHERE contains(lower(a), '{nq}')
+  UNION ALL SELECT 'skill', preferred_label, 2 FROM _qc WHERE concept_type = 'skill'),
+_all AS (SELECT category, value, CAST(sum(count) AS BIGINT) AS count FROM (SELECT * FROM _c UNION ALL SELECT * FROM _b)
+         GROUP BY category, value),
+_first AS (SELECT *, row_number() OVER (PARTITION BY lower(value) ORDER BY {corder}, value) AS rn FROM _all)
+SELECT value, value || ' · ' || {label} AS label, category, count FROM _first WHERE rn = 1
+ORDER BY CASE WHEN lower(value) = '{nq}' THEN 0 WHEN starts_with(lower(value), '{nq}') THEN 1 ELSE 2 END, {prio},
+         count DESC, lower(value), value
+LIMIT {limit}"""
+
+
+@register("q7_suggestions", _q7_sql("ring", 8))
 def q7_suggestions(spark, sf_dir):
     return rk.suggestions(_active(spark, sf_dir), "ring", limit=8)
 
