@@ -86,7 +86,31 @@ def a6_skill_totals(spark, sf_dir):
     return sk.totals(postings(spark, sf_dir))
 
 
-@register("a7_skill_report", None)
+def _a7_sql() -> str:
+    def lit(v):
+        return "'" + v.replace("'", "''") + "'"
+    rule, dash = "=" * 60, "-" * 60
+    head = [rule, "SKILL DEMAND ANALYSIS REPORT", rule, "", "SUMMARY", dash, None, None,
+            f"Report Generated: {AS_OF.isoformat()}", "", "TOP 10 SKILLS BY DEMAND", dash]
+    head_sql = " UNION ALL ".join(
+        f"SELECT {i + 1} AS line_no, " + (lit(v) if v is not None else
+                                          ("printf('Total Jobs Analyzed: %d', total_jobs)" if i == 6 else
+                                           "printf('Unique Skills Found: %d', unique_skills)")) + " AS line FROM _tot"
+        for i, v in enumerate(head))
+    return with_postings(f"""
+SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
+  {head_sql}
+  UNION ALL
+  SELECT r + 12, printf('%2d. %-30s | Demand: %4d (%5.1f%%)', r, skill, demand, round_even(demand_percentage, 1))
+         || CASE WHEN average_salary IS NOT NULL AND average_salary <> 0
+                 THEN ' | Avg Salary: $' || printf('%,d', CAST(round_even(average_salary, 0) AS BIGINT)) ELSE '' END
+  FROM (SELECT *, row_number() OVER (ORDER BY demand DESC, skill) AS r FROM _top))""",
+        _STATS + "," + _TOP.format(n=10) + """,
+_tot AS (SELECT (SELECT count(*) FROM postings) AS total_jobs,
+                (SELECT count(DISTINCT s) FROM (SELECT unnest(required_skills) AS s FROM postings)) AS unique_skills)""")
+
+
+@register("a7_skill_report", _a7_sql())
 def a7_skill_report(spark, sf_dir):
     return sk.skill_report_lines(postings(spark, sf_dir), as_of=AS_OF.isoformat())
 
