@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobsieve.functions import keep_where
 from jobsieve.functions import salary as S
 
 
@@ -68,23 +69,23 @@ def salary_anomalies(df: DataFrame, id_col: str, role: Column, value: Column,
     base = df.select(F.col(id_col).alias("job_id"), role.alias("role"), value.alias("salary_avg"), *keep) \
              .where(F.col("salary_avg").isNotNull())
     overall = floor_quantiles(base.select("salary_avg"), [], "salary_avg", {"oq1": 0.25, "oq3": 0.75})
-    oq1 = overall.select("oq1").scalar()
-    oq3 = overall.select("oq3").scalar()
-    oiqr = oq3 - oq1
+    oiqr = F.col("oq3") - F.col("oq1")
     opad = F.when(oiqr != 0, oiqr * 1.5).otherwise(F.lit(default_iqr_pad))
+    # the overall fence is ONE scalar subquery (a struct) attached once as a column: referencing
+    # separate oq1/oq3 subqueries in every comparison re-ran the global quantile plan per reference
+    fence = overall.select(F.struct((F.col("oq1") - opad).alias("lo"), (F.col("oq3") + opad).alias("hi"))).scalar()
     roles = group_salary_stats(base, "role", "salary_avg").select("role", "count", "q1", "q3")
-    j = base.join(roles, "role")
+    j = base.join(roles, "role").withColumn("_fence", fence)
     riqr = F.col("q3") - F.col("q1")
     rpad = F.when(riqr != 0, riqr * 1.5).otherwise(F.lit(0.0))
     v = F.col("salary_avg")
-    over = (v > oq3 + opad) | (v < oq1 - opad)
+    over = (v > F.col("_fence.hi")) | (v < F.col("_fence.lo"))
     rout = (F.col("count") >= 4) & ((v > F.col("q3") + rpad) | (v < F.col("q1") - rpad))
     reasons = F.array_compact(F.array(F.when(over, F.lit("overall_outlier")), F.when(rout, F.lit("role_outlier"))))
-    return (
-        j.select("job_id", F.col("role").alias("title"), *keep, "salary_avg",
-                 F.col("q1").alias("expected_min"), F.col("q3").alias("expected_max"), reasons.alias("reasons"))
-        .where(F.size("reasons") > 0)
-    )
+    out = j.select("job_id", F.col("role").alias("title"), *keep, "salary_avg",
+                   F.col("q1").alias("expected_min"), F.col("q3").alias("expected_max"), reasons.alias("reasons"))
+    # filter above the projection: a pushed-down filter would carry its own copy of the fence subquery
+    return keep_where(out, F.size("reasons") > 0)
 
 
 def salary_range_for(df: DataFrame, role_query: str, group: str = "title", value: Column | None = None) -> DataFrame:
