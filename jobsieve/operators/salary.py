@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobsieve.functions import keep_where
 from jobsieve.functions import salary as S
+from jobsieve.session import cut_lineage
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
@@ -15,7 +16,10 @@ def running_totals(df: DataFrame, keys: list[str], order: str, weight: str) -> D
     sums; a tiny (partition, group) table supplies every partition's offset. Adds ``_cum`` (running
     total, inclusive) and ``_n`` (group total)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(parts, *keys, order).withColumn("_pid", F.spark_partition_id())
+    # ``_pid`` depends on the sampled range bounds: it is materialised once (reliable checkpoint in
+    # the shared folder), because the two consumers below may otherwise re-run the range shuffle
+    # with differently pruned inputs, sample different bounds and disagree on a row's partition
+    r = cut_lineage(df.repartitionByRange(parts, *keys, order).withColumn("_pid", F.spark_partition_id()))
     local = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = r.withColumn("_local", F.sum(weight).over(local))
     tot = r.groupBy("_pid", *keys).agg(F.sum(weight).alias("_t"))

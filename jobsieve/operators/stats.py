@@ -165,9 +165,11 @@ def js_distance(reference: DataFrame, current: DataFrame, column: str) -> DataFr
     """M14 categorical drift: Jensen-Shannon distance (natural log) between value shares (one row)."""
     r = reference.select(F.coalesce(F.col(column).cast("string"), F.lit("__null__")).alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b"))
     c = current.select(F.coalesce(F.col(column).cast("string"), F.lit("__null__")).alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    g = r.unionByName(c).groupBy("k").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
-    na, nb = reference.select(F.count(F.lit(1))).scalar(), current.select(F.count(F.lit(1))).scalar()
-    p, q = F.col("ca") / na, F.col("cb") / nb
+    u = r.unionByName(c)
+    # both sample sizes in ONE scalar subquery, attached once (not re-planned per reference)
+    tot = u.agg(F.struct(F.count_if(F.col("a") == 1).alias("na"), F.count_if(F.col("b") == 1).alias("nb"))).scalar()
+    g = u.groupBy("k").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb")).withColumn("_tot", tot)
+    p, q = F.col("ca") / F.col("_tot.na"), F.col("cb") / F.col("_tot.nb")
     m = (p + q) / 2
     kl = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(F.lit(0.0))
     return g.agg(F.round(F.sqrt(F.greatest(F.lit(0.0), (F.sum(kl(p)) + F.sum(kl(q))) / 2)), 6).alias("js_distance"))
@@ -189,5 +191,6 @@ def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], c
         u = u.unionByName(p)
     thr = F.when(F.col("method") == "wasserstein_normed", F.lit(numeric_threshold)).otherwise(F.lit(categorical_threshold))
     u = u.withColumn("drifted", F.col("score") >= thr)
-    share = u.select(F.avg(F.col("drifted").cast("double"))).scalar()
+    # one row per feature (bounded by the feature lists): a global window does not recompute ``u``
+    share = F.avg(F.col("drifted").cast("double")).over(Window.partitionBy())
     return u.withColumn("share_drifted", F.round(share, 6))
