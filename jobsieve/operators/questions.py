@@ -73,7 +73,10 @@ def answers(questions: DataFrame, q: str, top_skills: DataFrame, anomaly_count:
     ordered = top_skills.select(F.sort_array(F.collect_list(F.struct(
         (-F.col("demand")).alias("k"), F.col("skill").alias("skill"), F.col("demand").alias("demand")))).alias("a"))
     tops = ordered.select("a").scalar()
-    d = questions.withColumn("intent", intent(F.col(q))).withColumn("top_n", top_n(F.col(q))).withColumn("_tops", tops)
+    # each one-row aggregate is attached once as a column (a scalar referenced twice is planned twice)
+    d = questions.withColumn("intent", intent(F.col(q))).withColumn("top_n", top_n(F.col(q))).withColumns(
+        {"_tops": tops, "_anom": anomaly_count, "_remote": remote_jobs, "_total": total_jobs})
+    anomaly_count, remote_jobs, total_jobs = F.col("_anom"), F.col("_remote"), F.col("_total")
     # slice first (outside any lambda), then format the slice
     d = d.withColumn("_sl", F.slice("_tops", 1, F.greatest(F.col("top_n"), F.lit(1))))
     d = d.withColumn("_sl", F.when(F.col("top_n") > 0, F.col("_sl")).otherwise(F.array().cast(d.schema["_sl"].dataType)))
@@ -90,7 +93,7 @@ def answers(questions: DataFrame, q: str, top_skills: DataFrame, anomaly_count:
             .when(F.col("intent") == "job_count",
                   F.concat(F.lit("The current dataset contains "), total_jobs.cast("string"), F.lit(" jobs.")))
             .otherwise(F.lit(SUMMARY_TEXT)))
-    return d.withColumn("answer", text).drop("_tops", "_sl")
+    return d.withColumn("answer", text).drop("_tops", "_sl", "_anom", "_remote", "_total")
 
 
 def _money(c: Column, symbol: str) -> Column:
