@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from jobsieve.functions.salary import midpoint_any
 from jobsieve.functions.text import split_list
+from jobsieve.session import cut_lineage
 
 CATEGORICAL = ["source", "remote_status", "location"]
 NUMERIC = ["salary_avg", "skill_count", "salary_was_missing"]
@@ -96,7 +97,13 @@ def train(df: DataFrame, label: str = "role_type") -> PipelineModel:
     """M5: fit the pipeline with balanced class weights."""
     f = class_weights(feature_frame(df, label), label)
     n = f.select(F.count(F.lit(1))).first()[0]  # one number, sets the L2 strength (C = 1)
-    return build_pipeline(label, n).fit(f)
+    stages = build_pipeline(label, n).getStages()
+    # Pipeline.fit re-runs every upstream transform for each estimator; the tokens and n-grams of
+    # long texts are computed once and materialised (reliable checkpoint in the shared folder)
+    prefix = Pipeline(stages=stages[:4]).fit(f)
+    grams = cut_lineage(prefix.transform(f))
+    rest = Pipeline(stages=stages[4:]).fit(grams)
+    return PipelineModel(prefix.stages + rest.stages)
 
 
 def predict(model: PipelineModel, df: DataFrame, label: str = "role_type", out: str = "predicted_role_type") -> DataFrame:
