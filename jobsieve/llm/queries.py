@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.llm import bpe, packing, preference, quality, sharding, warc
+from jobsieve.llm import bpe, packing, preference, quality, sharding, toxicity, warc
 from jobsieve.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_two_fit")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2048)
+
+
+# ---- 4: toxicity -----------------------------------------------------------------------------------------------
+
+@query("op4_compression_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
