@@ -179,14 +179,15 @@ def train(texts: list[str], toxic: list[int], p: ToxicityParams) -> tuple[bytes,
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> DataFrame:
-    """Bounded labelled sample (text, toxic) of the training rows, by hash order of id and text."""
+    """Bounded labelled sample (text, toxic) of the training rows: ids by hash order, then their texts."""
     known = (labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id")
              .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most and toxic in (0, 1)").drop("_most"))
-    rows = (docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length(F.encode("text", "UTF-8")) <= p.row_bytes)
-                                               & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-            .join(known, "doc_id").withColumn("_order", F.md5(F.concat(F.col("doc_id").cast("string").cast("binary"), text_digest("text")))))
-    parts = [rows.where(F.col("toxic") == y).orderBy("_order").limit(n) for y, n in ((1, p.toxic_rows), (0, p.ordinary_rows))]
-    return parts[0].unionByName(parts[1]).select("text", "toxic")
+    usable = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).withColumn("_order", F.md5(F.col("doc_id").cast("string")))
+    parts = [usable.where(F.col("toxic") == y).orderBy("_order").limit(n) for y, n in ((1, p.toxic_rows), (0, p.ordinary_rows))]
+    chosen = parts[0].unionByName(parts[1]).select("doc_id", "toxic")  # at most toxic_rows + ordinary_rows rows
+    fits = F.col("text").isNotNull() & (F.octet_length(F.encode("text", "UTF-8")) <= p.row_bytes)
+    return (docs.select("doc_id", "text").where(fits).join(F.broadcast(chosen), "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).orderBy("doc_id").select("text", "toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> tuple[bytes, bytes, list[float]] | None:
