@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.llm import bpe, minhash, packing, preference, quality, sharding, toxicity, warc
+from jobsieve.llm import bpe, minhash, packing, preference, quality, sharding, suffix, toxicity, warc
 from jobsieve.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,10 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 @query("op2_minhash_near_duplicates", _OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# ---- 3: repeated passages --------------------------------------------------------------------------------------
+
+@query("op3_suffix_repeats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
