@@ -69,3 +69,12 @@ def test_words_give_the_ids_of_whole_texts(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     got = packing.token_ids([t.encode() for t in texts], PATH)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole_ids(t)[:-1] for t in texts]
+
+
+def test_single_words_match_the_tokenizer():
+    rng = random.Random(9)
+    pool = "abcxyzABCÀÉßøŁžİıǅ0123456789'.,!?&-_<|>~²µ\u0301\u00a0\u2028\x1c\x85日ΣσAΣ"
+    words = {"".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))).encode() for _ in range(6000)}
+    words = sorted(w for w in words if len(w.split()) == 1 and w.split()[0] == w) + [b"it's", b"don't'll", b"<|endoftext|>", "ΑΣ".encode()]
+    got = packing._encode_words(words, PATH)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [packing._tokenizer(PATH).encode(w.decode(), add_special_tokens=False).ids for w in words]
