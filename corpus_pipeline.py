@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.llm import quality
+from jobsieve.llm import minhash, packing, quality, suffix, toxicity
+from jobsieve.llm.queries import tokenizer_file
 from jobsieve.session import scratch_path
 from jobsieve.sources.tables import table
 
@@ -14,7 +15,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality_rules", quality_rules)]
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored below the toxicity threshold (operator 4)."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every group of near-duplicates (operator 2)."""
+    return minhash.keep_one_per_group(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the passages that occur more than once (operator 3)."""
+    return suffix.without_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents, packed into sequences (operator 9)."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), 2048)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near_dedup", near_dedup),
+    ("repeated_passages", repeated_passages),
+    ("packing", packed),
+]
 
 #: learned and approximate stages have no SQL twin; tests compare with brute force
 ORACLE_SQL = None

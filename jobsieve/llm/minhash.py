@@ -254,27 +254,32 @@ def near_duplicate_classes(docs: DataFrame, p: MinHashParams = MinHashParams(),
     return rows.select("doc_id", "digest", "k", "n_shingles"), components.withColumnRenamed("node", "k")
 
 
-def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document row."""
+def _labelled(docs: DataFrame, p: MinHashParams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest, n_shingles, component (null without words) and component_id of every document row."""
     rows, linked = near_duplicate_classes(docs, p, id_col, text_col)
     classes = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("low"))
     named = classes.join(linked, "k", "left").select("k", "low", F.coalesce("component", "k").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_class = named.join(lowest, "component").select(F.col("k").alias("_k"), "component_id")
+    lowest = named.groupBy("component").agg(F.min("low").alias("lowest"))
+    by_class = named.join(lowest, "component").select(F.col("k").alias("_k"), "component", "lowest")
     out = rows.join(by_class, F.col("k") == F.col("_k"), "left")
-    component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "digest", "n_shingles", "component",
+                      F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document row."""
+    return _labelled(docs, p, id_col, text_col).select(
+        "doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one_per_group(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
-    """One row per group of near-duplicates, all columns unchanged: the row with the smallest id (of repeated rows with
-    that id, one). Rows without words stay."""
-    found = near_duplicates(docs, p)
-    word = F.col("n_shingles") > 0
-    # the class of a kept row is told by its text; ids of groups can repeat only for repeated rows
-    keep = found.where(word & F.col("kept")).select(F.col("doc_id").alias("_llm_id")).distinct()
+    """One row per group of near-duplicates, all columns unchanged: the one with the smallest id (then text digest; of
+    rows equal in both, any). Rows without words link with nothing and all stay."""
+    labelled = _labelled(docs, p).where("component is not null and doc_id <=> component_id")
+    keep = labelled.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("r")).select(
+        F.col("r.doc_id").alias("_llm_i"), F.col("r.digest").alias("_llm_d"))
     wordless = ~text_or_empty("text").rlike(r"[^\x20\x09-\x0D]")
-    named = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_llm_id"]), "left_semi").where(~wordless)
-    single = named.withColumn("_llm_d", text_digest("text"))
-    one = single.dropDuplicates(["doc_id", "_llm_d"]).drop("_llm_d")
+    keyed = docs.where(~wordless).withColumn("_llm_digest", text_digest("text"))
+    one = (keyed.join(keep, (keyed["_llm_digest"] == keep["_llm_d"]) & keyed["doc_id"].eqNullSafe(keep["_llm_i"]), "left_semi")
+           .dropDuplicates(["_llm_digest", "doc_id"]).select(*docs.columns))
     return one.unionByName(docs.where(wordless))
