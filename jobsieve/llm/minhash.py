@@ -88,7 +88,7 @@ def sketch(docs: DataFrame, p: MinHashParams, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = shingles.signature_family(p.size)
-        for batch in bounded_slices(batches, "text", 4 << 20):
+        for batch in bounded_slices(batches, "text", 1 << 20):
             texts = binary_rows(batch.column("text"))
             sets = shingles.shingle_sets(texts, p.width)
             sigs = np.stack([shingles.signature(s, family) if len(s) else np.zeros(p.size, dtype=np.uint32) for s in sets])
@@ -124,7 +124,7 @@ def first_per_task(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def _shingle_sets(texts: DataFrame, p: MinHashParams) -> DataFrame:
     """(c, k, sig, text) -> (c, k, sig, set): the sorted 64-bit hashes as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded_slices(batches, "text", 4 << 20):
+        for batch in bounded_slices(batches, "text", 1 << 20):
             sets = [s.tobytes() for s in shingles.shingle_sets(binary_rows(batch.column("text")), p.width)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("c", "k", "sig")], pa.array(sets, pa.binary())], ["c", "k", "sig", "set"])
 

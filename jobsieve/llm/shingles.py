@@ -16,7 +16,7 @@ _BASE = 0x9E3779B97F4A7C15
 _STEP = _U(0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
     inverse = pow(_BASE, -1, 1 << 64)
@@ -43,7 +43,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
         return np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
-    size = 1 << max(int(len(raw)).bit_length(), 16)
+    size = 1 << max(int(len(raw)).bit_length(), 21)
     up, down = _powers(size)
     gap = _SPACE[raw]
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
