@@ -33,7 +33,7 @@ def hash_bits(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, shard (hash prefix), depth, shard_bytes, shard_docs for every document row."""
     # bits of the row number, most volatile first: copies spread evenly and only where their hash is used up
-    row = F.lpad(F.reverse(F.conv(F.monotonically_increasing_id().cast("string"), 10, 2)), 1, "0")
+    row = F.reverse(F.conv(F.monotonically_increasing_id().cast("string"), 10, 2))
     keyed = materialise(docs.select(
         F.col(id_col).alias("doc_id"), F.octet_length(F.encode(text_or_empty(text_col), "UTF-8")).cast("long").alias("n_bytes"),
         F.concat(hash_bits(id_col, text_col), F.rpad(row, HASH_BITS, "0")).alias("bits")), "shard-keys")
