@@ -4,10 +4,12 @@ Per document: words, code points in words, symbols, exclamation marks, repeated
 A base rule rejects texts under ``min_words`` words or with over half of their words in repeated windows. The
 other rules compare one ratio each with a cut-off chosen per stratum: among labelled good documents of the
 stratum that pass the base rule, the strictest cut-off of a fixed grid whose false-rejection rate is below
-``risk / number of rules`` by an exact binomial (Clopper-Pearson) upper bound at level
-``delta / (strata x rules x grid size)`` (Bonferroni), so that with probability 1 - delta all chosen rules
-together falsely reject at most ``risk`` of the good documents in every stratum. A stratum with too few labels
-certifies nothing and its rules stay off.
+``risk / number of rules`` by an exact binomial (Clopper-Pearson) upper bound at level ``delta / (strata x rules)``.
+Strata and rules are corrected for by Bonferroni; along a grid the tests run from lenient to strict and stop at
+the first failure (a fixed sequence, which needs no further correction; as rejections only grow on the way, that is
+the strictest cut-off that passes). So with probability 1 - delta all chosen rules together falsely reject at most
+``risk`` of the good documents in every stratum. A stratum with too few labels certifies nothing and its rules
+stay off.
 
 Defined cases: null text is empty (no words, fails the base rule); a null stratum is a stratum of its own;
 labels of unknown documents, null labels and conflicting duplicates (any 0 counts as not good) are ignored as
@@ -39,7 +41,7 @@ class QualityParams:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    risk: float = 0.02
+    risk: float = 0.03
     delta: float = 0.05
     max_terms: int = 10_000
 
@@ -127,7 +129,7 @@ def certified_cutoffs(stats: DataFrame, good: DataFrame, p: QualityParams) -> Da
              .select("stratum", "e.rule", "e.value", F.explode("e.grid").alias("cutoff"))
              .groupBy("stratum", "rule", "cutoff")
              .agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("cutoff")).alias("k")))
-    level = p.delta / (strata * sum(len(g) for _, _, g in RULES.values()))
+    level = p.delta / (strata * len(RULES))
     tail = binomial_cdf(F.col("k"), F.col("n"), p.risk / len(RULES), p.max_terms)
     return cells.where(tail <= level).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 

@@ -120,7 +120,6 @@ def _op8_sql(p: quality.QualityParams = quality.QualityParams()) -> str:
     sp, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
     grid = " UNION ALL ".join(f"SELECT '{r}' AS rule, unnest({g}) AS cutoff" for r, (_, _, g) in quality.RULES.items())
     value = " ".join(f"WHEN '{r}' THEN {a} / greatest({b}, 1)" for r, (a, b, _) in quality.RULES.items())
-    cells = sum(len(g) for _, _, g in quality.RULES.values())
     alpha = p.risk / len(quality.RULES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -144,7 +143,7 @@ cells AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (value > cut
 tail AS (SELECT lang, rule, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha}))) AS p
   FROM (SELECT *, unnest(range(k + 1)) AS i FROM cells) GROUP BY ALL),
 cut AS (SELECT lang, rule, min(cutoff) AS cutoff FROM tail
-  WHERE p <= {p.delta} / (greatest((SELECT count(*) FROM (SELECT DISTINCT lang FROM b)), 1) * {cells}) GROUP BY ALL)
+  WHERE p <= {p.delta} / (greatest((SELECT count(*) FROM (SELECT DISTINCT lang FROM b)), 1) * {len(quality.RULES)}) GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(NOT EXISTS (SELECT 1 FROM cut WHERE b.lang IS NOT DISTINCT FROM cut.lang AND CASE rule {value} END > cutoff), true) AS kept
 FROM b
