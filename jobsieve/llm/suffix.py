@@ -42,7 +42,7 @@ class RepeatParams:
     width: int = 200
     gram: int = 48
     hot: int = 4096
-    block: int = 4 << 20
+    block: int = 2 << 20
 
 
 def _ref(digest: bytes) -> int:
