@@ -1,7 +1,6 @@
 """Source governance (G1-G5): decide per source whether it may be ingested or served.
 
-The registry is a fixed, small table (13 entries in the seed; checked below) joined by key
-with a broadcast hint; the legal-basis test is a row-local ``exists`` over a literal phrase list."""
+The registry joins by key (Spark picks the strategy by its size); the legal-basis test is a row-local ``exists`` over a literal phrase list."""
 
 from __future__ import annotations
 
@@ -10,8 +9,6 @@ from pyspark.sql import functions as F
 
 from jobsieve.sources.registry import APPROVED_LEGAL_BASIS_TERMS, load_registry
 
-MAX_REGISTRY_ROWS = 100_000
-
 # Fixed values that must equal the reference: decision reasons and actions.
 REASON_REGISTRY_ALLOWED = "Source is approved by the source onboarding registry."
 REASON_NOT_APPROVED = "Source is not approved for production ingestion."
@@ -21,10 +18,7 @@ ACTION_ATTACH_BASIS = "Attach source_legal_basis before ingestion or serving."
 
 
 def _registry(spark: SparkSession, registry: DataFrame | None) -> DataFrame:
-    reg = registry if registry is not None else load_registry(spark)
-    if registry is not None and reg.limit(MAX_REGISTRY_ROWS + 1).count() > MAX_REGISTRY_ROWS:
-        return reg  # too large to broadcast: plain shuffle join
-    return F.broadcast(reg)
+    return registry if registry is not None else load_registry(spark)
 
 
 def evaluate_sources(df: DataFrame, source: str = "source", legal_basis: str | None = "source_legal_basis",

@@ -11,47 +11,64 @@ from pyspark.sql import functions as F
 from jobsieve.operators import governance as gv
 from jobsieve.operators import maintain as mt
 from jobsieve.operators import validation as va
+from jobsieve.session import cut_lineage
 from jobsieve.sources import files as fl
 
+# Fixed values that must equal the reference: reasons of the provider results.
+REASON_SAVED = "Source passed governance, validation, and repository persistence."
+REASON_DRY = "Source passed governance and validation; repository write skipped for dry run."
+
 
 def ingest(spark: SparkSession, sources: dict[str, DataFrame], table_root: str, batch_id: str, as_of: dt.datetime,
            keywords: list[str] | None = None, limit_per_source: int | None = None, dry_run: bool = False,
-           order: str = "id") -> DataFrame:
-    """Run one ingestion batch; returns the summary (provider, fetched) rows plus totals columns.
+           order: str = "id", mark_expired: bool = True) -> DataFrame:
+    """Run one ingestion batch; one summary row per provider (fetched, saved, legal basis, reason) with the totals.
 
-    The batch is published as one new table version after every source passed (a failure leaves
-    the table untouched and appends a ``failed`` audit row)."""
-    started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    A ``running`` audit row is written first, then ``completed`` or ``failed`` (the latest row is the batch's state), so
+    a killed job leaves a trace. The batch is written once in arrival order (provider order, then row order) and
+    published as one new table version after every source passed; a failure leaves the table untouched. A dry run
+    writes nothing and reports saved 0, expired 0 and the current number of active postings."""
+    if not sources:
+        raise ValueError("at least one source is required")
+    now = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    started, names = now(), list(sources)
     audit_root = f"{table_root.rstrip('/')}/_audit"
-    names = list(sources)
+
+    def audit(status: str, **kw) -> None:
+        if not dry_run:
+            mt.audit_row(spark, batch_id, status, names, started, **kw).write.mode("append").parquet(audit_root)
+
+    audit("running")
     try:
         gv.require_approved(spark, names)                                     # G5
         fetched = fl.union_sources({n: fl.keyword_filter(df, keywords or []) for n, df in sources.items()},
                                    limit_per_source, order)                   # S8-S11
-        stamped = mt.stamp_batch(fetched, batch_id, as_of)
-        va.validate_strict(stamped.drop("_provider"), as_of)                  # V8 (raises)
+        stamped = mt.stamp_batch(fetched, batch_id, as_of).withColumn("_ord", F.monotonically_increasing_id())
+        stamped = cut_lineage(stamped)                                        # batch-sized; fixes the arrival order
+        va.validate_strict(stamped.drop("_provider", "_ord"), as_of)          # V8 (raises)
         existing = fl.read_current(spark, table_root)
-        batch = stamped.drop("_provider").withColumn("_ord", F.struct(F.col("posted_date"), F.col("id")))
-        if existing is None:
-            existing = batch.drop("_ord").limit(0)
-        merged = mt.upsert(existing, batch.select(*existing.columns, "_ord"), order="_ord", batch_id=batch_id)
-        expired_now = mt.newly_expired_count(merged, as_of).first()[0]
-        final = mt.expire(merged, as_of)
-        per = stamped.groupBy(F.col("_provider").alias("provider")).agg(F.count(F.lit(1)).alias("fetched"))
+        per = stamped.groupBy(F.col("_provider").alias("provider")).agg(
+            F.count(F.lit(1)).alias("fetched"), F.min("source_legal_basis").alias("legal_basis"))
         n_fetched = stamped.count()
-        n_saved = mt.dedupe_batch(batch, "_ord").count()
-        if not dry_run:
-            fl.write_version(final, table_root)
-        active_after = final.where(~F.col("is_expired")).count()
-        finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        expired = 0
         if not dry_run:
-            mt.audit_row(spark, batch_id, "completed", names, started, finished, n_fetched, n_saved, expired_now) \
-                .write.mode("append").parquet(audit_root)
-        return per.select("provider", "fetched", F.lit(n_fetched).alias("total_fetched"), F.lit(n_saved).alias("saved"),
-                          F.lit(expired_now).alias("expired"), F.lit(active_after).alias("active_after"),
-                          F.lit(dry_run).alias("dry_run"))
+            table = existing if existing is not None else stamped.drop("_ord", "_provider").limit(0)
+            merged = mt.upsert(table, stamped.select(*table.columns, "_ord"), order="_ord", batch_id=batch_id)
+            if mark_expired:
+                merged = merged.withColumn("_was", F.coalesce(F.col("is_expired"), F.lit(False)))
+                swept = cut_lineage(mt.expire(merged, as_of))
+                expired = swept.where("is_expired and not _was").count()
+                merged = swept.drop("_was")
+            fl.write_version(merged, table_root)
+            existing = fl.read_current(spark, table_root)
+        active_after = existing.where(~F.coalesce(F.col("is_expired"), F.lit(False))).count() if existing is not None else 0
+        saved = 0 if dry_run else n_fetched
+        audit("completed", finished=now(), fetched=n_fetched, saved=saved, expired=expired)
+        reason = REASON_DRY if dry_run else REASON_SAVED
+        return per.select("provider", "fetched", (F.lit(0).cast("long") if dry_run else F.col("fetched")).alias("saved"), "legal_basis",
+                          F.lit(reason).alias("reason"), F.lit(n_fetched).cast("long").alias("total_fetched"),
+                          F.lit(saved).cast("long").alias("total_saved"), F.lit(expired).cast("long").alias("expired"),
+                          F.lit(active_after).cast("long").alias("active_after"), F.lit(dry_run).alias("dry_run"))
     except Exception as e:
-        if not dry_run:
-            mt.audit_row(spark, batch_id, "failed", names, started, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
-                         error=str(e)[:2000]).write.mode("append").parquet(audit_root)
+        audit("failed", finished=now(), error=str(e))
         raise

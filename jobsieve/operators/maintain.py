@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobsieve.session import cut_lineage
+
 
 def expire(df: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Rows with ``expires_at < as_of`` (strictly) become expired; others keep their flag."""
@@ -51,50 +53,66 @@ def normalize_record(df: DataFrame, as_of: dt.datetime) -> DataFrame:
     return d
 
 
-def dedupe_batch(batch: DataFrame, order: str) -> DataFrame:
-    """Last row (by ``order``) per provider identity (source, source_posting_id), or per id when the
-    identity is incomplete. ``max_by`` is a partial aggregate: a hot key is combined map-side."""
-    has_key = F.col("source").isNotNull() & F.col("source_posting_id").isNotNull()
-    key = F.when(has_key, F.concat_ws("\u0001", F.lit("k"), F.col("source"), F.col("source_posting_id"))) \
-        .otherwise(F.concat_ws("\u0001", F.lit("i"), F.col("id")))
-    cols = batch.columns
-    return (batch.withColumn("_key", key).groupBy("_key")
-            .agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r")).select("_r.*"))
-
-
-def generated_id(batch_id: str) -> Column:
-    """Deterministic id for inserted rows without one (stable under task retries)."""
-    return F.substring(F.sha2(F.concat_ws("|", F.lit(batch_id), F.col("source"), F.col("source_posting_id"),
-                                          F.col("title"), F.col("company")), 256), 1, 32)
+def generated_id(batch_id: str, *parts: Column) -> Column:
+    """Deterministic id of an inserted row (stable under task retries)."""
+    marked = [x for p in parts for x in (p.isNull().cast("string"), F.coalesce(p.cast("string"), F.lit("")))]
+    return F.substring(F.sha2(F.to_json(F.array(F.lit(batch_id), *marked)), 256), 1, 32)
+
+
+def resolve_batch(existing: DataFrame, batch: DataFrame, order: str, batch_id: str = "batch") -> DataFrame:
+    """One row per target of a batch: its last row by ``order`` with ``_tid``, the id it is stored under.
+
+    A row's target is the existing posting with its (source, source_posting_id). Rows of an identity that the table
+    does not hold go where the first of them goes: to the existing posting with its id, else to a new one under that
+    id (or one made from the identity). Rows without identity go by their id, and a row with neither is a posting of
+    its own. An identity needs both parts non-empty. So ids stay unique, an inserted duplicate keeps the first id, and
+    no row is lost but those replaced by a later one."""
+    b = batch if "id" in batch.columns else batch.withColumn("id", F.lit(None).cast("string"))
+    given = F.nullif(F.col("id"), F.lit(""))
+    identity = (F.coalesce(F.col("source"), F.lit("")) != "") & (F.coalesce(F.col("source_posting_id"), F.lit("")) != "")
+    key = F.when(identity, F.to_json(F.array("source", "source_posting_id")))
+    b = b.withColumns({"_key": key, "_given": given})
+    e = existing.select(F.col("id").alias("_eid"), F.when(identity, F.to_json(F.array("source", "source_posting_id"))).alias("_ekey"))
+    by_key = e.where("_ekey is not null").groupBy("_ekey").agg(F.min("_eid").alias("_kid"))
+    b = b.join(by_key, b["_key"] == by_key["_ekey"], "left").drop("_ekey")
+    first = b.where("_kid is null and _key is not null").groupBy(F.col("_key").alias("_fkey")).agg(
+        F.min_by(F.struct("_given"), F.col(order)).alias("_f")).select("_fkey", F.col("_f._given").alias("_first"))
+    b = b.join(first, b["_key"] == F.col("_fkey"), "left").drop("_fkey")
+    # rows with neither identity nor id: equal rows are told apart by their number among themselves
+    content = F.xxhash64(*[F.col(c) for c in batch.columns if c != order and not dict(batch.dtypes)[c].startswith("map")])
+    alone = F.col("_key").isNull() & F.col("_given").isNull()
+    lone = b.where(alone).withColumn("_h", content)
+    lone = lone.withColumn("_tid", generated_id(batch_id, F.col("_h"), F.row_number().over(Window.partitionBy("_h").orderBy(order)))).drop("_h")
+    rest = b.where(~alone).withColumn("_tid", F.coalesce(
+        "_kid", F.when(F.col("_key").isNotNull(), F.coalesce("_first", generated_id(batch_id, F.col("_key")))), "_given"))
+    drop = ["_key", "_given", "_kid", "_first"]
+    cols = [c for c in b.columns if c not in drop]
+    last = rest.groupBy("_tid").agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r")).select("_tid", "_r.*")
+    return last.unionByName(lone.select("_tid", *cols))
 
 
 def upsert(existing: DataFrame, batch: DataFrame, order: str, batch_id: str = "batch") -> DataFrame:
-    """U1 + J7: merge a batch into the posting table.
+    """U1 + J7: merge a batch into the posting table; ``order`` ranks the batch's rows (the last one wins).
 
-    Batch rows are deduped (last wins). A batch row matches an existing row on (source,
-    source_posting_id), else on id. Matched rows take the batch's writable fields and keep their
-    id; unmatched rows are inserted (id generated when missing). Returns the new table version —
-    write it beside the old one (``jobsieve.sources.files.write_version``), never over it."""
+    The batch is resolved to one row per target first and written once (batch-sized); the table then meets it in one
+    full outer join on id. Matched rows take the batch's writable fields and keep their id, new rows are inserted.
+    Returns the new table version — write it beside the old one
+    (``jobsieve.sources.files.write_version``), never over it."""
     cols = existing.columns
-    b = dedupe_batch(batch, order)
-    if "id" not in b.columns:
-        b = b.withColumn("id", F.lit(None).cast("string"))
-    b = b.withColumn("id", F.coalesce(F.col("id"), generated_id(batch_id)))
-    ek = existing.select(F.col("id").alias("_eid"), F.col("source").alias("_es"), F.col("source_posting_id").alias("_ep"))
-    by_key = b.join(ek, (b["source"] == ek["_es"]) & (b["source_posting_id"] == ek["_ep"]), "left") \
-        .select(*[b[c] for c in b.columns], F.col("_eid").alias("_kid"))
-    eid = existing.select(F.col("id").alias("_iid"))
-    by_id = by_key.join(eid, (F.col("_kid").isNull()) & (by_key["id"] == eid["_iid"]), "left")
-    resolved = by_id.withColumn("_tid", F.coalesce("_kid", "_iid"))
-    matched = resolved.where(F.col("_tid").isNotNull())
-    inserts = resolved.where(F.col("_tid").isNull())
-    writable = [c for c in WRITABLE_FIELDS if c in b.columns and c in cols]
-    e = existing.alias("e")
-    upd = matched.alias("m").join(e, F.col("m._tid") == F.col("e.id")).select(
-        *[(F.col(f"m.{c}") if c in writable else F.col(f"e.{c}")).alias(c) for c in cols])
-    keep = existing.join(matched.select(F.col("_tid").alias("id")), "id", "left_anti").select(*cols)
-    ins = inserts.select(*[(F.col(c) if c in b.columns else F.lit(None).cast(existing.schema[c].dataType)).alias(c) for c in cols])
-    return keep.unionByName(upd).unionByName(ins)
+    r = cut_lineage(resolve_batch(existing, batch, order, batch_id))
+    m = r.select(F.col("_tid"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_b_{c}") for c in r.columns if c in cols])
+    e = existing.withColumn("_old", F.lit(True))
+    j = e.join(m, e["id"] == m["_tid"], "full_outer")
+
+    def merged(c: str) -> Column:
+        if c == "id":
+            return F.coalesce("id", "_tid")
+        if c not in r.columns:
+            return F.col(c)
+        new = F.col(f"_b_{c}")
+        return F.when(F.col("_old").isNull(), new).when(F.col("_hit") & F.lit(c in WRITABLE_FIELDS), new).otherwise(F.col(c))
+
+    return j.select(*[merged(c).cast(existing.schema[c].dataType).alias(c) for c in cols])
 
 
 def skill_dimension(existing: DataFrame, names: DataFrame, name: str = "skill") -> DataFrame:

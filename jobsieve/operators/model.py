@@ -68,10 +68,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     n = df.select(F.count(F.lit(1))).scalar()
     k = counts.select(F.count(F.lit(1))).scalar()
-    return df.join(F.broadcast(counts), label).withColumn("weight", n / (k * F.col("_nc"))).drop("_nc")
+    return df.join(counts, label).withColumn("weight", n / (k * F.col("_nc"))).drop("_nc")
 
 
-def build_pipeline(label: str, n_rows_hint: int = 1000, vocab_size: int = 1 << 18) -> Pipeline:
+def build_pipeline(label: str, n_rows_hint: int = 1000, vocab_size: int = (1 << 31) - 1) -> Pipeline:
     """M2-M6: the estimator pipeline (fit it on ``class_weights(feature_frame(df))``)."""
     tok = RegexTokenizer(inputCol="combined_text", outputCol="_w1", pattern=r"(?u)\b\w\w+\b", gaps=False, toLowercase=True)
     ng2 = NGram(n=2, inputCol="_w1", outputCol="_w2")
@@ -83,13 +83,13 @@ def build_pipeline(label: str, n_rows_hint: int = 1000, vocab_size: int = 1 << 1
     idx = StringIndexer(inputCols=CATEGORICAL, outputCols=[f"_{c}_i" for c in CATEGORICAL], handleInvalid="keep")
     ohe = OneHotEncoder(inputCols=[f"_{c}_i" for c in CATEGORICAL], outputCols=[f"_{c}_v" for c in CATEGORICAL],
                         handleInvalid="keep")
-    imp = Imputer(strategy="median", inputCols=[f"{c}_d" for c in NUMERIC], outputCols=[f"_{c}_m" for c in NUMERIC])
+    imp = Imputer(strategy="median", relativeError=0.0, inputCols=[f"{c}_d" for c in NUMERIC], outputCols=[f"_{c}_m" for c in NUMERIC])
     num = VectorAssembler(inputCols=[f"_{c}_m" for c in NUMERIC], outputCol="_num")
     sc = StandardScaler(inputCol="_num", outputCol="_nums", withMean=True, withStd=True)
     feats = VectorAssembler(inputCols=["_text", *[f"_{c}_v" for c in CATEGORICAL], "_nums"], outputCol="features")
     lab = StringIndexer(inputCol=label, outputCol="label", handleInvalid="error")
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial",
-                            regParam=1.0 / max(n_rows_hint, 1), maxIter=100)
+                            regParam=1.0 / max(n_rows_hint, 1), maxIter=100, standardization=False)
     return Pipeline(stages=[tok, ng2, ng3, allg, cv, idf, norm, idx, ohe, imp, num, sc, feats, lab, lr])
 
 

@@ -27,7 +27,11 @@ def running_totals(df: DataFrame, keys: list[str], order: str, weight: str) -> D
     whole = Window.partitionBy(*keys)
     off = tot.select("_pid", *keys, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"),
                      F.sum("_t").over(whole).alias("_n"))
-    return r.join(off, ["_pid", *keys]).withColumn("_cum", F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid")
+    o = off.select(F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o_{k}") for k in keys], "_off", "_n")
+    same = r["_pid"] == o["_opid"]
+    for k in keys:
+        same = same & r[k].eqNullSafe(o[f"_o_{k}"])
+    return r.join(o, same).drop("_opid", *[f"_o_{k}" for k in keys]).withColumn("_cum", F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid")
 
 
 def floor_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
@@ -57,8 +61,8 @@ def group_salary_stats(df: DataFrame, group: str, value: str) -> DataFrame:
         F.min(value).alias("min"), F.max(value).alias("max"),
         F.median(value).alias("median"), F.count(F.lit(1)).alias("count"),
     )
-    q = floor_quantiles(base, [group], value, {"q1": 0.25, "q3": 0.75})
-    return stats.join(q, group)
+    q = floor_quantiles(base, [group], value, {"q1": 0.25, "q3": 0.75}).withColumnRenamed(group, "_g")
+    return stats.join(q, stats[group].eqNullSafe(q["_g"])).drop("_g")  # a null group is a group
 
 
 def salary_anomalies(df: DataFrame, id_col: str, role: Column, value: Column,

@@ -36,8 +36,9 @@ def filter_jobs(df: DataFrame, location: str | None = None, work_mode: str | Non
 
 
 def skills_json_text(skills: str = "required_skills") -> Column:
-    """The stored JSON text of a skill list, in ``json.dumps`` layout (``["a", "b"]``)."""
-    return F.when(F.size(skills) > 0, F.concat(F.lit('["'), F.array_join(skills, '", "'), F.lit('"]')))
+    """The stored JSON text of a skill list, in ``json.dumps`` layout (``["a", "b"]``), escaped element by element."""
+    quoted = F.transform(skills, lambda s: F.regexp_extract(F.to_json(F.array(s)), r"(?s)^\[(.*)\]$", 1))
+    return F.when(F.size(skills) > 0, F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")))
 
 
 def repository_query(df: DataFrame, query: str = "", location: str | None = None, work_mode: str | None = None,

@@ -1,7 +1,7 @@
 """Similar postings (J3, J3b) and market context.
 
-J3 never forms all pairs: each score component is an *equi*-join between the (bounded,
-size-checked) target set and the candidates on that component's key, emitting one
+J3 never forms all pairs: each score component is an *equi*-join between the target set
+(a request parameter) and the candidates on that component's key, emitting one
 (target, candidate, points) row per match; a sum per (target, candidate) gives the score and a
 per-target top-k (Spark plans a partial WindowGroupLimit before the shuffle) keeps ``limit``."""
 
@@ -10,27 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_TARGETS = 100_000
-
 # Fixed values that must equal the reference: similarity points per shared field.
 POINTS = [("role_type", 5), ("occupation_group", 4), ("location", 3), ("remote_status", 2)]
 
 
-def _targets(targets: DataFrame, n_targets: int | None) -> DataFrame:
-    if n_targets is not None and n_targets <= MAX_BROADCAST_TARGETS:
-        return F.broadcast(targets)
-    return targets
-
-
 def similar_jobs(candidates: DataFrame, target_ids: list[str], limit: int = 5,
                  term_column: str | None = None, skills: str = "required_skills") -> DataFrame:
     """J3 (and J3b when ``term_column`` names an array of taxonomy terms per posting).
 
     Returns (target_id, rank, id, title, score). Candidates with score 0 are never emitted.
-    The target list is a parameter; its length is checked before it is broadcast."""
-    ids = [str(t) for t in target_ids]
-    tgt_all = candidates.where(F.col("id").isin(ids))
-    t = _targets(tgt_all, len(ids))
+    The target list is a parameter; Spark broadcasts it where its size allows."""
+    t = candidates.where(F.col("id").isin([str(t) for t in target_ids]))
     c = candidates
     parts = []
     for key, pts in POINTS:

@@ -99,7 +99,8 @@ def box_stats(df: DataFrame, group: Column, value: Column) -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """M12 (re-aimed): order-insensitive dataset fingerprint — row count and the exact sum of
     per-row 64-bit hashes (one row)."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    # position and null marker are hashed with every value, so (null, 'a') and ('a', null) differ
+    h = F.xxhash64(*[x for i, c in enumerate(df.columns) for x in (F.lit(i), F.col(c).isNull(), F.col(c))]).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("hash_sum"))
 
 
@@ -113,9 +114,10 @@ def welch_t_test(df: DataFrame, group: Column, value: Column, a: str = "remote",
     s = df.select(group.alias("g"), value.alias("v")).where(F.col("v").isNotNull() & F.col("g").isin(a, b))
     agg = s.agg(*[f(F.when(F.col("g") == k, F.col("v"))).alias(f"{n}_{k}")
                   for k in (a, b) for n, f in (("n", F.count), ("m", F.avg), ("s2", F.var_samp))])
-    va, vb = F.col(f"s2_{a}") / F.col(f"n_{a}"), F.col(f"s2_{b}") / F.col(f"n_{b}")
-    t = (F.col(f"m_{a}") - F.col(f"m_{b}")) / F.sqrt(va + vb)
-    dof = (va + vb) ** 2 / (va ** 2 / (F.col(f"n_{a}") - 1) + vb ** 2 / (F.col(f"n_{b}") - 1))
+    va, vb = F.try_divide(F.col(f"s2_{a}"), F.col(f"n_{a}")), F.try_divide(F.col(f"s2_{b}"), F.col(f"n_{b}"))
+    # undefined (null) when both groups are constant or hold under two values
+    t = F.try_divide(F.col(f"m_{a}") - F.col(f"m_{b}"), F.sqrt(va + vb))
+    dof = F.try_divide((va + vb) ** 2, F.try_divide(va ** 2, F.col(f"n_{a}") - 1) + F.try_divide(vb ** 2, F.col(f"n_{b}") - 1))
     row = agg.select(F.col(f"n_{a}").alias("n_a"), F.col(f"n_{b}").alias("n_b"), F.col(f"m_{a}").alias("mean_a"),
                      F.col(f"m_{b}").alias("mean_b"), t.alias("t_statistic"), dof.alias("dof")).first()
     p = None
@@ -148,7 +150,7 @@ def ks_statistic(reference: DataFrame, current: DataFrame, value: str) -> DataFr
     one = vc.withColumn("_all", F.lit(1))
     ra = running_totals(one, ["_all"], "v", "ca").withColumnRenamed("_cum", "cum_a").drop("_n")
     rb = running_totals(one.select("_all", "v", "cb"), ["_all"], "v", "cb").select("v", F.col("_cum").alias("cum_b"))
-    cdf = ra.join(rb, "v").select("v", (F.col("cum_a") / na).alias("fa"), (F.col("cum_b") / nb).alias("fb"))
+    cdf = ra.join(rb, "v").select("v", F.try_divide(F.col("cum_a"), na).alias("fa"), F.try_divide(F.col("cum_b"), nb).alias("fb"))
     # Wasserstein-1: sum over consecutive distinct values of |Fa - Fb| * gap; the next value of each
     # row is the smallest larger value, found per range partition via the same running-total order
     nxt = cdf.select(F.col("v").alias("nv"))
@@ -157,7 +159,7 @@ def ks_statistic(reference: DataFrame, current: DataFrame, value: str) -> DataFr
     ranks = gaps.select(F.col("rank").alias("prank"), F.col("v").alias("nv"))
     cdf2 = gaps.join(ranks, F.col("rank") + 1 == F.col("prank"), "left")
     return cdf2.agg(F.round(F.max(F.abs(F.col("fa") - F.col("fb"))), 6).alias("ks_statistic"),
-                    F.round(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.coalesce(F.col("nv") - F.col("v"), F.lit(0.0))) / sd, 6)
+                    F.round(F.try_divide(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.coalesce(F.col("nv") - F.col("v"), F.lit(0.0))), sd), 6)
                     .alias("wasserstein_normed"))
 
 
@@ -169,7 +171,7 @@ def js_distance(reference: DataFrame, current: DataFrame, column: str) -> DataFr
     # both sample sizes in ONE scalar subquery, attached once (not re-planned per reference)
     tot = u.agg(F.struct(F.count_if(F.col("a") == 1).alias("na"), F.count_if(F.col("b") == 1).alias("nb"))).scalar()
     g = u.groupBy("k").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb")).withColumn("_tot", tot)
-    p, q = F.col("ca") / F.col("_tot.na"), F.col("cb") / F.col("_tot.nb")
+    p, q = F.try_divide(F.col("ca"), F.col("_tot.na")), F.try_divide(F.col("cb"), F.col("_tot.nb"))  # null: no such sample
     m = (p + q) / 2
     kl = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(F.lit(0.0))
     return g.agg(F.round(F.sqrt(F.greatest(F.lit(0.0), (F.sum(kl(p)) + F.sum(kl(q))) / 2)), 6).alias("js_distance"))

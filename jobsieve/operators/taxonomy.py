@@ -1,9 +1,10 @@
 """Taxonomy matching and enrichment (S20, J1, J1a-c, Q1, Q2, S15).
 
-Matching is row-local: the concept table (55 concepts / ~280 terms, bounded by the taxonomy
-file and checked below) is folded once by Spark, then embedded as a literal array of structs;
-every row evaluates ``filter(concepts, c -> exists(c.terms, t -> ...))`` inside whole-stage
-codegen. No join, no shuffle, no pairs."""
+Two ways with one result. ``match_concepts`` is row-local, for taxonomies of literal size (the seed: 55 concepts,
+~280 terms): the table is folded once by Spark, then embedded as a literal array of structs, or, with
+``engine="automaton"``, in one Aho-Corasick pass per text (long texts; needs ``pyahocorasick`` on the executors).
+``match_concepts_join`` takes a taxonomy of any size as a table: an equi-join of the texts' character grams to one
+gram of every term, verified by ``contains``, and an equi-join on tokens."""
 
 from __future__ import annotations
 
@@ -17,14 +18,6 @@ from pyspark.sql import types as T
 from jobsieve.functions.text import fold, folded_tokens, split_list, tokens
 from jobsieve.sources.taxonomy_seed import EXTRACTION_SKILLS, SEED_CSV
 
-MAX_TERMS = 20_000  # size bound for embedding the concept table as a literal
-
-try:  # optional fast path for long texts
-    import ahocorasick  # noqa: F401
-    HAVE_AUTOMATON = True
-except ImportError:  # pragma: no cover
-    HAVE_AUTOMATON = False
-
 _AUTOMATA: dict = {}
 
 
@@ -108,11 +101,9 @@ def concept_terms(concepts: DataFrame) -> DataFrame:
 
 
 def collect_terms(concepts: DataFrame) -> list:
-    """The folded (concept, term) rows in file order, size-checked before they reach the driver."""
-    rows = concept_terms(concepts).orderBy("ordinal", "term_pos").limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError("taxonomy too large to embed; match with a join instead")
-    return rows
+    """The folded (concept, term) rows in file order, for a taxonomy that is to be embedded as a literal (a larger
+    one stays a table: ``match_concepts_join``)."""
+    return concept_terms(concepts).orderBy("ordinal", "term_pos").collect()
 
 
 _CACHE: dict = {}
@@ -223,19 +214,51 @@ class ConceptSet:
 
 
 def match_concepts(df: DataFrame, text: Column, concepts: ConceptSet, out: str = "concepts",
-                   long_text: bool = False) -> DataFrame:
+                   engine: str = "sql") -> DataFrame:
     """All concepts (file order) whose folded label/alias is a substring of the folded text, or
-    whose every >=3-char token is among the text's tokens. ``long_text`` (documents, pages) uses
-    the automaton path when available; short fields use the JVM expression."""
+    whose every >=3-char token is among the text's tokens. ``engine``: ``sql`` (JVM expression, short fields) or
+    ``automaton`` (documents, pages)."""
+    if engine not in ("sql", "automaton"):
+        raise ValueError(f"unknown engine {engine!r}")
     d = df.withColumn("_nt", fold(text))
     d = d.withColumn("_pr", concepts.present(folded_tokens(F.col("_nt"))))
-    if long_text and HAVE_AUTOMATON:
+    if engine == "automaton":
         d = d.withColumn("_pos", concepts.automaton_positions(F.col("_nt"), F.col("_pr")))
         m = F.transform("_pos", lambda i: F.element_at(concepts.array, i + 1))
         return d.withColumn(out, m).drop("_nt", "_pr", "_pos")
     return d.withColumn(out, concepts.matches_named("_nt", "_pr")).drop("_nt", "_pr")
 
 
+GRAM = 3
+
+
+def _grams(c: Column, n: int) -> Column:
+    """Distinct character n-grams of a string (none when it is shorter)."""
+    size = F.char_length(c)
+    return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))),
+                                                          lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def match_concepts_join(df: DataFrame, id_col: str, text: Column, concepts: DataFrame) -> DataFrame:
+    """J1 for a taxonomy table of any size (``load_concepts`` shape): (id_col, ordinal) of every match.
+
+    A term of ``GRAM`` characters or more is keyed by its first gram (shorter ones by themselves) and meets the texts
+    that hold that gram, so only those are tested with ``contains``. A term also matches when all its tokens are
+    among the text's: matches per (text, term) are counted after an equi-join on tokens."""
+    # ids repeat only for repeated rows, which match alike
+    t = df.select(F.col(id_col), fold(text).alias("_nt")).where("_nt <> ''").distinct()
+    terms = concept_terms(concepts).select("ordinal", F.col("term_norm").alias("_tn"), F.col("term_tokens").alias("_tt"))
+    sub = terms.where("_tn <> ''").withColumn("_g", F.substring("_tn", 1, GRAM)).select("ordinal", "_tn", "_g").distinct()
+    grams = t.select(id_col, "_nt", F.explode(F.concat(*[_grams(F.col("_nt"), n) for n in range(1, GRAM + 1)])).alias("_g"))
+    inside = grams.join(sub, "_g").where(F.contains("_nt", "_tn")).select(id_col, "ordinal")
+    keyed = terms.where(F.size("_tt") > 0).select("ordinal", F.array_distinct("_tt").alias("_tt")).distinct()
+    keyed = keyed.withColumn("_key", F.sha2(F.to_json(F.struct("ordinal", "_tt")), 256))
+    have = t.select(id_col, F.explode(F.array_distinct(folded_tokens(F.col("_nt")))).alias("_tok")).distinct()
+    hits = (have.join(keyed.select("ordinal", "_key", F.size("_tt").alias("_n"), F.explode("_tt").alias("_tok")), "_tok")
+            .groupBy(id_col, "ordinal", "_key", "_n").agg(F.count("*").alias("_k")).where("_k = _n").select(id_col, "ordinal"))
+    return inside.unionByName(hits).distinct()
+
+
 def _job_text() -> Column:
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "role_type", "occupation_group", "description")]
     return F.concat_ws(" ", *parts)

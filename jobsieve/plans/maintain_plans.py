@@ -41,17 +41,16 @@ _UPSERT_SQL = with_postings(
     f"""_b0 AS (SELECT * FROM postings WHERE posted_date < TIMESTAMP '{_B0_END:%Y-%m-%d %H:%M:%S}'),
 _b1 AS (SELECT * REPLACE (title || ' (refreshed)' AS title) FROM postings
         WHERE posted_date >= TIMESTAMP '{_B1_START:%Y-%m-%d %H:%M:%S}'),
-_t0 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, source_posting_id
-         ORDER BY posted_date DESC, CAST(id AS BIGINT) DESC) AS rn FROM _b0) WHERE rn = 1),
-_d1 AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, source_posting_id
-         ORDER BY posted_date DESC, CAST(id AS BIGINT) DESC) AS rn FROM _b1) WHERE rn = 1),
-_m AS (SELECT _d1.*, coalesce(k.id, i.id) AS tid FROM _d1
-       LEFT JOIN _t0 k ON _d1.source = k.source AND _d1.source_posting_id = k.source_posting_id
-       LEFT JOIN _t0 i ON k.id IS NULL AND _d1.id = i.id),
-_t1 AS (
-  SELECT * FROM _t0 WHERE id NOT IN (SELECT tid FROM _m WHERE tid IS NOT NULL)
-  UNION ALL BY NAME SELECT * EXCLUDE (id, tid), tid AS id FROM _m WHERE tid IS NOT NULL
-  UNION ALL BY NAME SELECT * EXCLUDE (tid) FROM _m WHERE tid IS NULL)""")
+_t0 AS (SELECT * EXCLUDE (rn, id, first_id), first_id AS id FROM (SELECT *,
+         row_number() OVER (PARTITION BY source, source_posting_id ORDER BY posted_date DESC, CAST(id AS BIGINT) DESC) AS rn,
+         first_value(id) OVER (PARTITION BY source, source_posting_id ORDER BY posted_date, CAST(id AS BIGINT)) AS first_id FROM _b0) WHERE rn = 1),
+_k1 AS (SELECT b.*, k.id AS kid FROM _b1 b LEFT JOIN _t0 k ON b.source = k.source AND b.source_posting_id = k.source_posting_id),
+_r1 AS (SELECT *, coalesce(kid, first_value(id) OVER (PARTITION BY source, source_posting_id
+         ORDER BY posted_date, CAST(id AS BIGINT))) AS tid FROM _k1),
+_m AS (SELECT * EXCLUDE (rn, kid) FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY posted_date DESC, CAST(id AS BIGINT) DESC) AS rn
+         FROM _r1) WHERE rn = 1),
+_t1 AS (SELECT * FROM _t0 WHERE id NOT IN (SELECT tid FROM _m)
+  UNION ALL BY NAME SELECT * EXCLUDE (id, tid), tid AS id FROM _m)""")
 
 
 @register("u1_upsert_two_batches", _UPSERT_SQL)
@@ -61,18 +60,14 @@ def u1_upsert_two_batches(spark, sf_dir):
 
 
 @register("j7_upsert_matches", with_postings(
-    """SELECT count(*) FILTER (WHERE tid IS NOT NULL) AS matched, count(*) FILTER (WHERE tid IS NULL) AS inserted FROM _m""",
+    "SELECT tid AS target_id, title, tid IN (SELECT id FROM _t0) AS matched FROM _m",
     _UPSERT_SQL[_UPSERT_SQL.index("_b0 AS ("):_UPSERT_SQL.index(",\n_t1 AS (")]))
 def j7_upsert_matches(spark, sf_dir):
     empty, b0, b1 = _batches(spark, sf_dir)
     t0 = mt.upsert(empty, b0, order="_ord", batch_id="b0")
-    d1 = mt.dedupe_batch(b1, "_ord")
-    k = t0.select(F.col("id").alias("kid"), F.col("source").alias("ks"), F.col("source_posting_id").alias("kp"))
-    i = t0.select(F.col("id").alias("iid"))
-    m = d1.join(k, (d1.source == k.ks) & (d1.source_posting_id == k.kp), "left")
-    m = m.join(i, F.col("kid").isNull() & (m.id == i.iid), "left")
-    tid = F.coalesce("kid", "iid")
-    return m.agg(F.count_if(tid.isNotNull()).alias("matched"), F.count_if(tid.isNull()).alias("inserted"))
+    r = mt.resolve_batch(t0, b1, "_ord", "b1")
+    known = t0.select(F.col("id").alias("_known"))
+    return r.join(known, r["_tid"] == known["_known"], "left").select(F.col("_tid").alias("target_id"), "title", F.col("_known").isNotNull().alias("matched"))
 
 
 @register("u2_expiry_sweep", with_postings(

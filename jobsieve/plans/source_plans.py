@@ -103,62 +103,93 @@ def s12_nested_json_records(spark, sf_dir):
 @register("s13_s14_alternate_csv_dir", with_postings(
     """SELECT id, title, company, CASE WHEN salary_min > 0 THEN salary_min END AS salary_min FROM postings"""))
 def s13_s14_alternate_csv_dir(spark, sf_dir):
+    """One folder that holds both layouts, in different column orders."""
     p = postings(spark, sf_dir)
     root = scratch_path(spark, "altcsv")
     even = (F.col("id").cast("long") % 2) == 0
     p.where(even).select("id", "title", "company", "location", "description", "salary_min", "salary_max") \
-        .write.option("header", True).csv(f"{root}/a")
-    p.where(~even).select("id", F.col("title").alias("job_title"), F.col("company").alias("company_name"), "location",
-                          F.col("description").alias("job_description"),
-                          F.coalesce("salary_min", F.lit(0.0)).alias("min_salary"),
-                          F.coalesce("salary_max", F.lit(0.0)).alias("max_salary")) \
-        .write.option("header", True).csv(f"{root}/b")
-    a = fl.read_alternate_csv_dir(spark, f"{root}/a")
-    b = fl.read_alternate_csv_dir(spark, f"{root}/b")
-    return a.unionByName(b).select("id", "title", "company", "salary_min")
-
-
-@register("s18_publish_messages", with_postings("SELECT id AS key FROM postings"))
+        .write.option("header", True).csv(root)
+    p.where(~even).select(F.coalesce("salary_max", F.lit(0.0)).alias("max_salary"), "location",
+                          F.col("description").alias("job_description"), F.col("company").alias("company_name"),
+                          F.coalesce("salary_min", F.lit(0.0)).alias("min_salary"), F.col("title").alias("job_title"), "id") \
+        .write.mode("append").option("header", True).csv(root)
+    return fl.read_alternate_csv_dir(spark, root).select("id", "title", "company", "salary_min")
+
+
+@register("s18_publish_messages", with_postings("SELECT id AS key, title, salary_min, CAST(len(required_skills) AS INTEGER) AS n_skills FROM postings"))
 def s18_publish_messages(spark, sf_dir):
     m = fl.to_messages(postings(spark, sf_dir))
     path = scratch_path(spark, "topic")
     m.write.json(path)  # the file stand-in for the topic (no Kafka connector in this environment)
-    return spark.read.schema("key string, value string").json(path).select("key")
+    body = F.from_json("value", "id string, title string, salary_min double, required_skills array<string>")
+    sent = spark.read.schema("key string, value string").json(path).select("key", body.alias("m"))
+    return sent.where(F.col("m.id") == F.col("key")).select("key", "m.title", "m.salary_min", F.size("m.required_skills").alias("n_skills"))
+
+
+# ingestion runs after the last posting date, so that strict validation passes; at AS_OF it rejects the batch
+INGEST_AS_OF = dt.datetime(2002, 1, 1)
+_ASOF = f"TIMESTAMP '{INGEST_AS_OF:%Y-%m-%d %H:%M:%S}'"
+_INGEST_SQL = """_in AS (SELECT * FROM postings WHERE source IN ('legal_demo_csv', 'company_feed')),
+_final AS (SELECT * EXCLUDE (rn, id, first_id), first_id AS id FROM (SELECT *,
+    row_number() OVER (PARTITION BY source, source_posting_id ORDER BY posted_date DESC, CAST(id AS BIGINT) DESC) AS rn,
+    first_value(id) OVER (PARTITION BY source, source_posting_id ORDER BY posted_date, CAST(id AS BIGINT)) AS first_id FROM _in) WHERE rn = 1)"""
 
 
-def _ingest(spark, sf_dir, dry_run=False):
+def _ingest(spark, sf_dir, dry_run=False, as_of=INGEST_AS_OF):
     p = postings(spark, sf_dir)
     root = scratch_path(spark, "table")
     srcs = {"legal_demo_csv": p.where(F.col("source") == "legal_demo_csv"),
             "company_feed": p.where(F.col("source") == "company_feed")}
-    # the two sources are clean: only rows posted by the as-of instant are ingested
-    srcs = {k: v.where(F.col("posted_date") <= F.lit(AS_OF)) for k, v in srcs.items()}
-    summary = ig.ingest(spark, srcs, root, "batch-0001", AS_OF, dry_run=dry_run)
+    # arrival order is a parameter of the feed: by posting date, then id
+    srcs = {k: v.orderBy("posted_date", F.col("id").cast("long")) for k, v in srcs.items()}
+    summary = ig.ingest(spark, srcs, root, "batch-0001", as_of, dry_run=dry_run)
     return summary, root
 
 
 @register("u7_ingest_summary", with_postings(
-    f"""SELECT source AS provider, count(*) AS fetched FROM postings
-        WHERE source IN ('legal_demo_csv', 'company_feed') AND posted_date <= TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}'
-        GROUP BY source"""))
+    f"""SELECT source AS provider, count(*) AS fetched, count(*) AS saved, min(source_legal_basis) AS legal_basis,
+               (SELECT count(*) FROM _final WHERE expires_at < {_ASOF}) AS expired,
+               (SELECT count(*) FROM _final WHERE expires_at IS NULL OR expires_at >= {_ASOF}) AS active_after
+        FROM _in GROUP BY source""", _INGEST_SQL))
 def u7_ingest_summary(spark, sf_dir):
     s, _ = _ingest(spark, sf_dir)
-    return s.select("provider", "fetched")
+    return s.select("provider", "fetched", "saved", "legal_basis", "expired", "active_after")
+
+
+@register("u7_dry_run", with_postings(
+    "SELECT source AS provider, count(*) AS fetched, CAST(0 AS BIGINT) AS saved, CAST(0 AS BIGINT) AS expired, CAST(0 AS BIGINT) AS active_after FROM _in GROUP BY source",
+    _INGEST_SQL))
+def u7_dry_run(spark, sf_dir):
+    s, _ = _ingest(spark, sf_dir, dry_run=True)
+    return s.select("provider", "fetched", "saved", "expired", "active_after")
 
 
 @register("u7_ingested_table", with_postings(
-    f"""SELECT count(*) AS rows, count(*) FILTER (WHERE expires_at < TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}') AS expired
-        FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, source_posting_id
-              ORDER BY posted_date DESC, id DESC) AS rn FROM postings
-              WHERE source IN ('legal_demo_csv', 'company_feed') AND posted_date <= TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}')
-              WHERE rn = 1)"""))
+    f"SELECT id, source, source_posting_id, title, expires_at < {_ASOF} AS is_expired FROM _final", _INGEST_SQL))
 def u7_ingested_table(spark, sf_dir):
     _, root = _ingest(spark, sf_dir)
-    t = fl.read_current(spark, root)
-    return t.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("is_expired")).alias("expired"))
+    return fl.read_current(spark, root).select("id", "source", "source_posting_id", "title", "is_expired")
+
+
+@register("u7_rejected_batch", with_postings(
+    f"""SELECT 'failed' AS status, 'validation failed: not_in_future:posted_date (' || count(*) || ')' AS error, FALSE AS published
+        FROM _in WHERE posted_date > TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}'""", _INGEST_SQL))
+def u7_rejected_batch(spark, sf_dir):
+    """Postings dated after the as-of instant: strict validation rejects the whole batch and nothing is published."""
+    p = postings(spark, sf_dir)
+    root = scratch_path(spark, "table")
+    try:
+        ig.ingest(spark, {k: p.where(F.col("source") == k) for k in ("legal_demo_csv", "company_feed")}, root, "batch-0001", AS_OF)
+    except ValueError:
+        pass
+    state = mt.latest_batches(spark.read.parquet(f"{root}/_audit"))
+    return state.select("status", "error", F.lit(fl.read_current(spark, root) is not None).alias("published"))
 
 
-@register("u3_w9_audit_batches", None)
+@register("u3_w9_audit_batches", with_postings(
+    f"""SELECT 'batch-0001' AS batch_id, 'completed' AS status, '["legal_demo_csv", "company_feed"]' AS sources, count(*) AS fetched,
+               count(*) AS saved, (SELECT count(*) FROM _final WHERE expires_at < {_ASOF}) AS expired FROM _in
+        UNION ALL SELECT 'batch-0002', 'failed', '["linkedin"]', 0, 0, 0""", _INGEST_SQL))
 def u3_w9_audit_batches(spark, sf_dir):
     _, root = _ingest(spark, sf_dir)
     try:

@@ -42,7 +42,7 @@ def _text_match_sql(src, idc, textc):
 
 def _text_match(df, idc, text):
     lit = tx.concept_set(df.sparkSession)
-    m = tx.match_concepts(df.select(idc, text), F.col(text), lit, "m", long_text=True)
+    m = tx.match_concepts(df.select(idc, text), F.col(text), lit, "m", engine="automaton")
     return tx.explode_matches(m.select(idc, "m"), "m").select(
         idc, F.col("c.ordinal").alias("ordinal"), F.col("c.concept_type").alias("concept_type"),
         F.col("c.preferred_label").alias("preferred_label"))
@@ -70,7 +70,7 @@ GROUP BY doc_id""")
 def j1a_occupation_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     occ = tx.concept_set(spark, "occupation")
-    m = tx.match_concepts(d, F.col("text"), occ, "m", long_text=True).select("doc_id", F.slice("m", 1, 1).alias("m"))
+    m = tx.match_concepts(d, F.col("text"), occ, "m", engine="automaton").select("doc_id", F.slice("m", 1, 1).alias("m"))
     return tx.explode_matches(m, "m").select("doc_id", F.col("c.preferred_label").alias("occupation"),
                                              F.col("c.ordinal").alias("ordinal"))
 

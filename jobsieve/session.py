@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "jobsieve", shuffle_partitions: int | None = None) -> SparkSession:
-    """Return a session configured for this library (UTC clock, AQE, no UI)."""
+    """Return a session configured for this library (UTC clock, AQE, no UI). The number of shuffle partitions is
+    left to the cluster unless given here or in ``JOBSIEVE_SHUFFLE_PARTITIONS`` (tests, local runs)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("JOBSIEVE_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("JOBSIEVE_SHUFFLE_PARTITIONS")
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     spark = (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -31,12 +34,14 @@ def get_spark(master: str | None = None, app: str = "jobsieve", shuffle_partitio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests, local runs)
-    fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a local session (one machine) may leave it unset and gets
+    a fresh scratch folder; on a cluster a missing shared folder is an error."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="jobsieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -14,10 +14,6 @@ from jobsieve.functions.text import infer_city, infer_country, parse_bool, parse
 from jobsieve.operators.taxonomy import extract_skills
 
 DATE_COLUMNS = ["posted_date", "posted_at", "expires_at", "last_seen_at"]
-CANONICAL_STRING = ["id", "title", "company", "location", "description", "job_type", "employment_type", "source",
-                    "source_posting_id", "url", "application_url", "company_career_url", "country", "city",
-                    "federal_state", "remote_status", "role_type", "occupation_group", "experience_level",
-                    "source_legal_basis", "ingestion_batch_id", "salary_period", "currency"]
 # Fixed values that must equal the reference: alternate column names accepted from CSV directories.
 ALTERNATE_NAMES = {
     "title": ["title", "job_title"], "company": ["company", "company_name"], "location": ["location"],
@@ -26,9 +22,10 @@ ALTERNATE_NAMES = {
 }
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Header-first CSV read, every column as text (no inference)."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Header-first CSV read, every column as text (no inference). ``multi_line`` is for fields with line
+    breaks; without it a large file is split over tasks."""
+    return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
 def _get(df: DataFrame, c: str) -> Column:
@@ -53,10 +50,11 @@ def normalize_raw(df: DataFrame, provider: str, legal_basis: str | None) -> Data
     return df.select(
         g("id").cast("string").alias("id"), g("title").cast("string").alias("title"),
         g("company").cast("string").alias("company"), loc.alias("location"),
-        _nz(g("salary_min")).cast("double").alias("salary_min"), _nz(g("salary_max")).cast("double").alias("salary_max"),
+        _nz(g("salary_min")).cast("string").try_cast("double").alias("salary_min"),
+        _nz(g("salary_max")).cast("string").try_cast("double").alias("salary_max"),
         F.coalesce(_nz(g("salary_period")), F.lit("yearly")).alias("salary_period"),
         parse_bool(g("salary_is_estimated"), False).alias("salary_is_estimated"),
-        _nz(g("salary_confidence")).cast("double").alias("salary_confidence"),
+        _nz(g("salary_confidence")).cast("string").try_cast("double").alias("salary_confidence"),
         F.coalesce(_nz(g("job_type")), F.lit("Full-time")).alias("job_type"),
         F.coalesce(_nz(g("employment_type")), F.lit("permanent")).alias("employment_type"),
         F.coalesce(g("description").cast("string"), F.lit("")).alias("description"),
@@ -101,11 +99,6 @@ def keyword_filter(jobs: DataFrame, keywords: list[str], location: str | None =
     return d.where(hit)
 
 
-def first_n(df: DataFrame, n: int | None, order: list[str]) -> DataFrame:
-    """The fetch cap: first ``n`` rows in the source's declared order (no cap when ``n`` is None)."""
-    return df if n is None else df.orderBy(*order).limit(n)
-
-
 def per_keyword_fetch(jobs: DataFrame, keywords: list[str], limit: int, order: str = "id") -> DataFrame:
     """One pull per keyword (keyword position order), each capped at ``limit``, stop once
     ``limit`` rows are gathered: the first ``limit`` rows by (keyword position, row order)."""
@@ -159,10 +152,35 @@ def clean_salary_value(c: Column) -> Column:
     return F.when(v > 0, v)
 
 
+def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Header -> files with it, from the first line of every CSV file under ``path`` (one short row per file)."""
+    first = (spark.read.option("wholetext", False).text(path).select("value", F.input_file_name().alias("file"), F.expr("_metadata.file_block_start").alias("at"))
+             .where("at = 0").groupBy("file").agg(F.first("value").alias("line")))
+    header = F.transform(F.split(F.regexp_replace("line", "^\ufeff", ""), ","), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+    files: dict[tuple[str, ...], list[str]] = {}
+    for r in first.select("file", header.alias("h")).collect():
+        files.setdefault(tuple(r.h), []).append(r.file)
+    return files
+
+
 def read_alternate_csv_dir(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A directory of CSV files whose columns may use alternate names; per file the first
-    present name wins; salaries cleaned (S14); skills extracted from the description (S15)."""
-    raw = read_csv_text(spark, path)
+    """A directory of CSV files whose columns may use alternate names, in any order and mixed; the first present
+    name wins; salaries cleaned (S14); skills extracted from the description (S15).
+
+    Files are read once per distinct header; a file that holds none of the known columns is left out."""
+    known = {n for names in ALTERNATE_NAMES.values() for n in names}
+    out = None
+    for header, files in sorted(csv_layouts(spark, path).items()):
+        if not known & set(header):
+            continue
+        part = _alternate_layout(read_csv_text(spark, files))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = _alternate_layout(spark.createDataFrame([], "id string"))
+    return out if limit is None else out.orderBy("id").limit(limit)
+
+
+def _alternate_layout(raw: DataFrame) -> DataFrame:
     cols = set(raw.columns)
 
     def pick(key):
@@ -174,8 +192,7 @@ def read_alternate_csv_dir(spark: SparkSession, path: str, limit: int | None = N
         pick("location").alias("location"), F.coalesce(pick("job_type"), F.lit("Full-time")).alias("job_type"),
         F.coalesce(pick("description"), F.lit("")).alias("description"),
         clean_salary_value(pick("salary_min")).alias("salary_min"), clean_salary_value(pick("salary_max")).alias("salary_max"))
-    out = out.withColumn("required_skills", F.array_distinct(extract_skills(F.col("description"))))
-    return out if limit is None else out.orderBy("id").limit(limit)
+    return out.withColumn("required_skills", F.array_distinct(extract_skills(F.col("description"))))
 
 
 def write_csv(df: DataFrame, path: str, skills: str = "required_skills") -> None:

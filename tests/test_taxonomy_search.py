@@ -91,7 +91,7 @@ def test_automaton_path_equals_jvm_path(spark):
     rnd = random.Random(11)
     rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, t string")
-    fast = {r["id"]: [c["ordinal"] for c in r["m"]] for r in tx.match_concepts(df, F.col("t"), cs, "m", long_text=True).collect()}
+    fast = {r["id"]: [c["ordinal"] for c in r["m"]] for r in tx.match_concepts(df, F.col("t"), cs, "m", engine="automaton").collect()}
     slow = {r["id"]: [c["ordinal"] for c in r["m"]] for r in tx.match_concepts(df, F.col("t"), cs, "m").collect()}
     assert fast == slow
     assert sum(len(v) for v in fast.values()) > 100
