@@ -8,8 +8,9 @@ from jobsieve.functions.salary import midpoint
 from jobsieve.operators import questions as qu
 from jobsieve.operators import salary as sal
 from jobsieve.operators import skills as sk
+from jobsieve.plans.oracle_base import QUESTIONS_CTE
 from jobsieve.plans.registry import register
-from jobsieve.sources.tables import postings, table
+from jobsieve.sources.tables import postings, questions, table
 
 _Q = "lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))"
 
@@ -25,17 +26,18 @@ _INTENT = f"""CASE WHEN {_any(qu.TOP_SKILL_PHRASES)} OR (contains({_Q}, 'top') A
 
 
 @register("n1_n2_question_parse", f"""
+WITH {QUESTIONS_CTE}
 SELECT conv_id, turn, {_INTENT} AS intent,
        CASE WHEN regexp_extract({_Q}, 'top\\s+(\\d+)', 1) <> '' THEN CAST(regexp_extract({_Q}, 'top\\s+(\\d+)', 1) AS INTEGER) ELSE 5 END AS top_n,
        array_to_string(list_transform(regexp_extract_all(text, '''[^'']+''|"[^"]+"', 0), lambda m: substr(m, 2, length(m) - 2)), '|') AS entities
-FROM conversations WHERE role = 'user'""")
+FROM _questions""")
 def n1_n2_question_parse(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    c = questions(spark, sf_dir)
     return c.select("conv_id", "turn", qu.intent(F.col("text")).alias("intent"), qu.top_n(F.col("text")).alias("top_n"),
                     F.array_join(qu.entities(F.col("text")), "|").alias("entities"))
 
 
-@register("n4_n6_route_and_job_id", """
+@register("n4_n6_route_and_job_id", "WITH " + QUESTIONS_CTE + """
 SELECT conv_id, turn,
        CASE WHEN contains(lower(text), 'salary') AND (contains(lower(text), 'anomal') OR contains(lower(text), 'outlier')
             OR contains(lower(text), 'flag')) THEN 'explain_salary_anomaly' ELSE 'general_market_question' END AS route,
@@ -43,9 +45,9 @@ SELECT conv_id, turn,
             THEN substr(regexp_extract_all(text, '''[^'']+''|"[^"]+"', 0)[1], 2, length(regexp_extract_all(text, '''[^'']+''|"[^"]+"', 0)[1]) - 2)
             WHEN regexp_extract(text, '(?i)\\b(?:job[_\\s-]?id|id)\\s*[:=]?\\s*([A-Za-z0-9_-]+)', 1) <> ''
             THEN regexp_extract(text, '(?i)\\b(?:job[_\\s-]?id|id)\\s*[:=]?\\s*([A-Za-z0-9_-]+)', 1) END AS job_id
-FROM conversations""")
+FROM _questions""")
 def n4_n6_route_and_job_id(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    c = questions(spark, sf_dir)
     return c.select("conv_id", "turn", qu.route(F.col("text")).alias("route"), qu.job_id(F.col("text")).alias("job_id"))
 
 
@@ -57,7 +59,7 @@ def n3_answers(spark, sf_dir):
     n_anom = anomalies.select(F.count(F.lit(1))).scalar()
     remote = p.select(F.count_if(F.lower("remote_status") == "remote")).scalar()
     total = p.select(F.count(F.lit(1))).scalar()
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    c = questions(spark, sf_dir)
     a = qu.answers(c, "text", sk.top_skills(p, 20), n_anom, remote, total)
     return a.select("conv_id", "turn", "intent", "answer")
 

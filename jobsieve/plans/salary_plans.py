@@ -139,12 +139,12 @@ SELECT id,
   CASE WHEN has_mid THEN salary_min WHEN estimable THEN round_even(elo, -2) END AS eff_salary_min,
   CASE WHEN has_mid THEN salary_max WHEN estimable THEN round_even(ehi, -2) END AS eff_salary_max,
   CASE WHEN has_mid THEN (salary_min + salary_max) / 2 WHEN estimable THEN round_even((elo + ehi) / 2, 2) END AS salary_midpoint,
-  CASE WHEN has_mid THEN printf('%,d', CAST(trunc(salary_min) AS BIGINT)) || '-' || printf('%,d', CAST(trunc(salary_max) AS BIGINT)) || ' EUR'
+  CASE WHEN has_mid THEN CASE WHEN salary_is_estimated THEN 'Estimated ' ELSE '' END || printf('%,d', CAST(trunc(salary_min) AS BIGINT)) || '-' || printf('%,d', CAST(trunc(salary_max) AS BIGINT)) || ' EUR'
        WHEN estimable THEN 'Estimated ' || printf('%,d', CAST(trunc(round_even(elo, -2)) AS BIGINT)) || '-' || printf('%,d', CAST(trunc(round_even(ehi, -2)) AS BIGINT)) || ' EUR'
        ELSE 'Salary not listed' END AS salary_label,
-  CASE WHEN has_mid THEN 'listed' WHEN estimable THEN 'estimated' ELSE 'missing' END AS salary_type,
-  CASE WHEN has_mid THEN FALSE ELSE estimable END AS eff_salary_is_estimated,
-  CASE WHEN has_mid THEN 1.0 WHEN estimable THEN round_even(least(conf0 + least(en, 5) * 0.02, 0.9), 2) END AS eff_salary_confidence,
+  CASE WHEN has_mid AND salary_is_estimated THEN 'estimated' WHEN has_mid THEN 'listed' WHEN estimable THEN 'estimated' ELSE 'missing' END AS salary_type,
+  CASE WHEN has_mid THEN salary_is_estimated ELSE estimable END AS eff_salary_is_estimated,
+  CASE WHEN has_mid AND salary_is_estimated THEN salary_confidence WHEN has_mid THEN 1.0 WHEN estimable THEN round_even(least(conf0 + least(en, 5) * 0.02, 0.9), 2) END AS eff_salary_confidence,
   CASE WHEN has_mid THEN NULL WHEN estimable THEN basis END AS salary_estimation_basis
 FROM _f"""
     return "WITH " + POSTINGS_CTE + ",\n" + ",\n".join(rungs) + body

@@ -25,6 +25,16 @@ SOURCE_BY_BUCKET = [
     ("partner_portal", "Licensed partner agreement for listing display."),
 ]
 WORK_MODE_BY_STATUS = {"F": "remote", "O": "onsite", "P": "hybrid"}
+# Given by key, so that every branch of the operators meets data: (every n-th key, values taken in turn).
+TITLE_WORDS = (9, ["Nurse", "Pflegefachkraft", "Warehouse Worker", "Staplerfahrer", "Accountant", "Buchhaltung",
+                   "Store Manager", "Elektriker", "Recruiter", "Payroll Clerk"])
+EXTRA_SKILLS = (6, ["Forklift License", "CRM", "DATEV", "Kundenservice", "Patient Care", "Bestand"])
+CITIES = (8, ["Munich", "Hamburg", "Leipzig", "Bremen", "Berlin"])
+LEVELS = (10, ["Junior", "Senior", "Lead", "Trainee"])
+ESTIMATED_EVERY, SEEN_EVERY, OUTLIER_EVERY, OUTLIER_FACTOR = 12, 4, 501, 20
+# One question template per intent, dealt to user turns by bucket; the other buckets keep their text.
+QUESTION_BUCKETS = 10
+QUESTION_ROLES = ["nurse", "steel", "no such role", "Store Manager", "brushed tin"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,15 +85,52 @@ def postings(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Data
         return postings_view(spark, sf_dir)
     from jobsieve.session import ensure_checkpoint_dir
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tables/postings-{_input_fingerprint(spark, sf_dir)}"
+    path = f"{root}/tables/postings-{_code_version()}-{_input_fingerprint(spark, sf_dir)}"
     jvm = spark._jvm
     marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(marker):
-        postings_view(spark, sf_dir).write.mode("overwrite").parquet(path)
+        # written aside and renamed whole: of concurrent builders the first to finish publishes
+        from jobsieve.session import scratch_path
+        made = scratch_path(spark, "postings")
+        postings_view(spark, sf_dir).write.parquet(made)
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        fs.mkdirs(target.getParent())
+        if fs.exists(marker) or not fs.rename(jvm.org.apache.hadoop.fs.Path(made), target):
+            return spark.read.parquet(path if fs.exists(marker) else made)
     return spark.read.parquet(path)
 
 
+def _code_version() -> str:
+    """Hash of this module: a changed view never serves a table built by older code."""
+    import hashlib
+    import inspect
+    import sys
+    return hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:12]
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, text): the user turns of ``conversations``, most of them turned into questions by bucket."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    n = F.col("conv_id").cast("string")
+    bucket = (F.col("conv_id") * 7 + F.col("turn")) % QUESTION_BUCKETS
+    role = F.element_at(F.array(*map(F.lit, QUESTION_ROLES)), (F.col("conv_id") % len(QUESTION_ROLES) + 1).cast("int"))
+    asked = [
+        F.concat(F.lit("What are the top "), (F.col("conv_id") % 9 + 1).cast("string"), F.lit(" skills?")),
+        F.lit("Is there any salary outlier in the data?"),
+        F.concat(F.lit("What is the salary for '"), role, F.lit("'?")),
+        F.lit("Which in-demand roles come next quarter?"),
+        F.lit("How many remote jobs are there?"),
+        F.lit("How many jobs are listed?"),
+        F.concat(F.lit('Why was the salary of "'), n, F.lit('" flagged?')),
+        F.concat(F.lit("Explain the salary anomaly of job id: "), n),
+    ]
+    text = F.col("text")
+    for i, q in enumerate(asked):
+        text = F.when(bucket == i, q).otherwise(text)
+    return c.select("conv_id", "turn", text.alias("text"))
+
+
 def postings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical posting rows derived from orders, customer, nation, region, lineitem and part."""
     o = table(spark, sf_dir, "orders")
@@ -105,7 +152,17 @@ def postings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*[F.lit(b).cast("string") for _, b in SOURCE_BY_BUCKET]), (bucket + 1).cast("int")
     )
     first_type = F.col("lines")[0]["p_type"]
+
+    def dealt(spec, otherwise):
+        every, values = spec
+        turn = (F.floor(key / every) % len(values)).cast("int")
+        return F.when(key % every == 0, F.element_at(F.array(*map(F.lit, values)), turn + 1)).otherwise(otherwise)
+
     skills = F.coalesce(F.transform("lines", lambda x: x["p_name"]), F.array().cast("array<string>"))
+    extra = dealt(EXTRA_SKILLS, F.lit(None).cast("string"))
+    skills = F.when(extra.isNotNull(), F.concat(skills, F.array(extra))).otherwise(skills)
+    city = dealt(CITIES, F.col("n_name"))
+    country = F.when(key % CITIES[0] == 0, F.lit("Germany")).otherwise(F.col("r_name"))
     no_salary = (
         (key % 7 == 0)
         | (F.col("c_mktsegment") == "HOUSEHOLD")
@@ -113,14 +170,14 @@ def postings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         | ((F.col("n_nationkey") < 5) & (F.col("o_orderpriority") == "5-LOW"))
         | ((F.col("c_mktsegment") == "MACHINERY") & (F.col("o_orderpriority") == "2-HIGH"))
     )
-    smin = F.floor("o_totalprice").cast("double")
+    smin = F.floor("o_totalprice").cast("double") * F.when(key % OUTLIER_EVERY == 1, F.lit(float(OUTLIER_FACTOR))).otherwise(F.lit(1.0))
     smax = smin + (key % 20 * 1000).cast("double")
     work_mode = F.coalesce(
         *[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in WORK_MODE_BY_STATUS.items()]
     )
-    title = F.when(first_type.isNull(), F.col("c_mktsegment")).otherwise(
-        F.concat(first_type, F.lit(" "), F.col("c_mktsegment"))
-    )
+    lead = dealt(TITLE_WORDS, first_type)
+    title = F.when(lead.isNull(), F.col("c_mktsegment")).otherwise(F.concat(lead, F.lit(" "), F.col("c_mktsegment")))
+    estimated = key % ESTIMATED_EVERY == 5
     posted = F.col("o_orderdate").cast("timestamp_ntz")
     return base.select(
         key.cast("string").alias("id"),
@@ -129,9 +186,9 @@ def postings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         basis.alias("source_legal_basis"),
         title.alias("title"),
         F.col("c_name").alias("company"),
-        F.concat(F.col("n_name"), F.lit(", "), F.col("r_name")).alias("location"),
-        F.col("n_name").alias("city"),
-        F.col("r_name").alias("country"),
+        F.concat(city, F.lit(", "), country).alias("location"),
+        city.alias("city"),
+        country.alias("country"),
         F.lit(None).cast("string").alias("federal_state"),
         F.concat(F.lit("Role in "), F.col("n_name"), F.lit(" requiring "), F.array_join(skills, ", ")).alias(
             "description"
@@ -141,14 +198,14 @@ def postings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~no_salary, smin).alias("salary_min"),
         F.when(~no_salary, smax).alias("salary_max"),
         F.lit("yearly").alias("salary_period"),
-        F.lit(False).alias("salary_is_estimated"),
-        F.lit(None).cast("double").alias("salary_confidence"),
+        estimated.alias("salary_is_estimated"),
+        F.when(estimated, (key % 7).cast("double") / 10).alias("salary_confidence"),
         F.lit("EUR").alias("currency"),
         skills.alias("required_skills"),
         posted.alias("posted_date"),
         posted.alias("posted_at"),
         (posted + F.make_dt_interval(days=(key % 400).cast("int"))).alias("expires_at"),
-        F.lit(None).cast("timestamp_ntz").alias("last_seen_at"),
+        F.when(key % SEEN_EVERY == 0, posted).alias("last_seen_at"),
         F.lit(False).alias("is_expired"),
         F.when(key % 3 == 0, F.concat(F.lit("https://jobs.example.org/postings/"), key.cast("string"))).alias("url"),
         F.when(key % 11 == 0, F.concat(F.lit("https://apply.example.org/"), key.cast("string"))).alias(
@@ -158,6 +215,6 @@ def postings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         work_mode.alias("remote_status"),
         F.col("c_mktsegment").alias("role_type"),
         first_type.alias("occupation_group"),
-        F.col("o_orderpriority").alias("experience_level"),
+        dealt(LEVELS, F.col("o_orderpriority")).alias("experience_level"),
         F.lit(None).cast("string").alias("ingestion_batch_id"),
     )
