@@ -16,6 +16,7 @@ JOB_ID = r"(?i)\b(?:job[_\s-]?id|id)\s*[:=]?\s*([A-Za-z0-9_-]+)"
 TOP_N = r"top\s+(\d+)"
 DEFAULT_TOP_N = 5
 SUMMARY_TEXT = "I can summarize jobs, skills, salary anomalies, and role predictions once data is loaded."
+NO_ROLE_TEXT = "I could not find salary data for that role in the current dataset."
 GENERAL_TEXT = ("I can currently explain salary anomaly flags by retrieving the job posting, "
                 "running the anomaly detector, and summarizing the evidence.")
 
@@ -65,24 +66,55 @@ def route(q: Column) -> Column:
     return F.when(v.contains("salary") & _any(v, EXPLAIN_WORDS), "explain_salary_anomaly").otherwise("general_market_question")
 
 
+def role_of_entity(questions: DataFrame, entity: str, roles: DataFrame, gram: int = 3) -> DataFrame:
+    """(entity, role): the first role (alphabetically) whose name contains each distinct non-empty entity, without
+    regard to case.
+
+    No pairs: an entity is keyed by its first ``gram`` characters (all of them if it is shorter) and meets the role
+    names that hold that gram."""
+    low = F.lower(entity)
+    e = questions.select(F.col(entity).alias("_e"), low.alias("_le"), F.substring(low, 1, gram).alias("_g")).where("_le <> ''").distinct()
+    r = roles.select("role", F.lower("role").alias("_lr")).distinct()
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.char_length("_lr"), F.lit(1))), lambda i: F.substring(F.col("_lr"), i, n))))
+    held = r.select("role", "_lr", F.explode(F.array_distinct(grams)).alias("_g"))
+    return e.join(held, "_g").where(F.contains("_lr", "_le")).groupBy("_e").agg(F.min("role").alias("role"))
+
+
 def answers(questions: DataFrame, q: str, top_skills: DataFrame, anomaly_count: Column, remote_jobs: Column,
-            total_jobs: Column) -> DataFrame:
-    """The answer text per question from one-row aggregates (scalar subqueries).
+            total_jobs: Column, role_stats: DataFrame, forecast: DataFrame, currency: str = "EUR") -> DataFrame:
+    """The answer text per question from one-row aggregates (scalar subqueries) and one small join.
 
-    ``top_skills``: (skill, demand) ordered rows (the top-20 list); sliced per question by its top n."""
+    ``top_skills``: (skill, demand) ordered rows (the top-20 list) and ``forecast``: (role, projected_demand_index)
+    rows, both sliced per question by its top n; ``role_stats``: (role, min, max, median), met by the first quoted
+    entity of salary questions. A salary question without entity gets the summary."""
     ordered = top_skills.select(F.sort_array(F.collect_list(F.struct(
         (-F.col("demand")).alias("k"), F.col("skill").alias("skill"), F.col("demand").alias("demand")))).alias("a"))
     tops = ordered.select("a").scalar()
     # each one-row aggregate is attached once as a column (a scalar referenced twice is planned twice)
+    ahead = forecast.select(F.sort_array(F.collect_list(F.struct(
+        (-F.col("projected_demand_index")).alias("k"), F.col("role").alias("role")))).alias("a")).select("a").scalar()
     d = questions.withColumn("intent", intent(F.col(q))).withColumn("top_n", top_n(F.col(q))).withColumns(
-        {"_tops": tops, "_anom": anomaly_count, "_remote": remote_jobs, "_total": total_jobs})
+        {"_tops": tops, "_anom": anomaly_count, "_remote": remote_jobs, "_total": total_jobs, "_ahead": ahead,
+         "_entity": F.get(entities(F.col(q)), F.lit(0))})
+    named = role_of_entity(d.where("intent = 'salary_range'"), "_entity", role_stats).join(role_stats, "role")
+    d = d.join(named.withColumnRenamed("role", "_role"), (F.col("_entity") == F.col("_e")) & (F.col("intent") == "salary_range"), "left")
     anomaly_count, remote_jobs, total_jobs = F.col("_anom"), F.col("_remote"), F.col("_total")
     # slice first (outside any lambda), then format the slice
     d = d.withColumn("_sl", F.slice("_tops", 1, F.greatest(F.col("top_n"), F.lit(1))))
     d = d.withColumn("_sl", F.when(F.col("top_n") > 0, F.col("_sl")).otherwise(F.array().cast(d.schema["_sl"].dataType)))
     listed = F.array_join(F.transform("_sl",
                                       lambda s: F.concat(s["skill"], F.lit(" ("), s["demand"].cast("string"), F.lit(")"))), ", ")
-    text = (F.when((F.col("intent") == "top_skills") & (F.size("_tops") > 0), F.concat(F.lit("Top skills right now: "), listed, F.lit(".")))
+    d = d.withColumn("_fl", F.when(F.col("top_n") > 0, F.slice("_ahead", 1, F.greatest(F.col("top_n"), F.lit(1)))))
+    coming = F.array_join(F.transform("_fl", lambda r: F.concat(r["role"], F.lit(" ("), F.format_string("%.1f", -r["k"]), F.lit(")"))), ", ")
+    money = lambda c: F.concat(F.format_string("%,.0f", F.bround(F.col(c), 0)), F.lit(f" {currency}"))
+    text = (F.when((F.col("intent") == "salary_range") & F.col("_role").isNotNull(), F.concat(
+                F.col("_role"), F.lit(" currently ranges from "), money("min"), F.lit(" to "), money("max"),
+                F.lit(", with a median of "), money("median"), F.lit(".")))
+            .when((F.col("intent") == "salary_range") & (F.coalesce("_entity", F.lit("")) != ""), F.lit(NO_ROLE_TEXT))
+            .when((F.col("intent") == "predicted_roles") & (F.size("_ahead") > 0),
+                  F.concat(F.lit("Projected in-demand roles: "), F.coalesce(coming, F.lit("")), F.lit(".")))
+            .when((F.col("intent") == "top_skills") & (F.size("_tops") > 0), F.concat(F.lit("Top skills right now: "), listed, F.lit(".")))
             .when((F.col("intent") == "salary_anomalies") & (anomaly_count == 0),
                   F.lit("No salary anomalies were detected in the current dataset."))
             .when(F.col("intent") == "salary_anomalies",
@@ -93,7 +125,7 @@ def answers(questions: DataFrame, q: str, top_skills: DataFrame, anomaly_count:
             .when(F.col("intent") == "job_count",
                   F.concat(F.lit("The current dataset contains "), total_jobs.cast("string"), F.lit(" jobs.")))
             .otherwise(F.lit(SUMMARY_TEXT)))
-    return d.withColumn("answer", text).drop("_tops", "_sl", "_anom", "_remote", "_total")
+    return d.withColumn("answer", text).drop("_tops", "_sl", "_anom", "_remote", "_total", "_ahead", "_fl", "_entity", "_e", "_role", "min", "max", "median", "count")
 
 
 def _money(c: Column, symbol: str) -> Column:

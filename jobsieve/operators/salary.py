@@ -96,13 +96,18 @@ def salary_anomalies(df: DataFrame, id_col: str, role: Column, value: Column,
     return keep_where(out, F.size("reasons") > 0)
 
 
+def role_salaries(df: DataFrame, group: str = "title", value: Column | None = None) -> DataFrame:
+    """(role, min, max, median, count) of every role with a salary midpoint."""
+    v = value if value is not None else S.midpoint()
+    base = df.select(F.coalesce(F.col(group), F.lit("Unknown Role")).alias("role"), v.alias("v")).where(F.col("v").isNotNull())
+    return base.groupBy("role").agg(F.min("v").alias("min"), F.max("v").alias("max"),
+                                    F.median("v").alias("median"), F.count(F.lit(1)).alias("count"))
+
+
 def salary_range_for(df: DataFrame, role_query: str, group: str = "title", value: Column | None = None) -> DataFrame:
     """A10: stats of the first role (alphabetically) whose name contains ``role_query``
     (case-insensitive); a zero row when none matches."""
-    v = value if value is not None else S.midpoint()
-    base = df.select(F.coalesce(F.col(group), F.lit("Unknown Role")).alias("role"), v.alias("v")).where(F.col("v").isNotNull())
-    stats = base.groupBy("role").agg(F.min("v").alias("min"), F.max("v").alias("max"),
-                                     F.median("v").alias("median"), F.count(F.lit(1)).alias("count"))
+    stats = role_salaries(df, group, value)
     hit = stats.where(F.lower("role").contains(role_query.lower())).orderBy("role").limit(1)
     zero = df.sparkSession.range(1).select(
         F.lit(role_query).alias("role"), F.lit(0.0).alias("min"), F.lit(0.0).alias("max"),

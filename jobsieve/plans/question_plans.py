@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobsieve.functions.salary import midpoint
+from jobsieve.operators import model as ml
 from jobsieve.operators import questions as qu
 from jobsieve.operators import salary as sal
 from jobsieve.operators import skills as sk
@@ -51,7 +52,42 @@ def n4_n6_route_and_job_id(spark, sf_dir):
     return c.select("conv_id", "turn", qu.route(F.col("text")).alias("route"), qu.job_id(F.col("text")).alias("job_id"))
 
 
-@register("n3_answers", None)
+def _n3_sql() -> str:
+    from jobsieve.plans import salary_plans, skill_plans  # noqa: F401  (register the SQL used below)
+    from jobsieve.plans.oracle_base import with_postings
+    from jobsieve.plans.registry import ORACLE
+
+    def money(c):
+        return f"printf('%,d', CAST(round_even({c}, 0) AS BIGINT)) || ' EUR'"
+    return with_postings(f"""
+SELECT conv_id, turn, intent, CASE
+    WHEN intent = 'salary_range' AND hit.role IS NOT NULL THEN hit.role || ' currently ranges from ' || {money('hit.lo')} || ' to '
+         || {money('hit.hi')} || ', with a median of ' || {money('hit.med')} || '.'
+    WHEN intent = 'salary_range' AND coalesce(entity, '') <> '' THEN '{qu.NO_ROLE_TEXT}'
+    WHEN intent = 'predicted_roles' THEN 'Projected in-demand roles: ' || (SELECT string_agg(role || ' (' || printf('%.1f', idx) || ')', ', ' ORDER BY idx DESC, role)
+         FROM _ahead WHERE rn <= top_n) || '.'
+    WHEN intent = 'top_skills' THEN 'Top skills right now: ' || (SELECT string_agg(skill || ' (' || demand || ')', ', ' ORDER BY demand DESC, skill)
+         FROM _ranked WHERE rn <= top_n) || '.'
+    WHEN intent = 'salary_anomalies' THEN (SELECT CASE WHEN count(*) = 0 THEN 'No salary anomalies were detected in the current dataset.'
+         ELSE 'I found ' || count(*) || ' salary anomalies in the current dataset.' END FROM ({ORACLE["j6_anomalies_events"]}))
+    WHEN intent = 'remote_summary' THEN 'There are ' || (SELECT count(*) FROM postings WHERE lower(remote_status) = 'remote') || ' remote jobs out of '
+         || (SELECT count(*) FROM postings) || ' jobs in the current dataset.'
+    WHEN intent = 'job_count' THEN 'The current dataset contains ' || (SELECT count(*) FROM postings) || ' jobs.'
+    ELSE '{qu.SUMMARY_TEXT}' END AS answer
+FROM _asked LEFT JOIN _hit hit USING (entity)""", f"""{QUESTIONS_CTE},
+_asked AS (SELECT conv_id, turn, {_INTENT} AS intent,
+    CASE WHEN regexp_extract({_Q}, 'top\\s+(\\d+)', 1) <> '' THEN CAST(regexp_extract({_Q}, 'top\\s+(\\d+)', 1) AS INTEGER) ELSE 5 END AS top_n,
+    list_transform(regexp_extract_all(text, '''[^'']+''|"[^"]+"', 0), lambda m: substr(m, 2, length(m) - 2))[1] AS entity FROM _questions),
+_roles AS (SELECT coalesce(title, 'Unknown Role') AS role, min(v) AS lo, max(v) AS hi, median(v) AS med
+    FROM (SELECT title, (salary_min + salary_max) / 2 AS v FROM postings) WHERE v IS NOT NULL GROUP BY 1),
+_hit AS (SELECT entity, role, lo, hi, med FROM (SELECT entity, min(role) AS role FROM (SELECT DISTINCT entity FROM _asked WHERE intent = 'salary_range' AND entity <> '') a
+    JOIN _roles ON contains(lower(role), lower(entity)) GROUP BY entity) JOIN _roles USING (role)),
+_ahead AS (SELECT role, idx, row_number() OVER (ORDER BY idx DESC, role) AS rn FROM (SELECT role_type AS role, count(*) * 1.08::DOUBLE AS idx FROM postings GROUP BY 1)
+    ORDER BY idx DESC, role LIMIT 10),
+_ranked AS (SELECT skill, demand, row_number() OVER (ORDER BY demand DESC, skill) AS rn FROM ({ORACLE["a2_top_skills"]}))""")
+
+
+@register("n3_answers", _n3_sql())
 def n3_answers(spark, sf_dir):
     p = postings(spark, sf_dir)
     ev = table(spark, sf_dir, "events")
@@ -59,8 +95,9 @@ def n3_answers(spark, sf_dir):
     n_anom = anomalies.select(F.count(F.lit(1))).scalar()
     remote = p.select(F.count_if(F.lower("remote_status") == "remote")).scalar()
     total = p.select(F.count(F.lit(1))).scalar()
-    c = questions(spark, sf_dir)
-    a = qu.answers(c, "text", sk.top_skills(p, 20), n_anom, remote, total)
+    roles = sal.role_salaries(p)
+    ahead = ml.forecast(p.withColumn("confidence", F.lit(1.0)), "role_type")
+    a = qu.answers(questions(spark, sf_dir), "text", sk.top_skills(p, 20), n_anom, remote, total, roles, ahead)
     return a.select("conv_id", "turn", "intent", "answer")
 
 
