@@ -37,10 +37,18 @@ def skill_month_mart(silver_df: DataFrame, top_locations: int = 10) -> DataFrame
         F.col("id").alias("job_id"), F.explode("required_skills").alias("skill"),
         F.date_trunc("month", F.col("posted_date").cast("timestamp")).cast("date").alias("month"),
         "location", "company", ((F.col("salary_min") + F.col("salary_max")) / 2).alias("mid"))
-    return ex.groupBy("skill", "month").agg(
+    mart = ex.groupBy("skill", "month").agg(
         F.count_distinct("job_id").alias("job_count"), F.count_distinct("company").alias("company_count"),
-        F.avg("mid").alias("avg_salary"),
-        F.slice(F.array_sort(F.collect_set("location")), 1, top_locations).alias("top_locations"))
+        F.avg("mid").alias("avg_salary"))
+    # at most ``top_locations`` rows per group are ever collected
+    place = Window.partitionBy("skill", "month").orderBy("location")
+    first = (ex.where(F.col("location").isNotNull()).select("skill", "month", "location").distinct()
+             .withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= top_locations)
+             .groupBy("skill", "month").agg(F.array_sort(F.collect_list("location")).alias("top_locations")))
+    named = first.select(F.col("skill").alias("_s"), F.col("month").alias("_m"), "top_locations")
+    out = mart.join(named, mart["skill"].eqNullSafe(named["_s"]) & (mart["month"] == named["_m"]), "left")
+    return out.select("skill", "month", "job_count", "company_count", "avg_salary",
+                      F.coalesce("top_locations", F.array().cast("array<string>")).alias("top_locations"))
 
 
 def skill_trend_fact(postings: DataFrame) -> DataFrame:

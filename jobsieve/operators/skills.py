@@ -173,7 +173,8 @@ def count_by(df: DataFrame, column: str, count: str = "count") -> DataFrame:
 
 
 def skill_report_lines(postings: DataFrame, as_of: str, currency_symbol: str = "$", **kw) -> DataFrame:
-    """The text report as (line_no, line) rows: header, summary, top-10 table, categories."""
+    """The text report as (line_no, line) rows: header, summary, top-10 table, the categories that have skills
+    (their first five by name and the number of further ones), closing rule."""
     t = top_skills(postings, top_n=10, **kw)
     tot = totals(postings)
     rule = "=" * 60
@@ -201,4 +202,20 @@ def skill_report_lines(postings: DataFrame, as_of: str, currency_symbol: str = "
             sal,
         ).alias("line"),
     )
-    return head.unionByName(body)
+    # categories: five rows each at most are collected, the rest is counted
+    found = skill_categories(postings)
+    by_name = Window.partitionBy("category").orderBy("skill")
+    few = (found.withColumn("_rn", F.row_number().over(by_name)).where(F.col("_rn") <= 5).groupBy("category")
+           .agg(F.array_join(F.array_sort(F.collect_list("skill")), ", ").alias("names")))
+    names = [c for c, _ in SKILL_CATEGORIES]
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("category")).cast("int")
+    listed = few.join(found.groupBy("category").agg(F.count(F.lit(1)).alias("n")), "category").select(order.alias("c"), F.array_compact(F.array(
+        F.concat("category", F.lit(": "), "names"),
+        F.when(F.col("n") > 5, F.concat(F.lit("  ... and "), (F.col("n") - 5).cast("string"), F.lit(" more"))))).alias("part"))
+    cat = listed.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "part"))), lambda x: x["part"])).alias("rows"))  # five categories
+    frame = lambda *v: F.array(*map(F.lit, v))
+    tail = cat.select(F.posexplode(F.concat(
+        frame(""), F.when(F.size("rows") > 0, F.concat(frame("SKILL CATEGORIES", dash), F.col("rows"), frame("")))
+        .otherwise(F.array().cast("array<string>")), frame(rule))).alias("pos", "line"))
+    shown = t.select(F.count(F.lit(1))).scalar()
+    return head.unionByName(body).unionByName(tail.select((F.col("pos") + 13 + shown).cast("int").alias("line_no"), "line"))

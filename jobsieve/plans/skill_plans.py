@@ -104,8 +104,19 @@ SELECT CAST(line_no AS INTEGER) AS line_no, line FROM (
   SELECT r + 12, printf('%2d. %-30s | Demand: %4d (%5.1f%%)', r, skill, demand, round_even(demand_percentage, 1))
          || CASE WHEN average_salary IS NOT NULL AND average_salary <> 0
                  THEN ' | Avg Salary: $' || printf('%,d', CAST(round_even(average_salary, 0) AS BIGINT)) ELSE '' END
-  FROM (SELECT *, row_number() OVER (ORDER BY demand DESC, skill) AS r FROM _top))""",
-        _STATS + "," + _TOP.format(n=10) + """,
+  FROM (SELECT *, row_number() OVER (ORDER BY demand DESC, skill) AS r FROM _top)
+  UNION ALL
+  SELECT 12 + (SELECT count(*) FROM _top) + row_number() OVER (ORDER BY sec, c, part), line FROM (
+    SELECT 0 AS sec, 0 AS c, 0 AS part, '' AS line
+    UNION ALL SELECT 1, 0, 0, 'SKILL CATEGORIES' FROM (SELECT 1 FROM _found LIMIT 1) UNION ALL SELECT 1, 0, 1, '{dash}' FROM (SELECT 1 FROM _found LIMIT 1)
+    UNION ALL SELECT 2, c, 0, category || ': ' || string_agg(skill, ', ' ORDER BY skill) FROM _found WHERE rn <= 5 GROUP BY c, category
+    UNION ALL SELECT 2, c, 1, '  ... and ' || (count(*) - 5) || ' more' FROM _found GROUP BY c HAVING count(*) > 5
+    UNION ALL SELECT 3, 0, 0, '' FROM (SELECT 1 FROM _found LIMIT 1)
+    UNION ALL SELECT 4, 0, 0, '{rule}'))""",
+        _STATS + "," + _TOP.format(n=10) + ",_cats AS (SELECT * FROM (VALUES " + ", ".join(
+            f"({i}, '{name}', '{k.lower()}')" for i, (name, kws) in enumerate(sk.SKILL_CATEGORIES) for k in kws) + """) t(c, category, kw)),
+_found AS (SELECT c, category, skill, row_number() OVER (PARTITION BY c ORDER BY skill) AS rn FROM (SELECT DISTINCT c, category, skill
+    FROM (SELECT DISTINCT unnest(required_skills) AS skill FROM postings) d JOIN _cats ON contains(lower(skill), kw))),""" + """
 _tot AS (SELECT (SELECT count(*) FROM postings) AS total_jobs,
                 (SELECT count(DISTINCT s) FROM (SELECT unnest(required_skills) AS s FROM postings)) AS unique_skills)""")
 

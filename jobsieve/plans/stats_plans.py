@@ -107,10 +107,25 @@ def m12_dataset_fingerprint(spark, sf_dir):
     return stx.fingerprint(spark.read.parquet(f"{sf_dir}/orders.parquet"))
 
 
-@register("m13_welch_t_test", None)
+def _simpson(start: str) -> str:
+    n = stx.T_STEPS
+    return (f"list_sum(list_transform(range({n + 1}), lambda i: exp((dof - 1) * ln(greatest(cos(({start} + ({{top}} - {start}) / {n} * i) / sqrt(dof)), 1e-300)))"
+            f" * CASE WHEN i = 0 OR i = {n} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END)) * ({{top}} - {start}) / {n} / 3").replace(
+        "{top}", f"least(pi() / 2 * sqrt(dof), {stx.T_WIDTH})")
+
+
+@register("m13_welch_t_test", with_postings(f"""
+SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(t, 6) AS t_statistic, round(dof, 6) AS dof, round(p, 6) AS p_value, p < 0.05 AS significant
+FROM (SELECT *, ({_simpson(f"least(atan(abs(t) / sqrt(dof)) * sqrt(dof), least(pi() / 2 * sqrt(dof), {stx.T_WIDTH}))")}) / ({_simpson("0.0")}) AS p
+  FROM (SELECT *, (mean_a - mean_b) / sqrt(va + vb) AS t, (va + vb) ** 2 / (va ** 2 / (n_a - 1) + vb ** 2 / (n_b - 1)) AS dof
+    FROM (SELECT count(v) FILTER (WHERE g = 'remote') AS n_a, count(v) FILTER (WHERE g = 'onsite') AS n_b,
+            avg(v) FILTER (WHERE g = 'remote') AS mean_a, avg(v) FILTER (WHERE g = 'onsite') AS mean_b,
+            var_samp(v) FILTER (WHERE g = 'remote') / count(v) FILTER (WHERE g = 'remote') AS va,
+            var_samp(v) FILTER (WHERE g = 'onsite') / count(v) FILTER (WHERE g = 'onsite') AS vb FROM {_RO})))"""))
 def m13_welch_t_test(spark, sf_dir):
     p = postings(spark, sf_dir)
-    return stx.welch_t_test(p, stx.normalized_work_mode(), midpoint_any())
+    r = stx.welch_t_test(p, stx.normalized_work_mode(), midpoint_any())
+    return r.withColumns({c: F.round(c, 6) for c in ("mean_a", "mean_b", "t_statistic", "dof", "p_value")})
 
 
 @register("m13_welch_t_statistic", with_postings(f"""
@@ -121,7 +136,7 @@ SELECT count(v) FILTER (WHERE g = 'remote') AS n_a, count(v) FILTER (WHERE g = '
                 + var_samp(v) FILTER (WHERE g = 'onsite') / count(v) FILTER (WHERE g = 'onsite')), 6) AS t_statistic
 FROM {_RO}"""))
 def m13_welch_t_statistic(spark, sf_dir):
-    r = m13_welch_t_test(spark, sf_dir)
+    r = stx.welch_t_test(postings(spark, sf_dir), stx.normalized_work_mode(), midpoint_any())
     return r.select("n_a", "n_b", "mean_a", "mean_b", F.round("t_statistic", 6).alias("t_statistic"))
 
 
@@ -130,7 +145,26 @@ def _split(spark, sf_dir):
     return p.where(F.col("posted_date") < F.lit(SPLIT)), p.where(F.col("posted_date") >= F.lit(SPLIT))
 
 
-@register("m14_drift_report", None)
+def _js_sql(c: str, expr: str) -> str:
+    return f"""SELECT '{c}' AS feature, 'jensen_shannon' AS method, round(sqrt(greatest(0.0, (sum(CASE WHEN p > 0 THEN p * ln(p / m) ELSE 0 END)
+    + sum(CASE WHEN q > 0 THEN q * ln(q / m) ELSE 0 END)) / 2)), 6) AS score
+  FROM (SELECT p, q, (p + q) / 2 AS m FROM (SELECT count(*) FILTER (WHERE posted_date < {_SPLIT}) / (SELECT count(*) FROM postings WHERE posted_date < {_SPLIT}) AS p,
+    count(*) FILTER (WHERE posted_date >= {_SPLIT}) / (SELECT count(*) FROM postings WHERE posted_date >= {_SPLIT}) AS q
+    FROM postings GROUP BY coalesce({expr}, '__null__')))"""
+
+
+_ANY_MID = "CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN (salary_min + salary_max) / 2 ELSE coalesce(salary_min, salary_max) END"
+_MODE = "CASE WHEN lower(remote_status) IN ('remote', 'onsite', 'hybrid') THEN lower(remote_status) ELSE 'unknown' END"
+_DRIFT_SQL = with_postings("""
+SELECT feature, method, score, score >= 0.1 AS drifted, round(avg(CASE WHEN score >= 0.1 THEN 1.0 ELSE 0.0 END) OVER (), 6) AS share_drifted FROM (
+  SELECT 'salary_avg' AS feature, 'wasserstein_normed' AS method, round(sum(abs(fa - fb) * coalesce(nv - v, 0)) / (SELECT stddev_samp(v) FROM _v WHERE a), 6) AS score
+  FROM (SELECT v, sum(ca) OVER w / (SELECT count(*) FROM _v WHERE a) AS fa, sum(cb) OVER w / (SELECT count(*) FROM _v WHERE NOT a) AS fb, lead(v) OVER w AS nv
+    FROM (SELECT v, count(*) FILTER (WHERE a) AS ca, count(*) FILTER (WHERE NOT a) AS cb FROM _v GROUP BY v) WINDOW w AS (ORDER BY v))
+  UNION ALL """ + " UNION ALL ".join(_js_sql(c, e) for c, e in (("remote_status", _MODE), ("role_type", "role_type"), ("location", "location"), ("company", "company"))) + ")",
+    f"_v AS (SELECT {_ANY_MID} AS v, posted_date < {_SPLIT} AS a FROM postings WHERE coalesce(salary_min, salary_max) IS NOT NULL)")
+
+
+@register("m14_drift_report", _DRIFT_SQL)
 def m14_drift_report(spark, sf_dir):
     ref, cur = _split(spark, sf_dir)
     return stx.drift_report(ref, cur, ["salary_avg"], ["remote_status", "role_type", "location", "company"])

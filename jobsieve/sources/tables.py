@@ -28,7 +28,8 @@ WORK_MODE_BY_STATUS = {"F": "remote", "O": "onsite", "P": "hybrid"}
 # Given by key, so that every branch of the operators meets data: (every n-th key, values taken in turn).
 TITLE_WORDS = (9, ["Nurse", "Pflegefachkraft", "Warehouse Worker", "Staplerfahrer", "Accountant", "Buchhaltung",
                    "Store Manager", "Elektriker", "Recruiter", "Payroll Clerk"])
-EXTRA_SKILLS = (6, ["Forklift License", "CRM", "DATEV", "Kundenservice", "Patient Care", "Bestand"])
+EXTRA_SKILLS = (6, ["Forklift License", "CRM", "DATEV", "Kundenservice", "Patient Care", "Bestand", "Python", "Java",
+                    "JavaScript", "Rust", "Ruby", "TypeScript", "PostgreSQL", "Docker"])
 CITIES = (8, ["Munich", "Hamburg", "Leipzig", "Bremen", "Berlin"])
 LEVELS = (10, ["Junior", "Senior", "Lead", "Trainee"])
 ESTIMATED_EVERY, SEEN_EVERY, OUTLIER_EVERY, OUTLIER_FACTOR = 12, 4, 501, 20
