@@ -163,3 +163,24 @@ def job_results(ranked: DataFrame) -> DataFrame:
         F.col("eff_salary_min").alias("salary_min"), F.col("eff_salary_max").alias("salary_max"),
         "salary_midpoint", "salary_label", "salary_type",
     )
+
+
+def job_detail(postings: DataFrame, currency: str = "EUR") -> DataFrame:
+    """P9 for every posting: the result fields, the salary block (J2), the company's open-jobs endpoint, the application
+    hand-off (P7, with the source decision) and the market context (J8)."""
+    from jobsieve.functions.text import quote_plus
+    from jobsieve.operators import governance as gv
+    from jobsieve.operators import similar as si
+    context = si.market_context(postings).drop("role_type").withColumnRenamed("id", "_cid")
+    d = gv.evaluate_sources(sal.estimate_salaries(postings, currency=currency)).withColumn("apply_url", se.apply_url())
+    d = d.join(context, F.col("id") == F.col("_cid"))
+    return d.select(
+        "id", "title", "company", "location", "job_type", "remote_status", "role_type", F.col("description").alias("full_description"),
+        "country", "city", "occupation_group", "experience_level", "employment_type", "salary_period", "source", "source_legal_basis",
+        F.concat(F.lit("/jobs/"), F.col("id"), F.lit("/apply")).alias("apply_endpoint"), F.lit(currency).alias("salary_currency"),
+        F.col("eff_salary_min").alias("salary_min"), F.col("eff_salary_max").alias("salary_max"), "salary_midpoint", "salary_label", "salary_type",
+        F.col("eff_salary_is_estimated").alias("salary_is_estimated"), F.col("eff_salary_confidence").alias("salary_confidence"),
+        "salary_estimation_basis", F.concat(F.lit("/jobs/search?q="), quote_plus("company")).alias("current_open_jobs_endpoint"),
+        "apply_url", F.coalesce(F.nullif(F.col("application_url"), F.lit("")), F.col("apply_url")).alias("application_url"),
+        F.lit("external_redirect").alias("apply_method"), F.col("allowed").alias("source_allowed"),
+        "same_role_count", "same_location_count", "role_average_salary", "similar_jobs_endpoint")

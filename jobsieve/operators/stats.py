@@ -98,11 +98,23 @@ def box_stats(df: DataFrame, group: Column, value: Column) -> DataFrame:
         F.count_if(~inside).alias("outliers"))
 
 
+def canonical_text(df: DataFrame, c: str) -> Column:
+    """A value as text that any engine can write: numbers with six decimals, timestamps to the microsecond."""
+    kind = df.schema[c].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+        return F.col(c).cast("decimal(38,6)").cast("string")
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if kind in ("array", "map", "struct"):
+        return F.to_json(c)
+    return F.col(c).cast("string")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """M12 (re-aimed): order-insensitive dataset fingerprint — row count and the exact sum of
-    per-row 64-bit hashes (one row)."""
-    # position and null marker are hashed with every value, so (null, 'a') and ('a', null) differ
-    h = F.xxhash64(*[x for i, c in enumerate(df.columns) for x in (F.lit(i), F.col(c).isNull(), F.col(c))]).cast("decimal(38,0)")
+    """M12 (re-aimed): order-insensitive dataset fingerprint — row count and the exact sum of 60-bit row hashes (one
+    row). Columns are hashed in their order with a null mark each, so (null, 'a') and ('a', null) differ."""
+    marked = [F.coalesce(F.concat(F.lit("="), canonical_text(df, c)), F.lit("-")) for c in df.columns]
+    h = F.conv(F.substring(F.md5(F.concat_ws("\u001f", *marked)), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("hash_sum"))
 
 

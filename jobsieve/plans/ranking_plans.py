@@ -206,21 +206,26 @@ def p7_apply_handoff(spark, sf_dir):
                     "source_legal_basis")
 
 
-@register("p9_job_detail", None)
+def _p9_sql() -> str:
+    from jobsieve.plans import search_plans  # noqa: F401  (registers the J8 SQL used below)
+    from jobsieve.plans.registry import ORACLE
+    from jobsieve.plans.salary_plans import ESTIMATE_SQL
+    return with_postings(f"""
+SELECT p.id, p.title, p.company, p.location, p.job_type, p.remote_status, p.role_type, p.description AS full_description,
+       p.country, p.city, p.occupation_group, p.experience_level, p.employment_type, p.salary_period, p.source, p.source_legal_basis,
+       '/jobs/' || p.id || '/apply' AS apply_endpoint, 'EUR' AS salary_currency, e.eff_salary_min AS salary_min, e.eff_salary_max AS salary_max,
+       e.salary_midpoint, e.salary_label, e.salary_type, e.eff_salary_is_estimated AS salary_is_estimated,
+       e.eff_salary_confidence AS salary_confidence, e.salary_estimation_basis,
+       '/jobs/search?q=' || replace(replace(p.company, '#', '%23'), ' ', '+') AS current_open_jobs_endpoint,
+       h.apply_url, h.application_url, h.apply_method, h.source_allowed,
+       c.same_role_count, c.same_location_count, c.role_average_salary, c.similar_jobs_endpoint
+FROM postings p JOIN ({ESTIMATE_SQL}) e USING (id) JOIN ({ORACLE["p7_apply_handoff"]}) h ON h.job_id = p.id
+JOIN ({ORACLE["j8_market_context"]}) c ON c.id = p.id""")
+
+
+@register("p9_job_detail", _p9_sql())
 def p9_job_detail(spark, sf_dir):
-    from jobsieve.operators import salary as sal
-    p = postings(spark, sf_dir)
-    est = sal.estimate_salaries(p)
-    ctx = si.market_context(p).drop("role_type")
-    d = est.join(ctx, "id", "left").withColumn("apply_url", se.apply_url())
-    return d.select(
-        "id", "title", F.col("description").alias("full_description"),
-        F.struct(F.lit("EUR").alias("currency"), F.col("eff_salary_min").alias("min"), F.col("eff_salary_max").alias("max"),
-                 F.col("salary_midpoint").alias("midpoint"), F.col("salary_label").alias("label"),
-                 F.col("salary_type").alias("type")).alias("salary"),
-        F.struct(F.col("company").alias("name")).alias("company_profile"),
-        F.struct("same_role_count", "same_location_count", "role_average_salary").alias("market_context"),
-        "apply_url")
+    return rk.job_detail(postings(spark, sf_dir))
 
 
 def _j3b_sql() -> str:
