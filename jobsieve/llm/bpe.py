@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.llm.common import bounded_slices, materialise, text_digest, text_or_empty
+from jobsieve.llm.common import bounded_slices, materialise, small_arrow_batches, text_digest, text_or_empty
 
 #: boundaries this close (in characters) to a chunk's end may be cut short by it
 EDGE = 2
@@ -98,6 +98,7 @@ def digest_ids(ids: list[int]) -> tuple[int, str]:
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 32_768, overlap: int = 512,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every document row."""
+    small_arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     long_text = F.char_length("text") > chunk
     # one pass over the table: short texts are encoded here, long ones pass as their digest only

@@ -43,7 +43,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_arrow_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bound the bytes of an Arrow batch sent to a Python worker (Spark's default is 64 MB per task): texts differ in
+    length by five orders, so a bound in rows alone does not hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def bounded_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds at most ``max_bytes`` of ``column`` (or one row)."""
     for batch in batches:
         n = batch.num_rows
