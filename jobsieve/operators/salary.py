@@ -34,8 +34,10 @@ def running_totals(df: DataFrame, keys: list[str], order: str, weight: str) -> D
     return r.join(o, same).drop("_opid", *[f"_o_{k}" for k in keys]).withColumn("_cum", F.col("_local") + F.col("_off")).drop("_local", "_off", "_pid")
 
 
-def floor_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Per group ``sorted(values)[int((n-1)*f)]`` (no interpolation), exactly.
+def floor_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float],
+                    linear: dict[str, float] | None = None) -> DataFrame:
+    """Per group ``sorted(values)[int((n-1)*f)]`` (no interpolation), exactly; ``linear`` names quantiles that are
+    interpolated between the two neighbouring ranks (0.5: the median), from the same pass.
 
     Values are first pre-aggregated to (key, value) -> count with map-side combine; the running
     count over the value order is then a distributed running total (``running_totals``), so
@@ -50,7 +52,16 @@ def floor_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[
         k = F.floor((F.col("_n") - 1) * F.lit(f))
         hit = (F.col("_cum") > k) & (F.col("_cum") - F.col("_c") <= k)
         aggs.append(F.max(F.when(hit, F.col(value))).alias(name))
+    for name, f in (linear or {}).items():
+        place = (F.col("_n") - 1) * F.lit(f)
+        for side, k in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            hit = (F.col("_cum") > k) & (F.col("_cum") - F.col("_c") <= k)
+            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
+        aggs.append(F.max(place - F.floor(place)).alias(f"_{name}_part"))
     out = vc.groupBy(*gk).agg(*aggs)
+    for name in linear or {}:
+        lo, hi, part = (F.col(f"_{name}_{x}") for x in ("lo", "hi", "part"))
+        out = out.withColumn(name, F.when(part == 0.5, (lo + hi) / 2).otherwise(lo + (hi - lo) * part)).drop(*[f"_{name}_{x}" for x in ("lo", "hi", "part")])
     return out.drop("_all") if not keys else out
 
 
@@ -58,11 +69,10 @@ def group_salary_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Per group min, max, median (interpolated), count, floor-index q1 and q3."""
     base = df.where(F.col(value).isNotNull())
     stats = base.groupBy(group).agg(
-        F.min(value).alias("min"), F.max(value).alias("max"),
-        F.median(value).alias("median"), F.count(F.lit(1)).alias("count"),
+        F.min(value).alias("min"), F.max(value).alias("max"), F.count(F.lit(1)).alias("count"),
     )
-    q = floor_quantiles(base, [group], value, {"q1": 0.25, "q3": 0.75}).withColumnRenamed(group, "_g")
-    return stats.join(q, stats[group].eqNullSafe(q["_g"])).drop("_g")  # a null group is a group
+    q = floor_quantiles(base, [group], value, {"q1": 0.25, "q3": 0.75}, {"median": 0.5}).withColumnRenamed(group, "_g")
+    return stats.join(q, stats[group].eqNullSafe(q["_g"])).select(group, "min", "max", "median", "count", "q1", "q3")  # a null group is a group
 
 
 def salary_anomalies(df: DataFrame, id_col: str, role: Column, value: Column,
@@ -118,10 +128,13 @@ def salary_range_for(df: DataFrame, role_query: str, group: str = "title", value
 def salary_context(df: DataFrame, id_col: str = "id") -> DataFrame:
     """A19 for every posting: dataset midpoint count / mean / median and the posting's % difference
     from the median (null without both bounds)."""
-    mid = S.midpoint()
-    agg = df.select(mid.alias("m")).agg(F.count("m").alias("n"), F.avg("m").alias("mean"), F.median("m").alias("median"))
-    n, mean, med = agg.select("n").scalar(), agg.select("mean").scalar(), agg.select("median").scalar()
-    t = mid
+    t = S.midpoint()
+    mids = df.select(t.alias("m"))
+    # each one-row result is one scalar subquery attached once; the median is a distributed running total
+    whole = mids.agg(F.struct(F.count("m").alias("n"), F.avg("m").alias("mean")).alias("s")).select("s").scalar()
+    middle = floor_quantiles(mids, [], "m", {}, {"median": 0.5}).select("median").scalar()
+    df = df.withColumns({"_whole": whole, "_median": middle})
+    n, mean, med = F.col("_whole.n"), F.col("_whole.mean"), F.col("_median")
     pct = F.when(t.isNull() | (n == 0), F.lit(None)).when(med != 0, (t - med) / med * 100).otherwise(F.lit(0.0))
     return df.select(
         F.col(id_col).alias("job_id"), t.alias("target_salary"), n.alias("dataset_salary_count"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.functions.salary import midpoint, midpoint_nonzero
+from jobsieve.operators.salary import floor_quantiles
 
 # Fixed values that must equal the reference: skill categories and their keywords (A3).
 SKILL_CATEGORIES = [
@@ -154,6 +155,8 @@ def load_statistics(postings: DataFrame, skills: str = "required_skills") -> Dat
     """A8 global part: totals, distinct locations/companies/skills, midpoint count/mean/median/min/max."""
     mid = midpoint()
     n_sk = postings.select(F.explode(F.col(skills)).alias("s")).select(F.count_distinct("s")).scalar()
+    # the global median is a distributed running total, never one task's buffer
+    median = floor_quantiles(postings.select(mid.alias("m")), [], "m", {}, {"median": 0.5}).select("median").scalar()
     return postings.agg(
         F.count(F.lit(1)).alias("total_jobs"),
         F.count_distinct("location").alias("locations"),
@@ -161,7 +164,7 @@ def load_statistics(postings: DataFrame, skills: str = "required_skills") -> Dat
         n_sk.alias("unique_skills"),
         F.count(mid).alias("salary_count"),
         F.round(F.avg(mid), 6).alias("salary_mean"),
-        F.round(F.median(mid), 6).alias("salary_median"),
+        F.round(median, 6).alias("salary_median"),
         F.min(mid).alias("salary_min"),
         F.max(mid).alias("salary_max"),
     )

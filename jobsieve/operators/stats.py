@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.functions.salary import midpoint_any
+from jobsieve.operators.salary import floor_quantiles
 
 WORK_MODES = ["remote", "onsite", "hybrid"]
 
@@ -26,8 +27,9 @@ def file_overview(df: DataFrame) -> DataFrame:
     pooled = df.select(F.inline(F.array(F.struct(F.col("salary_min").cast("double").alias("v")),
                                         F.struct(F.col("salary_max").cast("double").alias("v")))))
     n = df.select(F.count(F.lit(1))).scalar()
+    median = floor_quantiles(pooled, [], "v", {}, {"median": 0.5}).select("median").scalar()
     return pooled.where(F.col("v").isNotNull()).agg(
-        n.alias("rows"), F.round(F.avg("v"), 6).alias("mean"), F.median("v").alias("median"),
+        n.alias("rows"), F.round(F.avg("v"), 6).alias("mean"), median.alias("median"),
         F.min("v").alias("min"), F.max("v").alias("max"))
 
 
@@ -46,15 +48,15 @@ def distribution(df: DataFrame, column: str, keep_null: bool = False) -> DataFra
 def describe(df: DataFrame, value: Column) -> DataFrame:
     """A18 ``describe()`` of a numeric column: count, mean, std, min, 25/50/75% (linear), max;
     missing statistics as 0 (one row)."""
-    v = value
-    return df.select(v.alias("v")).agg(
+    values = df.select(value.cast("double").alias("v"))
+    # one distributed running total gives the three quantiles as one struct
+    q = floor_quantiles(values, [], "v", {}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(F.struct("p25", "p50", "p75").alias("q")).select("q").scalar()
+    one = values.agg(
         F.count("v").alias("count"), F.coalesce(F.round(F.avg("v"), 6), F.lit(0.0)).alias("mean"),
         F.coalesce(F.round(F.stddev_samp("v"), 6), F.lit(0.0)).alias("std"),
         F.coalesce(F.min("v"), F.lit(0.0)).alias("min"),
-        F.coalesce(F.round(F.percentile("v", 0.25), 6), F.lit(0.0)).alias("p25"),
-        F.coalesce(F.round(F.percentile("v", 0.5), 6), F.lit(0.0)).alias("p50"),
-        F.coalesce(F.round(F.percentile("v", 0.75), 6), F.lit(0.0)).alias("p75"),
-        F.coalesce(F.max("v"), F.lit(0.0)).alias("max"))
+        F.coalesce(F.max("v"), F.lit(0.0)).alias("max")).withColumn("_q", q)
+    return one.select("count", "mean", "std", "min", *[F.coalesce(F.round(F.col(f"_q.{p}"), 6), F.lit(0.0)).alias(p) for p in ("p25", "p50", "p75")], "max")
 
 
 def group_summary(df: DataFrame, group: Column, value: Column, id_col: str = "id") -> DataFrame:
