@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobsieve.session import cut_lineage
+
 
 def materialize_latest(features: DataFrame, key: str, ts: str, start: dt.datetime, end: dt.datetime) -> DataFrame:
     """Latest feature row per entity with ``start <= ts <= end`` (``max_by``: map-side combine)."""
@@ -17,31 +19,29 @@ def materialize_latest(features: DataFrame, key: str, ts: str, start: dt.datetim
 
 
 def point_in_time(entities: DataFrame, features: DataFrame, key: str, ts: str, feature_cols: list[str],
-                  ttl: dt.timedelta = dt.timedelta(days=365), entity_id: str = "row_id",
-                  bucket: dt.timedelta = dt.timedelta(days=7)) -> DataFrame:
+                  ttl: dt.timedelta = dt.timedelta(days=365), entity_id: str = "row_id") -> DataFrame:
     """For every entity row (key, ts) the newest feature row with the same key and
     ``feature_ts <= ts``, ignored when older than ``ttl``.
 
-    As-of join without a per-key sort of all rows: rows are split by (key, time bucket), so a hot
-    key spreads over many tasks. Inside a bucket a running ``last(..., ignorenulls)`` carries the
-    latest feature forward (feature rows sort before entity rows at the same instant: inclusive).
-    Entity rows with no feature earlier in their own bucket take the latest feature of the key's
-    earlier buckets, from a small (key, bucket) table — one row per bucket, not per event."""
-    width = int(bucket.total_seconds())
-    b = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / width).cast("long")
+    As-of join without a per-key sort: feature and entity rows are range-partitioned together by (key, time), so one key
+    with all its events spreads over many tasks. Inside a partition a running ``last(..., ignorenulls)`` carries the
+    latest feature forward (feature rows sort before entity rows at the same instant: inclusive); entity rows with no
+    earlier feature in their partition take the key's last one of the partitions before, from a (partition, key) table.
+    The partition ids depend on sampled bounds, so the rows are written once before the two passes read them."""
     fstruct = F.struct(F.col(ts).alias("feature_ts"), *[F.col(c) for c in feature_cols])
-    fe = features.select(F.col(key), F.col(ts).alias("_ts"), b.alias("_b"), F.lit(0).alias("_side"),
-                         F.lit(None).cast("long").alias(entity_id), fstruct.alias("_f"))
-    en = entities.select(F.col(key), F.col(ts).alias("_ts"), b.alias("_b"), F.lit(1).alias("_side"), F.col(entity_id),
+    fe = features.select(F.col(key), F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias(entity_id), fstruct.alias("_f"))
+    en = entities.select(F.col(key), F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.col(entity_id),
                          F.lit(None).cast(fe.schema["_f"].dataType).alias("_f"))
-    u = fe.unionByName(en)
-    w = Window.partitionBy(key, "_b").orderBy("_ts", "_side", "_f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = fe.unionByName(en)
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    u = cut_lineage(both.repartitionByRange(parts, key, "_ts", "_side").withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid", key).orderBy("_ts", "_side", "_f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = u.withColumn("_in", F.last("_f", ignorenulls=True).over(w)).where(F.col("_side") == 1)
-    # latest feature per (key, bucket), then the latest one strictly before each bucket
-    buckets = u.groupBy(key, "_b").agg(F.max_by("_f", F.struct(F.col("_f.feature_ts"), F.col("_f"))).alias("_lf"))
-    wb = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    prev = buckets.select(key, "_b", F.last("_lf", ignorenulls=True).over(wb).alias("_pf"))
-    j = within.join(prev, [key, "_b"], "left")
+    # latest feature per (partition, key), then the latest one of the partitions before
+    ends = u.groupBy(key, "_pid").agg(F.max_by("_f", F.struct(F.col("_f.feature_ts"), F.col("_f"))).alias("_lf"))
+    wb = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    prev = ends.select(F.col(key).alias("_k"), F.col("_pid").alias("_p"), F.last("_lf", ignorenulls=True).over(wb).alias("_pf"))
+    j = within.join(prev, within[key].eqNullSafe(prev["_k"]) & (within["_pid"] == prev["_p"]), "left")
     last = F.coalesce(F.col("_in"), F.col("_pf"))
     fresh = last["feature_ts"] >= F.col("_ts") - F.lit(ttl)
     return j.select(entity_id, key, F.col("_ts").alias(ts),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobsieve.functions.salary import midpoint
 from jobsieve.operators.validation import clean_salary, clean_text
+from jobsieve.operators.salary import floor_quantiles
 
 BRONZE_COLUMNS = ["id", "title", "company", "location", "description", "source", "salary_min", "salary_max",
                   "required_skills", "posted_date", "ingested_at"]
@@ -76,8 +77,10 @@ def salary_fact(postings: DataFrame, role: str = "title") -> DataFrame:
     b = postings.where(mid.isNotNull()).select(F.col(role).alias("role"), "location", "salary_min", "salary_max", mid.alias("mid"))
     g = b.groupBy("role", "location").agg(
         F.min("salary_min").alias("min_salary"), F.max("salary_max").alias("max_salary"),
-        F.median("mid").alias("median_salary"), F.count(F.lit(1)).alias("sample_size"),
-        F.round(F.coalesce(F.stddev_samp("mid"), F.lit(0.0)), 6).alias("std_dev"))
+        F.count(F.lit(1)).alias("sample_size"), F.round(F.coalesce(F.stddev_samp("mid"), F.lit(0.0)), 6).alias("std_dev"))
+    med = floor_quantiles(b, ["role", "location"], "mid", {}, {"median_salary": 0.5}).withColumnsRenamed({"role": "_r", "location": "_l"})
+    g = g.join(med, g["role"].eqNullSafe(med["_r"]) & g["location"].eqNullSafe(med["_l"])).select(
+        "role", "location", "min_salary", "max_salary", "median_salary", "sample_size", "std_dev")
     return g.withColumn("mean_salary", (F.col("min_salary") + F.col("max_salary")) / 2)
 
 

@@ -110,8 +110,7 @@ def role_salaries(df: DataFrame, group: str = "title", value: Column | None = No
     """(role, min, max, median, count) of every role with a salary midpoint."""
     v = value if value is not None else S.midpoint()
     base = df.select(F.coalesce(F.col(group), F.lit("Unknown Role")).alias("role"), v.alias("v")).where(F.col("v").isNotNull())
-    return base.groupBy("role").agg(F.min("v").alias("min"), F.max("v").alias("max"),
-                                    F.median("v").alias("median"), F.count(F.lit(1)).alias("count"))
+    return group_salary_stats(base, "role", "v").select("role", "min", "max", "median", "count")
 
 
 def salary_range_for(df: DataFrame, role_query: str, group: str = "title", value: Column | None = None) -> DataFrame:

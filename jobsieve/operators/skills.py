@@ -31,11 +31,12 @@ def skill_mentions(postings: DataFrame, skills: str = "required_skills", lo: str
 
 
 def skill_stats(postings: DataFrame, skills: str = "required_skills", lo: str = "salary_min",
-                hi: str = "salary_max", ndigits: int = 6) -> DataFrame:
+                hi: str = "salary_max", ndigits: int = 6, with_median: bool = True) -> DataFrame:
     """A1: per skill occurrences, share of all mentions (%), salary min/max/mean/median/stdev.
 
     Salary fields are null when no mention of the skill carries a (non-zero) salary;
-    stdev is the sample deviation, 0 for a single value."""
+    stdev is the sample deviation, 0 for a single value. The median comes from distributed running totals (a hot skill
+    is never ordered in one task); ``with_median=False`` leaves that pass and the column out."""
     m = skill_mentions(postings, skills, lo, hi)
     total = m.select(F.count(F.lit(1))).scalar()
     g = m.groupBy("skill").agg(
@@ -44,9 +45,11 @@ def skill_stats(postings: DataFrame, skills: str = "required_skills", lo: str =
         F.min("salary").alias("salary_min"),
         F.max("salary").alias("salary_max"),
         F.avg("salary").alias("salary_mean"),
-        F.median("salary").alias("salary_median"),
         F.stddev_samp("salary").alias("sd"),
     )
+    if with_median:
+        med = floor_quantiles(m, ["skill"], "salary", {}, {"salary_median": 0.5}).withColumnRenamed("skill", "_s")
+        g = g.join(med, g["skill"].eqNullSafe(med["_s"]), "left")
     return g.select(
         "skill",
         "occurrences",
@@ -55,7 +58,7 @@ def skill_stats(postings: DataFrame, skills: str = "required_skills", lo: str =
         "salary_min",
         "salary_max",
         F.round("salary_mean", ndigits).alias("salary_mean"),
-        F.round("salary_median", ndigits).alias("salary_median"),
+        *([F.round("salary_median", ndigits).alias("salary_median")] if with_median else []),
         F.round(F.when(F.col("salary_count") == 1, F.lit(0.0)).otherwise(F.col("sd")), ndigits).alias("salary_stdev"),
     )
 
@@ -69,7 +72,7 @@ def most_common(df: DataFrame, value: str, n: int | None, count: str = "count")
 
 def top_skills(postings: DataFrame, top_n: int = 20, **kw) -> DataFrame:
     """A2 (and S23's flat report): top-N skills by demand with mean salary and range."""
-    s = skill_stats(postings, **kw)
+    s = skill_stats(postings, with_median=False, **kw)
     return (
         s.orderBy(F.col("occurrences").desc(), F.col("skill").asc())
         .limit(top_n)
@@ -106,7 +109,7 @@ def skill_categories(postings: DataFrame, skills: str = "required_skills") -> Da
 
 def salary_premium(postings: DataFrame, **kw) -> DataFrame:
     """A4: skill mean salary vs the unweighted mean of all per-skill means; % and amount."""
-    s = skill_stats(postings, ndigits=12, **kw).where(F.col("salary_mean").isNotNull())
+    s = skill_stats(postings, ndigits=12, with_median=False, **kw).where(F.col("salary_mean").isNotNull())
     base = s.select(F.avg("salary_mean")).scalar()
     return s.select(
         "skill",

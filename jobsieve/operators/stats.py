@@ -61,9 +61,11 @@ def describe(df: DataFrame, value: Column) -> DataFrame:
 
 def group_summary(df: DataFrame, group: Column, value: Column, id_col: str = "id") -> DataFrame:
     """Per group count of ids, mean, median, sample std of ``value``."""
-    return df.select(group.alias("group"), F.col(id_col).alias("_id"), value.alias("v")).groupBy("group").agg(
-        F.count("_id").alias("count"), F.round(F.avg("v"), 6).alias("avg_salary"),
-        F.round(F.median("v"), 6).alias("median_salary"), F.round(F.stddev_samp("v"), 6).alias("salary_std"))
+    rows = df.select(group.alias("group"), F.col(id_col).alias("_id"), value.alias("v"))
+    stats = rows.groupBy("group").agg(F.count("_id").alias("count"), F.round(F.avg("v"), 6).alias("avg_salary"),
+                                      F.round(F.stddev_samp("v"), 6).alias("salary_std"))
+    med = floor_quantiles(rows, ["group"], "v", {}, {"median": 0.5}).select(F.col("group").alias("_g"), F.round("median", 6).alias("median_salary"))
+    return stats.join(med, stats["group"].eqNullSafe(med["_g"]), "left").select("group", "count", "avg_salary", "median_salary", "salary_std")
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -89,9 +91,8 @@ def box_stats(df: DataFrame, group: Column, value: Column) -> DataFrame:
     """A24 box-plot data per group: quartiles (linear), whiskers (most extreme values within
     1.5 IQR of the box) and the number of outliers beyond them."""
     b = df.select(group.alias("group"), value.alias("v")).where(F.col("v").isNotNull())
-    q = b.groupBy("group").agg(F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.5).alias("median"),
-                               F.percentile("v", 0.75).alias("q3"))
-    j = b.join(q, "group")
+    q = floor_quantiles(b, ["group"], "v", {}, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnRenamed("group", "_g")
+    j = b.join(q, b["group"].eqNullSafe(q["_g"])).drop("_g")
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("v") >= lo_f) & (F.col("v") <= hi_f)

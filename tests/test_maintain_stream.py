@@ -71,7 +71,7 @@ def test_point_in_time_hot_key_matches_brute_force(spark):
     fdf = spark.createDataFrame(feats, "user_id long, ts timestamp_ntz, value double")
     edf = spark.createDataFrame(ents, "row_id long, user_id long, ts timestamp_ntz")
     got = {r["row_id"]: r["value"] for r in fe.point_in_time(edf, fdf, "user_id", "ts", ["value"],
-                                                             ttl=dt.timedelta(days=30), bucket=dt.timedelta(days=3)).collect()}
+                                                             ttl=dt.timedelta(days=30)).collect()}
     for rid, u, t in ents:
         cands = [(ft, v) for fu, ft, v in feats if fu == u and ft <= t]
         best = max(cands)[1] if cands and max(cands)[0] >= t - dt.timedelta(days=30) else None
