@@ -4,7 +4,7 @@ Equal vectors are one class. Centres are fitted on a bounded sample (``sample``
 task); every vector is then assigned to its nearest cell and, as a visitor, to all cells that may hold a partner:
 for unit vectors x, y with cosine t, x.c' >= x.c - |x - y| |c' - c| whenever y lies in the cell of c', and random
 directions use only part of that bound, so ``slack`` times it is allowed (1.0 would be exact; recall at the
-default is measured in the tests). Cells are cut into blocks and every pair of blocks of a cell is one matrix product in
+default is measured in the tests). Cells are cut into blocks of members and of visitors, and every pair of blocks with members is one matrix product in
 double precision, so a hot cell is many bounded tasks. A pair that could meet in both its cells counts in one.
 Link counts are summed per block before the shuffle, and a block sends a spanning forest, never its pairs.
 
@@ -31,7 +31,7 @@ from jobsieve.llm.common import connected_components, materialise, shuffle_width
 class CellParams:
     """``cosine``: least similarity of a link; ``per_cell``: distinct vectors aimed at per cell; ``max_cells``: bound of
     the broadcast centres (larger cells just have more blocks); ``sample``, ``rounds``: k-means fit; ``block``:
-    vectors per side of a product."""
+    members per side of a product (visitors: four times as many)."""
 
     cosine: float = 0.95
     per_cell: int = 1000
@@ -194,9 +194,15 @@ def near_duplicate_vectors(vectors: DataFrame, p: CellParams = CellParams(), id_
         F.first("dim").alias("dim"), F.first("u").alias("u"), F.count("*").alias("n"), F.min("vec_id").alias("low")), "distinct-vectors")
     total = {r.dim: r.n for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per vector length
     entries = materialise(_entries(distinct, fit_centres(distinct, total, p), p), "cell-entries")
-    blocks = entries.groupBy("dim", "cell").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
-    placed = entries.join(blocks, ["dim", "cell"]).withColumn("x", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    paired = (placed.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # blocks 0..mb-1 hold a cell's members, mb.. its visitors (in larger blocks); visitors never meet each other
+    member = F.col("home") == F.col("cell")
+    blocks = (entries.groupBy("dim", "cell").agg(F.ceil(F.count_if(member) / p.block).cast("int").alias("mb"),
+                                                 F.ceil(F.count_if(~member) / (4 * p.block)).cast("int").alias("vb")).where("mb > 0"))
+    h = F.xxhash64("k")
+    placed = entries.join(blocks, ["dim", "cell"]).withColumn("x", F.when(member, F.pmod(h, F.col("mb"))).otherwise(
+        F.col("mb") + F.pmod(h, F.greatest("vb", F.lit(1)))).cast("int"))
+    partners = F.sequence(F.lit(0), F.when(member, F.col("mb") + F.col("vb") - 1).otherwise(F.col("mb") - 1))
+    paired = (placed.withColumn("y", F.explode(partners))
               .select("dim", "cell", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "home", "k", "n", "u", "visits")
               .repartition(shuffle_width(spark), "dim", "cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j"))
     found = materialise(_block_results(paired, p), "vector-links")
