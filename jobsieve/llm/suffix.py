@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.llm import suffix_array
-from jobsieve.llm.common import binary_rows, bounded_slices, materialise, shuffle_width, text_digest, text_or_empty
+from jobsieve.llm.common import binary_rows, bounded_slices, materialise, shuffle_width, small_arrow_batches, text_digest, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -213,6 +213,7 @@ def _merge(runs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, p: RepeatParams = RepeatParams(), text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(digest, text) of the texts with candidate windows, and (digest, a, b): their repeated window starts a..b-1."""
     spark = docs.sparkSession
+    small_arrow_batches(spark)
     keys = window_keys(docs, p, text_col)
     one = Window.partitionBy("m")
     found = keys.select("m", "ref", "run", F.min("ref").over(one).alias("r0"), F.max("ref").over(one).alias("r1"),
