@@ -70,6 +70,13 @@ def binary_rows(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.to_pylist()]
 
 
+def _is_star_forest(links: DataFrame) -> bool:
+    """Every node is either a centre or has exactly one link, to its centre."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the undirected ``edges``.
 
@@ -77,21 +84,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     remaining links, whose number never grows; a star's centre is a key of a minimum (pre-aggregated before
     the shuffle), never a collected neighbour list. Links are written to the shared folder after every round."""
     links = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
-    state = None
-    while True:
+    while not _is_star_forest(links):
         # large star: every larger neighbour of u links to the smallest of u's neighbourhood
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: u and its smaller neighbours link to the smallest of them
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         links = materialise(small, "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     return (links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
             .unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.llm import shingles
-from jobsieve.llm.common import binary_rows, bounded_slices, connected_components, materialise, shuffle_width, text_digest, text_or_empty
+from jobsieve.llm.common import binary_rows, bounded_slices, connected_components, materialise, shuffle_width, small_arrow_batches, text_digest, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -209,6 +209,7 @@ def near_duplicate_classes(docs: DataFrame, p: MinHashParams = MinHashParams(),
                            text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The sketch rows (doc_id, digest, k, n_shingles) and the components (k, component) of linked classes."""
     spark = docs.sparkSession
+    small_arrow_batches(spark)
     rows = materialise(sketch(docs, p, id_col, text_col), "sketch")
     banded = rows.where("c is not null").select("c", F.explode("bands").alias("bk"))
     buckets = banded.groupBy("bk").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where("hub < top").select("bk", "hub")

@@ -85,3 +85,22 @@ def test_pruning_bounds_grow_and_keep_likely_pairs():
 def test_hashes_follow_words():
     a, b = shingles.shingle_sets([b"The quick  brown\nfox jumps over", b"the QUICK brown fox\tjumps over"])
     assert (a == b).all() and len(a) == 2
+
+
+def test_components_of_random_links(spark):
+    from jobsieve.llm.common import connected_components
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(12)] + [(200, 200 + i) for i in range(9)] + [(5, 5), (1, 2), (2, 1)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(parent))
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
