@@ -12,8 +12,8 @@
    connected are skipped and at most one link per joined component leaves a task. No candidate pair is dropped.
 5. Components of all links.
 
-A pair at the threshold is missed with probability (1 - t^8)^32 by banding (4e-5 at 0.85) and about ``miss`` per
-batch by pruning; no pair below the threshold is ever linked. Defined cases: null or empty texts and texts
+A pair at the threshold is missed with probability (1 - t^8)^32 by banding (4e-5 at 0.85; (1 - t^6)^42, 3e-6 at 0.8,
+with the pipeline's bands) and about ``miss`` per batch by pruning; no pair below the threshold is ever linked. Defined cases: null or empty texts and texts
 without words have an empty set and link with nothing; fewer than five words are one shingle; repeated rows and ids
 share a class; a null id never is a component's id unless the component has no other (then null); an empty
 table gives no rows; extra columns are ignored."""

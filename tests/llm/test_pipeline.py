@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from test_minhash import brute as near_groups
+from test_minhash import shingle_set
 from test_suffix import brute as repeats
 
 DIR = "/root/testdata/sf0.01"
@@ -52,3 +53,45 @@ def test_run_chains_the_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
     assert "corpus_pipeline" in sys.modules
+
+
+def near_groups_at_80(rows):
+    """``near_groups`` with a least similarity of 0.8, the pipeline's."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min(d, low.get(find(i), d))
+    return [(d, len(sets[i]), low[find(i)], low[find(i)] == d) for i, (d, _) in enumerate(rows)]
+
+
+def test_stages_match_brute_force_at_80(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sys.modules[__name__], "near_groups", near_groups_at_80)
+    test_every_stage_does_its_work(spark, tmp_path)
+
+
+def test_near_copies_from_80_percent_go(spark):
+    texts = []
+    for g in range(60):
+        words = [f"w{g}x{i}" for i in range(104)]
+        other = list(words)
+        for i in range(g % 4):
+            other[10 + 25 * i] = f"y{g}x{i}"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [shingle_set(t) for t in texts]
+    percent = [100 * len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(80 <= p < 85 for p in percent) >= 10 and any(p < 80 for p in percent)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DIR).collect())
+    assert got == [i for i in range(len(texts)) if i % 2 == 0 or percent[i // 2] < 80]
