@@ -163,17 +163,18 @@ def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[st
     return files
 
 
-def read_alternate_csv_dir(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def read_alternate_csv_dir(spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = True) -> DataFrame:
     """A directory of CSV files whose columns may use alternate names, in any order and mixed; the first present
     name wins; salaries cleaned (S14); skills extracted from the description (S15).
 
-    Files are read once per distinct header; a file that holds none of the known columns is left out."""
+    Files are read once per distinct header; a file that holds none of the known columns is left out. Quoted fields
+    may hold line breaks; ``multi_line=False`` is for large files without any, which are then split over tasks."""
     known = {n for names in ALTERNATE_NAMES.values() for n in names}
     out = None
     for header, files in sorted(csv_layouts(spark, path).items()):
         if not known & set(header):
             continue
-        part = _alternate_layout(read_csv_text(spark, files))
+        part = _alternate_layout(read_csv_text(spark, files, multi_line))
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = _alternate_layout(spark.createDataFrame([], "id string"))

@@ -98,6 +98,14 @@ def test_mixed_headers_in_one_folder(spark, tmp_path):
     assert (got["2"].title, got["2"].company, got["2"].location, got["2"].salary_min, got["2"].salary_max) == ("Other job", "Beta", "Ulm", None, None)
 
 
+def test_quoted_line_break_in_a_csv_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,job_title,job_description\n1,Java job,"first line\nsecond, ""quoted"" line"\n2,Other job,plain\n')
+    got = {r.id: (r.title, r.description) for r in fl.read_alternate_csv_dir(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("Java job", 'first line\nsecond, "quoted" line'), "2": ("Other job", "plain")}
+    plain = fl.read_alternate_csv_dir(spark, str(tmp_path), multi_line=False).collect()
+    assert len(plain) == 3
+
+
 def test_non_numeric_salary_becomes_null(spark):
     raw = spark.createDataFrame([("1", "abc", "12.5", "n/a")], "id string, salary_min string, salary_max string, salary_confidence string")
     r = fl.normalize_raw(raw, "p", None).first()
