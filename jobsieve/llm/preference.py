@@ -72,13 +72,15 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_i
 def reply_swaps(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from plain conversations: chosen is a conversation up to its last assistant turn; rejected is the same
     conversation with that reply replaced by the last reply of its neighbour (ids 2k and 2k + 1; the own reply where
-    there is no neighbour). Both come back as turn rows with ``pair_id`` = conv_id."""
-    conv = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null")
+    there is no neighbour). Both come back as turn rows with ``pair_id`` = conv_id; null turns come first, and the
+    rows with a null conv_id are one conversation without a neighbour."""
+    conv = conversations.select("conv_id", "turn", "role", "text")
     last = (conv.where("role = 'assistant'").groupBy("conv_id")
             .agg(F.max(F.struct("turn", "text")).alias("reply")).select("conv_id", F.col("reply.turn").alias("reply_turn"), F.col("reply.text").alias("reply")))
     neighbour = last.select(F.expr("conv_id ^ 1").alias("conv_id"), F.col("reply").alias("other"))
     plan = last.join(neighbour, "conv_id", "left").select("conv_id", "reply_turn", F.coalesce("other", "reply").alias("other"))
-    turns = conv.join(plan, "conv_id").where("turn <= reply_turn")
+    plan = plan.withColumnRenamed("conv_id", "_c")
+    turns = conv.join(plan, F.col("conv_id").eqNullSafe(F.col("_c"))).where("turn is null or turn <= reply_turn")
     chosen = turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    swapped = F.when((F.col("turn") == F.col("reply_turn")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
+    swapped = F.when(F.col("turn").eqNullSafe(F.col("reply_turn")) & (F.col("role") == "assistant"), F.col("other")).otherwise(F.col("text"))
     return chosen, turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", swapped.alias("text"))

@@ -67,6 +67,17 @@ def test_reply_swaps_differ_only_in_the_last_reply(spark):
     assert any(p.chosen != p.rejected for p in pairs)
 
 
+def test_reply_swaps_keep_null_turns_and_ids(spark):
+    rows = [(2, None, "assistant", "a"), (2, 5, "user", "late"), (3, None, "user", "q"), (3, 1, "assistant", "b"),
+            (None, 0, "user", "x"), (None, 1, "assistant", "y")]
+    conv = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {p.pair_id: p for p in preference.preference_pairs(*preference.reply_swaps(conv)).collect()}
+    assert set(got) == {2, 3, None}
+    assert (got[2].prompt, got[2].chosen, got[2].rejected) == ("", "<|assistant|>\na\n", "<|assistant|>\nb\n")
+    assert (got[3].prompt, got[3].chosen, got[3].rejected) == ("<|user|>\nq\n", "<|assistant|>\nb\n", "<|assistant|>\na\n")
+    assert got[None].prompt == "<|user|>\nx\n<|assistant|>\ny\n" and got[None].chosen == got[None].rejected == ""
+
+
 # ---- quality rules -------------------------------------------------------------------------------------------
 
 def stats(text):
