@@ -36,9 +36,14 @@ CACHED_WORDS = 800_000
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def _added(path: str):
+    """Pattern of the added tokens' texts, which the tokenizer maps to their ids wherever they stand in a text."""
+    import re
+    return re.compile("|".join(re.escape(t.content) for t in _tokenizer(path).get_added_tokens_decoder().values()) or r"(?!)")
 
 
 @lru_cache(maxsize=2)
@@ -88,14 +93,15 @@ _CACHE: dict[str, dict[bytes, bytes]] = {}
 
 
 def _encode_words(words: list[bytes], path: str) -> list[bytes]:
-    """Ids of single words: ASCII and Latin letters through the merge table, anything else through the tokenizer."""
-    pattern, plain = _splitter(path)
+    """Ids of single words: ASCII and Latin letters through the merge table, anything else and words that hold
+    an added token through the tokenizer."""
+    (pattern, plain), added = _splitter(path), _added(path)
     enc, by_rank, ends = _merges(path)
     out: list[bytes] = [b""] * len(words)
     pieces, fast, count = [], [], []
     for i, w in enumerate(words):
         t = w.decode()
-        if plain.fullmatch(t):
+        if plain.fullmatch(t) and not added.search(t):
             t = t.lower()
             parts = [t] if t.isalpha() else pattern.findall(t)
             pieces += parts

@@ -78,3 +78,12 @@ def test_single_words_match_the_tokenizer():
     words = sorted(w for w in words if len(w.split()) == 1 and w.split()[0] == w) + [b"it's", b"don't'll", b"<|endoftext|>", "ΑΣ".encode()]
     got = packing._encode_words(words, PATH)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [packing._tokenizer(PATH).encode(w.decode(), add_special_tokens=False).ids for w in words]
+
+
+def test_added_tokens_in_texts_get_their_ids():
+    from tokenizers import Tokenizer
+    own = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|> c", "x<|endoftext|><|endoftext|>\ty É<|endoftext|>", "<|endoftext | >"]
+    got = [np.frombuffer(b, dtype="<u4").tolist() for b in packing.token_ids([t.encode() for t in texts], PATH)]
+    assert got == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [49407] and 49406 in got[1]
