@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.llm import bpe, embeddings, minhash, packing, preference, quality, search, sharding, suffix, toxicity, url_rules, warc
+from jobsieve.llm import bpe, embeddings, minhash, packing, preference, quality, repair, search, sharding, suffix, toxicity, url_rules, warc
 from jobsieve.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,6 +227,55 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+# ---- 11: conversation repair -----------------------------------------------------------------------------------
+
+_OP11_SQL = r"""
+WITH RECURSIVE o AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+c AS (SELECT *, xor(4294967295, list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, CAST(i AS INTEGER), 1)) AS BIGINT)),
+    lambda crc, b: list_reduce(range(8), lambda v, j: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, b)), 4294967295)) % 20 AS kind FROM o),
+d AS (SELECT cid, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM d),
+f AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(role) OVER (PARTITION BY cid ORDER BY i) AS before FROM r),
+g AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY cid),
+ins(a, b, cost, letters, lines) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+    (0, 2, 2, 'I', 'user:' || chr(10)), (1, 2, 2, 'I', 'user:' || chr(10)), (2, 3, 2, 'I', 'assistant:' || chr(10)), (3, 2, 2, 'I', 'user:' || chr(10)),
+    (0, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+    (2, 2, 4, 'II', 'assistant:' || chr(10) || 'user:' || chr(10)), (3, 3, 4, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))),
+edit(letter) AS (VALUES ('D'), ('K'), ('R')),
+e AS (SELECT f.cid, f.i, ins.a, letters || letter AS letters,
+    ins.cost + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+    CASE WHEN letter = 'D' THEN ins.b WHEN letter = 'K' AND role[1] = 's' THEN 1 WHEN ins.b = 2 THEN 3 ELSE 2 END AS b,
+    lines || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10)
+      ELSE CASE WHEN ins.b = 2 THEN 'assistant' ELSE 'user' END || ':' || text || chr(10) END AS lines
+  FROM f, ins, edit WHERE letter = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (letter = 'R'
+    OR role[1] = CASE WHEN ins.b = 2 THEN 'a' ELSE 'u' END OR (role[1] = 's' AND ins.b = 0)))),
+s AS (SELECT cid, CAST(0 AS BIGINT) AS i, 0 AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': ''} AS best FROM g
+  UNION ALL
+  SELECT s.cid, e.i, e.b, min({'cost': best.cost + e.cost, 'audit': best.audit || e.letters, 'lines': best.lines || e.lines})
+  FROM s JOIN e ON e.cid = s.cid AND e.i = s.i + 1 AND e.a = s.state GROUP BY s.cid, e.i, e.b),
+z AS (SELECT s.cid, min({'cost': best.cost + ins.cost, 'audit': best.audit || letters, 'lines': best.lines || ins.lines}) AS best
+  FROM s JOIN g ON g.cid = s.cid AND g.n = s.i JOIN ins ON ins.a = s.state WHERE ins.b IN (0, 3) GROUP BY s.cid),
+ids AS (SELECT DISTINCT cid, conv_id FROM o)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(regexp_replace(coalesce(best.lines, ''), '\n$', '')) AS repaired_sha256
+FROM ids LEFT JOIN g USING (cid) LEFT JOIN z USING (cid)
+"""
+
+
+@query("op11_branch_and_bound", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_report(table(spark, sf_dir, "conversations"))
+
+
 # ---- 12: ranked lexical search ---------------------------------------------------------------------------------
 
 _OP12_SQL = r"""
