@@ -115,7 +115,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     """(id, host, path, rule, verdict) of every row of ``pages`` by ``rules`` (host, path, verdict)."""
     rule = rules.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
     rule = rule.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # 'block' sorts behind 'allow'
-    lo = _key(F.concat(reversed_host("host"), F.col("path")))
+    lo = _key(F.concat(reversed_host("host"), F.lit("#"), F.col("path")))  # neither hosts nor paths hold a #
     host_lo = _key(reversed_host("host"))
     hosts = rule.select("host").distinct().select(host_lo.alias("lo"), F.struct(_end(host_lo).alias("hi"), reversed_host("host").alias("host")).alias("item"))
     paths = rule.select(lo.alias("lo"), F.struct(
@@ -127,7 +127,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     by_host = meet_stacks(urls.withColumn("key", _key(reversed_host("host"))), open_stacks(hosts))
     # one row per open rule host, or one without
     met = by_host.select("id", "host", "path", "rid", F.explode_outer("stack").alias("open")).withColumn(
-        "key", _key(F.concat(F.col("open.host"), F.col("path")))).drop("open")
+        "key", _key(F.concat(F.col("open.host"), F.lit("#"), F.col("path")))).drop("open")
     by_path = meet_stacks(met, open_stacks(paths))
     fitting = F.transform("stack", lambda x: F.struct(x["size"].alias("size"), x["host_size"].alias("host_size"), x["rule"].alias("rule"), x["verdict"].alias("verdict")))
     best = by_path.groupBy("rid").agg(F.first(F.struct("id", "host", "path")).alias("page"), F.max(F.array_max(fitting)).alias("best"))
