@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.llm import shingles
-from jobsieve.llm.common import binary_rows, bounded_slices, connected_components, materialise, shuffle_width, small_arrow_batches, text_digest, text_or_empty
+from jobsieve.llm.common import binary_rows, bounded_slices, connected_components, materialise, shuffle_width, small_arrow_batches, text_digest, text_or_empty, unused
 
 
 @dataclass(frozen=True)
@@ -280,7 +280,8 @@ def keep_one_per_group(docs: DataFrame, p: MinHashParams = MinHashParams()) -> D
     keep = labelled.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("r")).select(
         F.col("r.doc_id").alias("_llm_i"), F.col("r.digest").alias("_llm_d"))
     wordless = ~text_or_empty("text").rlike(r"[^\x20\x09-\x0D]")
-    keyed = docs.where(~wordless).withColumn("_llm_digest", text_digest("text"))
-    one = (keyed.join(keep, (keyed["_llm_digest"] == keep["_llm_d"]) & keyed["doc_id"].eqNullSafe(keep["_llm_i"]), "left_semi")
-           .dropDuplicates(["_llm_digest", "doc_id"]).select(*docs.columns))
+    digest = unused(docs, "_llm_digest")
+    keyed = docs.where(~wordless).withColumn(digest, text_digest("text"))
+    one = (keyed.join(keep, (keyed[digest] == keep["_llm_d"]) & keyed["doc_id"].eqNullSafe(keep["_llm_i"]), "left_semi")
+           .dropDuplicates([digest, "doc_id"]).select(*docs.columns))
     return one.unionByName(docs.where(wordless))

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.llm.common import NOT_SPACE, SPACE, SPACE_CHARS, materialise, text_digest, text_or_empty
+from jobsieve.llm.common import NOT_SPACE, SPACE, SPACE_CHARS, materialise, text_digest, text_or_empty, unused
 
 #: rule -> (numerator, denominator, grid from strict to lenient); a document is rejected above the cut-off.
 RULES: dict[str, tuple[str, str, list[float]]] = {
@@ -158,7 +158,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", p: Qual
     """The rows of ``docs`` that pass, all their columns unchanged.
 
     A verdict is a function of text and stratum, so rejected rows leave by (stratum, text digest)."""
-    key = F.struct(F.col(stratum).alias("s"), text_digest("text").alias("d"))
-    verdicts = quality_verdicts(docs.select("doc_id", "text", stratum, key.alias("_llm_key")), labels, stratum, p, ("_llm_key",))
-    gone = verdicts.where("not kept").select("_llm_key").distinct()
-    return docs.withColumn("_llm_key", key).join(gone, "_llm_key", "left_anti").select(*docs.columns)
+    key, name = F.struct(F.col(stratum).alias("s"), text_digest("text").alias("d")), unused(docs, "_llm_key")
+    verdicts = quality_verdicts(docs.select("doc_id", "text", stratum, key.alias(name)), labels, stratum, p, (name,))
+    gone = verdicts.where("not kept").select(name).distinct()
+    return docs.withColumn(name, key).join(gone, name, "left_anti").select(*docs.columns)

@@ -80,13 +80,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 7: preference formatting ----------------------------------------------------------------------------------
 
 _OP7_SQL = """
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-last AS (SELECT conv_id, max(turn) AS rt, arg_max(text, (turn, text)) AS reply FROM c WHERE role = 'assistant' GROUP BY conv_id),
-plan AS (SELECT a.conv_id, a.rt, coalesce(b.reply, a.reply) AS other FROM last a LEFT JOIN last b ON b.conv_id = xor(a.conv_id, 1)),
-t AS (SELECT conv_id, turn, role, text, CASE WHEN turn = rt AND role = 'assistant' THEN other ELSE text END AS text2
-  FROM c JOIN plan USING (conv_id) WHERE turn <= rt),
+WITH c AS (SELECT coalesce(CAST(conv_id AS VARCHAR), 'null') AS cid, conv_id, turn, coalesce(role, '') AS role, text FROM conversations),
+last AS (SELECT cid, conv_id, max(turn) AS rt, arg_max({'t': text}, (turn IS NOT NULL, coalesce(turn, 0), text IS NOT NULL, coalesce(text, ''))).t AS reply
+  FROM c WHERE role = 'assistant' GROUP BY cid, conv_id),
+plan AS (SELECT a.cid, a.rt, coalesce(b.reply, a.reply) AS other FROM last a LEFT JOIN last b ON b.conv_id = xor(a.conv_id, 1)),
+t AS (SELECT cid AS conv_id, turn, role, coalesce(text, '') AS text, coalesce(CASE WHEN turn IS NOT DISTINCT FROM rt AND role = 'assistant' THEN other ELSE text END, '') AS text2
+  FROM c JOIN plan USING (cid) WHERE turn IS NULL OR turn <= rt),
 sides AS (SELECT conv_id, turn, role, text, 'c' AS side FROM t UNION ALL SELECT conv_id, turn, role, text2, 'r' FROM t),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS i,
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn NULLS FIRST, role, text) AS i,
         '<|' || role || '|>' || chr(10) AS head FROM sides),
 diff AS (SELECT conv_id, i, bool_or(side = 'c') AND bool_or(side = 'r') AND count(DISTINCT (role, text)) = 1 AS same FROM o GROUP BY conv_id, i),
 k AS (SELECT conv_id, coalesce(min(i) FILTER (NOT same) - 1, max(i)) AS k FROM diff GROUP BY conv_id),
@@ -100,7 +101,7 @@ g AS (SELECT conv_id, k, side,
     coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(text)), ',' ORDER BY i)
       FILTER (i > k AND role = 'assistant'), '') AS mask
   FROM r GROUP BY conv_id, k, side)
-SELECT a.conv_id AS pair_id, CAST(a.k AS INTEGER) AS prompt_turns, a.prompt, a.completion AS chosen, b.completion AS rejected,
+SELECT CAST(nullif(a.conv_id, 'null') AS BIGINT) AS pair_id, CAST(a.k AS INTEGER) AS prompt_turns, a.prompt, a.completion AS chosen, b.completion AS rejected,
        a.mask AS chosen_mask, b.mask AS rejected_mask
 FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.side = 'c' AND b.side = 'r'
 """

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.llm import suffix_array
-from jobsieve.llm.common import binary_rows, bounded_slices, materialise, shuffle_width, small_arrow_batches, text_digest, text_or_empty
+from jobsieve.llm.common import binary_rows, bounded_slices, materialise, shuffle_width, small_arrow_batches, text_digest, text_or_empty, unused
 
 
 @dataclass(frozen=True)
@@ -285,13 +285,14 @@ def without_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFr
     """``docs`` with repeated passages cut out of ``text`` (broken characters at a cut go as well) and ``n_chars``, where
     there is such a column, brought up to date; all other columns and all rows stay."""
     texts, ranges = repeated_ranges(docs, p)
-    keyed = docs.withColumn("_llm_digest", text_digest("text"))
-    copies = keyed.groupBy("_llm_digest").agg(F.count("*").alias("_llm_copies"))
-    found = copies.join(_document_results(texts, ranges, p, True).select(F.col("_digest").alias("_llm_digest"), F.col("kept").alias("_llm_kept")), "_llm_digest", "left")
-    whole = (F.col("_llm_copies") > 1) & (F.octet_length(F.encode(text_or_empty("text"), "UTF-8")) >= p.width)
-    text = F.when(whole, F.lit("")).otherwise(F.coalesce("_llm_kept", "text"))
-    out = keyed.join(found, "_llm_digest").withColumn("text", text)
+    digest, n_copies, kept = (unused(docs, c) for c in ("_llm_digest", "_llm_copies", "_llm_kept"))
+    keyed = docs.withColumn(digest, text_digest("text"))
+    copies = keyed.groupBy(digest).agg(F.count("*").alias(n_copies))
+    found = copies.join(_document_results(texts, ranges, p, True).select(F.col("_digest").alias(digest), F.col("kept").alias(kept)), digest, "left")
+    whole = (F.col(n_copies) > 1) & (F.octet_length(F.encode(text_or_empty("text"), "UTF-8")) >= p.width)
+    text = F.when(whole, F.lit("")).otherwise(F.coalesce(kept, "text"))
+    out = keyed.join(found, digest).withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = whole | F.col("_llm_kept").isNotNull()
+        changed = whole | F.col(kept).isNotNull()
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

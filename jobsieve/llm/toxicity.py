@@ -15,6 +15,7 @@ gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,19 +24,23 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jobsieve.llm.common import bounded_slices, text_digest
+from jobsieve.llm.common import bounded_slices, unused
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """``toxic_rows``, ``ordinary_rows``, ``row_bytes``: bound of the labelled sample (rows, and bytes per row);
+    """``toxic_rows``, ``ordinary_rows``, ``row_bytes``: bound of the labelled sample (rows, and bytes per row: of a longer
+    text the fit sees the pieces of 64 words that come first by their hash, up to that size); ``ordinary_windows``: bound of
+    the 4-word windows, drawn at random from the sample's ordinary texts, that the ordinary dictionary is trained on;
     ``window``: words per window; ``gain_levels``: gains (bytes) that are counted; ``threshold``: predicted 1 from
     this score on; ``evidence``: least likelihood ratio of a toxic word; ``prefixes``: word beginnings tested as well."""
 
     toxic_rows: int = 1500
     ordinary_rows: int = 3000
     row_bytes: int = 16_000
+    ordinary_windows: int = 100_000
     window: int = 16
     level: int = 9
     ordinary_dict: int = 8192
@@ -172,12 +177,28 @@ def train(texts: list[str], toxic: list[int], p: ToxicityParams) -> tuple[bytes,
     hits = [hits[i] for i in rng.permutation(len(hits))]
     six = [b"".join(hits[i:i + 6]) for i in range(0, len(hits), 6)]
     plain = [w for t, y in zip(texts, toxic) if not y for w in windows(t, 4)]
-    plain = [plain[i] for i in rng.permutation(len(plain))[:100_000]]
+    plain = [plain[i] for i in rng.permutation(len(plain))[:p.ordinary_windows]]
     ordinary, nasty = _train_dictionary(p.ordinary_dict, plain, p), _train_dictionary(p.toxic_dict, six, p)
     weights = logistic(design(GainScorer(ordinary, nasty, p).features(texts)), np.asarray(toxic, dtype=float))
     return ordinary, nasty, weights.tolist()
 
 
+def bounded_text(text: str, limit: int) -> str:
+    """``text``, or of a longer one the pieces of 64 words that come first by their hash, in text order, up to ``limit``
+    bytes (pieces above the limit are left out)."""
+    if len(text.encode()) <= limit:
+        return text
+    words = text.split()
+    pieces = [" ".join(words[i:i + 64]) for i in range(0, len(words), 64)]
+    chosen, size = [], 0
+    for _, i in sorted((zlib.crc32(piece.encode()), i) for i, piece in enumerate(pieces)):
+        n = len(pieces[i].encode()) + 1
+        if size + n <= limit:
+            chosen.append(i)
+            size += n
+    return " ".join(pieces[i] for i in sorted(chosen))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> DataFrame:
     """Bounded labelled sample (text, toxic) of the training rows: ids by hash order, then their texts."""
     known = (labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id")
@@ -185,8 +206,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> Da
     usable = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).withColumn("_order", F.md5(F.col("doc_id").cast("string")))
     parts = [usable.where(F.col("toxic") == y).orderBy("_order").limit(n) for y, n in ((1, p.toxic_rows), (0, p.ordinary_rows))]
     chosen = parts[0].unionByName(parts[1]).select("doc_id", "toxic")  # at most toxic_rows + ordinary_rows rows
-    fits = F.col("text").isNotNull() & (F.octet_length(F.encode("text", "UTF-8")) <= p.row_bytes)
-    return (docs.select("doc_id", "text").where(fits).join(F.broadcast(chosen), "doc_id")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded_slices(batches, "text"):
+            texts = pa.array([bounded_text(t, p.row_bytes) for t in batch.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, batch.column("toxic")], ["doc_id", "text", "toxic"])
+
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    return (sample.mapInArrow(bound, sample.schema)
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).orderBy("doc_id").select("text", "toxic"))
 
 
@@ -204,22 +231,23 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
 
 
 def score(docs: DataFrame, model: tuple[bytes, bytes, list[float]] | None, p: ToxicityParams = ToxicityParams(),
-          text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default) plus ``_score``: the probability that the text is toxic."""
+          text: str = "text", keep: list[str] | None = None, name: str = "_score") -> DataFrame:
+    """``keep`` columns (all by default) plus ``name``: the probability that the text is toxic."""
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "_text") + ", _score double"
+    input_ = unused(docs, "_text")
+    rows = docs.select(*keep, F.col(text).alias(input_))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = GainScorer(model[0], model[1], p) if model else None
         weights = np.asarray(model[2]) if model else None
-        for batch in bounded_slices(batches, "_text", 2 << 20):
+        for batch in bounded_slices(batches, input_, 2 << 20):
             if scorer is None:
                 out = np.zeros(batch.num_rows)
             else:
-                f = scorer.features([t or "" for t in batch.column("_text").to_pylist()])
+                f = scorer.features([t or "" for t in batch.column(input_).to_pylist()])
                 out = 1 / (1 + np.exp(-np.clip(design(f) @ weights, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], [*keep, "_score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out)], [*keep, name])
 
     return rows.mapInArrow(run, schema)
 
@@ -234,4 +262,5 @@ def classify(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
     """The rows of ``docs`` scored below the threshold, all their columns unchanged."""
-    return score(docs, fit(docs, labels, p), p).where(F.col("_score") < p.threshold).drop("_score")
+    name = unused(docs, "_score")
+    return score(docs, fit(docs, labels, p), p, name=name).where(F.col(name) < p.threshold).drop(name)

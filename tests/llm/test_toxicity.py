@@ -53,3 +53,29 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and {901, 902}.isdisjoint(r.doc_id for r in kept.collect())
     assert toxicity.classify(docs.where("false"), labels).count() == 0
     assert {r.score for r in toxicity.classify(docs, labels.where("false")).collect()} == {0.0}
+
+
+def test_gains_equal_a_plain_compression_of_every_window(spark):
+    rng = random.Random(9)
+    p = toxicity.ToxicityParams()
+    texts = [" ".join(rng.choice(["aaa", "bbcd", "Vile\tword", "eé", "zq" * 5]) for _ in range(rng.randrange(60))) for _ in range(30)] + ["", " "]
+    ordinary, nasty = b" aaa bbcd ccc " * 20, b" vile word zqzq " * 5
+    f = toxicity.GainScorer(ordinary, nasty, p).features(texts)
+    for row, t in zip(f, texts):
+        gains = [len(toxicity._compressor(ordinary, p.level).compress(w)) - len(toxicity._compressor(nasty + ordinary, p.level).compress(w)) for w in toxicity.windows(t, p.window)]
+        assert list(row) == [*[sum(g >= n for g in gains) for n in p.gain_levels], len(gains), max([0, *gains])]
+
+
+def test_long_training_texts_are_read_in_pieces():
+    text = " ".join(f"w{i}" for i in range(20_000))
+    part = toxicity.bounded_text(text, 16_000)
+    assert 15_000 < len(part.encode()) <= 16_000 and set(part.split()) <= set(text.split())
+    assert toxicity.bounded_text("short", 16_000) == "short" and toxicity.bounded_text("x" * 50_000, 16_000) == ""
+
+
+def test_a_class_of_long_texts_only_still_trains(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["zzqqvillain", "xxwwrotter", "abc"] if i % 2 else ["cow", "barn", "hay"]) + str(rng.randrange(9)) for _ in range(3000 if i % 2 else 40)), i % 2) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    assert toxicity.fit(docs, labels) is not None
