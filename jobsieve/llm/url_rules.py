@@ -141,4 +141,6 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    """(host, path, verdict) rows of a short list; long ones come from a table."""
+    rows = F.array(*[F.struct(F.lit(h).cast("string").alias("host"), F.lit(p).cast("string").alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules])
+    return spark.range(1).select(F.inline(rows)) if rules else spark.range(0).selectExpr("'' AS host", "'' AS path", "'' AS verdict")
