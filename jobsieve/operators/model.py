@@ -1,30 +1,39 @@
-"""Role classifier and demand forecast with Spark ML.
+"""Role classifier and demand forecast.
 
-Feature frame (M1) -> TF-IDF over 1-3-grams (M2) + one-hot categoricals (M3) + median-impute and
-standardised numerics (M4) -> class-balanced multinomial logistic regression (M5). Evaluation
-(M7-M9) is plain aggregation over (label, prediction) pairs, so it also runs on any table of
-predictions."""
+Feature frame (M1) -> TF-IDF over 1-3-grams (M2) + one-hot categoricals (M3) + median-imputed, standardised numerics (M4)
+-> class-balanced multinomial logistic regression (M5). Evaluation (M7-M9) is plain aggregation over (label, prediction)
+pairs, so it also runs on any table of predictions.
+
+The model is a table, not a driver object: one row per term or category (its 64-bit hash, idf, and a weight per class). A
+term index of any size is built by grouped counts, and rows meet it by an equi-join. Only the logistic fit itself is
+bounded: it sees at most ``max_rows`` labelled rows (by hash order); document frequencies, medians, deviations and class
+weights cover all rows. With an L2 penalty the best weights are a combination of the fitted rows, so the fit needs
+nothing of the terms but the rows' inner products: tasks sum them over hash partitions of the terms, the
+``max_rows`` x ``max_rows`` matrix is solved, and the weights of all terms follow by one grouped sum."""
 
 from __future__ import annotations
 
 import datetime as dt
-import json
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (CountVectorizer, IDF, Imputer, IndexToString, NGram, Normalizer, OneHotEncoder,
-                                RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler)
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.functions.salary import midpoint_any
 from jobsieve.functions.text import split_list
+from jobsieve.operators.salary import floor_quantiles
 from jobsieve.session import cut_lineage
 
 CATEGORICAL = ["source", "remote_status", "location"]
 NUMERIC = ["salary_avg", "skill_count", "salary_was_missing"]
 GROWTH_PER_QUARTER = 0.08  # fixed value that must equal the reference's default growth rate
+#: word characters of a term, as in the Unicode class \w; a term has two or more
+WORD = r"[\p{L}\p{N}_]{2,}"
+#: labelled rows the logistic fit sees at most (its matrix has the square of that); more are chosen by hash order
+MAX_ROWS = 4096
 
 
 def feature_frame(df: DataFrame, label: str | None = "role_type") -> DataFrame:
@@ -58,61 +67,255 @@ def feature_frame(df: DataFrame, label: str | None = "role_type") -> DataFrame:
         str_or("source", "unknown").alias("source"), str_or("remote_status", "unknown").alias("remote_status"),
         str_or("location", "unknown").alias("location"), title.alias("title"), desc.alias("description"),
         F.trim(F.concat_ws(" ", title, desc, F.array_join("_skills", " "))).alias("combined_text"))
-    return out.withColumn("salary_avg_d", F.col("salary_avg").cast("double")) \
-              .withColumn("skill_count_d", F.col("skill_count").cast("double")) \
-              .withColumn("salary_was_missing_d", F.col("salary_was_missing").cast("double"))
+    return out
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """M5 balanced weights: n / (k * n_class) per row."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = counts.select(F.count(F.lit(1))).scalar()
-    return df.join(counts, label).withColumn("weight", n / (k * F.col("_nc"))).drop("_nc")
-
-
-def build_pipeline(label: str, n_rows_hint: int = 1000, vocab_size: int = (1 << 31) - 1) -> Pipeline:
-    """M2-M6: the estimator pipeline (fit it on ``class_weights(feature_frame(df))``)."""
-    tok = RegexTokenizer(inputCol="combined_text", outputCol="_w1", pattern=r"(?u)\b\w\w+\b", gaps=False, toLowercase=True)
-    ng2 = NGram(n=2, inputCol="_w1", outputCol="_w2")
-    ng3 = NGram(n=3, inputCol="_w1", outputCol="_w3")
-    allg = SQLTransformer(statement="SELECT *, concat(_w1, _w2, _w3) AS _grams FROM __THIS__")
-    cv = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=vocab_size)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf")
-    norm = Normalizer(inputCol="_tfidf", outputCol="_text", p=2.0)
-    idx = StringIndexer(inputCols=CATEGORICAL, outputCols=[f"_{c}_i" for c in CATEGORICAL], handleInvalid="keep")
-    ohe = OneHotEncoder(inputCols=[f"_{c}_i" for c in CATEGORICAL], outputCols=[f"_{c}_v" for c in CATEGORICAL],
-                        handleInvalid="keep")
-    imp = Imputer(strategy="median", relativeError=0.0, inputCols=[f"{c}_d" for c in NUMERIC], outputCols=[f"_{c}_m" for c in NUMERIC])
-    num = VectorAssembler(inputCols=[f"_{c}_m" for c in NUMERIC], outputCol="_num")
-    sc = StandardScaler(inputCol="_num", outputCol="_nums", withMean=True, withStd=True)
-    feats = VectorAssembler(inputCols=["_text", *[f"_{c}_v" for c in CATEGORICAL], "_nums"], outputCol="features")
-    lab = StringIndexer(inputCol=label, outputCol="label", handleInvalid="error")
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial",
-                            regParam=1.0 / max(n_rows_hint, 1), maxIter=100, standardization=False)
-    return Pipeline(stages=[tok, ng2, ng3, allg, cv, idf, norm, idx, ohe, imp, num, sc, feats, lab, lr])
-
-
-def train(df: DataFrame, label: str = "role_type") -> PipelineModel:
-    """M5: fit the pipeline with balanced class weights."""
-    f = class_weights(feature_frame(df, label), label)
-    n = f.select(F.count(F.lit(1))).first()[0]  # one number, sets the L2 strength (C = 1)
-    stages = build_pipeline(label, n).getStages()
-    # Pipeline.fit re-runs every upstream transform for each estimator; the tokens and n-grams of
-    # long texts are computed once and materialised (reliable checkpoint in the shared folder)
-    prefix = Pipeline(stages=stages[:4]).fit(f)
-    grams = cut_lineage(prefix.transform(f))
-    rest = Pipeline(stages=stages[4:]).fit(grams)
-    return PipelineModel(prefix.stages + rest.stages)
-
-
-def predict(model: PipelineModel, df: DataFrame, label: str = "role_type", out: str = "predicted_role_type") -> DataFrame:
-    """M6: label strings for new rows, plus the max class probability as ``confidence``."""
-    f = feature_frame(df, None)
-    p = model.transform(f)
-    labels = model.stages[-2].labels
-    conv = IndexToString(inputCol="prediction", outputCol=out, labels=labels)
-    return conv.transform(p).withColumn("confidence", F.array_max(vector_to_array("probability")))
+    """M5 balanced weights per class: (label, rows, weight = n / (classes * rows))."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
+    total = counts.agg(F.struct(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
+    return counts.withColumn("_t", total).select(label, "rows", (F.col("_t.n") / (F.col("_t.k") * F.col("rows"))).alias("weight"))
+
+
+# ---- M2: terms -------------------------------------------------------------------------------------------------
+
+def grams(text: str | Column, longest: int = 3) -> Column:
+    """The 1- to ``longest``-grams of lower-cased words."""
+    words = F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(WORD), F.lit(0))
+
+    def runs(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.element_at(w, i + j) for j in range(n)]))
+        return F.when(F.size(w) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    # the words are computed once and bound to a lambda variable
+    return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, *[runs(w, n) for n in range(2, longest + 1)])), 1)
+
+
+def term_counts(rows: DataFrame, row: str = "_row", text: str = "combined_text") -> DataFrame:
+    """(row, f, tf): how often each term, as its 64-bit hash, stands in each row."""
+    return rows.select(row, F.explode(F.transform(grams(text), lambda g: F.xxhash64(g))).alias("f")).groupBy(row, "f").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_index(counts: DataFrame, n_rows: int) -> DataFrame:
+    """(f, df, idf) of every term: idf = ln((1 + rows) / (1 + df)) + 1."""
+    return counts.groupBy("f").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((1 + F.lit(n_rows)) / (1 + F.col("df"))) + 1)
+
+
+def tfidf(counts: DataFrame, index: DataFrame, row: str = "_row") -> DataFrame:
+    """(row, f, v, norm): tf * idf of the terms that the index holds, and the row's Euclidean norm over them."""
+    v = counts.join(index.select("f", "idf"), "f").select(row, "f", (F.col("tf") * F.col("idf")).alias("v"))
+    norms = v.groupBy(row).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return v.join(norms, row)
+
+
+# ---- M3, M4: categories and numbers -----------------------------------------------------------------------------
+
+def category_index(df: DataFrame) -> DataFrame:
+    """M3: (column, value, rows) of every category seen."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in CATEGORICAL])
+    return df.select(F.explode(pairs).alias("c")).groupBy("c.column", "c.value").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _category_features(rows: DataFrame, row: str = "_row") -> DataFrame:
+    return rows.select(row, F.explode(F.array(*[F.xxhash64(F.lit(f"{c}="), F.col(c)) for c in CATEGORICAL])).alias("f"))
+
+
+def numeric_profile(df: DataFrame) -> DataFrame:
+    """M4: per numeric column its median (of present values), and mean and deviation (population) once gaps hold the median."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in NUMERIC])).alias("c")).select("c.*")
+    medians = floor_quantiles(long, ["column"], "value", {}, {"median": 0.5})
+    filled = long.join(medians, "column", "left").withColumn("value", F.coalesce("value", "median", F.lit(0.0)))
+    return filled.groupBy("column").agg(F.first("median").alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+
+
+# ---- M5: fit ---------------------------------------------------------------------------------------------------
+
+@dataclass
+class RoleModel:
+    """Class labels, the numbers' profile and weights, biases, and the table (f, idf, w) of terms and categories
+    (``idf`` null: a category)."""
+
+    labels: list[str]
+    numbers: dict[str, tuple[float, float, float]]
+    number_weights: list[list[float]]
+    bias: list[float]
+    weights: DataFrame
+    facts: dict = field(default_factory=dict)
+
+    def number(self, c: str) -> Column:
+        median, mean, deviation = self.numbers[c]
+        return (F.coalesce(F.col(c).cast("double"), F.lit(median)) - mean) / (deviation or 1.0)
+
+
+def _inner_products(entries: DataFrame, n: int, tasks: int) -> np.ndarray:
+    """X X' of the sparse rows (i, f, x), summed over hash partitions of f; ``n`` x ``n`` comes back."""
+    block = max(1, (4 << 20) // (8 * max(n, 1)))
+
+    def add(k: np.ndarray, i: np.ndarray, f: np.ndarray, x: np.ndarray) -> None:
+        first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+        size = np.diff(np.concatenate((first, [len(f)])))
+        flat = k.reshape(-1)
+        for s in np.unique(size):
+            at = first[size == s][:, None] + np.arange(s)
+            if s <= 256:
+                for part in np.array_split(at, max(1, at.size * s >> 20)):
+                    rows, v = i[part], x[part]
+                    np.add.at(flat, (rows[:, :, None] * n + rows[:, None, :]).ravel(), (v[:, :, None] * v[:, None, :]).ravel())
+            else:
+                for part in np.array_split(at, -(-len(at) // 64)):
+                    dense = np.zeros((n, len(part)))
+                    dense[i[part], np.arange(len(part))[:, None]] = x[part]
+                    k += dense @ dense.T
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, held, size, any_ = np.zeros((n, n)), [], 0, False
+
+        def work(rows: list[tuple[np.ndarray, ...]], keep_last: bool) -> list:
+            i, f, x = (np.concatenate(c) for c in zip(*rows))
+            cut = int(np.searchsorted(f, f[-1])) if keep_last else len(f)  # a term's rows stay together
+            if cut:
+                add(k, i[:cut], f[:cut], x[:cut])
+            return [(i[cut:], f[cut:], x[cut:])] if cut < len(f) else []
+
+        for b in batches:
+            held.append(tuple(b.column(c).to_numpy() for c in ("i", "f", "x")))
+            size += b.num_rows
+            any_ = any_ or b.num_rows > 0
+            if size > 1 << 20:
+                held = work(held, True)
+                size = 0
+        if held and any_:
+            work(held, False)
+        for a in range(0, n if any_ else 0, block):
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([k[a:a + block].tobytes()], pa.binary())], ["a", "k"])
+
+    def total(t: pa.Table) -> pa.Table:
+        k = sum(np.frombuffer(v, np.float64) for v in t["k"].to_pylist())
+        return pa.table({"a": pa.array([t["a"][0].as_py()], pa.int32()), "k": pa.array([k.tobytes()], pa.binary())})
+
+    parts = entries.repartition(tasks, "f").sortWithinPartitions("f").mapInArrow(multiply, "a int, k binary")
+    out = np.zeros((n, n))
+    for r in parts.groupBy("a").applyInArrow(total, "a int, k binary").toLocalIterator():
+        rows = np.frombuffer(r.k, np.float64).reshape(-1, n)
+        out[r.a:r.a + len(rows)] = rows
+    return out
+
+
+def _softmax(m: np.ndarray) -> np.ndarray:
+    e = np.exp(m - m.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def logistic_dual(k: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of the L2-penalised (C = 1) weighted multinomial fit over inner products ``k``: scores are ``k @ a + b``.
+
+    Minimised over the coordinates of a Cholesky factor by limited-memory BFGS; at the optimum a is the negative
+    weighted residual, which also holds for row sets whose factor needed a ridge."""
+    n = len(y)
+    factor = np.linalg.cholesky(k + np.eye(n) * (1e-10 * max(np.trace(k) / max(n, 1), 1e-12) + 1e-12))
+    target = np.eye(classes)[y]
+
+    def evaluate(z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        v, b = z[:-classes].reshape(n, classes), z[-classes:]
+        p = _softmax(factor @ v + b)
+        residual = weight[:, None] * (p - target)
+        loss = 0.5 * float((v * v).sum()) - float((weight * np.log(np.maximum(p[np.arange(n), y], 1e-300))).sum())
+        return loss, np.concatenate(((v + factor.T @ residual).ravel(), residual.sum(axis=0))), residual
+
+    z = np.zeros(n * classes + classes)
+    loss, grad, residual = evaluate(z)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(grad).max() < 1e-6:
+            break
+        d, back = grad.copy(), []
+        for s, g in reversed(steps):
+            back.append(float(s @ d) / float(s @ g))
+            d -= back[-1] * g
+        if steps:
+            d *= float(steps[-1][0] @ steps[-1][1]) / float(steps[-1][1] @ steps[-1][1])
+        for (s, g), al in zip(steps, reversed(back)):
+            d += (al - float(g @ d) / float(s @ g)) * s
+        slope, t = -float(grad @ d), 1.0
+        while True:
+            new = z - t * d
+            new_loss, new_grad, residual = evaluate(new)
+            if new_loss <= loss + 1e-4 * t * slope or t < 1e-12:
+                break
+            t /= 2
+        s, g = new - z, new_grad - grad
+        if float(s @ g) > 1e-12:
+            steps = [*steps[-9:], (s, g)]
+        z, loss, grad = new, new_loss, new_grad
+    return -residual, z[-classes:]
+
+
+def train(df: DataFrame, label: str = "role_type", max_rows: int = MAX_ROWS) -> RoleModel:
+    """M5: fit on the rows of ``df`` that have a label. The weights table is written under the checkpoint folder."""
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    f = feature_frame(df, label).where(F.col(label).isNotNull()).select(
+        F.monotonically_increasing_id().alias("_row"), F.col(label).cast("string").alias("_label"), *CATEGORICAL, *NUMERIC, "combined_text")
+    f = cut_lineage(f)
+    balance = {r["_label"]: (r["rows"], r["weight"]) for r in class_weights(f, "_label").collect()}  # one row per class
+    labels, n_rows = sorted(balance), sum(r for r, _ in balance.values())
+    numbers = {r["column"]: (r["median"] or 0.0, r["mean"], r["deviation"]) for r in numeric_profile(f).collect()}  # three rows
+    model = RoleModel(labels, numbers, [], [], f)
+    counts = cut_lineage(term_counts(f))
+    index = cut_lineage(term_index(counts, n_rows))
+
+    order = F.xxhash64("combined_text", "_label", *CATEGORICAL)
+    sample = f.select("_row", "_label", *[model.number(c).alias(c) for c in NUMERIC]).where(F.lit(True))
+    if n_rows > max_rows:
+        sample = f.select("_row", "_label", *[model.number(c).alias(c) for c in NUMERIC], order.alias("_o")).orderBy("_o", "_row").limit(max_rows)
+    chosen = sample.select("_row", "_label", *NUMERIC).orderBy("_row").collect()  # at most max_rows rows
+    numeric = np.array([[r[c] for c in NUMERIC] for r in chosen]).reshape(len(chosen), len(NUMERIC))
+    y = np.array([labels.index(r["_label"]) for r in chosen])
+    weight = np.array([balance[r["_label"]][1] for r in chosen])
+    places = spark.createDataFrame([(r["_row"], i) for i, r in enumerate(chosen)], "_row bigint, i int")
+
+    text = tfidf(counts.join(places.select("_row"), "_row", "left_semi"), index).select("_row", "f", (F.col("v") / F.col("norm")).alias("x"))
+    entries = cut_lineage(text.unionByName(_category_features(f).withColumn("x", F.lit(1.0))).join(places, "_row").select("i", "f", "x"))
+    k = _inner_products(entries.withColumn("i", F.col("i").cast("long")), len(chosen), min(width, 32)) + numeric @ numeric.T
+    a, b = logistic_dual(k, y, weight, len(labels))
+    model.number_weights, model.bias = (numeric.T @ a).tolist(), b.tolist()
+    mixed = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(a)], "i int, a array<double>")
+    sums = F.array(*[F.sum(F.col("x") * F.col("a")[c]) for c in range(len(labels))])
+    learned = entries.join(mixed, "i").groupBy("f").agg(sums.alias("w"))
+    zero = F.array(*[F.lit(0.0)] * len(labels))
+    # terms outside the fitted rows have no weight, but count in the norm
+    model.weights = cut_lineage(index.select("f", "idf").join(learned, "f", "full_outer").select("f", "idf", F.coalesce("w", zero).alias("w")))
+    model.facts = {"rows": n_rows, "fitted_rows": len(chosen), "classes": len(labels), "max_rows": max_rows}
+    return model
+
+
+# ---- M6: predict -----------------------------------------------------------------------------------------------
+
+def predict(model: RoleModel, df: DataFrame, label: str = "role_type", out: str = "predicted_role_type") -> DataFrame:
+    """M6: the most likely label of every row, plus its probability as ``confidence``. Unknown terms and categories
+    count nothing; ties go to the label that sorts first."""
+    f = cut_lineage(feature_frame(df, None).withColumn("_row", F.monotonically_increasing_id()))
+    classes = range(len(model.labels))
+    terms = term_counts(f).unionByName(_category_features(f).withColumn("tf", F.lit(1).cast("long")))
+    met = terms.join(model.weights, "f").withColumn("v", F.col("tf") * F.col("idf"))
+    sums = met.groupBy("_row").agg(
+        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"),
+        F.array(*[F.sum(F.coalesce("v", F.lit(0.0)) * F.col("w")[c]) for c in classes]).alias("_text"),
+        F.array(*[F.sum(F.when(F.col("idf").isNull(), F.col("w")[c]).otherwise(0.0)) for c in classes]).alias("_cat"))
+    scored = f.join(sums, "_row", "left")
+
+    def logit(c: int) -> Column:
+        numbers = sum((model.number(n) * model.number_weights[j][c] for j, n in enumerate(NUMERIC)), F.lit(model.bias[c]))
+        text = F.when(F.col("_norm") > 0, F.col("_text")[c] / F.col("_norm")).otherwise(0.0)
+        return numbers + F.coalesce(text, F.lit(0.0)) + F.coalesce(F.col("_cat")[c], F.lit(0.0))
+
+    scored = scored.withColumn("_logits", F.array(*[logit(c) for c in classes]))
+    top = F.array_max("_logits")
+    names = F.array(*map(F.lit, model.labels))
+    total = F.aggregate("_logits", F.lit(0.0), lambda s, v: s + F.exp(v - top))
+    return scored.withColumn(out, F.element_at(names, F.array_position("_logits", top).cast("int"))).withColumn("confidence", 1 / total) \
+        .drop("_row", "_norm", "_text", "_cat", "_logits")
 
 
 def confusion(pred: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -158,17 +361,62 @@ def forecast(pred: DataFrame, predicted: str = "predicted_role_type", quarters_a
             .orderBy(F.col("projected_demand_index").desc(), "role").limit(top_n))
 
 
-def run_experiment(train_df: DataFrame, eval_df: DataFrame, out_dir: str, label: str = "role_type",
-                   params: dict | None = None) -> DataFrame:
-    """Train, evaluate, write predictions / report / confusion / profile as Parquet under
-    ``out_dir`` (shared storage), and return the one-row run table (params + metrics)."""
+def dataset_profile(parts: dict[str, DataFrame], label: str = "role_type") -> DataFrame:
+    """(section, name, value) of prepared frames: rows, columns, distributions of label, work mode and source, and the
+    description of ``salary_avg`` (count, mean, std, min, quartiles, max; 0 where undefined). One unpivoted aggregate over
+    all parts, and one pass for their quartiles."""
+    columns = {part: len(df.columns) for part, df in parts.items()}
+    rows = None
+    for part, df in parts.items():
+        one = df.select(F.lit(part).alias("section"), F.col(label).cast("string").alias("label"), "remote_status", "source", F.col("salary_avg").cast("double").alias("v"))
+        rows = one if rows is None else rows.unionByName(one)
+    tags = F.array(F.lit("row_count"), *[F.concat(F.lit(f"{n}_distribution:"), F.col(c)) for n, c in
+                                         (("label", "label"), ("remote_status", "remote_status"), ("source", "source"))])
+    counts = rows.select("section", F.explode(F.array_compact(tags)).alias("name")).groupBy("section", "name").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    quartiles = floor_quantiles(rows, ["section"], "v", {}, {"25%": 0.25, "50%": 0.5, "75%": 0.75}).withColumnRenamed("section", "_s")
+    stats = rows.groupBy("section").agg(F.count("v").cast("double").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+                                        F.min("v").alias("min"), F.max("v").alias("max"))
+    stats = stats.join(quartiles, F.col("section") == F.col("_s"), "left")
+    names = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+    described = stats.select("section", F.explode(F.array(*[F.struct(F.lit(f"salary_avg:{n}").alias("name"), F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias("value")) for n in names])).alias("d"))
+    width = rows.sparkSession.createDataFrame([(p, "column_count", float(n)) for p, n in columns.items()], "section string, name string, value double")
+    return counts.unionByName(described.select("section", "d.name", "d.value")).unionByName(width)
+
+
+FEATURES = ["combined_text", *CATEGORICAL, *NUMERIC]
+
+
+def run_record(train_df: DataFrame, eval_df: DataFrame, label: str = "role_type", params: dict | None = None) -> DataFrame:
+    """M11 without learned numbers: (section, name, value, text) of the run's tags (family, problem, fingerprints), its
+    parameters, and the profiles of both prepared tables."""
+    from jobsieve.operators.stats import fingerprint
+    spark = train_df.sparkSession
+    profile = cut_lineage(dataset_profile({"train": feature_frame(train_df, label), "evaluation": feature_frame(eval_df, label)}, label))
+    sizes = profile.where("name = 'row_count'").select(F.lit("param").alias("section"), F.concat(F.when(F.col("section") == "train", "train").otherwise("eval"), F.lit("_rows")).alias("name"),
+                                                       "value", F.lit(None).cast("string").alias("text"))
+    fixed = {"feature_count": len(FEATURES), "growth_per_quarter": GROWTH_PER_QUARTER, "max_rows": MAX_ROWS, "model_type": "logistic_regression", "ngram_range": "1-3", **(params or {})}
+    rows = [("param", k, float(v) if isinstance(v, (int, float)) else None, None if isinstance(v, (int, float)) else str(v)) for k, v in fixed.items()]
+    rows += [("tag", "model_family", None, "role_classifier"), ("tag", "problem_type", None, "multiclass_classification")]
+    out = sizes.unionByName(spark.createDataFrame(rows, "section string, name string, value double, text string"))
+    for name, df in (("train", train_df), ("eval", eval_df)):
+        out = out.unionByName(fingerprint(df).select(F.lit("tag").alias("section"), F.lit(f"{name}_dataset_fingerprint").alias("name"),
+                                                     F.lit(None).cast("double").alias("value"), F.col("hash_sum").alias("text")))
+    return out.unionByName(profile.withColumn("text", F.lit(None).cast("string")))
+
+
+def run_experiment(train_df: DataFrame, eval_df: DataFrame, out_dir: str, label: str = "role_type", params: dict | None = None) -> DataFrame:
+    """Train, evaluate, and write predictions, report, confusion matrix, weights and the run record (with the metrics as
+    rows of section ``metric``) as Parquet under ``out_dir`` (shared storage). Returns the run record as written."""
     model = train(train_df, label)
-    pred = predict(model, eval_df, label)
-    pred.select(label, "predicted_role_type", "confidence").write.mode("overwrite").parquet(f"{out_dir}/predictions")
+    model.weights.write.mode("overwrite").parquet(f"{out_dir}/weights")
+    predict(model, eval_df, label).write.mode("overwrite").parquet(f"{out_dir}/predictions")
+    spark = train_df.sparkSession
+    pred = spark.read.parquet(f"{out_dir}/predictions")
     class_report(pred, label, "predicted_role_type").write.mode("overwrite").parquet(f"{out_dir}/report")
     confusion(pred, label, "predicted_role_type").write.mode("overwrite").parquet(f"{out_dir}/confusion")
-    from jobsieve.operators.stats import distribution
-    distribution(feature_frame(train_df, label), label).write.mode("overwrite").parquet(f"{out_dir}/profile")
-    m = evaluate(pred, label, "predicted_role_type")
-    return m.withColumn("params", F.lit(json.dumps(params or {"model": "logistic_regression", "ngram_range": "1-3"})))\
-            .withColumn("run_at", F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)))
+    metrics = evaluate(pred, label, "predicted_role_type")
+    long = metrics.select(F.explode(F.array(*[F.struct(F.lit("metric").alias("section"), F.lit(m).alias("name"), F.col(m).alias("value"), F.lit(None).cast("string").alias("text"))
+                                              for m in metrics.columns])).alias("m")).select("m.*")
+    run = run_record(train_df, eval_df, label, {**(params or {}), **{k: v for k, v in model.facts.items() if k != "rows"}}).unionByName(long)
+    run.withColumn("run_at", F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))).write.mode("overwrite").parquet(f"{out_dir}/run")
+    return spark.read.parquet(f"{out_dir}/run")
