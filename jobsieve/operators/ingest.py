@@ -13,6 +13,7 @@ from jobsieve.operators import maintain as mt
 from jobsieve.operators import validation as va
 from jobsieve.session import cut_lineage
 from jobsieve.sources import files as fl
+from jobsieve.sources.posting_table import PostingTable
 
 # Fixed values that must equal the reference: reasons of the provider results.
 REASON_SAVED = "Source passed governance, validation, and repository persistence."
@@ -25,13 +26,15 @@ def ingest(spark: SparkSession, sources: dict[str, DataFrame], table_root: str,
     """Run one ingestion batch; one summary row per provider (fetched, saved, legal basis, reason) with the totals.
 
     A ``running`` audit row is written first, then ``completed`` or ``failed`` (the latest row is the batch's state), so
-    a killed job leaves a trace. The batch is written once in arrival order (provider order, then row order) and
-    published as one new table version after every source passed; a failure leaves the table untouched. A dry run
-    writes nothing and reports saved 0, expired 0 and the current number of active postings."""
+    a killed job leaves a trace. The batch is written once in arrival order (provider order, then row order); after every
+    source passed, one commit publishes the changed rows and counts them (A20). A failure leaves the
+    table untouched; a batch id that was committed before changes nothing. A dry run writes nothing and reports saved 0,
+    expired 0 and the current number of active postings."""
     if not sources:
         raise ValueError("at least one source is required")
     now = lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     started, names = now(), list(sources)
+    table = PostingTable(spark, table_root)
     audit_root = f"{table_root.rstrip('/')}/_audit"
 
     def audit(status: str, **kw) -> None:
@@ -46,22 +49,18 @@ def ingest(spark: SparkSession, sources: dict[str, DataFrame], table_root: str,
         stamped = mt.stamp_batch(fetched, batch_id, as_of).withColumn("_ord", F.monotonically_increasing_id())
         stamped = cut_lineage(stamped)                                        # batch-sized; fixes the arrival order
         va.validate_strict(stamped.drop("_provider", "_ord"), as_of)          # V8 (raises)
-        existing = fl.read_current(spark, table_root)
         per = stamped.groupBy(F.col("_provider").alias("provider")).agg(
             F.count(F.lit(1)).alias("fetched"), F.min("source_legal_basis").alias("legal_basis"))
         n_fetched = stamped.count()
-        expired = 0
+        state, expired = table.manifest(), 0
         if not dry_run:
-            table = existing if existing is not None else stamped.drop("_ord", "_provider").limit(0)
-            merged = mt.upsert(table, stamped.select(*table.columns, "_ord"), order="_ord", batch_id=batch_id)
-            if mark_expired:
-                merged = merged.withColumn("_was", F.coalesce(F.col("is_expired"), F.lit(False)))
-                swept = cut_lineage(mt.expire(merged, as_of))
-                expired = swept.where("is_expired and not _was").count()
-                merged = swept.drop("_was")
-            fl.write_version(merged, table_root)
-            existing = fl.read_current(spark, table_root)
-        active_after = existing.where(~F.coalesce(F.col("is_expired"), F.lit(False))).count() if existing is not None else 0
+            existing = table.current()
+            if existing is None:
+                existing = stamped.drop("_ord", "_provider").limit(0)
+            changes = mt.changed_rows(existing, stamped.select(*existing.columns, "_ord"), "_ord", batch_id, as_of if mark_expired else None)
+            state = table.commit(changes, batch_id)                           # U1 + U2: the one write
+            expired = state.commit["expired"]
+        active_after = state.active
         saved = 0 if dry_run else n_fetched
         audit("completed", finished=now(), fetched=n_fetched, saved=saved, expired=expired)
         reason = REASON_DRY if dry_run else REASON_SAVED

@@ -96,13 +96,17 @@ def upsert(existing: DataFrame, batch: DataFrame, order: str, batch_id: str = "b
 
     The batch is resolved to one row per target first and written once (batch-sized); the table then meets it in one
     full outer join on id. Matched rows take the batch's writable fields and keep their id, new rows are inserted.
-    Returns the new table version — write it beside the old one
-    (``jobsieve.sources.files.write_version``), never over it."""
-    cols = existing.columns
+    Returns the whole table after the merge; a stored table takes ``changed_rows`` instead."""
     r = cut_lineage(resolve_batch(existing, batch, order, batch_id))
+    return _merge(existing, r, "full_outer").select(*existing.columns)
+
+
+def _merge(existing: DataFrame, r: DataFrame, how: str) -> DataFrame:
+    """Resolved rows met with the table: its columns, and whether the row was there and active (null: new)."""
+    cols = existing.columns
     m = r.select(F.col("_tid"), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_b_{c}") for c in r.columns if c in cols])
     e = existing.withColumn("_old", F.lit(True))
-    j = e.join(m, e["id"] == m["_tid"], "full_outer")
+    j = e.join(m, e["id"] == m["_tid"], how)
 
     def merged(c: str) -> Column:
         if c == "id":
@@ -112,7 +116,24 @@ def upsert(existing: DataFrame, batch: DataFrame, order: str, batch_id: str = "b
         new = F.col(f"_b_{c}")
         return F.when(F.col("_old").isNull(), new).when(F.col("_hit") & F.lit(c in WRITABLE_FIELDS), new).otherwise(F.col(c))
 
-    return j.select(*[merged(c).cast(existing.schema[c].dataType).alias(c) for c in cols])
+    was = F.when(F.col("_old"), ~F.coalesce(F.col("is_expired"), F.lit(False))) if "is_expired" in cols else F.lit(None).cast("boolean")
+    return j.select(*[merged(c).cast(existing.schema[c].dataType).alias(c) for c in cols], was.alias("_was_active"))
+
+
+def changed_rows(existing: DataFrame, batch: DataFrame, order: str, batch_id: str = "batch", as_of: dt.datetime | None = None) -> DataFrame:
+    """U1 + U2 as a change set for ``PostingTable.commit``: the rows of the table that a batch inserts or overwrites and, with
+    ``as_of``, those that the expiry sweep flips. All other rows of the table are neither shuffled nor written."""
+    r = cut_lineage(resolve_batch(existing, batch, order, batch_id))
+    touched = existing.join(r.select(F.col("_tid").alias("id")), "id", "left_semi")
+    rows = _merge(touched, r, "right_outer").withColumn("_swept", F.lit(False))
+    if as_of is None:
+        return rows
+    before = F.coalesce(F.col("is_expired"), F.lit(False))
+    due = F.col("expires_at").isNotNull() & (F.col("expires_at") < F.lit(as_of))
+    rows = rows.withColumn("_swept", due & ~before).withColumn("is_expired", before | due)
+    flips = (existing.where(due & ~before).join(r.select(F.col("_tid").alias("id")), "id", "left_anti").select(*existing.columns)
+             .withColumns({"is_expired": F.lit(True), "_was_active": F.lit(True), "_swept": F.lit(True)}))
+    return rows.unionByName(flips)
 
 
 def skill_dimension(existing: DataFrame, names: DataFrame, name: str = "skill") -> DataFrame:

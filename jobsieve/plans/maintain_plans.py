@@ -14,6 +14,8 @@ from jobsieve.operators import medallion as md
 from jobsieve.operators.search import skills_json_text
 from jobsieve.plans.oracle_base import with_postings
 from jobsieve.plans.registry import register
+from jobsieve.session import scratch_path
+from jobsieve.sources.posting_table import PostingTable
 from jobsieve.sources.tables import AS_OF, postings, table
 
 _ASOF = f"TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}'"
@@ -59,6 +61,17 @@ def u1_upsert_two_batches(spark, sf_dir):
     return t.select("id", "source", "source_posting_id", "title", F.col("posted_date").cast("string").alias("posted_date"))
 
 
+@register("u1_posting_table", _UPSERT_SQL)
+def u1_posting_table(spark, sf_dir):
+    """The same two loads into a stored table, as commits of their changed rows; some buckets folded into new base files."""
+    empty, b0, b1 = _batches(spark, sf_dir)
+    table = PostingTable(spark, scratch_path(spark, "posting-table"), buckets=8)
+    table.commit(mt.changed_rows(empty, b0, "_ord", "b0"), "b0")
+    table.commit(mt.changed_rows(table.current(), b1, "_ord", "b1"), "b1")
+    table.compact(share=0.5)
+    return table.current().select("id", "source", "source_posting_id", "title", F.col("posted_date").cast("string").alias("posted_date"))
+
+
 @register("j7_upsert_matches", with_postings(
     "SELECT tid AS target_id, title, tid IN (SELECT id FROM _t0) AS matched FROM _m",
     _UPSERT_SQL[_UPSERT_SQL.index("_b0 AS ("):_UPSERT_SQL.index(",\n_t1 AS (")]))

@@ -16,6 +16,7 @@ from jobsieve.plans.oracle_base import with_postings
 from jobsieve.plans.registry import register
 from jobsieve.session import scratch_path
 from jobsieve.sources import files as fl
+from jobsieve.sources.posting_table import PostingTable
 from jobsieve.sources.tables import AS_OF, postings
 
 _CSV_COLS = ["id", "title", "company", "location", "description", "salary_min", "salary_max", "required_skills",
@@ -168,7 +169,7 @@ def u7_dry_run(spark, sf_dir):
     f"SELECT id, source, source_posting_id, title, expires_at < {_ASOF} AS is_expired FROM _final", _INGEST_SQL))
 def u7_ingested_table(spark, sf_dir):
     _, root = _ingest(spark, sf_dir)
-    return fl.read_current(spark, root).select("id", "source", "source_posting_id", "title", "is_expired")
+    return PostingTable(spark, root).current().select("id", "source", "source_posting_id", "title", "is_expired")
 
 
 @register("u7_rejected_batch", with_postings(
@@ -183,7 +184,7 @@ def u7_rejected_batch(spark, sf_dir):
     except ValueError:
         pass
     state = mt.latest_batches(spark.read.parquet(f"{root}/_audit"))
-    return state.select("status", "error", F.lit(fl.read_current(spark, root) is not None).alias("published"))
+    return state.select("status", "error", F.lit(PostingTable(spark, root).current() is not None).alias("published"))
 
 
 @register("u3_w9_audit_batches", with_postings(
