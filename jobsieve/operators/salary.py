@@ -162,8 +162,8 @@ def estimate_salaries(postings: DataFrame, reference: DataFrame | None = None, c
     """J2 + P5: every posting with its effective salary block.
 
     Peers are listed rows of ``reference`` (default: the postings themselves; J12 passes the whole
-    active table). One GROUPING SETS aggregate over peers gives (sum min, sum max, n) for all five
-    rungs; each unlisted posting takes the first non-empty rung. Listed rows keep their bounds."""
+    active table). One GROUPING SETS aggregate over peers gives (sum min, sum max, n) for all five rungs; the distinct key
+    combinations of unlisted rows meet it in one join and take their first non-empty rung. Listed rows keep their bounds."""
     ref = reference if reference is not None else postings
     keycols = ["role_type", "location", "experience_level", "occupation_group"]
     peers = ref.where(S.is_listed()).select(*[_k(c).alias("k_" + c) for c in keycols],
@@ -173,22 +173,22 @@ def estimate_salaries(postings: DataFrame, reference: DataFrame | None = None, c
     agg = peers.groupingSets([[F.col("k_" + c) for c in cols] for _, _, cols in RUNGS], *kcols).agg(
         F.grouping_id(*kcols).alias("gid"), F.sum("lo").alias("s_lo"), F.sum("hi").alias("s_hi"),
         F.count(F.lit(1)).alias("n"))
+    # each key combination of an unlisted row looks up its five rungs in one join and keeps the first that has peers
+    names = ["_k_" + c for c in keycols]
     out = postings.withColumns({"_k_" + c: _k(c) for c in keycols})
+    rungs = []
     for i, (_, _, cols) in enumerate(RUNGS):
         gid = sum(1 << (len(keycols) - 1 - keycols.index(c)) for c in keycols if c not in cols)
-        r = agg.where(F.col("gid") == gid).select(
-            *[F.col("k_" + c).alias(f"_r{i}_{c}") for c in cols],
-            F.col("s_lo").alias(f"_r{i}_lo"), F.col("s_hi").alias(f"_r{i}_hi"), F.col("n").alias(f"_r{i}_n"))
-        cond = None
-        for c in cols:
-            e = F.col("_k_" + c) == F.col(f"_r{i}_{c}")
-            cond = e if cond is None else cond & e
-        out = out.join(r, cond, "left")
-    n_ = F.coalesce(*[F.col(f"_r{i}_n") for i in range(len(RUNGS))])
-    lo_ = F.coalesce(*[F.col(f"_r{i}_lo") / F.col(f"_r{i}_n") for i in range(len(RUNGS))])
-    hi_ = F.coalesce(*[F.col(f"_r{i}_hi") / F.col(f"_r{i}_n") for i in range(len(RUNGS))])
-    basis = F.coalesce(*[F.when(F.col(f"_r{i}_n").isNotNull(), F.lit(b)) for i, (b, _, _) in enumerate(RUNGS)])
-    conf0 = F.coalesce(*[F.when(F.col(f"_r{i}_n").isNotNull(), F.lit(c)) for i, (_, c, _) in enumerate(RUNGS)])
+        rungs.append(F.struct(F.lit(i).alias("rung"), F.lit(gid).alias("gid"), *[(F.col("_k_" + c) if c in cols else F.lit("")).alias("k_" + c) for c in keycols]))
+    unlisted = out.where(S.midpoint().isNull() & ~S.is_listed())
+    wanted = unlisted.select(*names).distinct().select(*names, F.explode(F.array(*rungs)).alias("r")).select(*names, "r.*")
+    table = agg.select(F.col("gid").cast("int").alias("gid"), *[F.coalesce("k_" + c, F.lit("")).alias("k_" + c) for c in keycols], "s_lo", "s_hi", "n")
+    first = wanted.join(table, ["gid", *kcols]).groupBy(*names).agg(F.min_by(F.struct("rung", "s_lo", "s_hi", "n"), "rung").alias("_peers"))
+    out = out.join(first, names, "left")
+    n_, rung = F.col("_peers.n"), F.col("_peers.rung")
+    lo_, hi_ = F.col("_peers.s_lo") / n_, F.col("_peers.s_hi") / n_
+    basis = F.coalesce(*[F.when(rung == i, F.lit(b)) for i, (b, _, _) in enumerate(RUNGS)])
+    conf0 = F.coalesce(*[F.when(rung == i, F.lit(c)) for i, (_, c, _) in enumerate(RUNGS)])
     mult = F.when(basis.isin(*MULTIPLIED_BASES), S.experience_multiplier() * S.location_multiplier()).otherwise(F.lit(1.0))
     est_lo, est_hi = lo_ * mult, hi_ * mult
     conf = F.bround(F.least(conf0 + F.least(n_, F.lit(5)) * 0.02, F.lit(0.9)), 2)

@@ -1,9 +1,8 @@
 """Similar postings (J3, J3b) and market context.
 
-J3 never forms all pairs: each score component is an *equi*-join between the target set
-(a request parameter) and the candidates on that component's key, emitting one
-(target, candidate, points) row per match; a sum per (target, candidate) gives the score and a
-per-target top-k (Spark plans a partial WindowGroupLimit before the shuffle) keeps ``limit``."""
+J3 reads the candidates once: the targets (a request parameter) are one array, every candidate is scored against all of
+them inside its row, and a per-target top-k, which Spark begins in each task (WindowGroupLimit), leaves only the best rows
+of a task to shuffle."""
 
 from __future__ import annotations
 
@@ -14,38 +13,35 @@ from pyspark.sql import functions as F
 POINTS = [("role_type", 5), ("occupation_group", 4), ("location", 3), ("remote_status", 2)]
 
 
+def _folded(c: str) -> Column:
+    """Distinct lower-cased elements, nulls left out."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower), lambda s: s.isNotNull()))
+
+
 def similar_jobs(candidates: DataFrame, target_ids: list[str], limit: int = 5,
                  term_column: str | None = None, skills: str = "required_skills") -> DataFrame:
     """J3 (and J3b when ``term_column`` names an array of taxonomy terms per posting).
 
     Returns (target_id, rank, id, title, score). Candidates with score 0 are never emitted.
-    The target list is a parameter; Spark broadcasts it where its size allows."""
-    t = candidates.where(F.col("id").isin([str(t) for t in target_ids]))
-    c = candidates
-    parts = []
-    for key, pts in POINTS:
-        tk = t.select(F.col("id").alias("target_id"), F.col(key).alias("_k")).where(F.col("_k").isNotNull() & (F.col("_k").cast("string") != ""))
-        ck = c.select(F.col("id").alias("cand_id"), F.col(key).alias("_k"))
-        parts.append(tk.join(ck, "_k").select("target_id", "cand_id", F.lit(pts).alias("points")))
-
-    def set_rows(df: DataFrame, col: str, alias: str) -> DataFrame:
-        return df.select(F.col("id").alias(alias), F.explode(F.array_distinct(F.transform(col, lambda s: F.lower(s)))).alias("_k"))
-
-    parts.append(set_rows(t, skills, "target_id").join(set_rows(c, skills, "cand_id"), "_k")
-                 .select("target_id", "cand_id", F.lit(1).alias("points")))
-    if term_column:
-        parts.append(set_rows(t, term_column, "target_id").join(set_rows(c, term_column, "cand_id"), "_k")
-                     .select("target_id", "cand_id", F.lit(1).alias("points")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    scored = (u.where(F.col("target_id") != F.col("cand_id"))
-              .groupBy("target_id", "cand_id").agg(F.sum("points").cast("long").alias("score"))
-              .where(F.col("score") > 0))
-    withtitle = scored.join(c.select(F.col("id").alias("cand_id"), "title"), "cand_id")
-    w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), F.coalesce("title", F.lit("")), F.col("cand_id"))
-    return (withtitle.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-            .select("target_id", "rank", F.col("cand_id").alias("id"), "title", "score"))
+    The target rows travel with the request as one array of a one-row subquery."""
+    lists = [skills, *([term_column] if term_column else [])]
+    rows = candidates.select("id", "title", *[k for k, _ in POINTS], *[_folded(c).alias(f"_{i}") for i, c in enumerate(lists)])
+    fields = [F.col("id").alias("id"), *[F.col(k) for k, _ in POINTS], *[F.col(f"_{i}") for i in range(len(lists))]]
+    targets = rows.where(F.col("id").isin([str(t) for t in target_ids])).agg(F.collect_list(F.struct(*fields))).scalar()
+
+    def score(t: Column) -> Column:
+        points = F.lit(0)
+        for k, n in POINTS:
+            points = points + F.when((t[k] == F.col(k)) & (t[k].cast("string") != ""), n).otherwise(0)
+        for i in range(len(lists)):
+            points = points + F.size(F.array_intersect(t[f"_{i}"], F.col(f"_{i}")))
+        return F.struct(t["id"].alias("target_id"), points.cast("long").alias("score"))
+
+    scored = rows.withColumn("_targets", targets).select("id", "title", F.explode(F.transform("_targets", score)).alias("s")).select("id", "title", "s.*")
+    w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), F.coalesce("title", F.lit("")), F.col("id"))
+    return (scored.where((F.col("target_id") != F.col("id")) & (F.col("score") > 0))
+            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+            .select("target_id", "rank", "id", "title", "score"))
 
 
 def market_context(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from jobsieve.functions.salary import midpoint_any
 from jobsieve.operators.salary import floor_quantiles
+from jobsieve.session import cut_lineage
 
 WORK_MODES = ["remote", "onsite", "hybrid"]
 
@@ -161,66 +162,77 @@ def student_t_two_sided(t: Column, dof: Column) -> Column:
     return integral(low) / integral(F.lit(0.0))
 
 
+def _value_counts(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """(feature, v, k, ca, cb, pid): how often each value of each feature stands in both samples; v for numbers (present
+    ones), k for categories (null as ``__null__``). Each sample is read once for all features. The rows are range-partitioned
+    by (feature, value), and written once because partition numbers depend on sampled bounds."""
+    def long(df: DataFrame, a: int, b: int) -> DataFrame:
+        numbers = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"), F.lit(None).cast("string").alias("k")) for c in numeric]
+        values = [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("v"), F.coalesce(F.col(c).cast("string"), F.lit("__null__")).alias("k")) for c in categorical]
+        return df.select(F.explode(F.array(*numbers, *values)).alias("x")).select("x.*", F.lit(a).alias("a"), F.lit(b).alias("b"))
+
+    both = long(reference, 1, 0).unionByName(long(current, 0, 1)).where("v is not null or k is not null")
+    counts = both.groupBy("feature", "v", "k").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(counts.repartitionByRange(parts, "feature", "v", "k").withColumn("pid", F.spark_partition_id()))
+
+
+def _numeric_drift(counts: DataFrame) -> DataFrame:
+    """(feature, ks_statistic, wasserstein_normed) from ``_value_counts``: running counts of both samples over the value
+    order and the next value, local to a range partition, with what lies before and behind it from a (feature, partition) table."""
+    c = counts.where("k is null")
+    ends = c.groupBy("feature", "pid").agg(F.sum("ca").alias("sa"), F.sum("cb").alias("sb"), F.min("v").alias("low"), F.sum(F.col("ca") * F.col("v")).alias("sv"))
+    order = Window.partitionBy("feature").orderBy("pid")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("feature")
+    ends = ends.select(F.col("feature").alias("_f"), F.col("pid").alias("_p"), F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("ob"),
+                       F.lead("low").over(order).alias("next_low"), F.sum("sa").over(whole).alias("na"), F.sum("sb").over(whole).alias("nb"),
+                       F.try_divide(F.sum("sv").over(whole), F.sum("sa").over(whole)).alias("mean"))
+    inside = Window.partitionBy("feature", "pid").orderBy("v")
+    run = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = c.select("feature", "pid", "v", "ca", F.sum("ca").over(run).alias("xa"), F.sum("cb").over(run).alias("xb"), F.lead("v").over(inside).alias("next"))
+    cdf = local.join(ends, (F.col("feature") == F.col("_f")) & (F.col("pid") == F.col("_p"))).select(
+        "feature", "v", "ca", "mean", "na", F.try_divide(F.col("xa") + F.col("oa"), F.col("na")).alias("fa"), F.try_divide(F.col("xb") + F.col("ob"), F.col("nb")).alias("fb"),
+        F.coalesce("next", "next_low").alias("nv"))
+    gap = F.abs(F.col("fa") - F.col("fb"))
+    sums = cdf.groupBy("feature").agg(
+        F.max(gap).alias("ks"), F.sum(gap * F.coalesce(F.col("nv") - F.col("v"), F.lit(0.0))).alias("area"),
+        F.sqrt(F.try_divide(F.sum(F.col("ca") * (F.col("v") - F.col("mean")) ** 2), F.max("na") - 1)).alias("sd"))
+    return sums.select("feature", F.round("ks", 6).alias("ks_statistic"), F.round(F.try_divide(F.col("area"), F.col("sd")), 6).alias("wasserstein_normed"))
+
+
+def _categorical_drift(counts: DataFrame) -> DataFrame:
+    """(feature, js_distance) from ``_value_counts``: Jensen-Shannon distance (natural log) of the value shares."""
+    c = counts.where("k is not null")
+    totals = c.groupBy("feature").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
+    g = c.join(totals, "feature")
+    p, q = F.try_divide(F.col("ca"), F.col("na")), F.try_divide(F.col("cb"), F.col("nb"))  # null: no such sample
+    m = (p + q) / 2
+    kl = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(F.lit(0.0))
+    return g.groupBy("feature").agg(F.round(F.sqrt(F.greatest(F.lit(0.0), (F.sum(kl(p)) + F.sum(kl(q))) / 2)), 6).alias("js_distance"))
+
+
 def ks_statistic(reference: DataFrame, current: DataFrame, value: str) -> DataFrame:
     """M14 numeric drift: two-sample Kolmogorov-Smirnov statistic and the Wasserstein-1 distance
-    normalised by the reference standard deviation (one row).
-
-    Both samples are reduced to per-value counts first (map-side); the empirical CDFs are
-    distributed running totals over the distinct values (range-partitioned)."""
-    r = reference.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    c = current.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    vc = r.unionByName(c).where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
-    na = reference.where(F.col(value).isNotNull()).select(F.count(F.lit(1))).scalar()
-    nb = current.where(F.col(value).isNotNull()).select(F.count(F.lit(1))).scalar()
-    sd = reference.select(F.stddev_samp(F.col(value).cast("double"))).scalar()
-    from jobsieve.operators.salary import running_totals
-    # distributed running totals of both samples over the value order (no single-task window)
-    one = vc.withColumn("_all", F.lit(1))
-    ra = running_totals(one, ["_all"], "v", "ca").withColumnRenamed("_cum", "cum_a").drop("_n")
-    rb = running_totals(one.select("_all", "v", "cb"), ["_all"], "v", "cb").select("v", F.col("_cum").alias("cum_b"))
-    cdf = ra.join(rb, "v").select("v", F.try_divide(F.col("cum_a"), na).alias("fa"), F.try_divide(F.col("cum_b"), nb).alias("fb"))
-    # Wasserstein-1: sum over consecutive distinct values of |Fa - Fb| * gap; the next value of each
-    # row is the smallest larger value, found per range partition via the same running-total order
-    nxt = cdf.select(F.col("v").alias("nv"))
-    gaps = running_totals(cdf.withColumn("_all", F.lit(1)).withColumn("_one", F.lit(1)), ["_all"], "v", "_one") \
-        .select("v", "fa", "fb", F.col("_cum").alias("rank"))
-    ranks = gaps.select(F.col("rank").alias("prank"), F.col("v").alias("nv"))
-    cdf2 = gaps.join(ranks, F.col("rank") + 1 == F.col("prank"), "left")
-    return cdf2.agg(F.round(F.max(F.abs(F.col("fa") - F.col("fb"))), 6).alias("ks_statistic"),
-                    F.round(F.try_divide(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.coalesce(F.col("nv") - F.col("v"), F.lit(0.0))), sd), 6)
-                    .alias("wasserstein_normed"))
+    normalised by the reference standard deviation (one row; nulls where a sample is empty or constant)."""
+    return _numeric_drift(_value_counts(reference, current, [value], [])).agg(F.max("ks_statistic").alias("ks_statistic"), F.max("wasserstein_normed").alias("wasserstein_normed"))
 
 
 def js_distance(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """M14 categorical drift: Jensen-Shannon distance (natural log) between value shares (one row)."""
-    r = reference.select(F.coalesce(F.col(column).cast("string"), F.lit("__null__")).alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    c = current.select(F.coalesce(F.col(column).cast("string"), F.lit("__null__")).alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    u = r.unionByName(c)
-    # both sample sizes in ONE scalar subquery, attached once (not re-planned per reference)
-    tot = u.agg(F.struct(F.count_if(F.col("a") == 1).alias("na"), F.count_if(F.col("b") == 1).alias("nb"))).scalar()
-    g = u.groupBy("k").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb")).withColumn("_tot", tot)
-    p, q = F.try_divide(F.col("ca"), F.col("_tot.na")), F.try_divide(F.col("cb"), F.col("_tot.nb"))  # null: no such sample
-    m = (p + q) / 2
-    kl = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(F.lit(0.0))
-    return g.agg(F.round(F.sqrt(F.greatest(F.lit(0.0), (F.sum(kl(p)) + F.sum(kl(q))) / 2)), 6).alias("js_distance"))
+    return _categorical_drift(_value_counts(reference, current, [], [column])).agg(F.max("js_distance").alias("js_distance"))
 
 
 def drift_report(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str],
                  numeric_threshold: float = 0.1, categorical_threshold: float = 0.1) -> DataFrame:
-    """One row per feature (feature, method, score, drifted) and the share of drifted features.
-    Thresholds are parameters (the reference relies on its drift library's defaults)."""
-    parts = []
-    for c in numeric:
-        parts.append(ks_statistic(reference, current, c).select(
-            F.lit(c).alias("feature"), F.lit("wasserstein_normed").alias("method"), F.col("wasserstein_normed").alias("score")))
-    for c in categorical:
-        parts.append(js_distance(reference, current, c).select(
-            F.lit(c).alias("feature"), F.lit("jensen_shannon").alias("method"), F.col("js_distance").alias("score")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    thr = F.when(F.col("method") == "wasserstein_normed", F.lit(numeric_threshold)).otherwise(F.lit(categorical_threshold))
-    u = u.withColumn("drifted", F.col("score") >= thr)
-    # one row per feature (bounded by the feature lists): a global window does not recompute ``u``
+    """One row per feature (feature, method, score, drifted) and the share of drifted features; both samples are read once
+    for all features. Thresholds are parameters (the reference relies on its drift library's defaults)."""
+    counts = _value_counts(reference, current, numeric, categorical)
+    asked = counts.sparkSession.createDataFrame(
+        [(c, "wasserstein_normed", numeric_threshold) for c in numeric] + [(c, "jensen_shannon", categorical_threshold) for c in categorical],
+        "feature string, method string, threshold double")
+    scores = _numeric_drift(counts).select("feature", F.lit("wasserstein_normed").alias("method"), F.col("wasserstein_normed").alias("score")).unionByName(
+        _categorical_drift(counts).select("feature", F.lit("jensen_shannon").alias("method"), F.col("js_distance").alias("score")))
+    u = asked.join(scores, ["feature", "method"], "left").withColumn("drifted", F.col("score") >= F.col("threshold")).drop("threshold")
+    # one row per feature (bounded by the feature lists)
     share = F.avg(F.col("drifted").cast("double")).over(Window.partitionBy())
     return u.withColumn("share_drifted", F.round(share, 6))
