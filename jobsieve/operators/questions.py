@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobsieve.session import cut_lineage
+
 # Fixed values that must equal the reference: intent keyword rules, in priority order.
 TOP_SKILL_PHRASES = ["top skill", "top 3 skill", "most in-demand skill", "trending skill"]
 ANOMALY_PHRASES = ["salary anomaly", "salary outlier", "anomalies"]
@@ -81,25 +83,26 @@ def role_of_entity(questions: DataFrame, entity: str, roles: DataFrame, gram: in
     return e.join(held, "_g").where(F.contains("_lr", "_le")).groupBy("_e").agg(F.min("role").alias("role"))
 
 
-def answers(questions: DataFrame, q: str, top_skills: DataFrame, anomaly_count: Column, remote_jobs: Column,
-            total_jobs: Column, role_stats: DataFrame, forecast: DataFrame, currency: str = "EUR") -> DataFrame:
-    """The answer text per question from one-row aggregates (scalar subqueries) and one small join.
+def answers(questions: DataFrame, q: str, top_skills: DataFrame, anomaly_count: Column, counts: Column,
+            role_stats: DataFrame, forecast: DataFrame, currency: str = "EUR") -> DataFrame:
+    """The answer text per question from one row of statistics and one small join. ``anomaly_count`` and ``counts``
+    (struct of remote and total jobs) are scalar subqueries.
 
     ``top_skills``: (skill, demand) ordered rows (the top-20 list) and ``forecast``: (role, projected_demand_index)
     rows, both sliced per question by its top n; ``role_stats``: (role, min, max, median), met by the first quoted
     entity of salary questions. A salary question without entity gets the summary."""
-    ordered = top_skills.select(F.sort_array(F.collect_list(F.struct(
-        (-F.col("demand")).alias("k"), F.col("skill").alias("skill"), F.col("demand").alias("demand")))).alias("a"))
-    tops = ordered.select("a").scalar()
-    # each one-row aggregate is attached once as a column (a scalar referenced twice is planned twice)
+    tops = top_skills.select(F.sort_array(F.collect_list(F.struct(
+        (-F.col("demand")).alias("k"), F.col("skill").alias("skill"), F.col("demand").alias("demand")))).alias("a")).scalar()
     ahead = forecast.select(F.sort_array(F.collect_list(F.struct(
-        (-F.col("projected_demand_index")).alias("k"), F.col("role").alias("role")))).alias("a")).select("a").scalar()
-    d = questions.withColumn("intent", intent(F.col(q))).withColumn("top_n", top_n(F.col(q))).withColumns(
-        {"_tops": tops, "_anom": anomaly_count, "_remote": remote_jobs, "_total": total_jobs, "_ahead": ahead,
-         "_entity": F.get(entities(F.col(q)), F.lit(0))})
-    named = role_of_entity(d.where("intent = 'salary_range'"), "_entity", role_stats).join(role_stats, "role")
-    d = d.join(named.withColumnRenamed("role", "_role"), (F.col("_entity") == F.col("_e")) & (F.col("intent") == "salary_range"), "left")
-    anomaly_count, remote_jobs, total_jobs = F.col("_anom"), F.col("_remote"), F.col("_total")
+        (-F.col("projected_demand_index")).alias("k"), F.col("role").alias("role")))).alias("a")).scalar()
+    # all statistics are one written row, attached by one subquery that reads it
+    row = cut_lineage(questions.sparkSession.range(1).select(F.struct(
+        tops.alias("tops"), ahead.alias("ahead"), anomaly_count.alias("anom"), counts.alias("counts")).alias("s")))
+    asked = questions.withColumns({"intent": intent(F.col(q)), "top_n": top_n(F.col(q)), "_entity": F.get(entities(F.col(q)), F.lit(0))})
+    named = role_of_entity(asked.where("intent = 'salary_range'"), "_entity", role_stats).join(role_stats, "role")
+    d = asked.join(named.withColumnRenamed("role", "_role"), (F.col("_entity") == F.col("_e")) & (F.col("intent") == "salary_range"), "left")
+    d = d.withColumn("_s", row.scalar()).withColumns({"_tops": F.col("_s.tops"), "_ahead": F.col("_s.ahead")})
+    anomaly_count, remote_jobs, total_jobs = F.col("_s.anom"), F.col("_s.counts.remote"), F.col("_s.counts.total")
     # slice first (outside any lambda), then format the slice
     d = d.withColumn("_sl", F.slice("_tops", 1, F.greatest(F.col("top_n"), F.lit(1))))
     d = d.withColumn("_sl", F.when(F.col("top_n") > 0, F.col("_sl")).otherwise(F.array().cast(d.schema["_sl"].dataType)))
@@ -125,7 +128,7 @@ def answers(questions: DataFrame, q: str, top_skills: DataFrame, anomaly_count:
             .when(F.col("intent") == "job_count",
                   F.concat(F.lit("The current dataset contains "), total_jobs.cast("string"), F.lit(" jobs.")))
             .otherwise(F.lit(SUMMARY_TEXT)))
-    return d.withColumn("answer", text).drop("_tops", "_sl", "_anom", "_remote", "_total", "_ahead", "_fl", "_entity", "_e", "_role", "min", "max", "median", "count")
+    return d.withColumn("answer", text).drop("_s", "_tops", "_sl", "_ahead", "_fl", "_entity", "_e", "_role", "min", "max", "median", "count")
 
 
 def _money(c: Column, symbol: str) -> Column:

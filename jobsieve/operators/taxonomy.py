@@ -1,10 +1,9 @@
 """Taxonomy matching and enrichment (S20, J1, J1a-c, Q1, Q2, S15).
 
-Two ways with one result. ``match_concepts`` is row-local, for taxonomies of literal size (the seed: 55 concepts,
-~280 terms): the table is folded once by Spark, then embedded as a literal array of structs, or, with
-``engine="automaton"``, in one Aho-Corasick pass per text (long texts; needs ``pyahocorasick`` on the executors).
-``match_concepts_join`` takes a taxonomy of any size as a table: an equi-join of the texts' character grams to one
-gram of every term, verified by ``contains``, and an equi-join on tokens."""
+Two ways with one result. ``match_concepts`` is row-local, for short fields and taxonomies of literal size (the seed: 55
+concepts, ~280 terms): the table is folded once by Spark, then embedded as a literal array of structs.
+``match_concepts_join`` takes long texts and a taxonomy of any size as a table: an equi-join of the texts' character grams
+to the rarest gram of every term, verified by ``contains``, and an equi-join on tokens."""
 
 from __future__ import annotations
 
@@ -16,51 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobsieve.functions.text import fold, folded_tokens, split_list, tokens
+from jobsieve.session import cut_lineage
 from jobsieve.sources.taxonomy_seed import EXTRACTION_SKILLS, SEED_CSV
 
-_AUTOMATA: dict = {}
-
-
-def _automaton_udf(entries):
-    """pandas UDF (folded text, token∩vocabulary) -> 0-based concept positions, file order."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    spec = [(i, [(n, tuple(t)) for n, t in terms if n]) for i, (_, terms) in enumerate(entries)]
-    key = hash(repr(spec))
-
-    def hits(nt, pr):
-        auto = _AUTOMATA.get(key)
-        if auto is None:
-            import ahocorasick as ac
-            auto = ac.Automaton()
-            for i, terms in spec:
-                for n, _ in terms:
-                    auto.add_word(n, (n, auto.get(n, (n, ()))[1] + (i,)) if n in auto else (n, (i,)))
-            auto.make_automaton()
-            _AUTOMATA[key] = auto
-        tok_terms = [(i, [set(t) for _, t in terms if t]) for i, terms in spec]
-        out = []
-        for text, present in zip(nt, pr):
-            if text is None or text == "":
-                out.append([])
-                continue
-            found = set()
-            for _, (_, concepts) in auto.iter(text):
-                found.update(concepts)
-            ps = set(present) if present is not None else set()
-            if ps:
-                for i, sets in tok_terms:
-                    if i not in found and any(s <= ps for s in sets):
-                        found.add(i)
-            out.append(sorted(found))
-        return pd.Series(out)
-
-    # real (not string) annotations: this module uses postponed evaluation
-    hits.__annotations__ = {"nt": pd.Series, "pr": pd.Series, "return": pd.Series}
-    return pandas_udf(hits, "array<int>")
-
-
 CONCEPT_SCHEMA = T.StructType([
     T.StructField("ordinal", T.IntegerType()),
     T.StructField("concept_type", T.StringType()),
@@ -113,11 +70,12 @@ _SEED_ROWS: dict = {}
 def concept_set(spark: SparkSession, concept_type: str | None = None) -> "ConceptSet":
     """The seed taxonomy's :class:`ConceptSet`, built once per session and type; the seed is
     folded by one Spark job per session and each type is a subset of those rows."""
-    key = (id(spark), concept_type)
+    app = spark.sparkContext.applicationId
+    key = (app, concept_type)
     if key not in _CACHE:
-        if id(spark) not in _SEED_ROWS:
-            _SEED_ROWS[id(spark)] = collect_terms(load_concepts(spark))
-        _CACHE[key] = ConceptSet(spark, concept_type, rows=_SEED_ROWS[id(spark)])
+        if app not in _SEED_ROWS:
+            _SEED_ROWS[app] = collect_terms(load_concepts(spark))
+        _CACHE[key] = ConceptSet(spark, concept_type, rows=_SEED_ROWS[app])
     return _CACHE[key]
 
 
@@ -205,27 +163,12 @@ class ConceptSet:
         """Matching concept structs (file order) for named columns / lambda fields ``nt``, ``pr``."""
         return F.expr(self.matches_sql(nt, pr))
 
-    def automaton_positions(self, nt: Column, pr: Column) -> Column:
-        """Same result as :meth:`positions_sql`, computed by an Arrow-batched pandas UDF running one
-        Aho-Corasick pass over each folded text (Spark has no multi-pattern substring search; 280
-        separate scans dominate on long documents). Requires ``pyahocorasick`` on the executors."""
-        return _automaton_udf(self.entries)(nt, pr)
-
 
-
-def match_concepts(df: DataFrame, text: Column, concepts: ConceptSet, out: str = "concepts",
-                   engine: str = "sql") -> DataFrame:
+def match_concepts(df: DataFrame, text: Column, concepts: ConceptSet, out: str = "concepts") -> DataFrame:
     """All concepts (file order) whose folded label/alias is a substring of the folded text, or
-    whose every >=3-char token is among the text's tokens. ``engine``: ``sql`` (JVM expression, short fields) or
-    ``automaton`` (documents, pages)."""
-    if engine not in ("sql", "automaton"):
-        raise ValueError(f"unknown engine {engine!r}")
+    whose every >=3-char token is among the text's tokens; for short fields and a taxonomy of literal size."""
     d = df.withColumn("_nt", fold(text))
     d = d.withColumn("_pr", concepts.present(folded_tokens(F.col("_nt"))))
-    if engine == "automaton":
-        d = d.withColumn("_pos", concepts.automaton_positions(F.col("_nt"), F.col("_pr")))
-        m = F.transform("_pos", lambda i: F.element_at(concepts.array, i + 1))
-        return d.withColumn(out, m).drop("_nt", "_pr", "_pos")
     return d.withColumn(out, concepts.matches_named("_nt", "_pr")).drop("_nt", "_pr")
 
 
@@ -233,30 +176,44 @@ GRAM = 3
 
 
 def _grams(c: Column, n: int) -> Column:
-    """Distinct character n-grams of a string (none when it is shorter)."""
+    """Distinct n-grams of a folded (ASCII) string as bytes, none when it is shorter. Bytes, because a character's place in
+    a string is found by counting from its start, which is quadratic in a long text."""
     size = F.char_length(c)
-    return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))),
-                                                          lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    cut = F.transform(F.array(F.encode(c, "UTF-8")), lambda b: F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(b, i, F.lit(n))))
+    return F.when(size >= n, F.array_distinct(F.element_at(cut, 1))).otherwise(F.array().cast("array<binary>"))
+
+
+def _own_grams(term: str) -> Column:
+    """Grams a text must hold to hold the term: its ``GRAM``-grams, or a shorter term itself."""
+    return F.when(F.char_length(term) >= GRAM, _grams(F.col(term), GRAM)).otherwise(F.array(F.encode(F.col(term), "UTF-8")))
 
 
 def match_concepts_join(df: DataFrame, id_col: str, text: Column, concepts: DataFrame) -> DataFrame:
     """J1 for a taxonomy table of any size (``load_concepts`` shape): (id_col, ordinal) of every match.
 
-    A term of ``GRAM`` characters or more is keyed by its first gram (shorter ones by themselves) and meets the texts
-    that hold that gram, so only those are tested with ``contains``. A term also matches when all its tokens are
-    among the text's: matches per (text, term) are counted after an equi-join on tokens."""
-    # ids repeat only for repeated rows, which match alike
-    t = df.select(F.col(id_col), fold(text).alias("_nt")).where("_nt <> ''").distinct()
+    A term is keyed by the rarest of its grams in the texts at hand, so a common syllable never brings texts and terms
+    together; terms with a gram that no text holds leave at once. Texts meet terms on that gram as (text digest, term)
+    pairs, and the distinct pairs are tested with ``contains``. A term also matches when all its tokens are among the
+    text's: matches per (text, term) are counted after an equi-join on tokens. Equal texts are matched once."""
+    t = df.select(F.col(id_col), fold(text).alias("_nt")).where("_nt <> ''").withColumn("_k", F.md5("_nt"))
+    texts = cut_lineage(t.groupBy("_k").agg(F.first("_nt").alias("_nt")))
     terms = concept_terms(concepts).select("ordinal", F.col("term_norm").alias("_tn"), F.col("term_tokens").alias("_tt"))
-    sub = terms.where("_tn <> ''").withColumn("_g", F.substring("_tn", 1, GRAM)).select("ordinal", "_tn", "_g").distinct()
-    grams = t.select(id_col, "_nt", F.explode(F.concat(*[_grams(F.col("_nt"), n) for n in range(1, GRAM + 1)])).alias("_g"))
-    inside = grams.join(sub, "_g").where(F.contains("_nt", "_tn")).select(id_col, "ordinal")
-    keyed = terms.where(F.size("_tt") > 0).select("ordinal", F.array_distinct("_tt").alias("_tt")).distinct()
-    keyed = keyed.withColumn("_key", F.sha2(F.to_json(F.struct("ordinal", "_tt")), 256))
-    have = t.select(id_col, F.explode(F.array_distinct(folded_tokens(F.col("_nt")))).alias("_tok")).distinct()
-    hits = (have.join(keyed.select("ordinal", "_key", F.size("_tt").alias("_n"), F.explode("_tt").alias("_tok")), "_tok")
-            .groupBy(id_col, "ordinal", "_key", "_n").agg(F.count("*").alias("_k")).where("_k = _n").select(id_col, "ordinal"))
-    return inside.unionByName(hits).distinct()
+    labels = terms.where("_tn <> ''").select("_tn").distinct()
+    wanted = labels.select("_tn", F.explode(_own_grams("_tn")).alias("_g"))
+    grams = texts.select("_k", F.explode(F.concat(*[_grams(F.col("_nt"), n) for n in range(1, GRAM + 1)])).alias("_g"))
+    held = cut_lineage(grams.join(wanted.select("_g").distinct(), "_g", "left_semi"))
+    frequency = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    keyed = (wanted.join(frequency, "_g", "left").groupBy("_tn").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_g")).alias("_r"))
+             .where("_r._df > 0").select("_tn", F.col("_r._g").alias("_g")))
+    inside = held.join(keyed, "_g").select("_k", "_tn").join(texts, "_k").where(F.contains("_nt", "_tn")).select("_k", "_tn")
+    inside = inside.join(terms.select("_tn", "ordinal").distinct(), "_tn").select("_k", "ordinal")
+
+    sets = terms.where(F.size("_tt") > 0).select("ordinal", F.array_distinct("_tt").alias("_tt")).distinct()
+    sets = sets.withColumn("_key", F.sha2(F.to_json(F.struct("ordinal", "_tt")), 256))
+    have = texts.select("_k", F.explode(F.array_distinct(folded_tokens(F.col("_nt")))).alias("_tok"))
+    hits = (have.join(sets.select("ordinal", "_key", F.size("_tt").alias("_n"), F.explode("_tt").alias("_tok")), "_tok")
+            .groupBy("_k", "ordinal", "_key", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("_k", "ordinal"))
+    return t.select(id_col, "_k").join(inside.unionByName(hits).distinct(), "_k").select(id_col, "ordinal").distinct()
 
 
 def _job_text() -> Column:

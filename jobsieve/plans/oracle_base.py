@@ -19,18 +19,23 @@ def _dealt(spec, otherwise):
     return f"CASE WHEN o_orderkey % {every} = 0 THEN ([{', '.join(map(_sql_str, values))}])[1 + (o_orderkey // {every}) % {len(values)}] ELSE {otherwise} END"
 
 
+def _pick(values, by):
+    return f"([{', '.join(map(_sql_str, values))}])[1 + ({by}) % {len(values)}]"
+
+
 QUESTIONS_CTE = f"""
-_questions AS (SELECT conv_id, turn, CASE (conv_id * 7 + turn) % {QUESTION_BUCKETS}
+_questions AS (SELECT conv_id, turn, FALSE AS asked, text FROM conversations
+  UNION ALL SELECT conv_id, turn, TRUE, CASE (conv_id * 7 + turn) % {QUESTION_BUCKETS}
     WHEN 0 THEN 'What are the top ' || (conv_id % 9 + 1) || ' skills?'
     WHEN 1 THEN 'Is there any salary outlier in the data?'
-    WHEN 2 THEN 'What is the salary for ''' || ([{', '.join(map(_sql_str, QUESTION_ROLES))}])[1 + conv_id % {len(QUESTION_ROLES)}] || '''?'
+    WHEN 2 THEN 'What is the salary for ''' || {_pick(QUESTION_ROLES, 'conv_id')} || '''?'
     WHEN 3 THEN 'Which in-demand roles come next quarter?'
     WHEN 4 THEN 'How many remote jobs are there?'
     WHEN 5 THEN 'How many jobs are listed?'
     WHEN 6 THEN 'Why was the salary of "' || conv_id || '" flagged?'
     WHEN 7 THEN 'Explain the salary anomaly of job id: ' || conv_id
-    ELSE text END AS text
-  FROM conversations WHERE role = 'user')"""
+    WHEN 8 THEN 'Openings for ' || {_pick(TITLE_WORDS[1], 'conv_id')} || ' with ' || {_pick(EXTRA_SKILLS[1], 'conv_id + turn')} || ' experience' END
+  FROM conversations WHERE role = 'user' AND (conv_id * 7 + turn) % {QUESTION_BUCKETS} < 9)"""
 
 
 POSTINGS_CTE = f"""

@@ -28,18 +28,18 @@ _INTENT = f"""CASE WHEN {_any(qu.TOP_SKILL_PHRASES)} OR (contains({_Q}, 'top') A
 
 @register("n1_n2_question_parse", f"""
 WITH {QUESTIONS_CTE}
-SELECT conv_id, turn, {_INTENT} AS intent,
+SELECT conv_id, turn, asked, {_INTENT} AS intent,
        CASE WHEN regexp_extract({_Q}, 'top\\s+(\\d+)', 1) <> '' THEN CAST(regexp_extract({_Q}, 'top\\s+(\\d+)', 1) AS INTEGER) ELSE 5 END AS top_n,
        array_to_string(list_transform(regexp_extract_all(text, '''[^'']+''|"[^"]+"', 0), lambda m: substr(m, 2, length(m) - 2)), '|') AS entities
 FROM _questions""")
 def n1_n2_question_parse(spark, sf_dir):
     c = questions(spark, sf_dir)
-    return c.select("conv_id", "turn", qu.intent(F.col("text")).alias("intent"), qu.top_n(F.col("text")).alias("top_n"),
+    return c.select("conv_id", "turn", "asked", qu.intent(F.col("text")).alias("intent"), qu.top_n(F.col("text")).alias("top_n"),
                     F.array_join(qu.entities(F.col("text")), "|").alias("entities"))
 
 
 @register("n4_n6_route_and_job_id", "WITH " + QUESTIONS_CTE + """
-SELECT conv_id, turn,
+SELECT conv_id, turn, asked,
        CASE WHEN contains(lower(text), 'salary') AND (contains(lower(text), 'anomal') OR contains(lower(text), 'outlier')
             OR contains(lower(text), 'flag')) THEN 'explain_salary_anomaly' ELSE 'general_market_question' END AS route,
        CASE WHEN len(regexp_extract_all(text, '''[^'']+''|"[^"]+"', 0)) > 0
@@ -49,7 +49,7 @@ SELECT conv_id, turn,
 FROM _questions""")
 def n4_n6_route_and_job_id(spark, sf_dir):
     c = questions(spark, sf_dir)
-    return c.select("conv_id", "turn", qu.route(F.col("text")).alias("route"), qu.job_id(F.col("text")).alias("job_id"))
+    return c.select("conv_id", "turn", "asked", qu.route(F.col("text")).alias("route"), qu.job_id(F.col("text")).alias("job_id"))
 
 
 def _n3_sql() -> str:
@@ -60,7 +60,7 @@ def _n3_sql() -> str:
     def money(c):
         return f"printf('%,d', CAST(round_even({c}, 0) AS BIGINT)) || ' EUR'"
     return with_postings(f"""
-SELECT conv_id, turn, intent, CASE
+SELECT conv_id, turn, asked, intent, CASE
     WHEN intent = 'salary_range' AND hit.role IS NOT NULL THEN hit.role || ' currently ranges from ' || {money('hit.lo')} || ' to '
          || {money('hit.hi')} || ', with a median of ' || {money('hit.med')} || '.'
     WHEN intent = 'salary_range' AND coalesce(entity, '') <> '' THEN '{qu.NO_ROLE_TEXT}'
@@ -75,7 +75,7 @@ SELECT conv_id, turn, intent, CASE
     WHEN intent = 'job_count' THEN 'The current dataset contains ' || (SELECT count(*) FROM postings) || ' jobs.'
     ELSE '{qu.SUMMARY_TEXT}' END AS answer
 FROM _asked LEFT JOIN _hit hit USING (entity)""", f"""{QUESTIONS_CTE},
-_asked AS (SELECT conv_id, turn, {_INTENT} AS intent,
+_asked AS (SELECT conv_id, turn, asked, {_INTENT} AS intent,
     CASE WHEN regexp_extract({_Q}, 'top\\s+(\\d+)', 1) <> '' THEN CAST(regexp_extract({_Q}, 'top\\s+(\\d+)', 1) AS INTEGER) ELSE 5 END AS top_n,
     list_transform(regexp_extract_all(text, '''[^'']+''|"[^"]+"', 0), lambda m: substr(m, 2, length(m) - 2))[1] AS entity FROM _questions),
 _roles AS (SELECT coalesce(title, 'Unknown Role') AS role, min(v) AS lo, max(v) AS hi, median(v) AS med
@@ -93,12 +93,11 @@ def n3_answers(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     anomalies = sal.salary_anomalies(ev, "event_id", F.col("event_type"), F.col("value"))
     n_anom = anomalies.select(F.count(F.lit(1))).scalar()
-    remote = p.select(F.count_if(F.lower("remote_status") == "remote")).scalar()
-    total = p.select(F.count(F.lit(1))).scalar()
+    counts = p.agg(F.struct(F.count_if(F.lower("remote_status") == "remote").alias("remote"), F.count(F.lit(1)).alias("total"))).scalar()
     roles = sal.role_salaries(p)
     ahead = ml.forecast(p.withColumn("confidence", F.lit(1.0)), "role_type")
-    a = qu.answers(questions(spark, sf_dir), "text", sk.top_skills(p, 20), n_anom, remote, total, roles, ahead)
-    return a.select("conv_id", "turn", "intent", "answer")
+    a = qu.answers(questions(spark, sf_dir), "text", sk.top_skills(p, 20), n_anom, counts, roles, ahead)
+    return a.select("conv_id", "turn", "asked", "intent", "answer")
 
 
 def _j11_sql() -> str:

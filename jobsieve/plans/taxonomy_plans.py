@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from jobsieve.functions.text import fold, tokens
 from jobsieve.operators import taxonomy as tx
 from jobsieve.plans import sql_text as st
-from jobsieve.plans.oracle_base import with_postings
+from jobsieve.plans.oracle_base import QUESTIONS_CTE, with_postings
 from jobsieve.plans.registry import register
-from jobsieve.sources.tables import postings, table
+from jobsieve.session import scratch_path
+from jobsieve.sources.tables import postings, questions, table
 
 
 @register("p10_fold_documents",
@@ -41,11 +42,9 @@ def _text_match_sql(src, idc, textc):
 
 
 def _text_match(df, idc, text):
-    lit = tx.concept_set(df.sparkSession)
-    m = tx.match_concepts(df.select(idc, text), F.col(text), lit, "m", engine="automaton")
-    return tx.explode_matches(m.select(idc, "m"), "m").select(
-        idc, F.col("c.ordinal").alias("ordinal"), F.col("c.concept_type").alias("concept_type"),
-        F.col("c.preferred_label").alias("preferred_label"))
+    c = tx.load_concepts(df.sparkSession)
+    return tx.match_concepts_join(df, idc, F.col(text), c).join(c.select("ordinal", "concept_type", "preferred_label"), "ordinal").select(
+        idc, "ordinal", "concept_type", "preferred_label")
 
 
 @register("j1_taxonomy_match_documents", _text_match_sql("documents", "doc_id", "text"))
@@ -53,10 +52,10 @@ def j1_taxonomy_match_documents(spark, sf_dir):
     return _text_match(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@register("j1_taxonomy_match_conversations",
-          _text_match_sql("(SELECT conv_id * 1000 + turn AS msg_id, text FROM conversations)", "msg_id", "text"))
+@register("j1_taxonomy_match_conversations", "WITH " + QUESTIONS_CTE + "," + _text_match_sql(
+    "(SELECT conv_id || ':' || turn || ':' || asked AS msg_id, text FROM _questions)", "msg_id", "text").replace("WITH", "", 1))
 def j1_taxonomy_match_conversations(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
+    c = questions(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn", "asked").alias("msg_id"), "text")
     return _text_match(c, "msg_id", "text")
 
 
@@ -69,10 +68,47 @@ FROM _dt JOIN _tn ON _tn.concept_type = 'occupation' AND {st.hit('_dt.nt', '_dt.
 GROUP BY doc_id""")
 def j1a_occupation_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    occ = tx.concept_set(spark, "occupation")
-    m = tx.match_concepts(d, F.col("text"), occ, "m", engine="automaton").select("doc_id", F.slice("m", 1, 1).alias("m"))
-    return tx.explode_matches(m, "m").select("doc_id", F.col("c.preferred_label").alias("occupation"),
-                                             F.col("c.ordinal").alias("ordinal"))
+    occ = tx.load_concepts(spark).where("concept_type = 'occupation'")
+    first = tx.match_concepts_join(d, "doc_id", F.col("text"), occ).groupBy("doc_id").agg(F.min("ordinal").alias("ordinal"))
+    return first.join(occ.select("ordinal", F.col("preferred_label").alias("occupation")), "ordinal").select("doc_id", "occupation", "ordinal")
+
+
+_ITEM_TERMS = f"""_tn AS (SELECT item_id AS ordinal, 'passage' AS concept_type, text AS preferred_label, {st.fold('text')} AS tnorm, {st.folded_tokens(st.fold('text'))} AS ttok FROM benchmark)"""
+
+
+@register("j1_item_terms_documents", f"""
+WITH {_ITEM_TERMS},
+_dt AS (SELECT doc_id, nt, {st.folded_tokens('nt')} AS tt FROM (SELECT doc_id, {st.fold('text')} AS nt FROM documents))
+SELECT DISTINCT doc_id, CAST(ordinal AS INTEGER) AS ordinal FROM _dt JOIN _tn ON {st.hit('_dt.nt', '_dt.tt')}""")
+def j1_item_terms_documents(spark, sf_dir):
+    """A taxonomy that grows with the tables: every benchmark item is a concept with one long term."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("ordinal"), F.lit("passage").alias("concept_type"), F.array("text").alias("all_terms"))
+    return tx.match_concepts_join(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), items)
+
+
+_PART_CONCEPTS = """_pc AS (SELECT CAST(row_number() OVER (ORDER BY p_name) - 1 AS INTEGER) AS ordinal, 'skill' AS concept_type, p_name AS preferred_label, min(p_type) AS broader_group,
+  list_concat([p_name], list_sort(list(DISTINCT p_brand))) AS all_terms FROM part WHERE p_name IS NOT NULL GROUP BY p_name)"""
+
+
+def _part_taxonomy(spark, sf_dir):
+    """A taxonomy CSV made from the parts: label, broader group and brands as aliases, in label order."""
+    parts = table(spark, sf_dir, "part").where("p_name is not null").groupBy(F.col("p_name").alias("preferred_label")).agg(
+        F.min("p_type").alias("broader_group"), F.array_join(F.sort_array(F.collect_set("p_brand")), ";").alias("aliases"))
+    path = scratch_path(spark, "taxonomy")
+    rows = parts.select(F.lit("skill").alias("concept_type"), "preferred_label", F.lit("").alias("concept_uri"), "broader_group", "aliases")
+    rows.orderBy("preferred_label").coalesce(1).write.option("header", True).csv(path)
+    return tx.load_concepts(spark, path)
+
+
+@register("j1_part_taxonomy_postings", with_postings(f"""
+SELECT DISTINCT _dt.id, _t.ordinal, _t.preferred_label FROM _dt JOIN _t ON {st.hit('_dt.nt', '_dt.tt', '_t')}""",
+    f"""{_PART_CONCEPTS},
+_t AS (SELECT ordinal, preferred_label, {st.fold('term')} AS tnorm, {st.folded_tokens(st.fold('term'))} AS ttok FROM (SELECT ordinal, preferred_label, unnest(all_terms) AS term FROM _pc)),
+_dt AS (SELECT id, nt, {st.folded_tokens('nt')} AS tt FROM (SELECT id, {st.fold('description')} AS nt FROM postings))"""))
+def j1_part_taxonomy_postings(spark, sf_dir):
+    c = _part_taxonomy(spark, sf_dir)
+    m = tx.match_concepts_join(postings(spark, sf_dir), "id", F.col("description"), c)
+    return m.join(c.select("ordinal", "preferred_label"), "ordinal").select("id", "ordinal", "preferred_label")
 
 
 def _job_text_sql():
@@ -131,19 +167,18 @@ def q1_query_expansion_benchmark(spark, sf_dir):
 
 
 @register("q2_normalize_query_conversations", f"""
-WITH {st.taxonomy_ctes()},
-_q AS (SELECT conv_id, turn, {st.fold('text')} AS nt FROM conversations WHERE role = 'user'),
-_m AS (SELECT DISTINCT _q.conv_id, _q.turn, _tn.ordinal, _tn.concept_type, _tn.preferred_label
+WITH {QUESTIONS_CTE}, {st.taxonomy_ctes()},
+_q AS (SELECT conv_id, turn, asked, {st.fold('text')} AS nt FROM _questions),
+_m AS (SELECT DISTINCT _q.conv_id, _q.turn, _q.asked, _tn.ordinal, _tn.concept_type, _tn.preferred_label
        FROM _q JOIN _tn ON {st.hit('_q.nt', st.folded_tokens('_q.nt'))})
-SELECT _q.conv_id, _q.turn,
+SELECT _q.conv_id, _q.turn, _q.asked,
        coalesce(string_agg(m.preferred_label, '|' ORDER BY m.ordinal) FILTER (WHERE m.concept_type = 'occupation'), '') AS occupations,
        coalesce(string_agg(m.preferred_label, '|' ORDER BY m.ordinal) FILTER (WHERE m.concept_type = 'skill'), '') AS skills
-FROM _q LEFT JOIN _m m ON m.conv_id = _q.conv_id AND m.turn = _q.turn
-GROUP BY _q.conv_id, _q.turn""")
+FROM _q LEFT JOIN _m m ON m.conv_id = _q.conv_id AND m.turn = _q.turn AND m.asked = _q.asked
+GROUP BY _q.conv_id, _q.turn, _q.asked""")
 def q2_normalize_query_conversations(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    n = tx.normalize_query(c, "text", tx.concept_set(spark, "occupation"), tx.concept_set(spark, "skill"))
-    return n.select("conv_id", "turn", F.array_join("occupations", "|").alias("occupations"),
+    n = tx.normalize_query(questions(spark, sf_dir), "text", tx.concept_set(spark, "occupation"), tx.concept_set(spark, "skill"))
+    return n.select("conv_id", "turn", "asked", F.array_join("occupations", "|").alias("occupations"),
                     F.array_join("skills", "|").alias("skills"))
 
 
@@ -155,11 +190,9 @@ def s15_extract_skills_documents(spark, sf_dir):
     return d.select("doc_id", F.array_join(tx.extract_skills(F.col("text")), "|").alias("skills"))
 
 
-@register("s20_taxonomy_concepts", f"""WITH {st.taxonomy_ctes()}
-SELECT ordinal, concept_type, preferred_label, broader_group, array_to_string(all_terms, '|') AS all_terms
-FROM _concepts""")
+@register("s20_taxonomy_concepts", f"""WITH {_PART_CONCEPTS}
+SELECT ordinal, concept_type, preferred_label, broader_group, array_to_string(all_terms, '|') AS all_terms FROM _pc""")
 def s20_taxonomy_concepts(spark, sf_dir):
-    # the seed table itself; paired with the tables above that it is matched against
-    c = tx.load_concepts(spark)
+    c = _part_taxonomy(spark, sf_dir)
     return c.select("ordinal", "concept_type", "preferred_label", "broader_group",
                     F.array_join("all_terms", "|").alias("all_terms"))

@@ -33,7 +33,7 @@ EXTRA_SKILLS = (6, ["Forklift License", "CRM", "DATEV", "Kundenservice", "Patien
 CITIES = (8, ["Munich", "Hamburg", "Leipzig", "Bremen", "Berlin"])
 LEVELS = (10, ["Junior", "Senior", "Lead", "Trainee"])
 ESTIMATED_EVERY, SEEN_EVERY, OUTLIER_EVERY, OUTLIER_FACTOR = 12, 4, 501, 20
-# One question template per intent, dealt to user turns by bucket; the other buckets keep their text.
+# One question template per bucket of user turns, as a further row; the last bucket has none.
 QUESTION_BUCKETS = 10
 QUESTION_ROLES = ["nurse", "steel", "no such role", "Store Manager", "brushed tin"]
 
@@ -111,25 +111,29 @@ def _code_version() -> str:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, text): the user turns of ``conversations``, most of them turned into questions by bucket."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    """(conv_id, turn, asked, text): all turns of ``conversations`` with their own texts, and for most user turns a question
+    made from a template as a further row (``asked``)."""
+    own = table(spark, sf_dir, "conversations")
+    c = own.where(F.col("role") == "user")
     n = F.col("conv_id").cast("string")
-    bucket = (F.col("conv_id") * 7 + F.col("turn")) % QUESTION_BUCKETS
-    role = F.element_at(F.array(*map(F.lit, QUESTION_ROLES)), (F.col("conv_id") % len(QUESTION_ROLES) + 1).cast("int"))
+
+    def pick(values: list[str], by):
+        return F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+
     asked = [
         F.concat(F.lit("What are the top "), (F.col("conv_id") % 9 + 1).cast("string"), F.lit(" skills?")),
         F.lit("Is there any salary outlier in the data?"),
-        F.concat(F.lit("What is the salary for '"), role, F.lit("'?")),
+        F.concat(F.lit("What is the salary for '"), pick(QUESTION_ROLES, F.col("conv_id")), F.lit("'?")),
         F.lit("Which in-demand roles come next quarter?"),
         F.lit("How many remote jobs are there?"),
         F.lit("How many jobs are listed?"),
         F.concat(F.lit('Why was the salary of "'), n, F.lit('" flagged?')),
         F.concat(F.lit("Explain the salary anomaly of job id: "), n),
+        F.concat(F.lit("Openings for "), pick(TITLE_WORDS[1], F.col("conv_id")), F.lit(" with "), pick(EXTRA_SKILLS[1], F.col("conv_id") + F.col("turn")), F.lit(" experience")),
     ]
-    text = F.col("text")
-    for i, q in enumerate(asked):
-        text = F.when(bucket == i, q).otherwise(text)
-    return c.select("conv_id", "turn", text.alias("text"))
+    bucket = ((F.col("conv_id") * 7 + F.col("turn")) % QUESTION_BUCKETS).cast("int")
+    made = c.where(bucket < len(asked)).select("conv_id", "turn", F.lit(True).alias("asked"), F.get(F.array(*asked), bucket).alias("text"))
+    return own.select("conv_id", "turn", F.lit(False).alias("asked"), "text").unionByName(made)
 
 
 def postings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
