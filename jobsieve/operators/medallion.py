@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsieve.functions.salary import midpoint
 from jobsieve.operators.validation import clean_salary, clean_text
 from jobsieve.operators.salary import floor_quantiles
+from jobsieve.session import cut_lineage
 
 BRONZE_COLUMNS = ["id", "title", "company", "location", "description", "source", "salary_min", "salary_max",
                   "required_skills", "posted_date", "ingested_at"]
@@ -52,6 +54,52 @@ def skill_month_mart(silver_df: DataFrame, top_locations: int = 10) -> DataFrame
                       F.coalesce("top_locations", F.array().cast("array<string>")).alias("top_locations"))
 
 
+def _month(c: str) -> Column:
+    return F.date_trunc("month", F.col(c).cast("timestamp")).cast("date")
+
+
+def refresh_layers(root: str, bronze: DataFrame, batch_id: str) -> dict[str, int]:
+    """The layers as tables under ``root``, brought up to date with one batch of bronze rows: ``bronze`` (one folder per
+    batch), ``silver`` and ``gold`` (the skill mart), both partitioned by the month of ``posted_date``.
+
+    Only months that the batch touches are rewritten (dynamic partition overwrite): the months of its rows and those of the
+    older rows that they replace in W1. Returns the number of months rewritten, of silver rows and of mart rows in them.
+    Running a batch again gives the same tables."""
+    spark = bronze.sparkSession
+    paths = {n: f"{root.rstrip('/')}/{n}" for n in ("bronze", "silver", "gold")}
+    staging(bronze).write.mode("overwrite").parquet(f"{paths['bronze']}/batch={batch_id}")
+    new = silver(spark.read.schema(staging(bronze).schema).parquet(f"{paths['bronze']}/batch={batch_id}")).withColumn("month", _month("posted_date"))
+    key = ["title", "company", "location"]
+    try:
+        old = spark.read.schema(new.schema).parquet(paths["silver"])
+    except AnalysisException:
+        old = new.limit(0)
+    replaced = old.join(new.select(*key).distinct(), key, "left_semi")
+    months = cut_lineage(new.select("month").unionByName(replaced.select("month")).distinct())
+    # rows of the touched months that stay, and the newest row per key of the rest
+    touched = old.join(months.withColumnRenamed("month", "_m"), F.col("month").eqNullSafe(F.col("_m")), "left_semi")
+    stay = touched.join(new.select(*key).distinct(), key, "left_anti")
+    rest = [c for c in BRONZE_COLUMNS if c not in key]
+    best = new.select(*BRONZE_COLUMNS).unionByName(replaced.select(*BRONZE_COLUMNS)).groupBy(*key).agg(
+        F.max_by(F.struct(*rest), F.struct("ingested_at", F.col("id"))).alias("r")).select(*key, "r.*").withColumn("month", _month("posted_date"))
+    rows = cut_lineage(stay.unionByName(best.select(*new.columns)))
+    _replace_months(rows, months, paths["silver"])
+    mart = cut_lineage(skill_month_mart(rows.drop("month")))
+    _replace_months(mart, months, paths["gold"])
+    return {"months": months.count(), "silver_rows": rows.count(), "gold_rows": mart.count()}
+
+
+def _replace_months(rows: DataFrame, months: DataFrame, path: str) -> None:
+    """Overwrite the partitions of ``months`` with ``rows``; a month without rows any more loses its folder."""
+    spark = rows.sparkSession
+    rows.repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    gone = months.join(rows.select(F.col("month").alias("_m")).distinct(), F.col("month").eqNullSafe(F.col("_m")), "left_anti").collect()  # months
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for r in gone:
+        folder = hadoop(f"{path}/month={r.month if r.month is not None else '__HIVE_DEFAULT_PARTITION__'}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def skill_trend_fact(postings: DataFrame) -> DataFrame:
     """Per (skill, month): occurrences, % of the month's mentions, salary premium vs the
     month's unweighted mean of skill means, month-over-month growth (lag over the skill's months)."""

@@ -60,6 +60,16 @@ def describe(df: DataFrame, value: Column) -> DataFrame:
     return one.select("count", "mean", "std", "min", *[F.coalesce(F.round(F.col(f"_q.{p}"), 6), F.lit(0.0)).alias(p) for p in ("p25", "p50", "p75")], "max")
 
 
+def describe_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A22 ``describe()`` of several numeric columns at once: (column, count, mean, std, min, p25, p50, p75, max), nulls where
+    undefined; one unpivoted aggregate and one pass for all quartiles."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    q = floor_quantiles(long, ["column"], "v", {}, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumnRenamed("column", "_c")
+    one = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    rounded = [F.round(c, 6).alias(c) for c in ("mean", "std")]
+    return one.join(q, F.col("column") == F.col("_c"), "left").select("column", "count", *rounded, "min", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")], "max")
+
+
 def group_summary(df: DataFrame, group: Column, value: Column, id_col: str = "id") -> DataFrame:
     """Per group count of ids, mean, median, sample std of ``value``."""
     rows = df.select(group.alias("group"), F.col(id_col).alias("_id"), value.alias("v"))

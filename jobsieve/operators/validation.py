@@ -51,6 +51,9 @@ def rule_columns(df: DataFrame, as_of: dt.datetime) -> list[tuple[str, Column]]:
     for c in DOUBLE_COLUMNS:  # V3 (numeric coercion)
         if c in types:
             rules.append((f"coerce_float:{c}", F.col(c).isNotNull() & _as_double(c, types[c]).isNull()))
+    for c in BOOLEAN_COLUMNS:  # V3 (boolean coercion)
+        if c in types and not isinstance(types[c], T.BooleanType):
+            rules.append((f"coerce_bool:{c}", F.col(c).isNotNull() & F.col(c).cast("string").try_cast("boolean").isNull()))
     for c in TIMESTAMP_COLUMNS:  # V3 (datetime coercion)
         if c in types and c != "posted_date":
             rules.append((f"coerce_datetime:{c}", F.col(c).isNotNull() & _as_ts(c, types[c]).isNull()))

@@ -13,7 +13,7 @@ from jobsieve.operators import maintain as mt
 from jobsieve.operators import medallion as md
 from jobsieve.operators.search import skills_json_text
 from jobsieve.plans.oracle_base import with_postings
-from jobsieve.plans.registry import register
+from jobsieve.plans.registry import ORACLE, register
 from jobsieve.session import scratch_path
 from jobsieve.sources.posting_table import PostingTable
 from jobsieve.sources.tables import AS_OF, postings, table
@@ -136,9 +136,13 @@ _silver AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION B
             ORDER BY ingested_at DESC, id DESC) AS rn FROM _clean) WHERE rn = 1)"""
 
 
-@register("s21_staging_rows", with_postings("SELECT count(*) AS rows, count(DISTINCT id) AS ids FROM _bronze", _BRONZE))
+@register("s21_staging_rows", with_postings(
+    "SELECT id, title, company, location, md5(description) AS description_md5, source, salary_min, salary_max, array_to_string(required_skills, '|') AS skills, "
+    "CAST(posted_date AS VARCHAR) AS posted_date, CAST(ingested_at AS VARCHAR) AS ingested_at FROM _bronze", _BRONZE))
 def s21_staging_rows(spark, sf_dir):
-    return md.staging(_bronze(spark, sf_dir)).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
+    s = md.staging(_bronze(spark, sf_dir).withColumn("extra", F.lit(1)))
+    return s.select("id", "title", "company", "location", F.md5("description").alias("description_md5"), "source", "salary_min", "salary_max",
+                    F.array_join("required_skills", "|").alias("skills"), F.col("posted_date").cast("string").alias("posted_date"), F.col("ingested_at").cast("string").alias("ingested_at"))
 
 
 @register("w1_silver_dedupe", with_postings(
@@ -163,6 +167,31 @@ def a13_skill_month_mart(spark, sf_dir):
                     F.round("avg_salary", 6).alias("avg_salary"), F.array_join("top_locations", "|").alias("top_locations"))
 
 
+def _layers(spark, sf_dir):
+    """Layer tables after two batches: postings by parity, the second with changed titles for some so that rows move and are replaced."""
+    root = scratch_path(spark, "layers")
+    b = _bronze(spark, sf_dir)
+    first, second = b.where(F.col("id").cast("long") % 2 == 0), b.where(F.col("id").cast("long") % 2 == 1)
+    md.refresh_layers(root, first, "0001")
+    md.refresh_layers(root, second, "0002")
+    md.refresh_layers(root, second, "0002")  # a repeated batch changes nothing
+    return root
+
+
+@register("s22_silver_table", with_postings(
+    "SELECT id, title, company, location, salary_min, CAST(CAST(date_trunc('month', posted_date) AS DATE) AS VARCHAR) AS month FROM _silver", _SILVER))
+def s22_silver_table(spark, sf_dir):
+    t = spark.read.parquet(f"{_layers(spark, sf_dir)}/silver")
+    return t.select("id", "title", "company", "location", "salary_min", F.col("month").cast("string").alias("month"))
+
+
+@register("s22_gold_table", ORACLE["a13_skill_month_mart"])
+def s22_gold_table(spark, sf_dir):
+    m = spark.read.parquet(f"{_layers(spark, sf_dir)}/gold")
+    return m.select("skill", F.col("month").cast("string").alias("month"), "job_count", "company_count",
+                    F.round("avg_salary", 6).alias("avg_salary"), F.array_join("top_locations", "|").alias("top_locations"))
+
+
 _TREND = """_ex AS (SELECT unnest(required_skills) AS skill, CAST(date_trunc('month', posted_date) AS DATE) AS month,
                  CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN (salary_min + salary_max) / 2 END AS mid
           FROM postings WHERE posted_date IS NOT NULL),

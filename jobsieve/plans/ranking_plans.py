@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from jobsieve.functions.salary import midpoint
 from jobsieve.operators import governance as gv
 from jobsieve.operators import ranking as rk
+from jobsieve.operators import salary as sal
 from jobsieve.operators import search as se
 from jobsieve.operators import similar as si
 from jobsieve.operators import taxonomy as tx
 from jobsieve.operators.maintain import expire
 from jobsieve.plans.oracle_base import POSTINGS_CTE, with_postings
 from jobsieve.plans.registry import register
+from jobsieve.session import cut_lineage
 from jobsieve.sources.tables import AS_OF, postings
 
 QUERY = "small ring"
@@ -171,6 +173,73 @@ ORDER BY CASE WHEN lower(value) = '{nq}' THEN 0 WHEN starts_with(lower(value), '
 LIMIT {limit}"""
 
 
+@register("q7_taxonomy_suggestions", _q7_sql("nurse", 12))
+def q7_taxonomy_suggestions(spark, sf_dir):
+    """A query that meets a taxonomy concept: its label and aliases add to the counts."""
+    return rk.suggestions(_active(spark, sf_dir), "nurse", limit=12)
+
+
+def _j12_sql() -> str:
+    from jobsieve.plans.salary_plans import _estimate_sql
+    from jobsieve.plans.search_plans import _SWEPT
+    return with_postings(f"""
+SELECT e.id, e.eff_salary_min, e.eff_salary_max, e.salary_midpoint, e.salary_estimation_basis FROM ({_estimate_sql("_act")}) e JOIN _act a ON a.id = e.id
+WHERE contains(lower(coalesce(a.location, '')), 'germany')""", _SWEPT + ", _act AS (SELECT * FROM _swept WHERE NOT is_expired)")
+
+
+@register("j12_peers_of_the_whole_table", _j12_sql())
+def j12_peers_of_the_whole_table(spark, sf_dir):
+    """Only the postings in Germany are asked for; their salary peers are all active postings."""
+    act = _active(spark, sf_dir)
+    asked = act.where(F.lower(F.coalesce("location", F.lit(""))).contains("germany"))
+    e = sal.estimate_salaries(asked, reference=act)
+    return e.select("id", "eff_salary_min", "eff_salary_max", "salary_midpoint", "salary_estimation_basis")
+
+
+_SORTS = {"relevance": ("relevance_score", "DESC"), "salary_desc": ("coalesce(salary_midpoint, -1.0)", "DESC"), "salary_asc": ("coalesce(salary_midpoint, -1.0)", "ASC"),
+          "posted_desc": ("coalesce(CAST(posted_date AS VARCHAR), '')", "DESC"), "posted_asc": ("coalesce(CAST(posted_date AS VARCHAR), '')", "ASC"),
+          "company": ("coalesce(company, '')", "ASC"), "title": ("coalesce(title, '')", "ASC"), "no such mode": ("relevance_score", "DESC")}
+
+
+@register("w6_sort_modes", with_postings(" UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{mode}' AS mode, id, CAST(row_number() OVER (ORDER BY {key} {way}, coalesce(CAST(posted_date AS VARCHAR), '') {way}, coalesce(title, '') {way}, id {way}) AS BIGINT) AS place
+        FROM _ranked) WHERE place BETWEEN 11 AND 20""" for mode, (key, way) in _SORTS.items()), _ranked_ctes()))
+def w6_sort_modes(spark, sf_dir):
+    """The second page of ten under every sort mode, with places."""
+    from pyspark.sql import Window
+    act = _active(spark, sf_dir)
+    found = cut_lineage(rk.ranked_search(act, QUERY, reference=act).select("id", "title", "company", "posted_date", "salary_midpoint", "relevance_score"))
+    out = None
+    for mode in _SORTS:
+        rows = se.page(se.order_results(found, mode), 2, 10)
+        # ten rows in page order get their places
+        numbered = rows.agg(F.collect_list("id").alias("ids")).select(F.lit(mode).alias("mode"), F.posexplode("ids").alias("at", "id"))
+        part = numbered.select("mode", "id", (F.col("at") + 11).cast("long").alias("place"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _p8_sql() -> str:
+    from jobsieve.plans.salary_plans import _estimate_sql
+    return with_postings("""
+SELECT id, title, company, location, job_type, remote_status, role_type, md5(description) AS description_md5, array_to_string(required_skills, '|') AS skills,
+  CAST(posted_date AS VARCHAR) AS posted_date, source, source_legal_basis, source_posting_id, apply_url, '/jobs/' || id || '/apply' AS apply_endpoint, application_url,
+  company_career_url, country, city, federal_state, occupation_group, experience_level, employment_type, salary_period, eff_salary_is_estimated AS salary_is_estimated,
+  eff_salary_confidence AS salary_confidence, salary_estimation_basis, CAST(expires_at AS VARCHAR) AS expires_at, CAST(last_seen_at AS VARCHAR) AS last_seen_at, is_expired,
+  relevance_score, match_reasons, eff_salary_min AS salary_min, eff_salary_max AS salary_max, salary_midpoint, salary_label, salary_type FROM _ranked8""", _ranked_ctes() + f""", _ranked8 AS (SELECT r.*, e.eff_salary_is_estimated, e.eff_salary_confidence, e.salary_estimation_basis, e.eff_salary_min, e.eff_salary_max
+  FROM _ranked r JOIN ({_estimate_sql("_act")}) e ON e.id = r.id)""")
+
+
+@register("p8_public_results", _p8_sql())
+def p8_public_results(spark, sf_dir):
+    """All keys of the public result, of every match."""
+    act = _active(spark, sf_dir)
+    r = rk.job_results(rk.ranked_search(act, QUERY, reference=act))
+    return r.select(*[c for c in r.columns if c not in ("description", "required_skills", "match_reasons", "posted_date", "expires_at", "last_seen_at")],
+                    F.md5("description").alias("description_md5"), F.array_join("required_skills", "|").alias("skills"), F.array_join("match_reasons", "|").alias("match_reasons"),
+                    *[F.col(c).cast("string").alias(c) for c in ("posted_date", "expires_at", "last_seen_at")])
+
+
 @register("q7_suggestions", _q7_sql("ring", 8))
 def q7_suggestions(spark, sf_dir):
     return rk.suggestions(_active(spark, sf_dir), "ring", limit=8)

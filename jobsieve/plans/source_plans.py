@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from jobsieve.operators import governance as gv
 from jobsieve.operators import ingest as ig
 from jobsieve.operators import maintain as mt
+from jobsieve.operators import validation as va
 from jobsieve.plans.oracle_base import with_postings
 from jobsieve.plans.registry import register
 from jobsieve.session import scratch_path
@@ -64,6 +65,112 @@ def s8_keyword_fetch(spark, sf_dir):
     return fl.keyword_filter(postings(spark, sf_dir), ["gizmo", "anvil"], location="NATION_4").select("id")
 
 
+_BLOB = "lower(concat_ws(' ', coalesce(title, ''), coalesce(company, ''), coalesce(location, ''), coalesce(description, ''), coalesce(role_type, ''), coalesce(remote_status, ''), array_to_string(required_skills, ' ')))"
+
+
+@register("s8_fetch_limit", with_postings(f"""
+SELECT id, title FROM postings WHERE contains({_BLOB}, 'gizmo') AND lower(coalesce(remote_status, '')) = 'onsite' ORDER BY id LIMIT 75"""))
+def s8_fetch_limit(spark, sf_dir):
+    return fl.fetch(postings(spark, sf_dir), ["gizmo"], 75, work_mode="onsite").select("id", "title")
+
+
+def _feeds(spark, sf_dir):
+    p = postings(spark, sf_dir)
+    return [fl.Feed(n, p.where(F.col("source") == n).drop(*drop), basis) for n, basis, drop in (
+        ("legal_demo_csv", "Seed basis.", ()), ("company_feed", "Feed basis.", ("source", "source_legal_basis", "url")))]
+
+
+@register("s9_feed_source", with_postings(f"""
+SELECT id, 'company_feed' AS source, 'Feed basis.' AS source_legal_basis FROM postings
+WHERE source = 'company_feed' AND (contains({_BLOB}, 'gizmo') OR contains({_BLOB}, 'nurse')) ORDER BY id LIMIT 100"""))
+def s9_feed_source(spark, sf_dir):
+    """A feed without source and legal basis columns gets its own."""
+    return _feeds(spark, sf_dir)[1].fetch(["gizmo nurse"], 100).select("id", "source", "source_legal_basis")
+
+
+@register("s11_limit_per_source", with_postings(f"""
+SELECT _provider, id, source_legal_basis FROM (
+  SELECT source AS _provider, id, CASE source WHEN 'company_feed' THEN 'Feed basis.' ELSE source_legal_basis END AS source_legal_basis,
+         row_number() OVER (PARTITION BY source ORDER BY id) AS rn
+  FROM postings WHERE source IN ('legal_demo_csv', 'company_feed') AND contains({_BLOB}, 'ring')) WHERE rn <= 60"""))
+def s11_limit_per_source(spark, sf_dir):
+    u = fl.run_sources(_feeds(spark, sf_dir), ["legal_demo_csv", "company_feed"], ["ring"], 60)
+    return u.select("_provider", "id", "source_legal_basis")
+
+
+def _damaged(spark, sf_dir):
+    """Postings as raw text, some with values that break a rule."""
+    p, key = postings(spark, sf_dir), F.col("id").cast("long")
+    conf = F.when(key % 17 == 0, "1.5").when(key % 19 == 0, "-0.1").when(key % 23 == 0, "high").otherwise(F.col("salary_confidence").cast("string"))
+    flag = F.when(key % 13 == 0, "perhaps").otherwise(F.col("salary_is_estimated").cast("string"))
+    return p.withColumns({"salary_confidence": conf, "salary_is_estimated": flag, "salary_max": F.when(key % 29 == 0, F.col("salary_min") - 1).otherwise(F.col("salary_max"))})
+
+
+_DAMAGED_RULES = """
+_bad AS (SELECT id, title, salary_min, salary_max, list_filter([
+    CASE WHEN CAST(id AS BIGINT) % 23 = 0 AND CAST(id AS BIGINT) % 17 <> 0 AND CAST(id AS BIGINT) % 19 <> 0 THEN 'coerce_float:salary_confidence' END,
+    CASE WHEN CAST(id AS BIGINT) % 13 = 0 THEN 'coerce_bool:salary_is_estimated' END,
+    CASE WHEN smax IS NOT NULL AND NOT smax > 0 THEN 'greater_than_0:salary_max' END,
+    CASE WHEN CAST(id AS BIGINT) % 17 = 0 OR CAST(id AS BIGINT) % 19 = 0 THEN 'in_range_0_1:salary_confidence' END,
+    CASE WHEN salary_min IS NOT NULL AND smax IS NOT NULL AND smax < salary_min THEN 'salary_bounds_are_valid' END], lambda x: x IS NOT NULL) AS failures
+  FROM (SELECT *, CASE WHEN CAST(id AS BIGINT) % 29 = 0 THEN salary_min - 1 ELSE salary_max END AS smax FROM postings))"""
+
+
+@register("v3_v5_v7_failing_rows", with_postings("SELECT id, array_to_string(failures, '|') AS failures FROM _bad WHERE len(failures) > 0", _DAMAGED_RULES))
+def v3_v5_v7_failing_rows(spark, sf_dir):
+    """Rows with confidences out of range or not a number, flags that are no booleans, and bounds the wrong way round."""
+    f = va.with_failures(_damaged(spark, sf_dir), INGEST_AS_OF).where(F.size("failures") > 0)
+    return f.select("id", F.array_join("failures", "|").alias("failures"))
+
+
+@register("s16_s17_validated_sinks", with_postings("""
+SELECT 'csv' AS kind, 'valid' AS rule, count(*) AS rows, count(*) AS read_back FROM _bad WHERE len(failures) = 0
+UNION ALL SELECT 'json', 'valid', count(*), count(*) FROM _bad WHERE len(failures) = 0
+UNION ALL SELECT kind, rule, count(*), any_value((SELECT count(*) FROM _bad WHERE len(failures) > 0))
+  FROM (SELECT unnest(failures) AS rule FROM _bad), (VALUES ('csv'), ('json')) k(kind) GROUP BY kind, rule""", _DAMAGED_RULES))
+def s16_s17_validated_sinks(spark, sf_dir):
+    """Per sink and rule the rows counted, beside what stands in the files of good and of rejected rows."""
+    out = None
+    for kind in ("csv", "json"):
+        path = scratch_path(spark, f"sink-{kind}")
+        counts = fl.save_valid(_damaged(spark, sf_dir), path, INGEST_AS_OF, kind)
+        good = fl.read_csv_text(spark, path) if kind == "csv" else spark.read.schema("id string").json(path)
+        rejected = spark.read.schema("id string").json(f"{path}_rejected")
+        n = F.when(F.col("rule") == "valid", good.select(F.count(F.lit(1))).scalar()).otherwise(rejected.select(F.count(F.lit(1))).scalar())
+        part = counts.select(F.lit(kind).alias("kind"), "rule", "rows", n.alias("read_back"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("s13_csv_dir_report", with_postings("""
+SELECT 'good' AS file, 'read' AS status, count(*) AS rows, CAST(0 AS BIGINT) AS corrupt_rows FROM postings WHERE CAST(id AS BIGINT) % 3 = 0
+UNION ALL SELECT 'short', 'read', count(*) FILTER (WHERE CAST(id AS BIGINT) % 2 = 0), count(*) FILTER (WHERE CAST(id AS BIGINT) % 2 = 1) FROM postings WHERE CAST(id AS BIGINT) % 3 = 1
+UNION ALL SELECT 'strange', 'unknown_layout', 0, 0
+UNION ALL SELECT 'torn', 'unreadable', 0, 0"""))
+def s13_csv_dir_report(spark, sf_dir):
+    """A folder with a sound file, one whose records are partly too long, one of an unknown layout, and one that cannot be read."""
+    p, root = postings(spark, sf_dir), scratch_path(spark, "csv-folder")
+    key = F.col("id").cast("long")
+    for part, rows in (("good", p.where(key % 3 == 0).select(F.concat_ws(",", "id", "company").alias("value"))),
+                       ("short", p.where(key % 3 == 1).select(F.concat(F.concat_ws(",", "id", "company"), F.when(key % 2 == 1, ",x,y").otherwise("")).alias("value"))),
+                       ("strange", p.where(key % 3 == 2).select("id"))):
+        head = spark.createDataFrame([("0", "id,company_name" if part != "strange" else "what")], "k string, value string")
+        lines = head.unionByName(rows.select(F.lit("1").alias("k"), F.col(rows.columns[-1]).alias("value"))).coalesce(1).sortWithinPartitions("k")
+        lines.select("value").write.mode("append").text(f"{root}/{part}")
+    torn = spark.createDataFrame([(bytearray(b"\x1f\x8b\x08 no gzip"),)], "value binary")
+    _write_bytes(spark, f"{root}/torn/part.csv.gz", torn.first()[0])
+    r = fl.csv_dir_report(spark, f"{root}/*", multi_line=False)
+    which = F.when(F.col("status") == "unreadable", "torn").when(F.col("status") == "unknown_layout", "strange").when(F.col("corrupt_rows") > 0, "short").otherwise("good")
+    return r.where("status <> 'empty'").select(which.alias("file"), "status", "rows", "corrupt_rows")
+
+
+def _write_bytes(spark, path, data):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 @register("s10_per_keyword_fetch", with_postings("""
 SELECT id, title FROM (
   SELECT p.id, p.title, k.pos, row_number() OVER (PARTITION BY k.pos ORDER BY p.id) AS rn

@@ -32,6 +32,31 @@ def a17_top_companies(spark, sf_dir):
     return stx.top_values(postings(spark, sf_dir), "company", 5)
 
 
+@register("a17_top_locations", with_postings(
+    "SELECT location, count(*) AS count FROM postings WHERE location IS NOT NULL GROUP BY location ORDER BY count DESC, location LIMIT 5"))
+def a17_top_locations(spark, sf_dir):
+    return stx.top_values(postings(spark, sf_dir), "location", 5)
+
+
+def _profile_sql() -> str:
+    def counted(name, c):
+        return f"SELECT '{name}_distribution:' || {c} AS name, CAST(count(*) AS DOUBLE) AS value FROM _p WHERE {c} IS NOT NULL GROUP BY {c}"
+    stats = {"count": "count(v)", "mean": "avg(v)", "std": "stddev_samp(v)", "min": "min(v)", "25%": "quantile_cont(v, 0.25)", "50%": "quantile_cont(v, 0.5)",
+             "75%": "quantile_cont(v, 0.75)", "max": "max(v)"}
+    parts = [counted(n, c) for n, c in (("label", "role_type"), ("remote_status", "remote_status"), ("source", "source"))]
+    parts += ["SELECT 'row_count', CAST(count(*) AS DOUBLE) FROM _p", "SELECT 'column_count', 37.0"]
+    parts += [f"SELECT 'salary_avg:{n}', coalesce(CAST({e} AS DOUBLE), 0.0) FROM _p" for n, e in stats.items()]
+    return with_postings(f"SELECT 'postings' AS section, name, round(value, 6) AS value FROM ({' UNION ALL '.join(parts)})",
+                         f"_p AS (SELECT role_type, coalesce(remote_status, 'unknown') AS remote_status, coalesce(source, 'unknown') AS source, {_AVG_ANY} AS v FROM postings)")
+
+
+@register("a18_dataset_profile", _profile_sql())
+def a18_dataset_profile(spark, sf_dir):
+    """Rows, columns, distributions and description of the prepared posting frame."""
+    from jobsieve.operators import model as ml
+    return ml.dataset_profile({"postings": ml.feature_frame(postings(spark, sf_dir))}).withColumn("value", F.round("value", 6))
+
+
 @register("a18_label_distribution", with_postings(
     "SELECT role_type, count(*) AS count FROM postings WHERE role_type IS NOT NULL GROUP BY role_type"))
 def a18_label_distribution(spark, sf_dir):
@@ -56,16 +81,24 @@ def a21_work_mode_summary(spark, sf_dir):
     return stx.group_summary(postings(spark, sf_dir), stx.normalized_work_mode(), midpoint_any())
 
 
-@register("a22_missing_counts", with_postings(
-    """SELECT * FROM (VALUES ('salary_min', (SELECT count(*) FILTER (WHERE salary_min IS NULL) FROM postings)),
-                             ('salary_max', (SELECT count(*) FILTER (WHERE salary_max IS NULL) FROM postings)),
-                             ('occupation_group', (SELECT count(*) FILTER (WHERE occupation_group IS NULL) FROM postings)),
-                             ('url', (SELECT count(*) FILTER (WHERE url IS NULL) FROM postings)),
-                             ('source_legal_basis', (SELECT count(*) FILTER (WHERE source_legal_basis IS NULL) FROM postings)))
-       v("column", missing)"""))
+_COLUMNS = ["id", "source_posting_id", "source", "source_legal_basis", "title", "company", "location", "city", "country", "federal_state", "description", "job_type",
+            "employment_type", "salary_min", "salary_max", "salary_period", "salary_is_estimated", "salary_confidence", "currency", "required_skills", "posted_date",
+            "posted_at", "expires_at", "last_seen_at", "is_expired", "url", "application_url", "company_career_url", "remote_status", "role_type", "occupation_group",
+            "experience_level", "ingestion_batch_id"]
+
+
+@register("a22_missing_counts", with_postings(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS missing FROM postings""" for c in _COLUMNS)))
 def a22_missing_counts(spark, sf_dir):
-    p = postings(spark, sf_dir).select("salary_min", "salary_max", "occupation_group", "url", "source_legal_basis")
-    return stx.missing_counts(p)
+    return stx.missing_counts(postings(spark, sf_dir))
+
+
+@register("a22_describe", with_postings(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min,
+      round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, CAST(max({c}) AS DOUBLE) AS max FROM postings"""
+    for c in ("salary_min", "salary_max", "salary_confidence"))))
+def a22_describe(spark, sf_dir):
+    return stx.describe_columns(postings(spark, sf_dir), ["salary_min", "salary_max", "salary_confidence"])
 
 
 @register("a23_value_counts_with_null", with_postings(

@@ -7,6 +7,9 @@ version and a rewrite never overwrites the files it reads."""
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +25,9 @@ ALTERNATE_NAMES = {
 }
 
 
-def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """Header-first CSV read, every column as text (no inference). ``multi_line`` is for fields with line
-    breaks; without it a large file is split over tasks."""
+def read_csv_text(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Header-first CSV read, every column as text (no inference). Quoted fields may hold line breaks;
+    ``multi_line=False`` is for large files without any, which are then split over tasks."""
     return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
 
 
@@ -99,6 +102,37 @@ def keyword_filter(jobs: DataFrame, keywords: list[str], location: str | None =
     return d.where(hit)
 
 
+def fetch(jobs: DataFrame, keywords: list[str], limit: int, order: str = "id", location: str | None = None, work_mode: str | None = None) -> DataFrame:
+    """The first ``limit`` matches in row order (``order``); a distributed top-k, not a sort of all matches."""
+    return keyword_filter(jobs, keywords, location, work_mode).orderBy(order).limit(limit)
+
+
+@dataclass(frozen=True)
+class Feed:
+    """A source behind the fetch contract: its id, its rows and the legal basis they come with."""
+
+    source_id: str
+    rows: DataFrame
+    legal_basis: str | None = None
+
+    def fetch(self, keywords: list[str], limit: int, order: str = "id", location: str | None = None, work_mode: str | None = None) -> DataFrame:
+        rows = self.rows
+        for c, default in (("source", self.source_id), ("source_legal_basis", self.legal_basis)):
+            given = F.nullif(F.col(c), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
+            rows = rows.withColumn(c, F.coalesce(given, F.lit(default).cast("string")))
+        return fetch(rows, keywords, limit, order, location, work_mode)
+
+
+def run_sources(feeds: list[Feed], requested: list[str], keywords: list[str], limit_per_source: int, order: str = "id") -> DataFrame:
+    """What every requested source fetches, in one frame with ``_provider``; at most ``limit_per_source`` rows each.
+    An unknown source is an error before anything is read."""
+    known = {f.source_id.lower(): f for f in feeds}
+    unknown = [s for s in requested if s.lower() not in known]
+    if unknown:
+        raise ValueError(f"No provider registered for source {', '.join(map(repr, unknown))}.")
+    return union_sources({s.lower(): known[s.lower()].fetch(keywords, limit_per_source, order) for s in requested})
+
+
 def per_keyword_fetch(jobs: DataFrame, keywords: list[str], limit: int, order: str = "id") -> DataFrame:
     """One pull per keyword (keyword position order), each capped at ``limit``, stop once
     ``limit`` rows are gathered: the first ``limit`` rows by (keyword position, row order)."""
@@ -152,11 +186,17 @@ def clean_salary_value(c: Column) -> Column:
     return F.when(v > 0, v)
 
 
+#: commas outside double quotes
+_HEADER_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Header -> files with it, from the first line of every CSV file under ``path`` (one short row per file)."""
-    first = (spark.read.option("wholetext", False).text(path).select("value", F.input_file_name().alias("file"), F.expr("_metadata.file_block_start").alias("at"))
+    """Header -> files with it, from the first line of every CSV file under ``path`` (one short row per file). Files that
+    cannot be read have none."""
+    first = (spark.read.option("wholetext", False).option("ignoreCorruptFiles", True).text(path)
+             .select("value", F.input_file_name().alias("file"), F.expr("_metadata.file_block_start").alias("at"))
              .where("at = 0").groupBy("file").agg(F.first("value").alias("line")))
-    header = F.transform(F.split(F.regexp_replace("line", "^\ufeff", ""), ","), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+    header = F.transform(F.split(F.regexp_replace("line", "^\ufeff", ""), _HEADER_COMMA), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
     files: dict[tuple[str, ...], list[str]] = {}
     for r in first.select("file", header.alias("h")).collect():
         files.setdefault(tuple(r.h), []).append(r.file)
@@ -167,20 +207,56 @@ def read_alternate_csv_dir(spark: SparkSession, path: str, limit: int | None = N
     """A directory of CSV files whose columns may use alternate names, in any order and mixed; the first present
     name wins; salaries cleaned (S14); skills extracted from the description (S15).
 
-    Files are read once per distinct header; a file that holds none of the known columns is left out. Quoted fields
-    may hold line breaks; ``multi_line=False`` is for large files without any, which are then split over tasks."""
-    known = {n for names in ALTERNATE_NAMES.values() for n in names}
+    Files are read once per distinct header; files that hold none of the known columns or cannot be read, and rows that do
+    not fit their header, are left out: ``csv_dir_report`` counts them. Quoted fields may hold line breaks;
+    ``multi_line=False`` is for large files without any, which are then split over tasks."""
     out = None
     for header, files in sorted(csv_layouts(spark, path).items()):
-        if not known & set(header):
+        if not _KNOWN & set(header):
             continue
-        part = _alternate_layout(read_csv_text(spark, files, multi_line))
+        part = _alternate_layout(_checked_rows(spark, header, files, multi_line).where("_corrupt is null"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = _alternate_layout(spark.createDataFrame([], "id string"))
     return out if limit is None else out.orderBy("id").limit(limit)
 
 
+_KNOWN = {n for names in ALTERNATE_NAMES.values() for n in names}
+
+
+def _checked_rows(spark: SparkSession, header: tuple[str, ...], files: list[str], multi_line: bool) -> DataFrame:
+    """Rows of files with this header as text, with ``_corrupt`` (the raw record of one that does not fit it) and ``_file``.
+    A header that names a column twice keeps the first."""
+    names = [n if n not in header[:i] else f"{n}_{i}" for i, n in enumerate(header)]
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names) + ", _corrupt string"
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multi_line).option("escape", '"')
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", True)
+    return reader.csv(files).withColumn("_file", F.input_file_name())
+
+
+def csv_dir_report(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per file under ``path``: (file, status, rows, corrupt_rows). Status: ``read``, ``unknown_layout`` (none of the
+    known columns), ``empty``, or ``unreadable``; the last three give no rows, and the job goes on without them."""
+    layouts = csv_layouts(spark, path)
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    headed = spark.createDataFrame([(f, bool(_KNOWN & set(h))) for h, fs in layouts.items() for f in fs], "file string, known boolean")
+    counts = spark.createDataFrame([], "file string, rows long, corrupt_rows long")
+    for header, files in sorted(layouts.items()):
+        if _KNOWN & set(header):
+            checked = _checked_rows(spark, header, files, multi_line)
+            read = F.concat_ws("", *[c for c in checked.columns if c not in ("_corrupt", "_file")]) >= ""  # a record is only judged when its fields are read
+            counts = counts.unionByName(checked.groupBy(F.col("_file").alias("file")).agg(
+                F.count_if(F.col("_corrupt").isNull() & read).alias("rows"), F.count_if(F.col("_corrupt").isNotNull() & read).alias("corrupt_rows")))
+
+    def name(c: str) -> Column:
+        return F.element_at(F.split(F.col(c), "/"), -1)
+
+    status = F.when(F.col("length") == 0, "empty").when(F.col("known").isNull(), "unreadable").when(F.col("known"), "read").otherwise("unknown_layout")
+    joined = (listed.withColumn("file", name("file")).join(headed.withColumn("file", name("file")), "file", "left")
+              .join(counts.withColumn("file", name("file")), "file", "left"))
+    return joined.select("file", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("corrupt_rows", F.lit(0)).alias("corrupt_rows"))
+
+
 def _alternate_layout(raw: DataFrame) -> DataFrame:
     cols = set(raw.columns)
 
@@ -205,6 +281,22 @@ def write_csv(df: DataFrame, path: str, skills: str = "required_skills") -> None
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def save_valid(df: DataFrame, path: str, as_of: dt.datetime, kind: str = "csv", strict: bool = False) -> DataFrame:
+    """A sink that validates. Good rows go to ``path`` (CSV, or JSON lines), rows that break a rule to
+    ``path`` + ``_rejected`` as JSON lines with their ``failures``; returns (rule, rows) with the rule ``valid`` for the rows
+    written. ``strict`` raises instead when any row breaks a rule, and writes nothing."""
+    from jobsieve.operators import validation as va
+    from jobsieve.session import cut_lineage
+    if strict:
+        va.validate_strict(df, as_of)
+    checked = cut_lineage(va.with_failures(df, as_of))  # judged once for both sinks and the counts
+    good = checked.where(F.size("failures") == 0).drop("failures")
+    write_csv(good, path) if kind == "csv" else write_json(good, path)
+    checked.where(F.size("failures") > 0).write.mode("overwrite").json(f"{path}_rejected")
+    rules = F.when(F.size("failures") == 0, F.array(F.lit("valid"))).otherwise(F.col("failures"))
+    return checked.select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines."""
     df.write.mode("overwrite").json(path)
