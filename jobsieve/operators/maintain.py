@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobsieve.functions.text import decode_skills
 from jobsieve.session import cut_lineage
 
 
@@ -53,6 +54,23 @@ def normalize_record(df: DataFrame, as_of: dt.datetime) -> DataFrame:
     return d
 
 
+# Fixed values that must equal the reference: keys of a table row in the API, in order.
+API_KEYS = ["id", "title", "company", "location", "country", "city", "federal_state", "salary_min", "salary_max", "salary_period", "salary_is_estimated",
+            "salary_confidence", "job_type", "employment_type", "description", "required_skills", "source", "source_posting_id", "url", "application_url",
+            "company_career_url", "remote_status", "role_type", "occupation_group", "experience_level", "source_legal_basis", "ingestion_batch_id", "posted_date",
+            "posted_at", "expires_at", "last_seen_at", "is_expired", "created_at", "updated_at"]
+
+
+def to_api_rows(df: DataFrame) -> DataFrame:
+    """Table rows in the API's shape: every key, skills as a list (S4, also from their JSON text), flags never null."""
+    kind = df.schema["required_skills"].dataType.simpleString() if "required_skills" in df.columns else "missing"
+    special = {"required_skills": decode_skills("required_skills") if kind == "string" else
+               F.coalesce("required_skills", F.array().cast("array<string>")) if kind != "missing" else F.array().cast("array<string>")}
+    for c in ("salary_is_estimated", "is_expired"):
+        special[c] = F.coalesce(F.col(c).cast("boolean"), F.lit(False)) if c in df.columns else F.lit(False)
+    return df.select(*[(special[c] if c in special else F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in API_KEYS])
+
+
 def generated_id(batch_id: str, *parts: Column) -> Column:
     """Deterministic id of an inserted row (stable under task retries)."""
     marked = [x for p in parts for x in (p.isNull().cast("string"), F.coalesce(p.cast("string"), F.lit("")))]

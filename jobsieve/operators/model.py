@@ -80,8 +80,8 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 # ---- M2: terms -------------------------------------------------------------------------------------------------
 
 def grams(text: str | Column, longest: int = 3) -> Column:
-    """The 1- to ``longest``-grams of lower-cased words."""
-    words = F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(WORD), F.lit(0))
+    """The 1- to ``longest``-grams of lower-cased words; none of a null text."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit(WORD), F.lit(0))
 
     def runs(w: Column, n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(w) - (n - 1))

@@ -8,8 +8,9 @@ from jobsieve.operators import governance as gv
 from jobsieve.operators import validation as va
 from jobsieve.plans.oracle_base import with_postings
 from jobsieve.plans.registry import register
-from jobsieve.sources.registry import APPROVED_LEGAL_BASIS_TERMS, REGISTRY_JSON
-from jobsieve.sources.tables import AS_OF, postings
+from jobsieve.session import scratch_path
+from jobsieve.sources.registry import APPROVED_LEGAL_BASIS_TERMS, REGISTRY_JSON, load_registry
+from jobsieve.sources.tables import AS_OF, postings, table
 
 import json as _json
 
@@ -90,6 +91,20 @@ def g4_registry_blocked(spark, sf_dir):
     return gv.registry_listing(spark, blocked_only=True).join(used, "key").select("source_id", "approval_status", "required_action")
 
 
+@register("s19_registry_file", """
+SELECT s_name AS source_id, lower(s_name) AS key, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS ordinal, s_suppkey % 3 <> 0 AS allowed,
+       CASE WHEN s_suppkey % 3 <> 0 THEN 'approved' ELSE 'blocked' END AS approval_status, coalesce(CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 2 = 0 END, FALSE) AS can_store_listings
+FROM supplier""")
+def s19_registry_file(spark, sf_dir):
+    """A registry document made from the suppliers (a list in key order; some entries leave a right out), read by its path."""
+    k = F.col("s_suppkey")
+    entry = F.struct(k, F.col("s_name").alias("source_id"), (k % 3 != 0).alias("allowed"), F.when(k % 3 != 0, "approved").otherwise("blocked").alias("approval_status"),
+                     F.when(k % 5 > 0, k % 2 == 0).alias("can_store_listings"))
+    path = scratch_path(spark, "registry")
+    table(spark, sf_dir, "supplier").agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("value")).coalesce(1).write.text(path)
+    return load_registry(spark, path).select("source_id", "key", "ordinal", "allowed", "approval_status", "can_store_listings")
+
+
 _RULE_SQL = f"""
 _v AS (
   SELECT id, list_filter([

@@ -116,6 +116,21 @@ def p12_p13_record_roundtrip(spark, sf_dir):
     return back.select("id", "salary_min", "country", "skills_text", F.size("decoded").alias("n_skills"))
 
 
+_API_TEXT = {"posted_date", "posted_at", "expires_at", "last_seen_at", "created_at", "updated_at"}
+
+
+@register("p13_api_rows", with_postings("SELECT " + ", ".join(
+    {"required_skills": "array_to_string(required_skills, '|') AS required_skills", "salary_is_estimated": "coalesce(salary_is_estimated, FALSE) AS salary_is_estimated",
+     "is_expired": "FALSE AS is_expired", "created_at": "CAST(posted_date AS VARCHAR) AS created_at", "updated_at": "CAST(last_seen_at AS VARCHAR) AS updated_at",
+     "description": "md5(description) AS description"}.get(c, f"CAST({c} AS VARCHAR) AS {c}" if c in _API_TEXT else c) for c in mt.API_KEYS) + " FROM postings"))
+def p13_api_rows(spark, sf_dir):
+    """Stored rows (skills as JSON text, some flags null) in the API's shape."""
+    stored = postings(spark, sf_dir).withColumn("required_skills", skills_json_text()).withColumns(
+        {"created_at": F.col("posted_date"), "updated_at": F.col("last_seen_at"), "is_expired": F.when(F.col("id").cast("long") % 2 == 0, F.col("is_expired"))})
+    r = mt.to_api_rows(stored).withColumns({"required_skills": F.array_join("required_skills", "|"), "description": F.md5("description")})
+    return r.select(*[F.col(c).cast("string").alias(c) if c in _API_TEXT else c for c in mt.API_KEYS])
+
+
 def _bronze(spark, sf_dir):
     p = postings(spark, sf_dir)
     ing = F.col("posted_date") + F.make_dt_interval(days=(F.col("id").cast("long") % 30).cast("int"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from jobsieve.operators import skills as sk
 from jobsieve.plans.oracle_base import with_postings
 from jobsieve.plans.registry import register
+from jobsieve.session import scratch_path
+from jobsieve.sources.files import write_csv
 from jobsieve.sources.tables import AS_OF, postings
 
 MID_NZ = ("CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL AND salary_min <> 0 AND salary_max <> 0 "
@@ -47,8 +49,10 @@ def a2_top_skills(spark, sf_dir):
 
 @register("s23_skill_report_export", with_postings("SELECT * FROM _top", _STATS + "," + _TOP.format(n=20)))
 def s23_skill_report_export(spark, sf_dir):
-    # the flat report written by jobsieve.sources.files.write_csv; here the frame itself
-    return sk.top_skills(postings(spark, sf_dir), top_n=20)
+    """The flat report as CSV, read back."""
+    top, path = sk.top_skills(postings(spark, sf_dir), top_n=20), scratch_path(spark, "skill-report")
+    write_csv(top, path)
+    return spark.read.schema(top.schema).option("header", True).option("escape", '"').csv(path)
 
 
 @register("a3_skill_categories", with_postings(

@@ -44,6 +44,20 @@ def s1_s16_csv_roundtrip(spark, sf_dir):
                     F.coalesce("occupation_group", F.lit("")).alias("occupation_group"), "salary_period")
 
 
+@register("s2_normalized_rows", with_postings("""
+SELECT id, title, company, location, salary_min, salary_max, 'yearly' AS salary_period, FALSE AS salary_is_estimated, CAST(NULL AS DOUBLE) AS salary_confidence, 'Full-time' AS job_type,
+  'permanent' AS employment_type, md5(description) AS description, array_to_string(required_skills, '|') AS required_skills, CAST(posted_date AS VARCHAR) AS posted_date,
+  CAST(posted_date AS VARCHAR) AS posted_at, CAST(NULL AS VARCHAR) AS expires_at, CAST(posted_date AS VARCHAR) AS last_seen_at, source, id AS source_posting_id, CAST(NULL AS VARCHAR) AS url,
+  CAST(NULL AS VARCHAR) AS application_url, CAST(NULL AS VARCHAR) AS company_career_url, trim(split_part(location, ',', -1)) AS country, trim(split_part(location, ',', 1)) AS city,
+  CAST(NULL AS VARCHAR) AS federal_state, remote_status, role_type, role_type AS occupation_group, CAST(NULL AS VARCHAR) AS experience_level,
+  'Local legal seed data for development.' AS source_legal_basis, CAST(NULL AS VARCHAR) AS ingestion_batch_id, 'EUR' AS currency FROM postings"""))
+def s2_normalized_rows(spark, sf_dir):
+    """Every column of the canonical posting, from a file that holds twelve of them."""
+    r = _csv_roundtrip(spark, sf_dir)
+    dates = ("posted_date", "posted_at", "expires_at", "last_seen_at")
+    return r.withColumns({"description": F.md5("description"), "required_skills": F.array_join("required_skills", "|"), **{c: F.col(c).cast("string") for c in dates}})
+
+
 @register("s17_json_roundtrip", with_postings(
     "SELECT id, title, CAST(len(required_skills) AS INTEGER) AS n_skills, salary_max FROM postings"))
 def s17_json_roundtrip(spark, sf_dir):
@@ -161,7 +175,7 @@ def s13_csv_dir_report(spark, sf_dir):
     _write_bytes(spark, f"{root}/torn/part.csv.gz", torn.first()[0])
     r = fl.csv_dir_report(spark, f"{root}/*", multi_line=False)
     which = F.when(F.col("status") == "unreadable", "torn").when(F.col("status") == "unknown_layout", "strange").when(F.col("corrupt_rows") > 0, "short").otherwise("good")
-    return r.where("status <> 'empty'").select(which.alias("file"), "status", "rows", "corrupt_rows")
+    return r.select(which.alias("file"), "status", "rows", "corrupt_rows")
 
 
 def _write_bytes(spark, path, data):

@@ -235,10 +235,10 @@ def _checked_rows(spark: SparkSession, header: tuple[str, ...], files: list[str]
 
 
 def csv_dir_report(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One row per file under ``path``: (file, status, rows, corrupt_rows). Status: ``read``, ``unknown_layout`` (none of the
-    known columns), ``empty``, or ``unreadable``; the last three give no rows, and the job goes on without them."""
+    """One row per file under ``path`` that has a byte: (file, status, rows, corrupt_rows). Status: ``read``, ``unknown_layout``
+    (none of the known columns), or ``unreadable``; the last two give no rows, and the job goes on without them."""
     layouts = csv_layouts(spark, path)
-    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
     headed = spark.createDataFrame([(f, bool(_KNOWN & set(h))) for h, fs in layouts.items() for f in fs], "file string, known boolean")
     counts = spark.createDataFrame([], "file string, rows long, corrupt_rows long")
     for header, files in sorted(layouts.items()):
@@ -251,7 +251,7 @@ def csv_dir_report(spark: SparkSession, path: str, multi_line: bool = True) -> D
     def name(c: str) -> Column:
         return F.element_at(F.split(F.col(c), "/"), -1)
 
-    status = F.when(F.col("length") == 0, "empty").when(F.col("known").isNull(), "unreadable").when(F.col("known"), "read").otherwise("unknown_layout")
+    status = F.when(F.col("known").isNull(), "unreadable").when(F.col("known"), "read").otherwise("unknown_layout")
     joined = (listed.withColumn("file", name("file")).join(headed.withColumn("file", name("file")), "file", "left")
               .join(counts.withColumn("file", name("file")), "file", "left"))
     return joined.select("file", status.alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("corrupt_rows", F.lit(0)).alias("corrupt_rows"))
@@ -278,7 +278,8 @@ def write_csv(df: DataFrame, path: str, skills: str = "required_skills") -> None
     for f in out.schema.fields:
         if f.dataType.typeName() in ("array", "map", "struct"):
             out = out.withColumn(f.name, F.to_json(f.name))
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    writer = out.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)  # values as they are
 
 
 def save_valid(df: DataFrame, path: str, as_of: dt.datetime, kind: str = "csv", strict: bool = False) -> DataFrame:

@@ -270,10 +270,11 @@ def load_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
     if path is None:
         entries = json.loads(REGISTRY_JSON)
         rows = [tuple(e.get(f.name) for f in REGISTRY_SCHEMA.fields) + (i,) for i, e in enumerate(entries)]
-        df = spark.createDataFrame(rows, REGISTRY_SCHEMA.add("ordinal", T.IntegerType()))
+        df = spark.createDataFrame(rows, T.StructType([*REGISTRY_SCHEMA.fields, T.StructField("ordinal", T.IntegerType())]))
     else:
-        df = spark.read.schema(REGISTRY_SCHEMA).option("multiLine", True).json(path) \
-            .withColumn("ordinal", F.monotonically_increasing_id().cast("int"))
+        # one JSON document: a list whose order is the ordinal
+        listed = F.from_json("value", T.ArrayType(REGISTRY_SCHEMA))
+        df = spark.read.text(path, wholetext=True).select(F.posexplode(listed).alias("ordinal", "e")).select("e.*", "ordinal")
     for b in ("can_store_listings", "can_display_listings", "can_link_apply", "requires_contract"):
         df = df.withColumn(b, F.coalesce(F.col(b), F.lit(False)))
     return df.withColumn("key", F.lower(F.col("source_id")))
