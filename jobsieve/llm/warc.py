@@ -5,11 +5,13 @@ an empty gzip member, which holds no bytes, as line separator), so archives go t
 task's file is never committed. Pages with equal payloads of at least ``min_revisit_bytes`` bytes share one
 payload: the page with the smallest id is a response, the others are revisit records that refer to it.
 
-Salvage reading. Archives are read as binary files and walked record by record. A record must be a whole gzip
-member (or a plain record) with a version line, a Content-Length that fits and, where given, block and payload
-digests that match. When a check fails the reader searches for the next place that starts a valid member or a
-version line, goes on there and logs the skipped bytes as a quarantined gap (file, offset, length, reason); later
-records are not lost.
+Salvage reading. Archives are read as binary files and walked record by record. A record stands in a whole gzip
+member (alone or with others, which share its offset and length) or plainly, with a version line, a Content-Length that
+fits and, where given, block and payload digests that match. Digests are checked where algorithm and spelling are
+understood (``DIGESTS``, in hex or base 32); the payload of an ``application/http`` response is what follows its HTTP headers,
+and is not checked when it is chunked. When a check fails the reader searches for the next place that starts a valid
+member or a version line, goes on there and logs the skipped bytes as a quarantined gap (file, offset, length,
+reason; of a gap inside a member: the member's); later records are not lost.
 
 Defined cases: null html is an empty payload; a null url is written without target; rows with a null id are
 responses and are never referred to; repeated rows with the smallest id are responses as well; an empty table
@@ -34,8 +36,12 @@ from jobsieve.session import scratch_path
 VERSION = b"WARC/1.1"
 #: an empty gzip member (fixed value): separates records without adding a byte to their content
 EMPTY_MEMBER = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 255, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+#: digest algorithms that are checked, and their bytes
+DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
+_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+
 RECORD_SCHEMA = T.StructType([
     T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()),
     T.StructField("kind", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("refers_to_id", T.StringType()),
@@ -70,13 +76,16 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_per_file: int = 4000,
-                   date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write ``pages`` (page_id, url, html) as gzip archives of at most ``records_per_file`` records under ``path``."""
+                   date: str = "2024-01-01T00:00:00Z", file_bytes: int = 64 << 20) -> None:
+    """Write ``pages`` (page_id, url, html) as gzip archives under ``path``, each of at most ``records_per_file`` records and,
+    by the largest payload, about ``file_bytes`` (or one record): an archive is read back as one row."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", text_digest("html").alias("digest"), F.octet_length(F.encode(payload, "UTF-8")).alias("size"))
     first = (rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest")
              .agg(F.min("page_id").alias("original"), F.count("*").alias("copies")).where("copies > 1 and original is not null")
              .select("digest", "original"))
+    largest = rows.agg(F.max("size")).first()[0] or 0
+    records_per_file = max(1, min(records_per_file, file_bytes // (largest + 4096)))
     plan = rows.join(first, "digest", "left").select(
         "page_id", "url", "html", F.when(F.col("page_id") != F.col("original"), F.col("original")).alias("refers_to"))
 
@@ -106,6 +115,34 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(pos, len(data)) - len(z.unused_data)
 
 
+def _differs(given: str | None, data: bytes) -> bool:
+    """A digest header that is understood and does not belong to ``data``."""
+    name, _, value = (given or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    size = DIGESTS.get(name)
+    if size is None:
+        return False
+    try:
+        if len(value) == 2 * size:
+            want = bytes.fromhex(value)
+        elif len(value.rstrip("=")) == -(-size * 8 // 5):
+            bare = value.rstrip("=")
+            want = base64.b32decode(bare + "=" * (-len(bare) % 8), casefold=True)
+        else:
+            return False
+    except ValueError:
+        return False
+    return hashlib.new(name, data).digest() != want
+
+
+def _payload(head: dict, block: bytes) -> bytes | None:
+    """What a response's payload digest covers; None where that cannot be told."""
+    if not head.get("content-type", "").lower().startswith("application/http"):
+        return block
+    http, sep, body = block.partition(b"\r\n\r\n")
+    return body if sep and b"\ntransfer-encoding:" not in http.lower() else None
+
+
 def _record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     """Headers, block and end of the plain record at ``at``; raises ValueError when a check fails."""
     end = data.find(b"\r\n\r\n", at)
@@ -126,13 +163,31 @@ def _record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
         raise ValueError("block length does not fit")
     block = data[begin:stop]
     kind = head.get("warc-type")
-    if "warc-block-digest" in head and head["warc-block-digest"] != "sha1:" + sha1_base32(block):
+    if _differs(head.get("warc-block-digest"), block):
         raise ValueError("block digest differs")
-    if kind == "response" and "warc-payload-digest" in head and head["warc-payload-digest"] != "sha1:" + sha1_base32(block):
+    payload = _payload(head, block) if kind == "response" else None
+    if payload is not None and _differs(head.get("warc-payload-digest"), payload):
         raise ValueError("payload digest differs")
     return head, block, stop + 4
 
 
+def _inside(content: bytes, offset: int, length: int) -> Iterator[tuple]:
+    """Records and gaps of one member's content, at the member's place."""
+    at, why = 0, None
+    while at < len(content):
+        try:
+            head, block, end = _record(content, at)
+        except ValueError as e:
+            why = why or str(e)
+            nxt = _VERSION_LINE.search(content, at + 1)
+            at = nxt.start() if nxt else len(content)
+            continue
+        yield offset, length, head, block, None
+        at = end
+    if why:
+        yield offset, length, None, b"", why
+
+
 def salvage(data: bytes) -> Iterator[tuple]:
     """(offset, length, headers, block, reason): records (reason None) and gaps (headers None) in file order."""
     view, at, gap, why = memoryview(data), 0, None, ""
@@ -140,16 +195,12 @@ def salvage(data: bytes) -> Iterator[tuple]:
         try:
             if data[at:at + 3] == b"\x1f\x8b\x08":
                 content, end = _member(view, at)
-                if content:
-                    head, block, stop = _record(content)
-                    if stop != len(content):
-                        raise ValueError("bytes after the record in its member")
-                    found = (at, end - at, head, block, None)
-                else:
-                    found = None  # separator
+                found = list(_inside(content, at, end - at))  # none: a separator
+                if found and all(f[2] is None for f in found):
+                    raise ValueError(found[0][4])
             else:
                 head, block, end = _record(data, at)
-                found = (at, end - at, head, block, None)
+                found = [(at, end - at, head, block, None)]
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -159,8 +210,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
         if gap is not None:
             yield gap, at - gap, None, b"", why
             gap = None
-        if found:
-            yield found
+        yield from found
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, b"", why

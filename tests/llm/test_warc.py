@@ -70,3 +70,47 @@ def test_salvage_of_nothing_and_noise():
     assert list(warc.salvage(b"")) == []
     assert [(a, n) for a, n, h, _, _ in warc.salvage(b"noise only") if h is None] == [(0, 10)]
     assert [h for _, _, h, _, _ in warc.salvage(warc.EMPTY_MEMBER * 3)] == []
+
+
+def other_record(kind, body, **headers):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x>", f"Content-Length: {len(body)}", *[f"{k.replace('_', '-')}: {v}" for k, v in headers.items()]]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_sound_records_of_other_writers_are_kept():
+    page = b"<html>hello</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    sound = [
+        other_record("response", http, Content_Type="application/http; msgtype=response", WARC_Payload_Digest="sha1:" + digest(page), WARC_Block_Digest="sha1:" + digest(http)),
+        other_record("response", http, Content_Type="application/http", WARC_Payload_Digest="md5:" + hashlib.md5(page).hexdigest()),
+        other_record("response", page, WARC_Block_Digest="SHA-256:" + hashlib.sha256(page).hexdigest().upper()),
+        other_record("response", page, WARC_Payload_Digest="sha1:" + digest(page).lower()),
+        other_record("response", page, WARC_Payload_Digest="blake3:whatever", WARC_Block_Digest="sha1:not a digest"),
+        other_record("response", chunked, Content_Type="application/http", WARC_Payload_Digest="sha1:" + digest(b"hello")),
+        other_record("warcinfo", b"software: x"),
+    ]
+    for data in (b"".join(sound), b"".join(map(warc.gzip_member, sound)), warc.gzip_member(b"".join(sound))):
+        ok, gaps = records(data)
+        assert len(ok) == len(sound) and not gaps
+    for wrong in (other_record("response", http, Content_Type="application/http", WARC_Payload_Digest="sha1:" + digest(http)),
+                  other_record("response", page, WARC_Block_Digest="md5:" + hashlib.md5(b"x").hexdigest())):
+        assert [why for *_, why in records(wrong)[1]] and not records(wrong)[0]
+
+
+def test_damage_inside_a_member_of_several_records():
+    parts = [other_record("response", bytes([65 + i]) * 50, WARC_Block_Digest="sha1:" + digest(bytes([65 + i]) * 50)) for i in range(4)]
+    bad = bytearray(parts[1])
+    bad[-10] ^= 1
+    member = warc.gzip_member(parts[0] + bytes(bad) + parts[2])
+    found = list(warc.salvage(member + warc.gzip_member(parts[3])))
+    assert [b[:1] for *_, h, b, _ in found if h is not None] == [b"A", b"C", b"D"]
+    assert [(a, n, why) for a, n, h, _, why in found if h is None] == [(0, len(member), "block digest differs")]
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", hashlib.sha256(str(i).encode()).hexdigest() * 400) for i in range(40)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), file_bytes=120_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) >= 8 and max(sizes) <= 120_000
+    assert warc.read_archives(spark, str(tmp_path / "w")).where("kind = 'response'").count() == 40
