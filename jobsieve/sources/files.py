@@ -207,14 +207,14 @@ def read_alternate_csv_dir(spark: SparkSession, path: str, limit: int | None = N
     """A directory of CSV files whose columns may use alternate names, in any order and mixed; the first present
     name wins; salaries cleaned (S14); skills extracted from the description (S15).
 
-    Files are read once per distinct header; files that hold none of the known columns or cannot be read, and rows that do
-    not fit their header, are left out: ``csv_dir_report`` counts them. Quoted fields may hold line breaks;
+    Files are read once per distinct header; files that hold none of the known columns or cannot be read, and rows with more
+    fields than their header, are left out: ``csv_dir_report`` counts them. Quoted fields may hold line breaks;
     ``multi_line=False`` is for large files without any, which are then split over tasks."""
     out = None
     for header, files in sorted(csv_layouts(spark, path).items()):
         if not _KNOWN & set(header):
             continue
-        part = _alternate_layout(_checked_rows(spark, header, files, multi_line).where("_corrupt is null"))
+        part = _alternate_layout(_checked_rows(spark, header, files, multi_line).where("_more is null"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = _alternate_layout(spark.createDataFrame([], "id string"))
@@ -225,13 +225,12 @@ _KNOWN = {n for names in ALTERNATE_NAMES.values() for n in names}
 
 
 def _checked_rows(spark: SparkSession, header: tuple[str, ...], files: list[str], multi_line: bool) -> DataFrame:
-    """Rows of files with this header as text, with ``_corrupt`` (the raw record of one that does not fit it) and ``_file``.
-    A header that names a column twice keeps the first."""
+    """Rows of files with this header as text, with ``_more`` (the first field beyond the header; such a record does not fit
+    it) and ``_file``. Missing last fields are null. A header that names a column twice keeps the first."""
     names = [n if n not in header[:i] else f"{n}_{i}" for i, n in enumerate(header)]
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names) + ", _corrupt string"
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names) + ", _more string"
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multi_line).option("escape", '"')
-    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", True)
-    return reader.csv(files).withColumn("_file", F.input_file_name())
+    return reader.option("ignoreCorruptFiles", True).csv(files).withColumn("_file", F.input_file_name())
 
 
 def csv_dir_report(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -244,9 +243,8 @@ def csv_dir_report(spark: SparkSession, path: str, multi_line: bool = True) -> D
     for header, files in sorted(layouts.items()):
         if _KNOWN & set(header):
             checked = _checked_rows(spark, header, files, multi_line)
-            read = F.concat_ws("", *[c for c in checked.columns if c not in ("_corrupt", "_file")]) >= ""  # a record is only judged when its fields are read
             counts = counts.unionByName(checked.groupBy(F.col("_file").alias("file")).agg(
-                F.count_if(F.col("_corrupt").isNull() & read).alias("rows"), F.count_if(F.col("_corrupt").isNotNull() & read).alias("corrupt_rows")))
+                F.count_if(F.col("_more").isNull()).alias("rows"), F.count_if(F.col("_more").isNotNull()).alias("corrupt_rows")))
 
     def name(c: str) -> Column:
         return F.element_at(F.split(F.col(c), "/"), -1)
