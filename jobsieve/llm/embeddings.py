@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +43,33 @@ class CellParams:
     block: int = 1024
 
 
+def units(column: pa.Array) -> list[bytes | None]:
+    """The vectors as bytes of unit doubles, a matrix per length; None where a vector cannot link."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component becomes NaN
+    starts = np.cumsum(sizes) - sizes
+    out: list[bytes | None] = [None] * len(column)
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == dim)
+        x = flat[starts[at][:, None] + np.arange(dim)]
+        top = np.abs(x).max(axis=1)
+        good = np.isfinite(top) & (top > 0)
+        x = x[good] / top[good, None]  # keeps the squares finite and normal
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        for i, u in zip(at[good].tolist(), x):
+            out[i] = u.tobytes()
+    return out
+
+
 def unit(v: list | None) -> np.ndarray | None:
-    """The vector as unit doubles; None where it cannot link."""
-    if not v or any(x is None for x in v):
-        return None
-    x = np.asarray(v, dtype=np.float64)
-    if not np.isfinite(x).all():
-        return None
-    top = np.abs(x).max()
-    if top == 0:
-        return None
-    x = x / top  # keeps the squares finite and normal
-    return x / np.sqrt((x * x).sum())
+    """One vector as unit doubles; None where it cannot link."""
+    u = units(pa.array([v], pa.list_(pa.float64())))[0]
+    return None if u is None else np.frombuffer(u)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Unit vectors of one length, as rows."""
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1)
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -72,8 +88,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [unit(v) for v in batch.column("embedding").to_pylist()]
-            raw = [None if u is None else u.tobytes() for u in units]
+            raw = units(batch.column("embedding"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array([r and hashlib.md5(r).digest() for r in raw], pa.binary()),
                  pa.array([r and len(r) // 8 for r in raw], pa.int32()), pa.array(raw, pa.binary())], ["vec_id", "k", "dim", "u"])
@@ -97,53 +112,74 @@ def fit_centres(distinct: DataFrame, total: dict[int, int], p: CellParams) -> di
 
 
 def _entries(distinct: DataFrame, centres: dict[int, np.ndarray], p: CellParams) -> DataFrame:
-    """(dim, cell, home, k, n, u, visits): a row in the vector's own cell and one in every cell that it visits."""
-    reach = {d: p.slack * np.sqrt(2 - 2 * p.cosine) * np.linalg.norm(c[:, None] - c[None], axis=2) if len(c) <= 256 else None for d, c in centres.items()}
+    """(dim, cell, home, k, n, u, visits): a row in the vector's own cell, which lists the cells that it visits, and one
+    row in each of these."""
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # |c' - c| between centres; unit vectors, so from their products
+        reach = {d: p.slack * np.sqrt(2 - 2 * p.cosine) * np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for d, c in centres.items()}
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for dim, k, n, u in zip(*(batch.column(c).to_pylist() for c in ("dim", "k", "n", "u"))):
-                c = centres.get(dim)
-                home, visits = 0, []
-                if c is not None:
-                    sim = c @ np.frombuffer(u)
-                    home = int(sim.argmax())
-                    far = reach[dim][home] if reach[dim] is not None else p.slack * np.sqrt(2 - 2 * p.cosine) * np.linalg.norm(c - c[home], axis=1)
-                    visits = [v for v in np.flatnonzero(sim >= sim[home] - far).tolist() if v != home]
-                for cell in [home, *visits]:
-                    for col, v in zip(out, (dim, cell, home, k, n, u, visits)):
-                        col.append(v)
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["dim", "cell", "home", "k", "n", "u", "visits"])
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                dims = np.asarray(part.column("dim"))
+                for dim in np.unique(dims).tolist():
+                    rows = part.take(pa.array(np.flatnonzero(dims == dim)))
+                    n = rows.num_rows
+                    # a length that the sample does not hold is one cell
+                    sim = matrix(rows.column("u")) @ centres.get(dim, np.zeros((1, dim))).T
+                    home = sim.argmax(axis=1)
+                    near = sim >= (sim[np.arange(n), home][:, None] - reach.get(dim, np.zeros((1, 1)))[home])
+                    near[np.arange(n), home] = False
+                    guest, cell = np.nonzero(near)
+                    own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(near.sum(axis=1)))), pa.int32()), pa.array(cell, pa.int32()))
+                    none = pa.array([[]] * len(guest), types[-1])
+                    both = rows.take(pa.array(np.concatenate((np.arange(n), guest))))
+                    yield pa.RecordBatch.from_arrays(
+                        [both.column("dim"), pa.array(np.concatenate((home, cell)), pa.int32()), pa.array(np.concatenate((home, home[guest])), pa.int32()),
+                         *(both.column(c) for c in ("k", "n", "u")), pa.concat_arrays([own, none])], ["dim", "cell", "home", "k", "n", "u", "visits"])
 
     return distinct.select("dim", "k", "n", "u").mapInArrow(run, "dim int, cell int, home int, k binary, n bigint, u binary, visits array<int>")
 
 
-def block_links(a: list[tuple], b: list[tuple] | None, cell: int, p: CellParams) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, bytes]]]:
+def _visits(block: pa.Table, homes: np.ndarray) -> np.ndarray:
+    """Row x home: whether the row visits that cell."""
+    out = np.zeros((block.num_rows, len(homes)), dtype=bool)
+    lists = block.column("visits").combine_chunks()
+    row, cell = np.repeat(np.arange(block.num_rows), np.asarray(pc.list_value_length(lists))), np.asarray(lists.flatten())
+    if len(homes) and len(cell):
+        at = np.minimum(np.searchsorted(homes, cell), len(homes) - 1)
+        known = homes[at] == cell
+        out[row[known], at[known]] = True
+    return out
+
+
+def block_links(a: pa.Table, b: pa.Table | None, cell: int, p: CellParams) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, bytes]]]:
     """Link weights per vector and a spanning forest of the links between blocks a and b (b None: inside a).
 
-    A block is a list of (home, k, n, u, visits)."""
-    rows, cols = a, a if b is None else b
-    x, y = (np.stack([np.frombuffer(r[3]) for r in part]) for part in (rows, cols))
-    hx, hy = (np.array([r[0] for r in part]) for part in (rows, cols))
+    A block has the columns home, k, n, u, visits."""
+    sides = [a] if b is None else [a, b]
+    vectors = [matrix(t.column("u")) for t in sides]
+    homes = [np.asarray(t.column("home")) for t in sides]
+    x, y, hx, hy = vectors[0], vectors[-1], homes[0], homes[-1]
     link = x @ y.T >= p.cosine
     if b is None:
-        link &= np.tri(len(rows), dtype=bool, k=-1).T
+        link &= np.tri(len(x), dtype=bool, k=-1).T
     # at least one side lives here; if both cells see the pair, the one with the smaller number counts it
     link &= (hx[:, None] == cell) | (hy[None, :] == cell)
-    for i, j in zip(*np.nonzero(link & (hx[:, None] != hy[None, :]))):
-        member, guest = (rows[i], cols[j]) if hx[i] == cell else (cols[j], rows[i])
-        if guest[0] < cell and guest[0] in member[4]:
-            link[i, j] = False
-    nx, ny = (np.array([r[2] for r in part], dtype=np.int64) for part in (rows, cols))
-    keys = [r[1] for r in rows] + ([r[1] for r in cols] if b is not None else [])
+    lower = np.unique(np.concatenate(homes))
+    lower = lower[lower < cell]
+    if len(lower) and link.any():
+        for seen, guests, at in ((_visits(sides[0], lower), hy, link), (_visits(sides[-1], lower), hx, link.T)):
+            low = np.flatnonzero(guests < cell)
+            at[:, low] &= ~seen[:, np.searchsorted(lower, guests[low])]
+    numbers = [np.asarray(t.column("n")) for t in sides]
+    keys = [k for t in sides for k in t.column("k").to_pylist()]
     weight = np.zeros(len(keys), dtype=np.int64)
-    off = len(rows) if b is not None else 0
-    weight[:len(rows)] += link @ ny
-    weight[off:off + len(cols)] += nx @ link
-    # component labels by repeated minima along links
+    off = len(x) if b is not None else 0
     i, j = np.nonzero(link)
+    np.add.at(weight, i, numbers[-1][j]), np.add.at(weight, j + off, numbers[0][i])
+    # component labels by repeated minima along links
     label = np.arange(len(keys))
     while len(i):
         low = np.minimum(label[i], label[j + off])
@@ -158,28 +194,34 @@ def block_links(a: list[tuple], b: list[tuple] | None, cell: int, p: CellParams)
 
 
 def _block_results(entries: DataFrame, p: CellParams) -> DataFrame:
-    """Entries sorted by (dim, cell, i, j) -> (k, n_links) per block pair and (k, other) forest links."""
+    """Entries sorted by (dim, cell, i, j, x) -> (k, n_links) per block pair and (k, other) forest links."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, sides = None, {}
+        group: tuple | None = None
+        sides: dict[int, list[pa.RecordBatch]] = {}
 
         def flush() -> pa.RecordBatch:
             _, cell, i, j = group
-            if i != j and len(sides) < 2:
-                weights, edges = [], []
-            else:
-                weights, edges = block_links(sides[i], None if i == j else sides[j], cell, p)
+            weights, edges = [], []
+            if i == j or len(sides) == 2:
+                first, *second = (pa.Table.from_batches(sides[x]) for x in sorted(sides))
+                weights, edges = block_links(first, second[0] if second else None, cell, p)
             k = [w[0] for w in weights] + [e[0] for e in edges]
             return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array([w[1] for w in weights] + [None] * len(edges), pa.int64()),
                                                pa.array([None] * len(weights) + [e[1] for e in edges], pa.binary())], ["k", "n_links", "other"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("dim", "cell", "i", "j", "x", "home", "k", "n", "u", "visits")]
-            for dim, cell, i, j, x, *rest in zip(*cols):
-                if group != (dim, cell, i, j):
+            if not batch.num_rows:
+                continue
+            at = np.stack([np.asarray(batch.column(c)) for c in ("dim", "cell", "i", "j", "x")])
+            edges = np.concatenate(([0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1, [batch.num_rows]))
+            rows = batch.select(["home", "k", "n", "u", "visits"])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                *here, x = at[:, lo].tolist()
+                if group != tuple(here):
                     if sides:
                         yield flush()
-                    group, sides = (dim, cell, i, j), {}
-                sides.setdefault(x, []).append(rest)
+                    group, sides = tuple(here), {}
+                sides.setdefault(x, []).append(rows.slice(lo, hi - lo))
         if sides:
             yield flush()
 
@@ -204,7 +246,7 @@ def near_duplicate_vectors(vectors: DataFrame, p: CellParams = CellParams(), id_
     partners = F.sequence(F.lit(0), F.when(member, F.col("mb") + F.col("vb") - 1).otherwise(F.col("mb") - 1))
     paired = (placed.withColumn("y", F.explode(partners))
               .select("dim", "cell", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "home", "k", "n", "u", "visits")
-              .repartition(shuffle_width(spark), "dim", "cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j"))
+              .repartition(shuffle_width(spark), "dim", "cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j", "x"))
     found = materialise(_block_results(paired, p), "vector-links")
     counts = found.where("n_links is not null").groupBy("k").agg(F.sum("n_links").alias("links"))
     joined = connected_components(found.where("other is not null").select(F.col("k").alias("a"), F.col("other").alias("b")))

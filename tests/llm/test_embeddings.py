@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from jobsieve.llm import embeddings
@@ -60,6 +61,48 @@ def test_recall_on_real_vectors_with_planted_copies(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_rows_as_a_matrix():
+    rows = [[1.0, 2.0], None, [], [0.0, 0.0], [3.0], [None, 1.0], [math.nan, 1.0], [math.inf, 0.0], [1e-300, 1e-300], [1e300, 0.0]]
+    got = embeddings.units(pa.array(rows, pa.list_(pa.float64())).slice(1))
+    assert [g is not None for g in got] == [False, False, False, True, False, False, False, True, True]
+    assert np.allclose(np.frombuffer(got[7]), math.sqrt(0.5)) and np.frombuffer(got[8]).tolist() == [1.0, 0.0]
+
+
+def test_length_outside_the_sample(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(4)] + [(9, [0.0, 0.0, 2.0]), (8, [0.0, 0.0, 1.0]), (7, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = embeddings.near_duplicate_vectors(df, embeddings.CellParams(sample=1, slack=1.0)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_a_pair_seen_by_two_cells_counts_once():
+    rng = np.random.default_rng(4)
+    p = embeddings.CellParams(cosine=0.5)
+    x = rng.normal(size=(60, 3))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    home = rng.integers(0, 4, 60)
+    visits = [sorted({int(v) for v in rng.integers(0, 4, 3)} - {int(h)}) for h in home]
+    n = rng.integers(1, 4, 60)
+    want, got = np.zeros(60, dtype=int), np.zeros(60, dtype=int)
+    for i in range(60):
+        for j in range(60):
+            if i != j and x[i] @ x[j] >= 0.5 and (home[i] == home[j] or home[j] in visits[i] or home[i] in visits[j]):
+                want[i] += n[j]
+
+    def block(ids, member):
+        return pa.table({"home": home[ids], "k": [b"%02d" % i for i in ids], "n": n[ids], "u": [x[i].tobytes() for i in ids],
+                         "visits": pa.array([visits[i] if member else [] for i in ids], pa.list_(pa.int32()))})
+
+    for cell in range(4):
+        mine = np.flatnonzero(home == cell)
+        guests = np.array([i for i in range(60) if cell in visits[i]], dtype=int)
+        for other in (None, block(guests, False)):
+            if other is None or len(guests):
+                for k, w in embeddings.block_links(block(mine, True), other, cell, p)[0]:
+                    got[int(k)] += w
+    assert got.tolist() == want.tolist()
+
+
 def test_centres_are_unit_and_separate_clusters():
     rng = np.random.default_rng(0)
     c = np.eye(4)
