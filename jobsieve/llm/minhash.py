@@ -157,23 +157,14 @@ def _star_links(members: DataFrame, p: MinHashParams) -> DataFrame:
 def _group_links(keys: list[bytes], comps: list[bytes], minor: list[bool], sigs: np.ndarray, sets: list[np.ndarray],
                  need: list[int], p: MinHashParams) -> list[tuple[bytes, bytes]]:
     """Links that join components inside one block; every pair across components is tested or already joined."""
-    parent: dict[bytes, bytes] = {}
-
-    def find(x: bytes) -> bytes:
-        while (y := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(y, y)
-        return x
-
+    label = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)[1]  # numbers of the components
     out = []
-    root = np.array([find(c) for c in comps], dtype=object)
     for x in np.flatnonzero(minor):
-        mine = find(comps[x])
-        open_rows = np.flatnonzero(np.array([r != mine for r in (find(c) for c in root)], dtype=bool))
+        open_rows = np.flatnonzero(label != label[x])
         rows, matches = surviving(sigs[x], sigs[open_rows], need, p.batch)
         for y in open_rows[rows[np.argsort(-matches, kind="stable")]]:
-            a, b = find(comps[x]), find(comps[y])
-            if a != b and similar(sets[x], sets[y], p.percent):
-                parent[max(a, b)] = min(a, b)
+            if label[x] != label[y] and similar(sets[x], sets[y], p.percent):
+                label[label == label[y]] = label[x]
                 out.append((keys[x], keys[y]))
     return out
 
@@ -211,9 +202,9 @@ def near_duplicate_classes(docs: DataFrame, p: MinHashParams = MinHashParams(),
     spark = docs.sparkSession
     small_arrow_batches(spark)
     rows = materialise(sketch(docs, p, id_col, text_col), "sketch")
-    banded = rows.where("c is not null").select("c", F.explode("bands").alias("bk"))
+    banded = rows.where("c is not null").select("c", F.explode("bands").alias("bk")).distinct()  # copies of a set go here
     buckets = banded.groupBy("bk").agg(F.min("c").alias("hub"), F.max("c").alias("top")).where("hub < top").select("bk", "hub")
-    members = materialise(banded.join(buckets, "bk").distinct(), "bucket-members")
+    members = materialise(banded.join(buckets, "bk"), "bucket-members")
     some = members.select("c").distinct()
     classes = rows.join(some, "c", "left_semi").groupBy("c", "k").agg(F.min("digest").alias("digest"), F.min("sig").alias("sig"))
     texts = first_per_task(docs, text_col).join(classes, "digest").select("c", "k", "sig", "text")
