@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.llm import suffix_array
@@ -214,13 +214,14 @@ def repeated_ranges(docs: DataFrame, p: RepeatParams = RepeatParams(), text_col:
     """(digest, text) of the texts with candidate windows, and (digest, a, b): their repeated window starts a..b-1."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    keys = window_keys(docs, p, text_col)
-    one = Window.partitionBy("m")
-    found = keys.select("m", "ref", "run", F.min("ref").over(one).alias("r0"), F.max("ref").over(one).alias("r1"),
-                        F.min("run").over(one).alias("p0"), F.max("run").over(one).alias("p1"), F.count("*").over(one).alias("n"))
-    candidates = found.where("r0 <> r1 or p0 <> p1 or run % 2 = 1").select(
-        "ref", F.struct("m", "run", F.ceil(F.col("n") / p.hot).cast("int").alias("shards")).alias("r"))
-    by_text = candidates.groupBy("ref").agg(F.collect_list("r").alias("runs"))  # the runs of one text
+    keys = materialise(window_keys(docs, p, text_col), "window-keys")
+    # one row per key, combined in every task: a key is a candidate if its runs differ (an inner repeat differs from itself)
+    place = F.xxhash64("ref", "run")
+    shared = (keys.groupBy("m").agg(F.min(F.when(F.col("run") % 2 == 1, F.lit(-(1 << 63))).otherwise(place)).alias("low"),
+                                    F.max(place).alias("high"), F.count("*").alias("n"))
+              .where("low <> high").select("m", F.ceil(F.col("n") / p.hot).cast("int").alias("shards")))
+    candidates = keys.join(shared, "m").select("ref", F.struct("m", "run", "shards").alias("r"))
+    by_text = candidates.groupBy("ref").agg(F.collect_set("r").alias("runs"))  # the runs of one text, copies merged in every task
     joined = _texts(docs, p, text_col).join(by_text, "ref").sortWithinPartitions("ref", "digest")
     texts = materialise(_once(joined), "candidate-texts")
     salted = _segments(texts, p).withColumn("salt", F.pmod(F.xxhash64("digest", "start"), F.col("shards")).cast("int"))
