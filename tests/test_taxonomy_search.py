@@ -93,3 +93,21 @@ def test_rarest_gram_join_equals_row_local_path(spark):
     joined = sorted(tuple(r) for r in tx.match_concepts_join(df, "id", F.col("t"), tx.load_concepts(spark)).collect())
     local = sorted((r["id"], c["ordinal"]) for r in tx.match_concepts(df, F.col("t"), tx.concept_set(spark), "m").collect() for c in r["m"])
     assert joined == local and len(joined) > 100
+
+
+def test_cut_lineage_knows_the_size_of_what_it_wrote(spark):
+    from jobsieve.session import cut_lineage
+    few = spark.range(4).select(F.explode(F.sequence(F.lit(1), F.lit(50000))).alias("n"))
+    cut = cut_lineage(few.select(F.md5(F.col("n").cast("string")).alias("v"), F.lit(None).cast("string").alias("none")))
+    size = int(str(cut._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size > 1_000_000 and cut.count() == 200_000 and cut.columns == ["v", "none"]
+    assert cut_lineage(spark.range(2).select("id", F.lit(None).alias("void"))).count() == 2  # what Parquet cannot hold
+
+
+def test_texts_are_never_broadcast(spark):
+    df = spark.createDataFrame([(1, "a nurse and a bookkeeper"), (2, ""), (3, None), (4, "A Nurse and a bookkeeper")], "id int, t string")
+    c = spark.createDataFrame([(0, ["nurse", "x"]), (1, ["keeper nurse"]), (2, ["keep"]), (3, ["nurse bookkeeper", "and"]), (4, ["a"]), (5, ["b9"])], "ordinal int, all_terms array<string>")
+    m = tx.match_concepts_join(df, "id", F.col("t"), c)
+    assert {tuple(r) for r in m.collect()} == {(i, o) for i in (1, 4) for o in (0, 2, 3, 4)}
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [_k" in plan and "BroadcastHashJoin [_k" not in plan
