@@ -68,13 +68,13 @@ def refresh_layers(root: str, bronze: DataFrame, batch_id: str) -> dict[str, int
     spark = bronze.sparkSession
     paths = {n: f"{root.rstrip('/')}/{n}" for n in ("bronze", "silver", "gold")}
     staging(bronze).write.mode("overwrite").parquet(f"{paths['bronze']}/batch={batch_id}")
-    new = silver(spark.read.schema(staging(bronze).schema).parquet(f"{paths['bronze']}/batch={batch_id}")).withColumn("month", _month("posted_date"))
+    new = cut_lineage(silver(spark.read.schema(staging(bronze).schema).parquet(f"{paths['bronze']}/batch={batch_id}")).withColumn("month", _month("posted_date")))  # batch-sized; read by every step below
     key = ["title", "company", "location"]
     try:
         old = spark.read.schema(new.schema).parquet(paths["silver"])
     except AnalysisException:
         old = new.limit(0)
-    replaced = old.join(new.select(*key).distinct(), key, "left_semi")
+    replaced = cut_lineage(old.join(new.select(*key).distinct(), key, "left_semi"))
     months = cut_lineage(new.select("month").unionByName(replaced.select("month")).distinct())
     # rows of the touched months that stay, and the newest row per key of the rest
     touched = old.join(months.withColumnRenamed("month", "_m"), F.col("month").eqNullSafe(F.col("_m")), "left_semi")

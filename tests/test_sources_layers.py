@@ -101,3 +101,12 @@ def test_drift_of_equal_and_apart_samples(spark):
     sd = (sum((i - 24.5) ** 2 for i in range(50)) / 49) ** 0.5
     assert apart["v"] == (round(100 / sd, 6), True, 1.0) and apart["k"][0] == 0.832555
     assert sx.ks_statistic(a, b, "v").first().ks_statistic == 1.0
+
+
+def test_layers_store_what_a_batch_reads_again(spark, tmp_path, monkeypatch):
+    stored, cut = [], md.cut_lineage
+    monkeypatch.setattr(md, "cut_lineage", lambda df: (stored.append(set(df.columns)), cut(df))[1])
+    row = ("1", "x", "c", "l", "d", "s", 10.0, 20.0, ["a"], dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 2))
+    md.refresh_layers(str(tmp_path / "t"), spark.createDataFrame([row], ", ".join(f"{c} {t}" for c, t in zip(
+        md.BRONZE_COLUMNS, ["string"] * 6 + ["double"] * 2 + ["array<string>"] + ["timestamp_ntz"] * 2))), "1")
+    assert stored.count({*md.BRONZE_COLUMNS, "month"}) == 3  # the batch's silver rows, those they replace, and the months' new rows
