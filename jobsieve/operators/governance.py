@@ -1,6 +1,7 @@
 """Source governance (G1-G5): decide per source whether it may be ingested or served.
 
-The registry joins by key (Spark picks the strategy by its size); the legal-basis test is a row-local ``exists`` over a literal phrase list."""
+The library's own registry is broadcast (a few entries that would else deal all rows out over as many keys as there are
+sources); one that is given joins as Spark picks by its size. The legal-basis test is a row-local ``exists`` over a literal phrase list."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ ACTION_ATTACH_BASIS = "Attach source_legal_basis before ingestion or serving."
 
 
 def _registry(spark: SparkSession, registry: DataFrame | None) -> DataFrame:
-    return registry if registry is not None else load_registry(spark)
+    return registry if registry is not None else F.broadcast(load_registry(spark))  # a list in the code: Spark does not know its size
 
 
 def evaluate_sources(df: DataFrame, source: str = "source", legal_basis: str | None = "source_legal_basis",

@@ -49,3 +49,9 @@ def test_silver_cleaning(spark):
     r = va.clean_text(va.clean_salary(df)).first()
     assert r["title"] == "a" and r["salary_min"] is None and r["salary_max"] is None
     assert list(r["required_skills"]) == ["py", "sql"]
+
+
+def test_own_registry_is_broadcast(spark):
+    df = spark.createDataFrame([("legal_demo_csv",)], "source string")
+    plan = gv.evaluate_sources(df, legal_basis=None)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -76,3 +76,18 @@ def test_point_in_time_hot_key_matches_brute_force(spark):
         cands = [(ft, v) for fu, ft, v in feats if fu == u and ft <= t]
         best = max(cands)[1] if cands and max(cands)[0] >= t - dt.timedelta(days=30) else None
         assert got[rid] == best, rid
+
+
+def test_raw_text_is_kept_for_bad_rows_alone(spark, tmp_path, monkeypatch):
+    from jobsieve.sources.posting_table import PostingTable
+    from jobsieve.streaming import ingest as st
+    good = '{"id": "1", "title": "t", "company": "c", "location": "l", "description": "d", "source": "legal_demo_csv", "salary_min": 1.0, "salary_max": 2.0, "required_skills": ["a"], "posted_date": "2026-01-02T00:00:00"}'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(f"{good}\n{{broken\n")
+    stored, cut = [], st.cut_lineage
+    monkeypatch.setattr(st, "cut_lineage", lambda df: (stored.append(cut(df)), stored[-1])[1])
+    decoded = st.decode(spark.read.text(str(tmp_path / "in")))
+    st.ingest_batch(PostingTable(spark, str(tmp_path / "t")), decoded, "w", 0, dt.datetime(2026, 6, 1), str(tmp_path / "q"))
+    assert [r.value for r in stored[0].orderBy("value").collect()] == [None, "{broken"]
+    assert [(r.value, r.reasons[0]) for r in spark.read.parquet(str(tmp_path / "q")).collect()] == [("{broken", "corrupt")]
+    assert "value" not in st.dedupe_stream(st.decode(st.read_topic(spark, str(tmp_path / "in")))).columns
