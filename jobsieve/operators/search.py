@@ -180,7 +180,9 @@ def result_top_facets(results: DataFrame, n: int = 5) -> DataFrame:
     from pyspark.sql import Window
     cols = [("top_companies", "company"), ("top_locations", "location"), ("role_types", "role_type")]
     pairs = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(c).cast("string").alias("value")) for f, c in cols])
-    g = (results.select(F.inline(pairs)).where(F.col("value").isNotNull() & (F.col("value") != ""))
-         .groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count")))
+    # counted per combination first: an aggregate right above an ordered result lets Spark drop the sort
+    combined = results.groupBy(*[c for _, c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    g = (combined.select("_n", F.inline(pairs)).where(F.col("value").isNotNull() & (F.col("value") != ""))
+         .groupBy("facet", "value").agg(F.sum("_n").alias("count")))
     w = Window.partitionBy("facet").orderBy(F.col("count").desc(), F.col("value"))
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

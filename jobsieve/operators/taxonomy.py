@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,10 +102,17 @@ def _sql_array(items: list[str]) -> str:
     return f"CAST(array({', '.join(items)}) AS ARRAY<STRING>)" if items else "CAST(array() AS ARRAY<STRING>)"
 
 
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct ones of sorted ``keys``, and the values of each."""
+    if not len(keys):
+        return [], []
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first].tolist(), np.split(values, first[1:])
+
+
 class ConceptSet:
-    """A folded concept table embedded in the plan: the concept structs (literal array, file order)
-    plus a codegen-friendly match predicate, both generated once as SQL text (one parse in the JVM
-    instead of thousands of expression-building calls)."""
+    """A folded concept table embedded in the plan: the concept structs (literal array, file order) as SQL text (one parse in
+    the JVM instead of thousands of expression-building calls), and the matcher of a batch of folded texts."""
 
     def __init__(self, spark: SparkSession, concept_type: str | None = None, concepts: DataFrame | None = None,
                  rows: list | None = None):
@@ -119,7 +126,6 @@ class ConceptSet:
             d = by.setdefault(r["ordinal"], {"r": r, "terms": []})
             d["terms"].append((r["term_norm"], list(r["term_tokens"])))
         self.entries = [(o, by[o]["terms"]) for o in sorted(by)]
-        self.vocab = sorted({t for _, ts in self.entries for _, tok in ts for t in tok})
         structs = []
         for o, _ in self.entries:
             r = by[o]["r"]
@@ -130,50 +136,64 @@ class ConceptSet:
                     b=_sql_str(r["broader_group"]), a=_sql_array([_sql_str(x) for x in r["aliases"]]),
                     at=_sql_array([_sql_str(x) for x in r["all_terms"]])))
         self.array_sql = f"array({', '.join(structs)})"
-        self.array = F.expr(self.array_sql)
-        self._vocab_sql = _sql_array([_sql_str(v) for v in self.vocab])
-
-    def present_sql(self, tt: str) -> str:
-        return f"array_intersect({tt}, {self._vocab_sql})"
-
-    def present(self, tt: Column) -> Column:
-        """``tt ∩ vocabulary``: the few text tokens any term can use. Materialise it as its own
-        column (one hash pass per row) before the match predicate references it many times."""
-        return F.array_intersect(tt, F.expr(self._vocab_sql))
-
-    def positions_sql(self, nt: str, pr: str) -> str:
-        """0-based positions (file order) of the concepts matching folded text ``nt``: a term hits
-        when its folded form is a substring of ``nt`` or all its tokens are in ``pr`` (the text's
-        tokens intersected with the vocabulary)."""
-        conds = []
-        for i, (_, terms) in enumerate(self.entries):
-            alts = []
-            for norm, toks in terms:
-                if not norm:
-                    continue
-                e = f"contains({nt}, {_sql_str(norm)})"
-                if toks:
-                    e = "(" + e + " OR (" + " AND ".join(f"array_contains({pr}, {_sql_str(t)})" for t in toks) + "))"
-                alts.append(e)
-            if alts:
-                conds.append(f"CASE WHEN {' OR '.join(alts)} THEN {i} END")
-        hits = f"array_compact(array({', '.join(conds)}))" if conds else "CAST(array() AS ARRAY<INT>)"
-        return f"CASE WHEN {nt} <> '' THEN {hits} ELSE CAST(array() AS ARRAY<INT>) END"
-
-    def matches_sql(self, nt: str, pr: str) -> str:
-        return f"transform({self.positions_sql(nt, pr)}, i -> element_at({self.array_sql}, i + 1))"
-
-    def matches_named(self, nt: str, pr: str) -> Column:
-        """Matching concept structs (file order) for named columns / lambda fields ``nt``, ``pr``."""
-        return F.expr(self.matches_sql(nt, pr))
+
+    def finder(self) -> Callable[[pa.Array], list[list[int]]]:
+        """For a batch of folded texts the 0-based positions (file order) of the concepts that match each: a term hits when its
+        folded form is a substring of the text, or all its tokens are among the text's. One scan per distinct text finds those
+        that hold any term or the longest token of one; only these are tested term by term."""
+        entries = [(i, [(n, t) for n, t in terms if n]) for i, (_, terms) in enumerate(self.entries)]
+        hints = sorted({n for _, terms in entries for n, _ in terms} | {rf"\b{max(t, key=len)}\b" for _, terms in entries for _, t in terms if t})
+        any_hint = "|".join(hints)
+
+        def one(text: str) -> list[int]:
+            words = set(text.split(" "))
+            return [i for i, terms in entries if any(n in text or (t and words.issuperset(t)) for n, t in terms)]
+
+        def find(texts: pa.Array) -> list[list[int]]:
+            coded = texts.dictionary_encode()
+            if isinstance(coded, pa.ChunkedArray):
+                coded = coded.combine_chunks()
+            found: list[list[int]] = [[]] * len(coded.dictionary)
+            if hints:
+                for k in np.flatnonzero(pc.match_substring_regex(coded.dictionary, any_hint).to_numpy(zero_copy_only=False)):
+                    found[k] = one(coded.dictionary[int(k)].as_py())
+            return [[] if k is None else found[k] for k in coded.indices.to_pylist()]
+
+        return find
+
+    def positions(self, folded: Column) -> Column:
+        """Positions (file order) of the concepts that match a folded text."""
+        find = self.finder()
+
+        def at(texts: pa.Array) -> pa.Array:
+            return pa.array(find(texts), pa.list_(pa.int32()))
+
+        return F.arrow_udf(at, "array<int>")(folded)
+
+    def list_positions(self, folded: Column) -> Column:
+        """Distinct positions of the concepts that match any text of a list of folded texts, in first-seen order."""
+        find = self.finder()
+
+        def at(lists: pa.Array) -> pa.Array:
+            hits = find(lists.flatten())
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            out: list[list[int]] = [[]] * len(lists)
+            met = np.flatnonzero([bool(h) for h in hits])
+            for row, of in zip(*_runs(np.searchsorted(ends, met, side="right"), met)):
+                out[row] = list(dict.fromkeys(i for k in of for i in hits[k]))
+            return pa.array(out, pa.list_(pa.int32()))
+
+        return F.arrow_udf(at, "array<int>")(folded)
+
+    def concepts_at(self, positions: str) -> Column:
+        return F.expr(f"transform({positions}, i -> element_at({self.array_sql}, i + 1))")
 
 
 def match_concepts(df: DataFrame, text: Column, concepts: ConceptSet, out: str = "concepts") -> DataFrame:
     """All concepts (file order) whose folded label/alias is a substring of the folded text, or
     whose every >=3-char token is among the text's tokens; for short fields and a taxonomy of literal size."""
-    d = df.withColumn("_nt", fold(text))
-    d = d.withColumn("_pr", concepts.present(folded_tokens(F.col("_nt"))))
-    return d.withColumn(out, concepts.matches_named("_nt", "_pr")).drop("_nt", "_pr")
+    d = df.withColumn("_at", concepts.positions(fold(text)))
+    return d.withColumn(out, concepts.concepts_at("_at")).drop("_at")
 
 
 GRAM = 3
@@ -303,11 +323,8 @@ def enrich_postings(df: DataFrame, occupations: ConceptSet, skills_lit: ConceptS
     description), ``skill_concepts`` (J1b: per skill, matching skill concepts, deduped, first-seen order) and
     ``search_terms`` (labels, aliases, broader groups; sorted distinct)."""
     d = match_concepts(df, _job_text(), occupations, "_occ").withColumn("occupation", F.get(F.col("_occ"), 0)).drop("_occ")
-    sk = F.transform(F.coalesce(F.col(skills), F.array().cast("array<string>")),
-                     lambda s: F.struct(fold(s).alias("nt"), s.alias("s")))
-    d = d.withColumn("_sk", F.transform(sk, lambda x: x.withField("pr", skills_lit.present(folded_tokens(x["nt"])))))
-    d = d.withColumn("skill_concepts", F.expr(
-        f"array_distinct(flatten(transform(_sk, x -> {skills_lit.matches_sql('x.nt', 'x.pr')})))"))
+    folded = F.transform(F.coalesce(F.col(skills), F.array().cast("array<string>")), fold)
+    d = d.withColumn("_sk", skills_lit.list_positions(folded)).withColumn("skill_concepts", skills_lit.concepts_at("_sk"))
     occ_terms = F.when(F.col("occupation").isNotNull(),
                        F.concat(F.col("occupation.all_terms"), F.array(F.col("occupation.broader_group"))))
     sk_terms = F.flatten(F.transform("skill_concepts", lambda c: F.concat(c["all_terms"], F.array(c["broader_group"]))))

@@ -111,3 +111,44 @@ def test_texts_are_never_broadcast(spark):
     assert {tuple(r) for r in m.collect()} == {(i, o) for i in (1, 4) for o in (0, 2, 3, 4)}
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [_k" in plan and "BroadcastHashJoin [_k" not in plan
+
+
+def test_batch_matcher_equals_brute_force(spark):
+    import random
+    c = spark.createDataFrame([(0, "skill", ["customer service"]), (1, "skill", ["cad"]), (2, "skill", ["hr manager", "qa"]), (3, "skill", ["a"]), (4, "skill", ["iso 9001", "--"])],
+                              "ordinal int, concept_type string, all_terms array<string>").withColumns(
+        {"preferred_label": F.get("all_terms", F.lit(0)), "concept_uri": F.lit(None).cast("string"), "broader_group": F.lit("g"), "aliases": F.slice("all_terms", 2, 9)})
+    cs = tx.ConceptSet(spark, concepts=c)
+    rnd, words = random.Random(3), ["service", "customer", "cadet", "manager", "managers", "hr", "qa", "9001", "iso", "b", "a", "", "xx"]
+    lists = [None, [], [None], [""]] + [[" ".join(rnd.choices(words, k=rnd.randint(0, 5))) for _ in range(rnd.randint(0, 4))] for _ in range(300)]
+
+    def match(text):
+        nt = " ".join((text or "").split())
+        return [i for i, terms in cs.entries if any(n and (n in nt or (t and set(t) <= set(nt.split()))) for n, t in terms)]
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "id int, required_skills array<string>").withColumns({x: F.lit(None).cast("string") for x in ("title", "role_type", "occupation_group", "description")})
+    e = tx.enrich_postings(df, cs, cs)
+    got = {r["id"]: [x["ordinal"] for x in r["skill_concepts"]] for r in e.collect()}
+    assert got == {i: list(dict.fromkeys(o for t in v or [] for o in match(t))) for i, v in enumerate(lists)}
+    whole = df.select("id", F.array_join(F.coalesce("required_skills", F.array().cast("array<string>")), " ").alias("t"))
+    m = tx.match_concepts(whole, F.col("t"), cs, "m")
+    assert {r["id"]: [x["ordinal"] for x in r["m"]] for r in m.collect()} == {i: match(" ".join(t for t in v or [] if t)) for i, v in enumerate(lists)}
+    # a row is not tested term by term in the plan
+    assert "contains(" not in e._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_facets_and_stored_results_are_not_sorted(make_postings, monkeypatch):
+    from jobsieve.operators import search as se
+    from jobsieve.plans import ranking_plans as rp
+    df = make_postings([dict(id=str(i), title=f"small ring {i % 7}", company=f"c{i % 6}", location="Berlin", role_type=None if i % 2 else "r", salary_min=1.0 + i, salary_max=9.0 + i) for i in range(40)])
+    df = df.withColumns({"salary_period": F.lit("yearly"), "company_career_url": F.lit(None).cast("string"), "last_seen_at": F.lit(None).cast("timestamp_ntz")})
+    facets = se.result_top_facets(se.order_results(df.withColumns({"relevance_score": F.lit(1.0), "salary_midpoint": F.lit(1.0)})))
+    assert "rangepartitioning" not in facets._jdf.queryExecution().executedPlan().toString()
+    got = {(r.facet, r.value): (r["count"], r["rank"]) for r in facets.collect()}
+    assert got[("role_types", "r")] == (20, 1) and got[("top_companies", "c0")] == (7, 1) and got[("top_locations", "Berlin")] == (40, 1) and ("top_companies", "c5") not in got
+    plans = []
+    keep = rp.cut_lineage
+    monkeypatch.setattr(rp, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d))
+    monkeypatch.setattr(rp, "postings", lambda *_: df)
+    rows = rp.w6_sort_modes(df.sparkSession, "").collect()
+    assert "rangepartitioning" not in plans[0] and len(rows) == 80 and {r.place for r in rows} == {*range(11, 21)}
