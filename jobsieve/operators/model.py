@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,8 +94,26 @@ def grams(text: str | Column, longest: int = 3) -> Column:
 
 
 def term_counts(rows: DataFrame, row: str = "_row", text: str = "combined_text") -> DataFrame:
-    """(row, f, tf): how often each term, as its 64-bit hash, stands in each row."""
-    return rows.select(row, F.explode(F.transform(grams(text), lambda g: F.xxhash64(g))).alias("f")).groupBy(row, "f").agg(F.count(F.lit(1)).alias("tf"))
+    """(row, f, tf): how often each term, as its 64-bit hash, stands in each row. ``row`` names every row once, so terms are
+    counted where the row lies and nothing is shuffled."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:  # whole rows, of about a million terms together
+                n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")) - at)
+                part = b.slice(at, n)
+                i = np.repeat(np.arange(n), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
+                f = part.column(1).flatten().to_numpy()
+                order = np.lexsort((f, i))
+                i, f = i[order], f[order]
+                first = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (f[1:] != f[:-1])))) if len(f) else np.zeros(0, np.int64)
+                tf = np.diff(np.concatenate((first, [len(f)]))) if len(f) else first
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i[first])), pa.array(f[first]), pa.array(tf.astype(np.int64))], [row, "f", "tf"])
+                at += n
+
+    hashes = rows.select(row, F.transform(grams(text), lambda g: F.xxhash64(g)).alias("f"))
+    return hashes.mapInArrow(count, f"`{row}` {rows.schema[row].dataType.simpleString()}, f long, tf long")
 
 
 def term_index(counts: DataFrame, n_rows: int) -> DataFrame:
@@ -104,9 +123,9 @@ def term_index(counts: DataFrame, n_rows: int) -> DataFrame:
 
 def tfidf(counts: DataFrame, index: DataFrame, row: str = "_row") -> DataFrame:
     """(row, f, v, norm): tf * idf of the terms that the index holds, and the row's Euclidean norm over them."""
-    v = counts.join(index.select("f", "idf"), "f").select(row, "f", (F.col("tf") * F.col("idf")).alias("v"))
+    v = counts.hint("merge").join(index.select("f", "idf"), "f").select(row, "f", (F.col("tf") * F.col("idf")).alias("v"))
     norms = v.groupBy(row).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return v.join(norms, row)
+    return v.hint("merge").join(norms, row)
 
 
 # ---- M3, M4: categories and numbers -----------------------------------------------------------------------------
@@ -298,7 +317,8 @@ def predict(model: RoleModel, df: DataFrame, label: str = "role_type", out: str
     f = cut_lineage(feature_frame(df, None).withColumn("_row", F.monotonically_increasing_id()))
     classes = range(len(model.labels))
     terms = term_counts(f).unionByName(_category_features(f).withColumn("tf", F.lit(1).cast("long")))
-    met = terms.join(model.weights, "f").withColumn("v", F.col("tf") * F.col("idf"))
+    # a row has far more terms than its size lets Spark guess: they are never broadcast
+    met = terms.hint("merge").join(model.weights, "f").withColumn("v", F.col("tf") * F.col("idf"))
     sums = met.groupBy("_row").agg(
         F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"),
         F.array(*[F.sum(F.coalesce("v", F.lit(0.0)) * F.col("w")[c]) for c in classes]).alias("_text"),

@@ -95,7 +95,7 @@ _idf AS (SELECT t, count(*) AS df, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM
 
 def _counted(spark, sf_dir):
     f = cut_lineage(ml.feature_frame(_frame(spark, sf_dir)).withColumn("_row", F.monotonically_increasing_id()))
-    counts = cut_lineage(ml.term_counts(f))
+    counts = ml.term_counts(f)  # counted anew by each reader, which costs less than storing as many rows as there are terms
     return f, counts, ml.term_index(counts, f.count())
 
 
@@ -105,7 +105,7 @@ SELECT _w.doc_id, CAST(count(t) AS BIGINT) AS terms, CAST(coalesce(sum(tf), 0) A
 FROM _w LEFT JOIN _tf USING (doc_id) LEFT JOIN _idf USING (t) GROUP BY _w.doc_id""")
 def m2_term_frequencies(spark, sf_dir):
     f, counts, index = _counted(spark, sf_dir)
-    per = counts.join(index, "f").groupBy("_row").agg(
+    per = counts.hint("merge").join(index, "f").groupBy("_row").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("occurrences"), F.round(F.sum("idf"), 4).alias("idf_sum"), F.round(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)), 4).alias("norm"))
     return f.select("doc_id", "_row").join(per, "_row", "left").drop("_row").fillna(0)
 

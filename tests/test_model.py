@@ -95,3 +95,28 @@ def test_grams_and_counts(spark):
     assert got[1] == ["die", "bahn", "fährt", "die", "bahn", "die bahn", "bahn fährt", "fährt die", "die bahn", "die bahn fährt", "bahn fährt die", "fährt die bahn"]
     assert got[2] == [] and got[4] == []
     assert {r.tf for r in ml.term_counts(df).collect()} == {1, 2}
+
+
+def test_terms_are_counted_in_place(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(1 + i % 9))) for i in range(40)] + [(40, None), (41, "")]
+    df = spark.createDataFrame(rows, "_row bigint, combined_text string")
+    counts = ml.term_counts(df)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    want = df.select("_row", F.explode(ml.grams("combined_text")).alias("g")).groupBy("_row", F.xxhash64("g").alias("f")).agg(F.count("g").alias("tf"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want.collect()))
+    index = ml.term_index(counts, len(rows))
+    assert {(r.f, r.df) for r in index.collect()} == {(r.f, r.df) for r in want.groupBy("f").agg(F.count("*").alias("df")).collect()}
+
+
+def test_terms_are_never_broadcast(spark, monkeypatch):
+    import re
+
+    from jobsieve.plans import model_plans as mp
+    train = frame(spark, jobs(60))
+    plans = [ml.predict(ml.train(train), train)]
+    monkeypatch.setattr(mp, "_frame", lambda *_: train.withColumn("doc_id", F.monotonically_increasing_id()))
+    plans.append(mp.m2_term_frequencies(spark, ""))
+    for d in plans:
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[f#", plan) and not re.search(r"BroadcastHashJoin \[f#", plan)
+    assert plans[1].count() == 60
