@@ -270,35 +270,36 @@ def _alternate_layout(raw: DataFrame) -> DataFrame:
     return out.withColumn("required_skills", F.array_distinct(extract_skills(F.col("description"))))
 
 
-def write_csv(df: DataFrame, path: str, skills: str = "required_skills") -> None:
+def write_csv(df: DataFrame, path: str, skills: str = "required_skills", compression: str = "none") -> None:
     """CSV with the skill list joined by ``;``."""
     out = df.withColumn(skills, F.array_join(skills, ";")) if skills in df.columns else df
     for f in out.schema.fields:
         if f.dataType.typeName() in ("array", "map", "struct"):
             out = out.withColumn(f.name, F.to_json(f.name))
-    writer = out.write.mode("overwrite").option("header", True).option("escape", '"')
+    writer = out.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)  # values as they are
 
 
 def save_valid(df: DataFrame, path: str, as_of: dt.datetime, kind: str = "csv", strict: bool = False) -> DataFrame:
     """A sink that validates. Good rows go to ``path`` (CSV, or JSON lines), rows that break a rule to
     ``path`` + ``_rejected`` as JSON lines with their ``failures``; returns (rule, rows) with the rule ``valid`` for the rows
-    written. ``strict`` raises instead when any row breaks a rule, and writes nothing."""
+    written. ``strict`` raises instead when any row breaks a rule, and writes nothing. Files are gzip, which the readers take as
+    they are: the text is several times the size of the rows."""
     from jobsieve.operators import validation as va
     from jobsieve.session import cut_lineage
     if strict:
         va.validate_strict(df, as_of)
     checked = cut_lineage(va.with_failures(df, as_of))  # judged once for both sinks and the counts
     good = checked.where(F.size("failures") == 0).drop("failures")
-    write_csv(good, path) if kind == "csv" else write_json(good, path)
-    checked.where(F.size("failures") > 0).write.mode("overwrite").json(f"{path}_rejected")
+    write_csv(good, path, compression="gzip") if kind == "csv" else write_json(good, path, compression="gzip")
+    checked.where(F.size("failures") > 0).write.mode("overwrite").json(f"{path}_rejected", compression="gzip")
     rules = F.when(F.size("failures") == 0, F.array(F.lit("valid"))).otherwise(F.col("failures"))
     return checked.select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, compression: str = "none") -> None:
     """JSON lines."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def to_messages(df: DataFrame) -> DataFrame:

@@ -49,6 +49,19 @@ def test_validating_sinks(spark, make_postings, tmp_path):
     assert not (tmp_path / "s").exists()
 
 
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_sinks_write_less_than_their_text(spark, make_postings, tmp_path, kind):
+    rows = [dict(id=str(i), title="t", company="c", location="l", description=f"Role in a place requiring old widget, new rod, {i}", salary_min=-1.0 if i % 2 else None) for i in range(400)]
+    counts = {r.rule: r.rows for r in fl.save_valid(make_postings(rows), str(tmp_path / "s"), NOW, kind).collect()}
+    assert counts == {"valid": 200, "greater_than_0:salary_min": 200}
+    for part in ("s", "s_rejected"):
+        files = [f for f in (tmp_path / part).iterdir() if f.name.startswith("part-")]
+        assert files and all(f.suffix == ".gz" for f in files) and sum(f.stat().st_size for f in files) < 200 * 60
+    good = fl.read_csv_text(spark, str(tmp_path / "s")) if kind == "csv" else spark.read.json(str(tmp_path / "s"))
+    assert {r.id for r in good.collect()} == {str(i) for i in range(0, 400, 2)} and good.first().title == "t"
+    assert {r.id for r in spark.read.json(str(tmp_path / "s_rejected")).collect()} == {str(i) for i in range(1, 400, 2)}
+
+
 def test_boolean_coercion(spark):
     df = spark.createDataFrame([("1", "perhaps"), ("2", "true"), ("3", None), ("4", "0")], "id string, salary_is_estimated string")
     bad = {r.id for r in va.with_failures(df, NOW).where(F.array_contains("failures", "coerce_bool:salary_is_estimated")).collect()}
