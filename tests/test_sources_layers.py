@@ -123,3 +123,19 @@ def test_layers_store_what_a_batch_reads_again(spark, tmp_path, monkeypatch):
     md.refresh_layers(str(tmp_path / "t"), spark.createDataFrame([row], ", ".join(f"{c} {t}" for c, t in zip(
         md.BRONZE_COLUMNS, ["string"] * 6 + ["double"] * 2 + ["array<string>"] + ["timestamp_ntz"] * 2))), "1")
     assert stored.count({*md.BRONZE_COLUMNS, "month"}) == 3  # the batch's silver rows, those they replace, and the months' new rows
+
+
+def test_order_lines_are_listed_after_their_shuffle(spark, tmp_path):
+    from jobsieve.sources.tables import order_lines
+    line = [(k % 5, n, (k + (n or 0)) % 3, (n or 0) % 2) for k in range(20) for n in (2, 1, None)] + [(None, 1, 1, 1)]
+    spark.createDataFrame(line, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = [(0, "a", "x"), (1, "b", None), (1, "c", "y"), (2, None, "z")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = order_lines(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning(l_orderkey"):]  # no list is begun where lines are read
+    key = lambda r: tuple((v is not None, v) for v in r)
+    want = {}
+    for o, n, p, s in line:
+        want.setdefault(o, []).extend((n, p, s, name, kind) for q, name, kind in parts if q == p)
+    assert {r.l_orderkey: [tuple(x) for x in r.lines] for r in got.collect()} == {o: sorted(v, key=key) for o, v in want.items()}
