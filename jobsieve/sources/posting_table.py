@@ -102,10 +102,12 @@ class PostingTable:
     def _merged(self, m: Manifest, buckets: set[str] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(m.schema))
         base = self._read(m.segments, "base", schema, buckets).drop("_seq")
-        if not any(s.kind == "delta" and (buckets is None or buckets & s.rows.keys()) for s in m.segments):
+        changed = [s for s in m.segments if s.kind == "delta" and (buckets is None or buckets & s.rows.keys())]
+        if not changed:
             return base
         delta = self._read(m.segments, "delta", schema, buckets)
-        newest = delta.groupBy("id").agg(F.max_by(F.struct(*schema.names), "_seq").alias("r")).select("r.*")
+        # one commit holds an id once: only rows of several commits have to meet
+        newest = delta.drop("_seq") if len(changed) == 1 else delta.groupBy("id").agg(F.max_by(F.struct(*schema.names), "_seq").alias("r")).select("r.*")
         return base.join(delta.select("id").distinct(), "id", "left_anti").select(*schema.names).unionByName(newest)
 
     def current(self, version: int | None = None) -> DataFrame | None:

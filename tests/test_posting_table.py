@@ -136,3 +136,13 @@ def test_stream_killed_between_table_and_checkpoint(spark, tmp_path, monkeypatch
     assert set(titles(table)) == {"1", "3", "5"} and [r.transaction for r in table.history().orderBy("version").collect()] == [0, 1, 2]
     bad = sorted(tuple(r.reasons) for r in spark.read.parquet(f"{root}/_quarantine").collect())
     assert bad == [("corrupt",), ("salary_bounds_are_valid",), ("source",)]
+
+
+def test_rows_of_one_later_commit_are_not_regrouped(spark, make_postings, tmp_path):
+    table = PostingTable(spark, str(tmp_path / "t"), buckets=2)
+    load(table, rows(make_postings, range(6)), "b1")
+    load(table, rows(make_postings, range(4, 9), "u"), "b2")
+    assert "max_by" not in table.current()._jdf.queryExecution().executedPlan().toString()
+    assert titles(table) == {str(i): f"{'t' if i < 4 else 'u'}{i}" for i in range(9)}
+    load(table, rows(make_postings, [0, 5], "v"), "b3")
+    assert titles(table) == {str(i): f"{'v' if i in (0, 5) else 't' if i < 4 else 'u'}{i}" for i in range(9)}
