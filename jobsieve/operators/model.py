@@ -5,16 +5,16 @@ Feature frame (M1) -> TF-IDF over 1-3-grams (M2) + one-hot categoricals (M3) + m
 pairs, so it also runs on any table of predictions.
 
 The model is a table, not a driver object: one row per term or category (its 64-bit hash, idf, and a weight per class). A
-term index of any size is built by grouped counts, and rows meet it by an equi-join. Only the logistic fit itself is
-bounded: it sees at most ``max_rows`` labelled rows (by hash order); document frequencies, medians, deviations and class
-weights cover all rows. With an L2 penalty the best weights are a combination of the fitted rows, so the fit needs
-nothing of the terms but the rows' inner products: tasks sum them over hash partitions of the terms, the
-``max_rows`` x ``max_rows`` matrix is solved, and the weights of all terms follow by one grouped sum."""
+term index of any size is built by grouped counts, and rows meet it by an equi-join. The fit sees every labelled row. With an
+L2 penalty the best weights are a combination of the rows, so the solver needs nothing of the terms but products of the rows'
+inner-product matrix with a vector, and that matrix is never built: the terms' columns are stored packed, in ranges of the
+hash, a round is one pass of tasks over them, and the weights of all terms follow by a last pass. The driver holds some 600
+bytes per labelled row and class."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from jobsieve.functions.salary import midpoint_any
 from jobsieve.functions.text import split_list
 from jobsieve.operators.salary import floor_quantiles
-from jobsieve.session import cut_lineage
+from jobsieve.session import cut_lineage, scratch_path
 
 CATEGORICAL = ["source", "remote_status", "location"]
 NUMERIC = ["salary_avg", "skill_count", "salary_was_missing"]
 GROWTH_PER_QUARTER = 0.08  # fixed value that must equal the reference's default growth rate
 #: word characters of a term, as in the Unicode class \w; a term has two or more
 WORD = r"[\p{L}\p{N}_]{2,}"
-#: labelled rows the logistic fit sees at most (its matrix has the square of that); more are chosen by hash order
+#: a recorded parameter of every run (M11); the fit sees all rows unless a caller of ``train`` bounds it
 MAX_ROWS = 4096
 
 
@@ -93,27 +93,37 @@ def grams(text: str | Column, longest: int = 3) -> Column:
     return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, *[runs(w, n) for n in range(2, longest + 1)])), 1)
 
 
+def _counted_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of batches whose second column lists hashes: slices of whole rows with about a million hashes together, and (place in the
+    slice, hash, how often) of the distinct hashes of each row."""
+    for b in batches:
+        ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")) - at)
+            part = b.slice(at, n)
+            i = np.repeat(np.arange(n), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
+            f = part.column(1).flatten().to_numpy()
+            order = np.lexsort((f, i))
+            i, f = i[order], f[order]
+            first = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (f[1:] != f[:-1])))) if len(f) else np.zeros(0, np.int64)
+            tf = np.diff(np.concatenate((first, [len(f)]))) if len(f) else first
+            yield part, i[first], f[first], tf.astype(np.int64)
+            at += n
+
+
+def _hashes(text: str) -> Column:
+    return F.transform(grams(text), lambda g: F.xxhash64(g))
+
+
 def term_counts(rows: DataFrame, row: str = "_row", text: str = "combined_text") -> DataFrame:
     """(row, f, tf): how often each term, as its 64-bit hash, stands in each row. ``row`` names every row once, so terms are
     counted where the row lies and nothing is shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ends = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < b.num_rows:  # whole rows, of about a million terms together
-                n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right")) - at)
-                part = b.slice(at, n)
-                i = np.repeat(np.arange(n), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
-                f = part.column(1).flatten().to_numpy()
-                order = np.lexsort((f, i))
-                i, f = i[order], f[order]
-                first = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (f[1:] != f[:-1])))) if len(f) else np.zeros(0, np.int64)
-                tf = np.diff(np.concatenate((first, [len(f)]))) if len(f) else first
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i[first])), pa.array(f[first]), pa.array(tf.astype(np.int64))], [row, "f", "tf"])
-                at += n
-
-    hashes = rows.select(row, F.transform(grams(text), lambda g: F.xxhash64(g)).alias("f"))
-    return hashes.mapInArrow(count, f"`{row}` {rows.schema[row].dataType.simpleString()}, f long, tf long")
+        for part, i, f, tf in _counted_batches(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(f), pa.array(tf)], [row, "f", "tf"])
+
+    return rows.select(row, _hashes(text).alias("f")).mapInArrow(count, f"`{row}` {rows.schema[row].dataType.simpleString()}, f long, tf long")
 
 
 def term_index(counts: DataFrame, n_rows: int) -> DataFrame:
@@ -121,13 +131,6 @@ def term_index(counts: DataFrame, n_rows: int) -> DataFrame:
     return counts.groupBy("f").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((1 + F.lit(n_rows)) / (1 + F.col("df"))) + 1)
 
 
-def tfidf(counts: DataFrame, index: DataFrame, row: str = "_row") -> DataFrame:
-    """(row, f, v, norm): tf * idf of the terms that the index holds, and the row's Euclidean norm over them."""
-    v = counts.hint("merge").join(index.select("f", "idf"), "f").select(row, "f", (F.col("tf") * F.col("idf")).alias("v"))
-    norms = v.groupBy(row).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return v.hint("merge").join(norms, row)
-
-
 # ---- M3, M4: categories and numbers -----------------------------------------------------------------------------
 
 def category_index(df: DataFrame) -> DataFrame:
@@ -136,8 +139,12 @@ def category_index(df: DataFrame) -> DataFrame:
     return df.select(F.explode(pairs).alias("c")).groupBy("c.column", "c.value").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _category_hashes() -> Column:
+    return F.array(*[F.xxhash64(F.lit(f"{c}="), F.col(c)) for c in CATEGORICAL])
+
+
 def _category_features(rows: DataFrame, row: str = "_row") -> DataFrame:
-    return rows.select(row, F.explode(F.array(*[F.xxhash64(F.lit(f"{c}="), F.col(c)) for c in CATEGORICAL])).alias("f"))
+    return rows.select(row, F.explode(_category_hashes()).alias("f"))
 
 
 def numeric_profile(df: DataFrame) -> DataFrame:
@@ -167,113 +174,248 @@ class RoleModel:
         return (F.coalesce(F.col(c).cast("double"), F.lit(median)) - mean) / (deviation or 1.0)
 
 
-def _inner_products(entries: DataFrame, n: int, tasks: int) -> np.ndarray:
-    """X X' of the sparse rows (i, f, x), summed over hash partitions of f; ``n`` x ``n`` comes back."""
-    block = max(1, (4 << 20) // (8 * max(n, 1)))
-
-    def add(k: np.ndarray, i: np.ndarray, f: np.ndarray, x: np.ndarray) -> None:
-        first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-        size = np.diff(np.concatenate((first, [len(f)])))
-        flat = k.reshape(-1)
-        for s in np.unique(size):
-            at = first[size == s][:, None] + np.arange(s)
-            if s <= 256:
-                for part in np.array_split(at, max(1, at.size * s >> 20)):
-                    rows, v = i[part], x[part]
-                    np.add.at(flat, (rows[:, :, None] * n + rows[:, None, :]).ravel(), (v[:, :, None] * v[:, None, :]).ravel())
-            else:
-                for part in np.array_split(at, -(-len(at) // 64)):
-                    dense = np.zeros((n, len(part)))
-                    dense[i[part], np.arange(len(part))[:, None]] = x[part]
-                    k += dense @ dense.T
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, held, size, any_ = np.zeros((n, n)), [], 0, False
-
-        def work(rows: list[tuple[np.ndarray, ...]], keep_last: bool) -> list:
-            i, f, x = (np.concatenate(c) for c in zip(*rows))
-            cut = int(np.searchsorted(f, f[-1])) if keep_last else len(f)  # a term's rows stay together
-            if cut:
-                add(k, i[:cut], f[:cut], x[:cut])
-            return [(i[cut:], f[cut:], x[cut:])] if cut < len(f) else []
-
-        for b in batches:
-            held.append(tuple(b.column(c).to_numpy() for c in ("i", "f", "x")))
-            size += b.num_rows
-            any_ = any_ or b.num_rows > 0
-            if size > 1 << 20:
-                held = work(held, True)
-                size = 0
-        if held and any_:
-            work(held, False)
-        for a in range(0, n if any_ else 0, block):
-            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([k[a:a + block].tobytes()], pa.binary())], ["a", "k"])
-
-    def total(t: pa.Table) -> pa.Table:
-        k = sum(np.frombuffer(v, np.float64) for v in t["k"].to_pylist())
-        return pa.table({"a": pa.array([t["a"][0].as_py()], pa.int32()), "k": pa.array([k.tobytes()], pa.binary())})
-
-    parts = entries.repartition(tasks, "f").sortWithinPartitions("f").mapInArrow(multiply, "a int, k binary")
-    out = np.zeros((n, n))
-    for r in parts.groupBy("a").applyInArrow(total, "a int, k binary").toLocalIterator():
-        rows = np.frombuffer(r.k, np.float64).reshape(-1, n)
-        out[r.a:r.a + len(rows)] = rows
-    return out
-
-
-def _softmax(m: np.ndarray) -> np.ndarray:
-    e = np.exp(m - m.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def logistic_dual(k: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) of the L2-penalised (C = 1) weighted multinomial fit over inner products ``k``: scores are ``k @ a + b``.
-
-    Minimised over the coordinates of a Cholesky factor by limited-memory BFGS; at the optimum a is the negative
-    weighted residual, which also holds for row sets whose factor needed a ridge."""
-    n = len(y)
-    factor = np.linalg.cholesky(k + np.eye(n) * (1e-10 * max(np.trace(k) / max(n, 1), 1e-12) + 1e-12))
-    target = np.eye(classes)[y]
-
-    def evaluate(z: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        v, b = z[:-classes].reshape(n, classes), z[-classes:]
-        p = _softmax(factor @ v + b)
-        residual = weight[:, None] * (p - target)
-        loss = 0.5 * float((v * v).sum()) - float((weight * np.log(np.maximum(p[np.arange(n), y], 1e-300))).sum())
-        return loss, np.concatenate(((v + factor.T @ residual).ravel(), residual.sum(axis=0))), residual
-
-    z = np.zeros(n * classes + classes)
-    loss, grad, residual = evaluate(z)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(rounds):
-        if np.abs(grad).max() < 1e-6:
-            break
-        d, back = grad.copy(), []
-        for s, g in reversed(steps):
-            back.append(float(s @ d) / float(s @ g))
-            d -= back[-1] * g
-        if steps:
-            d *= float(steps[-1][0] @ steps[-1][1]) / float(steps[-1][1] @ steps[-1][1])
-        for (s, g), al in zip(steps, reversed(back)):
-            d += (al - float(g @ d) / float(s @ g)) * s
-        slope, t = -float(grad @ d), 1.0
-        while True:
-            new = z - t * d
-            new_loss, new_grad, residual = evaluate(new)
-            if new_loss <= loss + 1e-4 * t * slope or t < 1e-12:
+#: characters of text per range of the packed columns; a text has at most as many terms as characters
+RANGE_CHARS = 1 << 22
+_PACKED = "category boolean, f binary, size binary, i binary, tf binary, own_f binary, own_i binary, own_tf binary"
+
+
+class _Columns:
+    """The rows' terms and categories by column, packed in ranges of the hash: per chunk the hashes, how many rows hold each, and
+    these rows' numbers and counts. Terms that stand in a single row are kept apart (``own_``): between rows their inner
+    products are zero, so a round needs nothing of them but one number per row."""
+
+    def __init__(self, rows: DataFrame, starts: dict[int, int], n: int):
+        """``starts``: the number of the first row of each partition of ``_row``."""
+        self.spark, self.n = rows.sparkSession, n
+        self.tasks = max(1, self.spark.sparkContext.defaultParallelism)
+        chars = rows.agg(F.sum(F.length("combined_text"))).first()[0] or 0
+        ranges = max(1, -(-chars // RANGE_CHARS))
+        firsts = np.zeros(max(starts, default=0) + 1, np.int64)
+        firsts[list(starts)] = list(starts.values())
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, i, f, tf in _counted_batches(batches):
+                row = part.column(0).to_numpy()
+                number = (firsts[row >> 33] + (row & ((1 << 33) - 1))).astype(np.int32)
+                kinds = part.column(2).flatten().to_numpy()
+                i = np.concatenate((number[i], np.repeat(number, len(CATEGORICAL))))
+                f, tf = np.concatenate((f, kinds)).view(np.uint64), np.concatenate((tf, np.zeros(len(kinds), np.int64))).astype(np.int32)
+                order = np.argsort(f)
+                i, f, tf = i[order], f[order], tf[order]
+                at = ((f >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)  # 0 .. ranges - 1, in the order of f
+                cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True])))
+                spans = list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(at[cut[:-1]]), *[pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (f, i, tf)]], ["at", "f", "i", "tf"])
+
+        def pack(t: pa.Table) -> pa.Table:
+            f, i, tf = (np.concatenate([np.frombuffer(v, kind) for v in t[c].to_pylist()]) for c, kind in (("f", np.int64), ("i", np.int32), ("tf", np.int32)))
+            order = np.argsort(f, kind="stable")
+            f, i, tf = f[order], i[order], tf[order]
+            first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+            size = np.diff(np.concatenate((first, [len(f)])))
+            of_category, single = tf[first] == 0, size == 1
+            own = first[single & ~of_category]
+            out = [(False, b"", b"", b"", b"", *(x[o].tobytes() for x in (f, i, tf))) for o in np.array_split(own, max(1, len(own) >> 16))]
+            once = np.maximum.reduceat(tf, first) == 1  # terms that stand once in each of their rows need no counts
+            for kind, counted, of in ((False, False, once & ~single), (False, True, ~once & ~single & ~of_category), (True, False, of_category)):
+                runs = np.flatnonzero(of)
+                for some in np.split(runs, np.flatnonzero(np.diff(np.cumsum(size[runs]) >> 16)) + 1) if len(runs) else []:  # about 65 thousand entries
+                    held = np.repeat(first[some] - np.concatenate(([0], np.cumsum(size[some])[:-1])), size[some]) + np.arange(size[some].sum())
+                    out.append((kind, f[first[some]].tobytes(), size[some].astype(np.int32).tobytes(), i[held].tobytes(), tf[held].tobytes() if counted else b"", b"", b"", b""))
+            return pa.table([pa.array(c, pa.bool_() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out))], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+        blocks = rows.select("_row", _hashes("combined_text").alias("f"), _category_hashes().alias("c")).mapInArrow(deal, "at long, f binary, i binary, tf binary")
+        path = scratch_path(self.spark, "columns")
+        # a reader holds a row group of such long values whole
+        blocks.groupBy("at").applyInArrow(pack, _PACKED).write.option("parquet.block.row.count.limit", 16).parquet(path)
+        self.packed = self.spark.read.schema(_PACKED).parquet(path)
+        squares, own = self._summed(self.packed.select("category", "size", "i", "tf", "own_i", "own_tf"), self._squares(), 2 * n).reshape(2, n)
+        #: of each row: one over the Euclidean norm of its terms (0: it has none), and its own terms' part of its square
+        self.scale = np.divide(1.0, np.sqrt(squares), out=np.zeros(n), where=squares > 0)
+        self.own = own * self.scale ** 2
+
+    def _squares(self) -> Callable[[Iterator[pa.RecordBatch]], np.ndarray]:
+        n = self.n
+
+        def of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            out = np.zeros((2, n))
+            for r in _records(batches, n):
+                if not r["category"]:
+                    i, v = r["i"], _times(np.repeat(_idf(n, r["size"]), r["size"]), r["tf"])
+                    out[0] += np.bincount(i, v * v, n)
+                    own = np.bincount(r["own_i"], (r["own_tf"] * _idf(n, 1)) ** 2, n)
+                    out += own
+            return out
+
+        return of
+
+    def _summed(self, rows: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int) -> np.ndarray:
+        """The sum of the arrays of ``length`` that ``of`` makes in every task, added up in blocks by tasks."""
+        block = 1 << 17
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = of(batches).ravel()
+            for a in range(0, length, block):
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([out[a:a + block].tobytes()], pa.binary())], ["a", "v"])
+
+        def total(t: pa.Table) -> pa.Table:
+            return pa.table({"a": t["a"].slice(0, 1), "v": pa.array([sum(np.frombuffer(v) for v in t["v"].to_pylist()).tobytes()], pa.binary())})
+
+        parts = rows.coalesce(self.tasks).mapInArrow(made, "a long, v binary")
+        if length * self.tasks > 1 << 20:  # more than 8 MB are added up before they reach the driver
+            parts = parts.groupBy("a").applyInArrow(total, "a long, v binary")
+        out = np.zeros(length)
+        for r in parts.collect():
+            out[r.a:r.a + block] += np.frombuffer(r.v)
+        return out
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The rows' inner products times ``v`` (rows x k): one pass over the columns."""
+        n, k = v.shape
+        sent = self.spark.sparkContext.broadcast((np.ascontiguousarray(v.T), self.scale))
+
+        def of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            given, scale = sent.value
+            scaled = given * scale
+            text, kind = np.zeros((k, n)), np.zeros((k, n))
+            for r in _records(batches, n):
+                size, i, tf = r["size"], r["i"], r["tf"]
+                first = np.cumsum(size) - size
+                for c in range(k if len(i) else 0):
+                    if r["category"]:
+                        kind[c] += np.bincount(i, np.repeat(np.add.reduceat(given[c][i], first), size), n)
+                    else:
+                        g = np.add.reduceat(_times(scaled[c][i], tf), first) * _idf(n, size) ** 2
+                        text[c] += np.bincount(i, _times(np.repeat(g, size), tf), n)
+            return text * scale + kind
+
+        try:
+            out = self._summed(self.packed.select("category", "size", "i", "tf"), of, k * n).reshape(k, n).T
+        finally:
+            sent.destroy()
+        return out + self.own[:, None] * v
+
+    def weights(self, a: np.ndarray) -> DataFrame:
+        """(f, idf, w) of every term and category: the rows that hold it, times ``a`` (rows x classes); written once."""
+        n, classes = a.shape
+        sent = self.spark.sparkContext.broadcast((a, self.scale))
+
+        def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given, scale = sent.value
+
+            def rows(f: np.ndarray, idf: pa.Array, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for at in range(0, len(f), 1 << 16):
+                    some = np.ascontiguousarray(w[at:at + (1 << 16)])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * classes), pa.array(some.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(f[at:at + (1 << 16)]), idf.slice(at, 1 << 16), lists], ["f", "idf", "w"])
+
+            for r in _records(batches, 0):
+                size, i = r["size"], r["i"]
+                if len(i):
+                    x = np.ones(len(i)) if r["category"] else _times(np.repeat(_idf(n, size), size), r["tf"]) * scale[i]
+                    w = np.stack([np.add.reduceat(x * given[i, c], np.cumsum(size) - size) for c in range(classes)], axis=1)
+                    yield from rows(r["f"], pa.nulls(len(size), pa.float64()) if r["category"] else pa.array(_idf(n, size)), w)
+                i, one = r["own_i"], _idf(n, 1)
+                yield from rows(r["own_f"], pa.array(np.full(len(i), one)), (r["own_tf"] * one * scale[i])[:, None] * given[i])
+
+        try:
+            return cut_lineage(self.packed.mapInArrow(learned, "f long, idf double, w array<double>"))
+        finally:
+            sent.destroy()
+
+
+def _records(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[dict]:
+    """The packed rows as arrays, those of one kind joined until they have ``least`` entries (and some 65 thousand)."""
+    def joined(held: list[dict]) -> dict:
+        out = {c: np.concatenate([np.frombuffer(r[c], np.int64 if c in ("f", "own_f") else np.int32) for r in held]) for c in held[0] if c != "category"}
+        return {**out, "category": held[0]["category"], "tf": out["tf"] if len(out.get("tf", ())) else None}
+
+    waiting: dict[tuple, list[dict]] = {}
+    for b in batches:
+        for k in range(b.num_rows):
+            r = {c: b.column(c)[k].as_py() for c in b.schema.names}
+            kind = (r["category"], bool(r["tf"]))
+            held = waiting.setdefault(kind, [])
+            held.append(r)
+            if sum(len(x["i"]) + len(x.get("own_i") or b"") for x in held) >= 4 * max(least, 1 << 16):
+                yield joined(waiting.pop(kind))
+    yield from map(joined, waiting.values())
+
+
+def _times(x: np.ndarray, tf: np.ndarray | None) -> np.ndarray:
+    """``x`` times the counts; without counts each is one."""
+    return x if tf is None else x * tf
+
+
+def _idf(n: int, df: np.ndarray | int) -> np.ndarray:
+    """As ``term_index`` has it."""
+    return np.log((1 + n) / (1 + df)) + 1
+
+
+def logistic_fit(times: Callable[[np.ndarray], np.ndarray], y: np.ndarray, weight: np.ndarray, classes: int, rounds: int = 200, kept: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of the L2-penalised (C = 1) weighted multinomial fit: the weights are the rows' combination by ``a``, the scores
+    ``times(a) + b``, where ``times`` multiplies with the rows' inner products.
+
+    Limited-memory BFGS over the weights, which are held as their ``a``: every step is a sum of gradients, so with each vector's
+    product at hand steps, line searches and angles need no further product, and a round costs one. Over the classes a row's
+    ``a`` sums to zero, so that of the last class is left out."""
+    n, k = len(y), classes - 1
+    target = np.eye(classes)[y][:, :k]
+
+    def dot(u: tuple, v: tuple) -> float:
+        (a, _, b), (_, ka, c) = u, v
+        return float((a * ka).sum() + (a.sum(axis=1) * ka.sum(axis=1)).sum() + (b * c).sum() + b.sum() * c.sum())
+
+    def plus(u: tuple, t: float, v: tuple) -> tuple:
+        return tuple(x + t * w for x, w in zip(u, v))
+
+    def loss_of(z: tuple) -> tuple[float, np.ndarray]:
+        m = z[1] + z[2]
+        m = np.column_stack((m, -m.sum(axis=1)))
+        m -= m.max(axis=1, keepdims=True)
+        p = m - np.log(np.exp(m).sum(axis=1, keepdims=True))
+        penalty = 0.5 * dot((z[0], z[1], 0 * z[2]), (z[0], z[1], 0 * z[2]))
+        return penalty - float((weight * p[np.arange(n), y]).sum()), weight[:, None] * (np.exp(p[:, :k]) - target)
+
+    def gradient(z: tuple, residual: np.ndarray) -> tuple:
+        return z[0] + residual, z[1] + times(residual), residual.sum(axis=0)
+
+    z = (np.zeros((n, k)), np.zeros((n, k)), np.zeros(k))
+    steps: list[tuple[tuple, tuple, float]] = []
+    if k:
+        loss, residual = loss_of(z)
+        grad = gradient(z, residual)
+        for _ in range(rounds):
+            if dot(grad, grad) ** 0.5 < 1e-5 * weight.sum():
                 break
-            t /= 2
-        s, g = new - z, new_grad - grad
-        if float(s @ g) > 1e-12:
-            steps = [*steps[-9:], (s, g)]
-        z, loss, grad = new, new_loss, new_grad
-    return -residual, z[-classes:]
-
-
-def train(df: DataFrame, label: str = "role_type", max_rows: int = MAX_ROWS) -> RoleModel:
-    """M5: fit on the rows of ``df`` that have a label. The weights table is written under the checkpoint folder."""
-    spark = df.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            d, back = grad, []
+            for s, g, sg in reversed(steps):
+                back.append(dot(s, d) / sg)
+                d = plus(d, -back[-1], g)
+            if steps:
+                s, g, sg = steps[-1]
+                d = tuple(x * (sg / dot(g, g)) for x in d)
+            for (s, g, sg), al in zip(steps, reversed(back)):
+                d = plus(d, al - dot(g, d) / sg, s)
+            slope, t = -dot(grad, d), 1.0 if steps else 1.0 / max(1.0, dot(grad, grad) ** 0.5)
+            while True:
+                new = plus(z, -t, d)
+                new_loss, residual = loss_of(new)
+                if new_loss <= loss + 1e-4 * t * slope or t < 1e-12:
+                    break
+                t /= 2
+            new_grad = gradient(new, residual)
+            s, g = plus(new, -1.0, z), plus(new_grad, -1.0, grad)
+            if (sg := dot(s, g)) > 1e-12:
+                steps = [*steps[1 - kept:], (*(tuple(x.astype(np.float32) for x in v) for v in (s, g)), sg)]  # directions bear rounding
+            z, loss, grad = new, new_loss, new_grad
+    a, b = z[0], z[2]
+    return np.column_stack((a, -a.sum(axis=1))), np.append(b, -b.sum())
+
+
+def train(df: DataFrame, label: str = "role_type", max_rows: int | None = None) -> RoleModel:
+    """M5: fit on the rows of ``df`` that have a label: all of them, unless the caller gives ``max_rows`` (so many by hash order).
+    The weights table is written under the checkpoint folder."""
     f = feature_frame(df, label).where(F.col(label).isNotNull()).select(
         F.monotonically_increasing_id().alias("_row"), F.col(label).cast("string").alias("_label"), *CATEGORICAL, *NUMERIC, "combined_text")
     f = cut_lineage(f)
@@ -281,31 +423,24 @@ def train(df: DataFrame, label: str = "role_type", max_rows: int = MAX_ROWS) ->
     labels, n_rows = sorted(balance), sum(r for r, _ in balance.values())
     numbers = {r["column"]: (r["median"] or 0.0, r["mean"], r["deviation"]) for r in numeric_profile(f).collect()}  # three rows
     model = RoleModel(labels, numbers, [], [], f)
-    counts = cut_lineage(term_counts(f))
-    index = cut_lineage(term_index(counts, n_rows))
-
-    order = F.xxhash64("combined_text", "_label", *CATEGORICAL)
-    sample = f.select("_row", "_label", *[model.number(c).alias(c) for c in NUMERIC]).where(F.lit(True))
-    if n_rows > max_rows:
-        sample = f.select("_row", "_label", *[model.number(c).alias(c) for c in NUMERIC], order.alias("_o")).orderBy("_o", "_row").limit(max_rows)
-    chosen = sample.select("_row", "_label", *NUMERIC).orderBy("_row").collect()  # at most max_rows rows
-    numeric = np.array([[r[c] for c in NUMERIC] for r in chosen]).reshape(len(chosen), len(NUMERIC))
-    y = np.array([labels.index(r["_label"]) for r in chosen])
-    weight = np.array([balance[r["_label"]][1] for r in chosen])
-    places = spark.createDataFrame([(r["_row"], i) for i, r in enumerate(chosen)], "_row bigint, i int")
-
-    text = tfidf(counts.join(places.select("_row"), "_row", "left_semi"), index).select("_row", "f", (F.col("v") / F.col("norm")).alias("x"))
-    entries = cut_lineage(text.unionByName(_category_features(f).withColumn("x", F.lit(1.0))).join(places, "_row").select("i", "f", "x"))
-    k = _inner_products(entries.withColumn("i", F.col("i").cast("long")), len(chosen), min(width, 32)) + numeric @ numeric.T
-    a, b = logistic_dual(k, y, weight, len(labels))
+
+    bounded = max_rows is not None and n_rows > max_rows
+    order = [F.xxhash64("combined_text", "_label", *CATEGORICAL).alias("_o")] if bounded else []
+    code = F.array_position(F.array(*map(F.lit, labels)), F.col("_label")).cast("int") - 1
+    held = f.select("_row", code.alias("_y"), *[model.number(c).alias(c) for c in NUMERIC], *order).toArrow()  # a few numbers per row
+    place = np.argsort(held["_row"].to_numpy())
+    row, y = held["_row"].to_numpy()[place], held["_y"].to_numpy()[place]
+    numeric = np.column_stack([held[c].to_numpy()[place] for c in NUMERIC])
+    weight = np.array([balance[v][1] for v in labels])[y]
+    if bounded:
+        weight[np.lexsort((row, held["_o"].to_numpy()[place]))[max_rows:]] = 0.0  # such rows have no part in the weights
+    parts, starts = np.unique(row >> 33, return_index=True)
+
+    columns = _Columns(f, dict(zip(parts.tolist(), starts.tolist())), n_rows)
+    a, b = logistic_fit(lambda v: columns.times(v) + numeric @ (numeric.T @ v), y, weight, len(labels))
     model.number_weights, model.bias = (numeric.T @ a).tolist(), b.tolist()
-    mixed = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(a)], "i int, a array<double>")
-    sums = F.array(*[F.sum(F.col("x") * F.col("a")[c]) for c in range(len(labels))])
-    learned = entries.join(mixed, "i").groupBy("f").agg(sums.alias("w"))
-    zero = F.array(*[F.lit(0.0)] * len(labels))
-    # terms outside the fitted rows have no weight, but count in the norm
-    model.weights = cut_lineage(index.select("f", "idf").join(learned, "f", "full_outer").select("f", "idf", F.coalesce("w", zero).alias("w")))
-    model.facts = {"rows": n_rows, "fitted_rows": len(chosen), "classes": len(labels), "max_rows": max_rows}
+    model.weights = columns.weights(a)
+    model.facts = {"rows": n_rows, "fitted_rows": int((weight > 0).sum()), "classes": len(labels), "max_rows": max_rows or MAX_ROWS}
     return model
 
 

@@ -120,3 +120,13 @@ def test_terms_are_never_broadcast(spark, monkeypatch):
         plan = d._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"SortMergeJoin \[f#", plan) and not re.search(r"BroadcastHashJoin \[f#", plan)
     assert plans[1].count() == 60
+
+
+def test_the_fit_sees_every_row(spark):
+    """More rows than the fit was once cut to: each row's own word gets a weight."""
+    rows = [(f"own{i}x", "ward" if i % 2 else "truck", [], None, None, "s", None, "x", "Nurse" if i % 2 else "Driver") for i in range(4300)]
+    train = frame(spark, rows)
+    model = ml.train(train)
+    assert model.facts["rows"] == model.facts["fitted_rows"] == 4300
+    assert model.weights.where("idf is not null and w[0] = 0").count() == 0
+    assert model.weights.where("idf is not null").count() == 4300 * 2 + 2
