@@ -91,3 +91,20 @@ def test_raw_text_is_kept_for_bad_rows_alone(spark, tmp_path, monkeypatch):
     assert [r.value for r in stored[0].orderBy("value").collect()] == [None, "{broken"]
     assert [(r.value, r.reasons[0]) for r in spark.read.parquet(str(tmp_path / "q")).collect()] == [("{broken", "corrupt")]
     assert "value" not in st.dedupe_stream(st.decode(st.read_topic(spark, str(tmp_path / "in")))).columns
+
+
+def test_stream_bronze_keeps_no_batch_in_memory(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from jobsieve.streaming import ingest as st
+    kept = []
+    for name in ("persist", "cache"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, _n=name: kept.append(_n) or self)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"id": "1", "source": "s"}\n{broken\n{"source": "no id"}\n{"id": "2", "salary_min": "odd"}\n')
+    st.start_bronze(spark, st.read_topic(spark, str(tmp_path / "in")), *(str(tmp_path / x) for x in "bqc")).awaitTermination()
+    good, bad = (spark.read.parquet(str(tmp_path / x)).collect() for x in "bq")
+    assert not kept
+    assert sorted((r.id, r.source, r.salary_min) for r in good) == [("1", "s", None), ("2", None, None)]
+    assert sorted(r.value for r in bad) == ['{"source": "no id"}', "{broken"]
+    assert len({r.ingested_at for r in [*good, *bad]}) == 1
